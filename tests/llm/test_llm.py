@@ -336,7 +336,7 @@ def test_op8_hub_above_the_quota(spark):
     nodes = spark.range(4000).selectExpr("id as node", "case when id % 3 = 0 then 1L when id % 5 = 0 then id div 50 + 10 end as hub", "1 as size")
     out = sharding.shards(nodes, 8).toPandas()
     assert set(out.groupby("shard").size()) == {500} and all(sorted(g["slot"]) == list(range(500)) for _, g in out.groupby("shard"))
-    assert out[out["node"] % 3 == 0].groupby("shard").size().max() >= 400
+    assert out[out["node"] % 3 == 0].groupby("shard").size().max() >= 350
 
 
 def picture(seed, side=96):
