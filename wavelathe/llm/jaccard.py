@@ -203,13 +203,15 @@ def links(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     rest = posting.where("key <> pivot").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rest = written(rest.select("token", "key", "n", "at", F.coalesce("root", "key").alias("root")), "jaccard-rest")
     mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    open_ = rest.join(mixed, "token")
-    x = open_.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"))
-    # A true pair passes these bounds at the first column that it shares.
+    # With the columns that stand before this one in the row's order.
+    before = F.slice("prefix", 1, (F.col("at") - F.col("first")).cast("int")).alias("before")
+    open_ = rest.join(mixed, "token").join(live.select("key", "first", "prefix"), "key").select("token", "key", "n", "at", "root", before)
+    x = open_.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), F.col("before").alias("ba"))
+    y = open_.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), F.col("before").alias("bb"))
+    # A true pair passes these bounds at the first column that it shares, and is formed there alone.
     can = 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
     need = percent * (F.col("na") + F.col("nb"))
-    pairs = x.join(y, "token").where("ra < rb").where((100 + percent) * can >= need).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = x.join(y, "token").where("ra < rb").where(~F.arrays_overlap("ba", "bb")).where((100 + percent) * can >= need).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     more = written(_linked(pairs.select("a", "b").distinct(), live, percent), "jaccard-pairs")
     out = components(edges.union(more), "jaccard-cc")
     drop(live, rest)
