@@ -10,7 +10,7 @@
    rows whose rare columns are all their own are finished here; the others keep
    that prefix, and their shared columns for exact overlap counts.
 4. Rows that share a prefix column are candidates. First every row is verified
-   against its columns' pivots (the least row of each), which is linear in the
+   against its columns' pivots (two rows of each), which is linear in the
    prefix entries and connects groups of copies without forming their pairs.
    A column all of whose other rows are then in one component is finished. In
    what remains, rows of different components that pass the size and position
@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, documents, drop, even_labels, groups_of_bytes, mix64, prepare, shuffle_partitions, text_of, written
 from .texthash import shingle_sets
 
 _TILE_BYTES = 12 << 20
+PIVOTS = 2  # of a column
 _ENTRY = np.dtype([("hash", "<u4"), ("more", "<u2")])
 
 
@@ -192,15 +193,19 @@ def links(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     labels = even_labels(spark, shuffle_partitions(spark))
     live = written(_prefixes(_shared_tiles(_column_tiles(docs, words, labels), labels), percent), "jaccard-rows")
     entries = live.select("key", "n", "first", F.posexplode("prefix").alias("i", "token"))
-    entries = entries.select("token", "key", "n", (F.col("first") + F.col("i")).alias("at"))
-    pivots = entries.groupBy("token").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("rows"))
-    pivots = pivots.where("rows > 1").select("token", "pivot")
-    posting = entries.join(pivots, "token")
-    stars = posting.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    entries = entries.select("token", "key", "n", "first", (F.col("first") + F.col("i")).alias("at"))
+    # Of each column's rows, the two with the fewest columns of their own: an original stands among its copies so.
+    rank = F.row_number().over(Window.partitionBy("token").orderBy("first", "key"))
+    heads = entries.select("token", "key", "first", "n").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
+    pivots = heads.select("token", F.col("key").alias("pivot"), F.col("n").alias("np"))
+    posting = entries.join(pivots.groupBy("token").agg(F.collect_list(F.struct("pivot", "np")).alias("pivots")).where(F.size("pivots") > 1), "token")
+    stars = posting.select("key", "n", F.explode("pivots").alias("p")).where("key <> p.pivot")
+    stars = stars.where((100 * F.least("n", "p.np")) >= (percent * F.greatest("n", "p.np")))
+    stars = stars.select(F.greatest("key", "p.pivot").alias("a"), F.least("key", "p.pivot").alias("b")).distinct()
     edges = written(_linked(stars, live, percent), "jaccard-stars")
     roots = components(edges, "jaccard-cc")
-    # What is left: columns whose rows, the pivot aside (it met them all), lie in several components.
-    rest = posting.where("key <> pivot").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    # What is left: columns whose rows, the pivots aside (they met them all), lie in several components.
+    rest = posting.where(~F.exists("pivots", lambda p: p["pivot"] == F.col("key"))).join(roots.withColumnRenamed("node", "key"), "key", "left")
     rest = written(rest.select("token", "key", "n", "at", F.coalesce("root", "key").alias("root")), "jaccard-rest")
     mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     # With the columns that stand before this one in the row's order.
