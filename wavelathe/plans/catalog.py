@@ -18,8 +18,13 @@ _SQL: dict = {}
 
 
 def r6(c):
-    """Six decimals, and no negative zero."""
-    return F.round(c, 6) + F.lit(0.0)
+    """Six decimals, and no negative zero; the shift keeps decimal ties off the rounding's edge."""
+    return F.round(c + F.lit(1e-10), 6) + F.lit(0.0)
+
+
+def r_of(name: str, c):
+    """r6, but large variances, of whose decimals a double holds too few, as whole numbers."""
+    return F.when(c >= 1e6, F.round(c, 0)).otherwise(r6(c)) if name.endswith("variance") else r6(c)
 
 
 def table(spark, d, name):
@@ -51,7 +56,11 @@ _R = "CAST(0 AS DOUBLE)"
 
 
 def s6(e: str) -> str:
-    return f"round({e}, 6) + {_R}"
+    return f"round({e} + CAST(1e-10 AS DOUBLE), 6) + {_R}"
+
+
+def s_of(name: str, e: str) -> str:
+    return f"CASE WHEN {e} >= 1e6 THEN round({e}, 0) ELSE {s6(e)} END" if name.endswith("variance") else s6(e)
 
 
 def query(name: str, sql: str | None = None):
@@ -168,12 +177,12 @@ def _functional_sql(head: str, keys: str, order: str, name: str, source: str = "
     w = f"(PARTITION BY {keys})"
     o = f"(PARTITION BY {keys} ORDER BY {order})"
     prep = f"b AS (SELECT {keys}, x, CAST(row_number() OVER {o} - 1 AS DOUBLE) AS i, CAST(count(*) OVER {w} AS DOUBLE) AS n, min(x) OVER {w} AS lo, max(x) OVER {w} AS hi, avg(x) OVER {w} AS mu, lag(x) OVER {o} AS was, lead(x) OVER {o} AS will FROM {source})"
-    cols = ", ".join(f"{s6(f'CAST({e} AS DOUBLE)')} AS x_{c}" for c, e in _SQL_SETS[name].items())
+    cols = ", ".join(f"{s_of(c, f'CAST({e} AS DOUBLE)')} AS x_{c}" for c, e in _SQL_SETS[name].items())
     return f"WITH {head}, {prep} SELECT {keys}, {cols} FROM b GROUP BY {keys}"
 
 
 def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[r6(F.col(c)).alias(c) for c in df.columns if c not in keys])
+    return df.select(*keys, *[r_of(c, F.col(c)).alias(c) for c in df.columns if c not in keys])
 
 
 for _name, _table, _level, _head, _key, _args in (
@@ -366,10 +375,10 @@ _SPEC = {
 }
 
 
-@query("spectral_descriptors_embeddings", f"WITH {_V}, {_MAG} SELECT vec_id, " + ", ".join(f"{s6(f'CAST({e} AS DOUBLE)')} AS {k}" for k, e in _SPEC.items()) + " FROM m")
+@query("spectral_descriptors_embeddings", f"WITH {_V}, {_MAG} SELECT vec_id, " + ", ".join(f"{s_of(k, f'CAST({e} AS DOUBLE)')} AS {k}" for k, e in _SPEC.items()) + " FROM m")
 def _(spark, d):
     got = spectral.descriptors(F.col("m"), _FREQ)
-    return mags(spark, d).select("vec_id", *[r6(got[k].cast("double")).alias(k) for k in _SPEC])
+    return mags(spark, d).select("vec_id", *[r_of(k, got[k].cast("double")).alias(k) for k in _SPEC])
 
 
 @query("spectral_rolloff_embeddings", f"WITH {_V}, {_MAG} SELECT vec_id, " + ", ".join(f"CAST((len(list_filter(range(1, 34), lambda j: list_sum({_pw}[1:j]) < {r} * {_ps}))) * 250 AS DOUBLE) AS rolloff{round(100 * r)}" for r in (0.25, 0.5, 0.75, 0.9)) + " FROM m")
@@ -554,7 +563,7 @@ _SUMMARY = {k: _SQL_SETS["extremes"][k] for k in ("max", "min", "range", "maxpos
     "flagship_contour_summary",
     f"""WITH {_E}, y AS (SELECT user_id, vidx, {_sma} AS x FROM e),
     b AS (SELECT user_id, x, CAST(vidx AS DOUBLE) AS i, CAST(count(*) OVER (PARTITION BY user_id) AS DOUBLE) AS n, min(x) OVER (PARTITION BY user_id) AS lo, max(x) OVER (PARTITION BY user_id) AS hi, avg(x) OVER (PARTITION BY user_id) AS mu FROM y)
-    SELECT user_id, """ + ", ".join(f"{s6(f'CAST({e} AS DOUBLE)')} AS x_sma_{k}" for k, e in _SUMMARY.items()) + f", {s6('regr_slope(x, i)')} AS x_sma_linregc1 FROM b GROUP BY user_id",
+    SELECT user_id, """ + ", ".join(f"{s_of(k, f'CAST({e} AS DOUBLE)')} AS x_sma_{k}" for k, e in _SUMMARY.items()) + f", {s6('regr_slope(x, i)')} AS x_sma_linregc1 FROM b GROUP BY user_id",
 )
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user: the event values' contour, smoothed, and its extremes, moments and trend."""
