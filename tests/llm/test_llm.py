@@ -415,3 +415,15 @@ def test_pipeline_stages_on_odd_rows(spark, odd, empty):
             out = stage(spark, docs, SF)
             assert name == "packing" or out.columns == docs.columns
             out.count()
+
+
+def test_a_worker_lets_an_encoder_go_and_makes_it_again():
+    from wavelathe.llm import common
+    from wavelathe.llm.bpe import encoder
+
+    first = encoder("word_bpe_49k.json").encode("one two")
+    assert common.KEPT
+    common.let_go()
+    assert not common.KEPT
+    common.let_go()
+    assert encoder("word_bpe_49k.json").encode("one two") == first

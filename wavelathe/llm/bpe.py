@@ -16,6 +16,8 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
+from .common import KEPT
+
 _MOST = 500_000  # kept chunks and kept words of a worker: some 100 MB each
 _LONG = 64  # longer chunks are not kept
 _PLAIN = re.compile(r"[\x21-\x7e¡-¬®-įı-ſ]+").fullmatch
@@ -90,11 +92,8 @@ class Encoder:
         return self.whole(first) + b"".join(map(self.chunks.__getitem__, rest))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder(name: str, path: str | None = None) -> Encoder:
-    """This worker's encoder, made once."""
-    if (name, path) not in _ENCODERS:
-        _ENCODERS[name, path] = Encoder(name, path)
-    return _ENCODERS[name, path]
+    """This worker's encoder, kept until another operator's task runs in the worker."""
+    if (name, path) not in KEPT:
+        KEPT[name, path] = Encoder(name, path)
+    return KEPT[name, path]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch. Texts average kilobytes, so the engine's 10,000 rows
 #: would be tens of megabytes, and far more where long texts stand together.
 BATCH_ROWS = 400
+#: What tasks keep in their Python worker for later tasks of the same operator.
+KEPT: dict = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -26,6 +31,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def let_go() -> None:
+    """Drop what other operators' tasks keep in this worker, which outlives stages; their free memory goes back to the system."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of its own only where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

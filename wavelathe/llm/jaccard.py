@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, drop, even_labels, groups_of_bytes, mix64, prepare, shuffle_partitions, text_of, written
+from .common import components, documents, drop, even_labels, groups_of_bytes, let_go, mix64, prepare, shuffle_partitions, text_of, written
 from .texthash import shingle_sets
 
 _TILE_BYTES = 12 << 20
@@ -43,6 +43,7 @@ def members(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, key) of every row; key null for an empty set."""
 
     def find(batches):
+        let_go()
         for pdf in batches:
             n, key = [], []
             for _, raws in groups_of_bytes(pdf["text"]):
@@ -79,6 +80,7 @@ def _column_tiles(docs: DataFrame, words: int, labels: list[int]) -> DataFrame:
                 yield labels[b], key[own].tobytes(), sizes[own].astype("<u4").tobytes(), n.astype("<u4").tobytes(), entry.tobytes()
 
     def tiles(batches):
+        let_go()
         names = ["block", "keys", "sizes", "counts", "entries"]
         keys, sets, seen, held = [], [], set(), 0
         for pdf in batches:
@@ -104,6 +106,7 @@ def _shared_tiles(tiles: DataFrame, labels: list[int]) -> DataFrame:
     blocks, place = len(labels), {label: i for i, label in enumerate(labels)}
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         counts = [np.frombuffer(c, "<u4") for c in pdf["counts"]]
         key = np.concatenate([np.repeat(np.frombuffer(k, "<i8"), c) for k, c in zip(pdf["keys"], counts)])
         size = np.concatenate([np.repeat(np.frombuffer(k, "<u4"), c) for k, c in zip(pdf["sizes"], counts)])
@@ -149,6 +152,7 @@ def _prefixes(tiles: DataFrame, percent: int) -> DataFrame:
     """Rows that can have a partner: (key, n, first, prefix, tokens); first is the place of prefix[0] in the row's order."""
 
     def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         counts = [np.frombuffer(c, "<u4") for c in pdf["counts"]]
         key = np.concatenate([np.repeat(np.frombuffer(k, "<i8"), c) for k, c in zip(pdf["keys"], counts)])
         size = np.concatenate([np.repeat(np.frombuffer(k, "<u4"), c) for k, c in zip(pdf["sizes"], counts)])
@@ -175,6 +179,7 @@ def _linked(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        let_go()
         out = []
         for a, b, i, j in zip(x, y, n, m):
             both = len(np.intersect1d(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), assume_unique=True))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_of_bytes, prepare, text_of
+from .common import groups_of_bytes, let_go, prepare, text_of
 from .texthash import _pieces, word_hashes
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     bits = s.bits
 
     def features(batches):
+        let_go()
         for pdf in batches:
             bags = _bags(pdf["text"].tolist(), bits)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "idx": [a.tobytes() for a, _ in bags], "share": [b.tobytes() for _, b in bags]})
@@ -159,6 +160,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "scor
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
+        let_go()
         weights, bias = held.value
         return pd.Series(1 / (1 + np.exp(-np.clip(log_odds(text.tolist(), weights, bias), -500, 500))))
 
