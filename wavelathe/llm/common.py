@@ -11,6 +11,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +32,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return this worker's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let_go() -> None:
-    """Drop what other operators' tasks keep in this worker, which outlives stages; their free memory goes back to the system."""
+    """Drop what other operators' tasks keep in this worker, which outlives stages."""
     if KEPT:
         KEPT.clear()
         gc.collect()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def frugal(run):
+    """run(batches) as the function of a task that begins without others' leavings and leaves no free memory held."""
+
+    def task(batches):
+        let_go()
+        yield from run(batches)
+        give_back()
+
+    return task
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, documents, drop, even_labels, groups_of_bytes, let_go, mix64, prepare, shuffle_partitions, text_of, written
+from .common import components, documents, drop, even_labels, frugal, groups_of_bytes, let_go, mix64, prepare, shuffle_partitions, text_of, written
 from .texthash import shingle_sets
 
 _TILE_BYTES = 12 << 20
@@ -42,8 +42,8 @@ def set_key(s: np.ndarray) -> int:
 def members(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n_shingles, key) of every row; key null for an empty set."""
 
+    @frugal
     def find(batches):
-        let_go()
         for pdf in batches:
             n, key = [], []
             for _, raws in groups_of_bytes(pdf["text"]):
@@ -79,8 +79,8 @@ def _column_tiles(docs: DataFrame, words: int, labels: list[int]) -> DataFrame:
                 entry["hash"], entry["more"] = top & np.uint64(0xFFFFFFFF), top >> np.uint64(32)
                 yield labels[b], key[own].tobytes(), sizes[own].astype("<u4").tobytes(), n.astype("<u4").tobytes(), entry.tobytes()
 
+    @frugal
     def tiles(batches):
-        let_go()
         names = ["block", "keys", "sizes", "counts", "entries"]
         keys, sets, seen, held = [], [], set(), 0
         for pdf in batches:

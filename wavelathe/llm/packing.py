@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import documents, prepare, text_of, written
+from .common import documents, give_back, prepare, text_of, written
 
 
 @dataclass(frozen=True)
@@ -112,6 +112,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_path: st
                 start.append(at.get(q, 0))
                 at[q] = start[-1] + k
             yield pd.DataFrame({"part": part, "queue": pdf["queue"], "start": start, "doc_id": pdf["doc_id"].astype("Int64"), "n": n, "wide": enc.dtype.itemsize, "ids": ids})
+        give_back()
 
     rows = docs.select("doc_id", source.alias("queue"), text_of(docs).alias("text"))
     made = rows.mapInPandas(encode, "part int, queue string, start long, doc_id long, n long, wide int, ids binary")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_of_bytes, let_go, prepare, text_of
+from .common import frugal, groups_of_bytes, let_go, prepare, text_of
 from .texthash import _pieces, word_hashes
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     both = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
     bits = s.bits
 
+    @frugal
     def features(batches):
-        let_go()
         for pdf in batches:
             bags = _bags(pdf["text"].tolist(), bits)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "idx": [a.tobytes() for a, _ in bags], "share": [b.tobytes() for _, b in bags]})

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, documents, prepare, text_of, written
+from .common import columns_of, documents, frugal, prepare, text_of, written
 
 RULES = "1"
 #: The kinds in their order, and their patterns.
@@ -45,6 +45,7 @@ def versions(docs: DataFrame) -> DataFrame:
 def scan(blobs: DataFrame, rules: str = RULES) -> DataFrame:
     """Scan (blob, text): a row (blob, rules, spans) for every blob that has a finding, spans in text form."""
 
+    @frugal
     def run(batches):
         for pdf in batches:
             out = []
