@@ -60,9 +60,9 @@ def propagate(cells: DataFrame, room: list[int], rounds: int) -> DataFrame:
         part = [min(1.0, max(0, room[s] - load[s]) / come[s]) if come[s] else 0.0 for s in range(shards)]
         share = _pick(F.col("to"), part)
         space = _pick(F.col("to"), [max(0, room[s] - load[s]) for s in range(shards)])
-        # A hub that is small beside the space moves whole or not, by its hash; of a large one the share moves.
+        # A hub that is small beside the space (an eighth of it) moves whole or not, by its hash; of a larger one the share moves.
         lucky = F.pmod(F.xxhash64("hub", F.lit(r)), F.lit(1_000_000)) < share * 1_000_000
-        moved = F.when(F.col("shard") == F.col("to"), 0).when(F.col("n") > 1000, F.floor(F.col("n") * share)).otherwise(F.when(lucky, F.col("n")).otherwise(0))
+        moved = F.when(F.col("shard") == F.col("to"), 0).when(8 * F.sum("n").over(w) > space, F.floor(F.col("n") * share)).otherwise(F.when(lucky, F.col("n")).otherwise(0))
         wish = wish.withColumn("go", moved.cast("long"))
         new = wish.select("hub", "shard", (F.col("n") - F.col("go")).alias("n")).union(wish.select("hub", F.col("to").alias("shard"), F.col("go").alias("n")))
         new = written(new.groupBy("hub", "shard").agg(F.sum("n").alias("n")).where("n > 0"), f"shard-cells-{r}")
