@@ -313,6 +313,63 @@ def test_op7(spark, odd, empty):
         assert "".join(spans.sentences(r)) == r
 
 
+def brute_passages(rows, run=3, least=8, window=51):
+    """Text by (doc_id, text): runs of sentences grown to the floor, and windows of words, by comparing words themselves."""
+    seen, out = {}, {}
+    for d, t in sorted(rows):
+        parts = spans.sentences(t)
+        words = [tuple(p.lower().split()) for p in parts]
+        flat = [w for s in words for w in s]
+        owner = [j for j, s in enumerate(words) for _ in s]
+        gone, lost = set(), set()
+        k, found = min(run, len(parts)), set()
+        for j in range(len(parts)):
+            if j + k <= len(parts) and sum(map(len, words[j : j + k])) >= least:
+                found.add((j, j + k))
+        for j, e in sorted(found):
+            if seen.setdefault(tuple(words[j:e]), (d, t, j)) != (d, t, j):
+                gone |= set(range(j, e))
+        for j in range(len(flat) - window + 1):
+            head = seen.setdefault(tuple(flat[j : j + window]), (d, t, j))
+            if head != (d, t, j):
+                lost |= set(range(max(j, head[2] + window) if head[:2] == (d, t) else j, j + window))
+        kept, at = [], 0
+        for j, (p, w) in enumerate(zip(parts, words)):
+            mine = [at + i in lost for i in range(len(w))]
+            at += len(w)
+            if j in gone or (w and all(mine)):
+                continue
+            kept.append("".join(x for x, m in zip(re.findall(r"\s*\S+\s*", p), mine) if not m) if any(mine) else p)
+        out[d, t] = "".join(kept), len(gone | {owner[i] for i in lost})
+    return out
+
+
+def test_op7_passages_across_sentence_edges_and_of_short_lines(spark):
+    pdf = rows_of(spark)
+    rows = [(int(d), t or "") for d, t in zip(pdf["doc_id"], pdf["text"])]
+    long = " ".join(f"Word{i}" for i in range(60))
+    lines = "\n".join(f"line{i}" for i in range(20))
+    rows += [
+        (9001, f"Alone. {long} ends here. More."), (9002, f"Other text before {long} and behind. More again."), (9003, f"{long}."),
+        (9004, f"Menu.\n{lines}\nEnd."), (9005, f"List.\n{lines}\nFinis."), (9006, "again " * 130), (9007, "tail of seven words stands right here.\na.\nb.\nc.\nd.\ne.\nOne"),
+        (9008, "tail of seven words stands right here.\na.\nb.\nc.\nd.\ne.\nTwo"),
+    ]
+    out = spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_passages(rows)
+    assert sorted((r["doc_id"], r["text"], r["removed"]) for r in out) == sorted((d, *v) for (d, _), v in want.items())
+    text = {r["doc_id"]: r["text"] for r in out}
+    assert text[9002] == "Other text before and behind. More again."
+    assert text[9006].split() == ["again"] * 51 and text[9001].startswith("Alone. Word0")
+
+
+def test_op7_odd_rows(spark, odd, empty):
+    out = spans.deduplicated(odd)
+    assert out.columns == odd.columns and out.count() == odd.count()
+    text = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert text[14] == "Lead. End of it." and text[13].startswith("First") and text[4] is None and text[1] == ""
+    assert spans.deduplicated(empty).count() == 0
+
+
 def test_op8(spark, odd, empty):
     docs = rows_of(spark)
     got = QUERIES["op8_sharding"](spark, SF).toPandas()

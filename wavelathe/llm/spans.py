@@ -1,25 +1,37 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and word windows.
 
 A sentence ends at a full stop, question or exclamation mark before white
 space, or at a line's end. Every run of `run` consecutive sentences (and with
-fewer, the whole text) is hashed, case and white space aside; runs of fewer
-than `least` words are left out, as such repeat by chance. A hash that occurs
-more than once in the whole corpus is a repeated span; its first occurrence, by
-doc_id and then place, stays, and the sentences under all others are removed.
+fewer, the whole text) is hashed, case and white space aside. Runs
+of fewer than `least` words are left out. Every window of
+`window` words is a span too, wherever sentences end, so a repeated passage of
+as many words is found whole. A hash that occurs more than once in the whole
+corpus is a repeated span; its first occurrence, by doc_id and then place,
+stays, and the sentences or words under all others are removed.
+
+Texts are read twice. The first time, runs and the anchors of windows (the
+least hash of ANCHOR words in a window) are counted, and those that repeat set
+a bit of a map of fixed size. The second time only spans whose bit is set are
+compared; a bit shared by chance costs a row and changes nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, documents, mix64, prepare, text_of, written
+from .common import columns_of, documents, drop, mix64, prepare, text_of, written
 
+WINDOW = 51  # words
+ANCHOR = 12  # words
+MAP_BITS = 1 << 27
+_FACTOR = 0x9E3779B97F4A7C15
+_BACK = pow(_FACTOR, -1, 1 << 64)
+_RUN, _SENTENCE, _WINDOW, _ANCHOR, _UNIT = (np.uint64(0xA0761D6478BD642F * x % (1 << 64)) for x in range(1, 6))
 
 
 def sentences(text: str) -> list[str]:
@@ -33,69 +45,192 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def span_hashes(text: str, run: int, least: int) -> list[tuple[int, int]]:
-    """(first sentence, 64-bit hash) of the text's runs of at least `least` words."""
-    parts = sentences(text)
-    if not parts:
-        return []
-    words = [p.lower().split() for p in parts]
-    counts = np.array([len(w) for w in words])
-    keys = np.array([int.from_bytes(hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w in words], np.uint64)
-    k = min(run, len(parts))
-    n = len(parts) - k + 1
-    h = np.full(n, k, np.uint64)
-    total = np.zeros(n, np.int64)
-    for j in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + keys[j : j + n]
-        total += counts[j : j + n]
-    h = mix64(h).astype(np.int64)
-    return [(int(i), int(h[i])) for i in np.flatnonzero(total >= least)]
-
-
-def repeated(docs: DataFrame, run: int = 3, least: int = 8) -> DataFrame:
-    """(doc_id, tie, at, spans): for each document with a non-first repeated span, where these begin."""
+def word_keys(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    raw = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(raw):
+        return np.empty(0, np.uint64)
+    gaps = np.flatnonzero(raw == 32)
+    starts = np.concatenate([[0], gaps + 1])
+    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    values = mix64((place.astype(np.uint64) << np.uint64(8)) + raw + np.uint64(1))
+    values[gaps] = 0
+    return mix64(np.add.reduceat(values, starts))
+
+
+class Grams:
+    """Hashes of any stretches of keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * np.cumprod(np.full(len(keys), _FACTOR, np.uint64)))])
+        self.down = np.cumprod(np.full(len(keys) + 1, _BACK, np.uint64))
+
+    def of(self, start: np.ndarray, end: np.ndarray, kind: np.uint64) -> np.ndarray:
+        h = (self.total[end] - self.total[start]) * self.down[start]
+        return mix64(mix64(h ^ kind) + (end - start).astype(np.uint64))
+
+
+def text_spans(text: str, run: int, least: int, window: int) -> tuple[tuple, tuple, np.ndarray]:
+    """The text's runs (first sentence, sentences, hash), its units (first window, end, hash, anchor's hash) and its windows' hashes.
+
+    A unit is the windows that share an anchor. Its hash is that of all their words.
+    """
+    words = [p.lower().split() for p in sentences(text)]
+    before = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    grams = Grams(word_keys([x for w in words for x in w]))
+    n, k = len(words), min(run, len(words))
+    first = np.arange(n - k + 1 if n else 0)
+    first = first[before[first + k] - before[first] >= least] if n else first
+    at, to = first, first + k
+    whole = Grams(grams.of(before[:-1], before[1:], _SENTENCE))
+    runs = at, to - at, whole.of(at, to, _RUN).view(np.int64)
+    total = int(before[-1]) - window + 1
+    if total < 1:
+        none = np.empty(0, np.int64)
+        return runs, (none, none, none, none), none
+    i = np.arange(total)
+    size = min(ANCHOR, window)
+    j = np.arange(total + window - size)
+    parts = grams.of(j, j + size, _ANCHOR)
+    best = i + np.lib.stride_tricks.sliding_window_view(parts, window - size + 1).argmin(1)
+    edge = np.flatnonzero(np.diff(best, prepend=-1))
+    after = np.append(edge[1:], total)
+    units = edge, after, grams.of(edge, after + window - 1, _UNIT).view(np.int64), parts[best[edge]].view(np.int64)
+    return runs, units, grams.of(i, i + window, _WINDOW).view(np.int64)
+
+
+def repeated(docs: DataFrame, run: int = 3, least: int = 8, window: int = WINDOW) -> DataFrame:
+    """(doc_id, tie, at): for each document with a non-first repeated span, where these lie.
+
+    A number from 0 is a run, its first sentence * 2**32 + its sentences. Below
+    0, -1 less it is a stretch of words, the first * 2**32 + their number.
+
+    A unit that has occurred before has all its windows removed with it, so
+    only the windows of each unit's first occurrence are compared one by one.
+    """
+    texts = docs.select(text_of(docs).alias("text"))
+
+    def count(batches):
+        for pdf in batches:
+            found = [np.empty(0, np.int64)]
+            for text in pdf["text"]:
+                runs, units, _ = text_spans(text, run, least, window)
+                found += [runs[2], units[3]]
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pd.DataFrame({"key": keys, "n": n.astype(np.int64)})
+
+    several = texts.mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    bit = F.expr(f"pmod(key, {MAP_BITS}L) + 1")
+    several = several.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in several.toLocalIterator():
+        to = (r["bucket"] - 1) * 4096
+        bits[to : to + 4096] = np.frombuffer(r["bits"], np.uint8)
+    kept = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def find(batches):
+        bits = np.frombuffer(kept.value, np.uint8)
+
+        def again(keys):
+            bit = keys.view(np.uint64) & np.uint64(MAP_BITS - 1)
+            return np.flatnonzero(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+
+        def table(rows):
+            ids, ties, at, many, unit, hashes = zip(*rows)
+            n = [len(x) for x in at]
+            ids = pd.array(ids, "Int64").repeat(n)
+            flat = {k: np.concatenate(v) for k, v in (("at", at), ("many", many), ("unit", unit))}
+            return pd.DataFrame({"doc_id": ids, "tie": np.repeat(ties, n), **flat, "spans": [h for x in hashes for h in x]})
+
         for pdf in batches:
-            ids, ties, at, hashes = [], [], [], []
+            rows, size = [], 0
             for d, tie, text in zip(pdf["doc_id"].astype("Int64"), pdf["tie"], pdf["text"]):
-                for i, h in span_hashes(text, run, least):
-                    ids.append(d)
-                    ties.append(tie)
-                    at.append(i)
-                    hashes.append(h)
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "tie": pd.array(ties, "int64"), "at": at, "span": hashes})
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), text_of(docs).alias("text"))
-    runs = written(rows.mapInPandas(find, "doc_id long, tie long, at int, span long"), "spans")
+                (at, many, unit), (first, after, whole, anchor), windows = text_spans(text, run, least, window)
+                on, of = again(unit), again(anchor)
+                if len(on) + len(of):
+                    hashes = [None] * len(on) + [windows[a:b] for a, b in zip(first[of], after[of])]
+                    both = lambda a, b: np.concatenate([a, b]).astype(np.int64)
+                    rows.append((d, tie, both(at[on], first[of]), both(many[on], first[of] - after[of]), both(unit[on], whole[of]), hashes))
+                    size += len(hashes)
+                if size > 50_000:
+                    yield table(rows)
+                    rows, size = [], 0
+            if rows:
+                yield table(rows)
+
+    own = docs.select("doc_id", F.xxhash64("text").alias("tie"), text_of(docs).alias("text"))
+    found = written(own.mapInPandas(find, "doc_id long, tie long, at int, many int, unit long, spans array<long>"), "spans")
+    kept.unpersist()
+    units = written(found.drop("spans"), "spans-units")
+    first = found.groupBy("unit").agg(F.min(F.struct("doc_id", "tie", "at", "spans")).alias("head"))
+    heads = written(first.select("unit", "head.*"), "spans-heads")
+    drop(found)
     place = F.struct("doc_id", "tie", "at")
-    several = runs.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1")
-    several = several.select("span", "head")
-    again = runs.join(several, "span").where(place > F.col("head"))
-    return again.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("at")).alias("at"))
-
-
-def deduplicated(docs: DataFrame, run: int = 3, least: int = 8) -> DataFrame:
-    """docs with text less the sentences under repeated spans, and the column removed (their number).
+    long = lambda c: c.cast("long") * (1 << 32)
+
+    def again(spans: DataFrame, heads: DataFrame, key: str, words: Column) -> DataFrame:
+        """The codes of spans that lie behind their head; what the head covers in the same text stays."""
+        both = spans.join(heads, key).where(place > F.col("head"))
+        same = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.tie") == F.col("tie"))
+        begin = F.when(same, F.greatest(F.col("at"), F.col("head.at") + window)).otherwise(F.col("at"))
+        code = F.when(F.col("many") > 0, long(F.col("at")) + F.col("many")).otherwise(-1 - (long(begin) + F.col("at") + words - begin))
+        return both.select("doc_id", "tie", code.alias("at"))
+
+    gone = again(units, heads.select("unit", place.alias("head")), "unit", F.lit(window - 1) - F.col("many"))
+    windows = heads.where("spans is not null")
+    windows = windows.select("doc_id", "tie", F.lit(0).alias("many"), F.col("at").alias("from"), F.posexplode("spans").alias("i", "span"))
+    windows = windows.select("doc_id", "tie", "many", (F.col("from") + F.col("i")).alias("at"), "span")
+    several = windows.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("head")).where("n > 1").select("span", "head")
+    gone = gone.union(again(windows, several, "span", F.lit(window)))
+    return gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("at")).alias("at"))
+
+
+def without(text: str, at: np.ndarray) -> tuple[str, int]:
+    """The text less what repeated() found, and the number of sentences that lost words."""
+    parts = sentences(text)
+    runs, wins = at[at >= 0], -1 - at[at < 0]
+    gone = np.zeros(len(parts), bool)
+    for i, many in zip(runs >> 32, runs & 0xFFFFFFFF):
+        gone[i : i + many] = True
+    if not len(wins):
+        return "".join(p for p, g in zip(parts, gone) if not g), int(gone.sum())
+    starts = [[m.start() for m in re.finditer(r"\S+", p)] for p in parts]
+    edge = np.zeros(sum(map(len, starts)) + 1, np.int64)
+    first = wins >> 32
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + (wins & 0xFFFFFFFF), -1)
+    lost = np.cumsum(edge)[:-1] > 0
+    out, removed, done = [], 0, 0
+    for p, own, g in zip(parts, starts, gone):
+        mine = lost[done : done + len(own)]
+        done += len(own)
+        if g or mine.any():
+            removed += 1
+        if g or (len(own) and mine.all()):
+            continue
+        if not mine.any():
+            out.append(p)
+            continue
+        cuts = [0, *own[1:], len(p)]
+        out.extend(p[a:b] for a, b, m in zip(cuts, cuts[1:], mine) if not m)
+    return "".join(out), removed
+
+
+def deduplicated(docs: DataFrame, run: int = 3, least: int = 8, window: int = WINDOW) -> DataFrame:
+    """docs with text less what lies under repeated spans, and the column removed (the sentences that lost words).
 
     Null and empty texts stay as they are. Rows alike in doc_id and text are
     one place: their spans count once for each, and all of them keep or lose
-    the same sentences. All other columns stay, but one named removed is replaced.
+    the same sentences and words. All other columns stay, but one named removed is replaced.
     """
     prepare(docs.sparkSession)
-    found = repeated(docs, run, least).select(F.col("doc_id").alias("__wl_d"), F.col("tie").alias("__wl_t"), F.col("at").alias("__wl_at"))
+    found = repeated(docs, run, least, window).select(F.col("doc_id").alias("__wl_d"), F.col("tie").alias("__wl_t"), F.col("at").alias("__wl_at"))
     base = docs.withColumn("__wl_tie", F.xxhash64("text"))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["__wl_d"]) & (base["__wl_tie"] == found["__wl_t"]), "left")
 
     @F.pandas_udf("text string, removed int")
     def cut(texts: pd.Series, ats: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, at in zip(texts, ats):
-            parts = sentences(text or "")
-            gone = np.zeros(len(parts), bool)
-            for i in at if at is not None else ():
-                gone[i : i + run] = True
-            out.append(("".join(p for p, g in zip(parts, gone) if not g), int(gone.sum())))
+        out = [without(text or "", at if at is not None else np.empty(0, np.int64)) for text, at in zip(texts, ats)]
         return pd.DataFrame(out, columns=["text", "removed"])
 
     hit = F.col("__wl_at").isNotNull()
