@@ -324,8 +324,10 @@ def brute_passages(rows, run=3, least=8, window=51):
         gone, lost = set(), set()
         k, found = min(run, len(parts)), set()
         for j in range(len(parts)):
-            if j + k <= len(parts) and sum(map(len, words[j : j + k])) >= least:
-                found.add((j, j + k))
+            ends = [e for e in range(j + k, len(parts) + 1) if sum(map(len, words[j:e])) >= least]
+            found |= {(j, e) for e in ends[:1]}
+            begins = [b for b in range(j + 1 - k, -1, -1) if sum(map(len, words[b : j + 1])) >= least]
+            found |= {(b, j + 1) for b in begins[:1]}
         for j, e in sorted(found):
             if seen.setdefault(tuple(words[j:e]), (d, t, j)) != (d, t, j):
                 gone |= set(range(j, e))
@@ -358,7 +360,7 @@ def test_op7_passages_across_sentence_edges_and_of_short_lines(spark):
     want = brute_passages(rows)
     assert sorted((r["doc_id"], r["text"], r["removed"]) for r in out) == sorted((d, *v) for (d, _), v in want.items())
     text = {r["doc_id"]: r["text"] for r in out}
-    assert text[9002] == "Other text before and behind. More again."
+    assert text[9002] == "Other text before and behind. More again." and text[9005] == "List.\nFinis." and text[9008] == "Two"
     assert text[9006].split() == ["again"] * 51 and text[9001].startswith("Alone. Word0")
 
 

@@ -2,8 +2,9 @@
 
 A sentence ends at a full stop, question or exclamation mark before white
 space, or at a line's end. Every run of `run` consecutive sentences (and with
-fewer, the whole text) is hashed, case and white space aside. Runs
-of fewer than `least` words are left out. Every window of
+fewer, the whole text) is hashed, case and white space aside. A run of fewer
+than `least` words grows by the sentences behind it until it has as many, and
+one that ends in the same sentence grows by those before it. Every window of
 `window` words is a span too, wherever sentences end, so a repeated passage of
 as many words is found whole. A hash that occurs more than once in the whole
 corpus is a repeated span; its first occurrence, by doc_id and then place,
@@ -80,8 +81,12 @@ def text_spans(text: str, run: int, least: int, window: int) -> tuple[tuple, tup
     grams = Grams(word_keys([x for w in words for x in w]))
     n, k = len(words), min(run, len(words))
     first = np.arange(n - k + 1 if n else 0)
-    first = first[before[first + k] - before[first] >= least] if n else first
-    at, to = first, first + k
+    last = np.maximum(first + k, np.searchsorted(before, before[first] + least))
+    end = np.arange(k, n + 1 if n else 0)
+    start = np.minimum(end - k, np.searchsorted(before, before[end] - least, "right") - 1)
+    grown = (start >= 0) & (start < end - k)
+    at, to = np.concatenate([first, start[grown]]), np.concatenate([last, end[grown]])
+    at, to = at[to <= n], to[to <= n]
     whole = Grams(grams.of(before[:-1], before[1:], _SENTENCE))
     runs = at, to - at, whole.of(at, to, _RUN).view(np.int64)
     total = int(before[-1]) - window + 1
