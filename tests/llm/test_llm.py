@@ -419,6 +419,12 @@ def test_op9_finds_crops_and_edits(spark):
     assert QUERIES["op9_media_columns"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
 
 
+def test_op9_counts_entries_by_component(spark):
+    """g = 1 and h = 2 are linked copies; 3 meets h in one entry and g in another; 4 meets g once."""
+    rest = spark.createDataFrame([(1, 1, 2), (1, 3, 3), (2, 1, 1), (2, 3, 3), (3, 1, 1), (3, 4, 4)], "key long, root long, rep long")
+    assert {tuple(r) for r in media.met_across(rest, 2).collect()} == {(2, 3), (1, 3)}
+
+
 def test_op10(spark):
     import duckdb
 

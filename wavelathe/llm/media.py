@@ -173,6 +173,18 @@ def _verified(pairs: DataFrame, classes: DataFrame, near: int, votes: int) -> Da
     return pairs.join(x, "a").join(y, "b").where(agree("ka", "kb") >= votes).select("a", "b")
 
 
+def met_across(rest: DataFrame, shared: int) -> DataFrame:
+    """Pairs (a, b) that meet in rest (key, root, rep: a component's least class in an entry), if their components share `shared` entries.
+
+    The least class differs between entries, so the entries of a pair alone do not count.
+    """
+    a = rest.select("key", F.col("root").alias("ra"), F.col("rep").alias("a"))
+    b = rest.select("key", F.col("root").alias("rb"), F.col("rep").alias("b"))
+    pairs = a.join(b, "key").where("ra < rb").groupBy("ra", "rb", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    enough = pairs.groupBy("ra", "rb").agg(F.sum("n").alias("n")).where(F.col("n") >= shared).select("ra", "rb")
+    return pairs.join(enough, ["ra", "rb"]).select("a", "b")
+
+
 def media_copies(media: DataFrame, near: int = 3, votes: int = 6, shared: int = 2) -> DataFrame:
     """media (media_id, image binary): media_id, n_corners, component_id, n_links.
 
@@ -182,7 +194,8 @@ def media_copies(media: DataFrame, near: int = 3, votes: int = 6, shared: int =
     pair with `votes` corners or more in agreement is a link; n_links counts a
     class's links found. An entry's classes meet its least one first, which is
     linear and connects groups of copies. Then, of each component in an entry,
-    the least class meets those of the other components.
+    the least class meets those of the other components, where the two components
+    share as many entries.
     """
     spark = prepare(media.sparkSession)
     own = media.select("media_id", F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("cls"), "image")
@@ -209,10 +222,7 @@ def media_copies(media: DataFrame, near: int = 3, votes: int = 6, shared: int =
     roots = components(links, "media-cc").withColumnRenamed("node", "rep")
     rest = table.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rest = written(rest.groupBy("key", "root").agg(F.min("rep").alias("rep")), "media-rest")
-    a = rest.select("key", F.col("root").alias("ra"), F.col("rep").alias("a"))
-    b = rest.select("key", F.col("root").alias("rb"), F.col("rep").alias("b"))
-    across = a.join(b, "key").where("ra < rb").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    more = written(_verified(across.where(F.col("n") >= shared), classes, near, votes), "media-across")
+    more = written(_verified(met_across(rest, shared), classes, near, votes), "media-across")
     edges = links.union(more)
     roots = components(edges, "media-cc").withColumnRenamed("node", "rep")
     degree = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
