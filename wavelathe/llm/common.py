@@ -8,6 +8,7 @@ import os
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -94,6 +95,32 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def block_count(docs: DataFrame, bytes_each: int = 32 << 20) -> int:
+    """Blocks for work over the texts of docs: one for each shuffle partition, or more where the texts are larger than that.
+
+    The planner's estimate is taken where docs come from files; where it has none, or multiplies tables, the texts are measured.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:
+        size = docs.agg(F.sum(F.octet_length(text_of(docs)))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), min(size // bytes_each, 1 << 17))
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df marked for broadcast if it has few rows, else as it is, to be joined by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+@contextmanager
+def no_collector():
+    """No cycle collector while very many small objects are made that form no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

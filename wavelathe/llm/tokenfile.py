@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import documents, prepare, shared_dir, shuffle_partitions, table_path, text_of
+from .common import documents, no_collector, prepare, shared_dir, shuffle_partitions, small, table_path, text_of
 
 MAGIC = b"WLBP"
 BLOCK = 4096  # a multiple of 8, so that blocks end at whole bytes
@@ -115,8 +115,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, vocab
         segment, first, keys, arrays, held = 0, 0, [], [], 0
         for pdf in batches:
             made = []
-            for d, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                ids = np.frombuffer(enc.encode(t) + end, enc.dtype)
+            with no_collector():
+                coded = [enc.encode(t) + end for t in pdf["text"]]
+            for d, raw in zip(pdf["doc_id"].astype("Int64"), coded):
+                ids = np.frombuffer(raw, enc.dtype)
                 keys.append(None if d is pd.NA else int(d))
                 arrays.append(ids)
                 held += len(ids)
@@ -150,7 +152,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                 yield out
 
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids
-    return files.join(bases, "file_no").mapInPandas(decode, kind)
+    return files.join(small(bases), "file_no").mapInPandas(decode, kind)
 
 
 def op2_token_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
