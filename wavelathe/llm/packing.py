@@ -1,21 +1,26 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of token ids, its documents end to end. A mixing window
-is a run of `run` sequences; window after window, each queue gives its share of
-the window's tokens. Shares are whole tokens, so a queue's fractional deficit
-is carried: after w windows queue s has given floor or ceiling of
-w * window * (its tokens) / (all tokens), the ceilings going to the largest
-deficits. That sum depends on w alone, so any partition can compute it for any
-window, and deficits carry across windows and partitions without a chain of
-tasks. In a window the queues follow each other, so a document is cut only
-where a sequence or a queue's turn ends, and every sequence but the last is full.
+is a run of `run` sequences; window after window, the queues take turns to fill
+it, each with its share of the window's tokens. What a queue has given beyond
+or short of its share is its deficit, which carries over: its k-th token is due
+when its share has come to k - 1/2 tokens, and tokens go out in the order in
+which they fall due, ties by queue. So after any number of windows a queue has
+given its share to within half a token and the half token of each queue that
+the window's end may hold back. What has gone out before a window follows from
+the window's number alone, so any partition can compute it for any window, and
+deficits carry across windows and partitions without a chain of tasks. A queue
+of less than a token a window is served in the window where its token falls
+due. In a window the queues follow each other, so a document is cut only where
+a sequence or a queue's turn ends, and every sequence but the last is full.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import zlib
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import documents, give_back, prepare, text_of, written
+from .common import documents, give_back, no_collector, prepare, small, text_of, written
 
 
 @dataclass(frozen=True)
 class Plan:
-    """totals: tokens of each queue. A queue has a token in every window at least."""
+    """totals: tokens of each queue, each above 0."""
 
     totals: tuple[int, ...]
     length: int = 4096
@@ -43,16 +48,29 @@ class Plan:
         """Tokens that each queue has given before window w."""
         return _given(self.totals, w * self.window)
 
+    def window_of(self, queue: int, k: int) -> int:
+        """The window that takes the queue's token k (from 0): the last before which the queue has given k tokens at most."""
+        total = sum(self.totals)
+        windows = -(-total // self.window)
+        low, step = k * total // (self.totals[queue] * self.window), 1
+        while low > 0 and self.given(low)[queue] > k:
+            low, step = max(low - step, 0), 2 * step
+        high, step = low + 1, 1
+        while high < windows and self.given(high)[queue] <= k:
+            low, high, step = high, high + step, 2 * step
+        high = min(high, windows)
+        while low < high - 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self.given(middle)[queue] <= k else (low, middle)
+        return low
+
     def pieces(self, queue: int, start: int, stop: int):
         """(place in the queue, tokens, sequence, offset) of the queue's tokens start..stop-1."""
-        total = sum(self.totals)
-        w = start * total // (self.totals[queue] * self.window)
-        while self.given(w)[queue] > start:
-            w -= 1
+        w, then = -1, (start,) * (queue + 1)
         while start < stop:
-            while self.given(w + 1)[queue] <= start:
-                w += 1
-            now, then = self.given(w), self.given(w + 1)
+            if then[queue] <= start:
+                w = self.window_of(queue, start)
+                now, then = self.given(w), self.given(w + 1)
             at = sum(b - a for a, b in zip(now[:queue], then[:queue])) + start - now[queue]
             n = min(then[queue] - start, stop - start, self.length - at % self.length)
             yield start, n, w * self.run + at // self.length, at % self.length
@@ -61,34 +79,28 @@ class Plan:
 
 @lru_cache(maxsize=1 << 14)
 def _given(totals: tuple[int, ...], tokens: int) -> tuple[int, ...]:
+    """How the first `tokens` tokens due divide over the queues. Token k of a queue is due at (2k - 1) / (2 * its total) of the whole."""
     whole = sum(totals)
     tokens = min(tokens, whole)
-    parts = [divmod(tokens * t, whole) for t in totals]
-    left = tokens - sum(q for q, _ in parts)
-    order = sorted(range(len(totals)), key=lambda i: (-parts[i][1], i))
-    up = set(order[:left])
-    return tuple(q + (i in up) for i, (q, _) in enumerate(parts))
-
-
-def queues(totals: dict[str, int], length: int, run: int) -> tuple[Plan, dict[str, tuple[int, int]]]:
-    """The plan, and the queue and first place of each source.
-
-    A source with less than a token for each window joins the end of the
-    largest source's queue: its deficit would stand below one for windows on end.
-    """
+    out = [(2 * tokens * t + whole) // (2 * whole) for t in totals]
+    over = sum(out) - tokens
+    # Take back the last due, or add the next due; a queue that is done has none.
+    step = 1 if over < 0 else -1
+    key = lambda i: (step * Fraction(2 * out[i] + step, totals[i]), step * i, i)
+    heap = [key(i) for i, n in enumerate(out) if (n < totals[i] if step > 0 else n)]
+    heapq.heapify(heap)
+    for _ in range(abs(over)):
+        i = heapq.heappop(heap)[2]
+        out[i] += step
+        if out[i] < totals[i] if step > 0 else out[i]:
+            heapq.heappush(heap, key(i))
+    return tuple(out)
+
+
+def queues(totals: dict[str, int], length: int, run: int) -> tuple[Plan, dict[str, int]]:
+    """The plan, and the queue of each source."""
     names = sorted(totals)
-    whole, window = sum(totals.values()), length * run
-    if not names:
-        return Plan((), length, run), {}
-    big = [n for n in names if totals[n] * window >= whole]
-    big = big or [max(names, key=lambda n: totals[n])]
-    sums, places = [totals[n] for n in big], {n: (i, 0) for i, n in enumerate(big)}
-    host = max(range(len(big)), key=lambda i: (sums[i], -i))
-    for n in names:
-        if n not in places:
-            places[n] = (host, sums[host])
-            sums[host] += totals[n]
-    return Plan(tuple(sums), length, run), places
+    return Plan(tuple(totals[n] for n in names), length, run), {n: i for i, n in enumerate(names)}
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_path: str | None = None) -> DataFrame:
@@ -105,7 +117,8 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_path: st
         enc = encoder(vocabulary, vocabulary_path)
         end, part, at = np.array([end_id], enc.dtype).tobytes(), TaskContext.get().partitionId(), {}
         for pdf in batches:
-            ids = [enc.encode(t) + end for t in pdf["text"]]
+            with no_collector():
+                ids = [enc.encode(t) + end for t in pdf["text"]]
             n = [len(x) // enc.dtype.itemsize for x in ids]
             start = []
             for q, k in zip(pdf["queue"], n):
@@ -116,7 +129,6 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, vocabulary_path: st
 
     rows = docs.select("doc_id", source.alias("queue"), text_of(docs).alias("text"))
     made = rows.mapInPandas(encode, "part int, queue string, start long, doc_id long, n long, wide int, ids binary")
-    spark.sparkContext.getCheckpointDir()
     return written(made, "packing-ids")
 
 
@@ -137,8 +149,7 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int =
         for pdf in batches:
             out = []
             for queue, base, start, doc_id, n, wide, raw in zip(pdf["queue"], pdf["base"], pdf["start"], pdf["doc_id"].astype("Int64"), pdf["n"], pdf["wide"], pdf["ids"]):
-                q, first = places[queue]
-                first += int(base) + int(start)
+                q, first = places[queue], int(base) + int(start)
                 own = np.frombuffer(raw, f"<u{wide}").astype("<u4")
                 for at, k, seq, offset in plan.pieces(q, first, first + int(n)):
                     piece = own[at - first : at - first + k]
@@ -149,17 +160,7 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int =
             yield frame
 
     kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * ids
-    return rows.join(bases, ["queue", "part"]).mapInPandas(cut, kind)
-
-
-def window_shares(plan: Plan, w: int) -> list[int]:
-    """Tokens that each queue gives to window w."""
-    return [b - a for a, b in zip(plan.given(w), plan.given(w + 1))]
-
-
-def source_at(plan: Plan, w: int, place: int) -> int:
-    """The queue that fills a place of window w."""
-    return bisect.bisect_right(np.cumsum(window_shares(plan, w)).tolist(), place)
+    return rows.join(small(bases), ["queue", "part"]).mapInPandas(cut, kind)
 
 
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
