@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frugal, groups_of_bytes, let_go, prepare, text_of
-from .texthash import _pieces, word_hashes
+from .texthash import pieces, word_hashes
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -60,7 +60,7 @@ def _groups(texts):
     """As groups_of_bytes, with a very long text cut at white space into parts of its own."""
     for first, raws in groups_of_bytes(texts):
         if len(raws) == 1:
-            for part in _pieces(raws[0]):
+            for part in pieces(raws[0]):
                 yield first, [part]
         else:
             yield first, raws

@@ -14,16 +14,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PIECE = 1 << 20
+PIECE = 1 << 20
 
 
-def _pieces(raw: bytes):
+def pieces(raw: bytes):
     """Cut a long text at white space into parts of about a megabyte."""
     at = 0
-    while len(raw) - at > _PIECE:
-        cut = max(raw.rfind(b" ", at, at + _PIECE), raw.rfind(b"\n", at, at + _PIECE))
+    while len(raw) - at > PIECE:
+        cut = max(raw.rfind(b" ", at, at + PIECE), raw.rfind(b"\n", at, at + PIECE))
         if cut <= at:
-            nexts = [x for x in (raw.find(b" ", at + _PIECE), raw.find(b"\n", at + _PIECE)) if x >= 0]
+            nexts = [x for x in (raw.find(b" ", at + PIECE), raw.find(b"\n", at + PIECE)) if x >= 0]
             if not nexts:
                 break
             cut = min(nexts)
@@ -32,32 +32,33 @@ def _pieces(raw: bytes):
     yield raw[at:]
 
 
-def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word of the bytes, ASCII letters in lower case."""
+def words_at(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and hash of each word of the bytes, ASCII letters in lower case."""
     b = _LOWER[np.frombuffer(raw, np.uint8)]
+    none = np.empty(0, np.uint64)
     if not len(b):
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return none.astype(np.int64), none, none
     inside = ~_SPACE[b]
     before = np.empty_like(inside)
     before[0] = False
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & ~before)
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
+        return starts, none, none
     place = np.arange(len(b)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(b)]])))
     value = (b.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 65535]
     value[~inside] = 0
     length = np.add.reduceat(inside, starts, dtype=np.uint64)
-    return starts, mix64(np.add.reduceat(value, starts) ^ (length * _STEP))
+    return starts, length, mix64(np.add.reduceat(value, starts) ^ (length * _STEP))
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and each text's number of words."""
-    if len(raws) == 1 and len(raws[0]) > _PIECE:
-        parts = [_words(p)[1] for p in _pieces(raws[0])]
+    if len(raws) == 1 and len(raws[0]) > PIECE:
+        parts = [words_at(p)[2] for p in pieces(raws[0])]
         out = np.concatenate(parts)
         return out, np.array([len(out)])
-    starts, hashes = _words(b" ".join(raws))
+    starts, _, hashes = words_at(b" ".join(raws))
     ends = np.cumsum([len(r) + 1 for r in raws])
     return hashes, np.diff(np.concatenate([[0], np.searchsorted(starts, ends)]))
 
