@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from wavelathe.llm import bpe, jaccard, media, mixing, packing, quality, secret_scan, sharding, spans, tokenfile, topk
+from wavelathe.llm import bpe, jaccard, media, mixing, packing, quality, secret_scan, sharding, spans, texthash, tokenfile, topk
 from wavelathe.llm.common import written
 from wavelathe.llm.queries import ORACLE_SQL, QUERIES
 
@@ -29,9 +30,7 @@ def low(text):
 
 
 def tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -230,15 +229,19 @@ def test_op5(spark, odd, empty):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 5000), min_size=1, max_size=9))
-def test_op5_deficits_stay_below_one_token(totals):
+@given(st.lists(st.one_of(st.integers(1, 3), st.integers(1, 5000)), min_size=1, max_size=9))
+def test_op5_tokens_go_out_as_they_fall_due(totals):
+    """Against sorting all tokens by when they are due; small queues keep a schedule of their own."""
     plan, places = packing.queues({f"s{i}": t for i, t in enumerate(totals)}, 16, 2)
-    whole, was = sum(totals), (0,) * len(plan.totals)
+    assert sorted(places.values()) == list(range(len(totals)))
+    whole = sum(totals)
+    order = sorted((Fraction(2 * k - 1, t), i) for i, t in enumerate(plan.totals) for k in range(1, t + 1))
     for w in range(-(-whole // plan.window) + 1):
-        now = plan.given(w)
-        assert sum(now) == min(w * plan.window, whole) and all(b >= a for a, b in zip(was, now))
-        assert all(abs(g - min(w * plan.window, whole) * t / whole) < 1 for g, t in zip(now, plan.totals))
-        was = now
+        n = min(w * plan.window, whole)
+        out = Counter(i for _, i in order[:n])
+        assert plan.given(w) == tuple(out[i] for i in range(len(totals)))
+        for g, t in zip(plan.given(w), plan.totals):
+            assert abs(g - Fraction(n * t, whole)) <= Fraction(1, 2) + Fraction(t * len(totals), 2 * whole)
     spots = [p for q, t in enumerate(plan.totals) for _, n, s, o in plan.pieces(q, 0, t) for p in range(s * 16 + o, s * 16 + o + n)]
     assert sorted(spots) == list(range(whole))
 
@@ -283,92 +286,110 @@ def test_op6_flight_keeps_sums():
     assert 60 < counts.min() and counts.max() < 145
 
 
-def brute_dedup(rows, run=3, least=8):
-    seen, out = {}, []
-    keyed = sorted(((-1 if d is None else d), t or "", i) for i, (d, t) in enumerate(rows))
-    for d, t, i in keyed:
-        parts = spans.sentences(t)
-        k = min(run, len(parts))
-        gone = set()
-        for j in range(len(parts) - k + 1):
-            words = [tuple(p.lower().split()) for p in parts[j : j + k]]
-            if sum(map(len, words)) >= least:
-                if tuple(words) in seen and seen[tuple(words)] != (d, t, j):
-                    gone |= set(range(j, j + k))
-                seen.setdefault(tuple(words), (d, t, j))
-        out.append((None if d < 0 else d, "".join(p for j, p in enumerate(parts) if j not in gone)))
-    return Counter(out)
-
-
-def test_op7(spark, odd, empty):
-    pdf = rows_of(spark)
-    got = Counter((r["doc_id"], r["text"]) for r in QUERIES["op7_substring_dedup"](spark, SF).collect())
-    assert got == brute_dedup(zip(pdf["doc_id"].tolist(), pdf["text"]))
-    out = spans.deduplicated(odd)
-    assert out.columns == odd.columns and out.count() == odd.count()
-    text = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert text[14] == "Lead. End of it." and text[13].startswith("First") and text[4] is None and text[1] == ""
-    assert spans.deduplicated(empty).count() == 0
-    for r in pdf["text"][:50]:
-        assert "".join(spans.sentences(r)) == r
-
-
-def brute_passages(rows, run=3, least=8, window=51):
-    """Text by (doc_id, text): runs of sentences grown to the floor, and windows of words, by comparing words themselves."""
-    seen, out = {}, {}
-    for d, t in sorted(rows):
-        parts = spans.sentences(t)
-        words = [tuple(p.lower().split()) for p in parts]
-        flat = [w for s in words for w in s]
-        owner = [j for j, s in enumerate(words) for _ in s]
-        gone, lost = set(), set()
-        k, found = min(run, len(parts)), set()
-        for j in range(len(parts)):
-            ends = [e for e in range(j + k, len(parts) + 1) if sum(map(len, words[j:e])) >= least]
-            found |= {(j, e) for e in ends[:1]}
-            begins = [b for b in range(j + 1 - k, -1, -1) if sum(map(len, words[b : j + 1])) >= least]
-            found |= {(b, j + 1) for b in begins[:1]}
-        for j, e in sorted(found):
-            if seen.setdefault(tuple(words[j:e]), (d, t, j)) != (d, t, j):
-                gone |= set(range(j, e))
-        for j in range(len(flat) - window + 1):
-            head = seen.setdefault(tuple(flat[j : j + window]), (d, t, j))
-            if head != (d, t, j):
-                lost |= set(range(max(j, head[2] + window) if head[:2] == (d, t) else j, j + window))
-        kept, at = [], 0
-        for j, (p, w) in enumerate(zip(parts, words)):
-            mine = [at + i in lost for i in range(len(w))]
-            at += len(w)
-            if j in gone or (w and all(mine)):
-                continue
-            kept.append("".join(x for x, m in zip(re.findall(r"\s*\S+\s*", p), mine) if not m) if any(mine) else p)
-        out[d, t] = "".join(kept), len(gone | {owner[i] for i in lost})
+def brute_units(text, phrase):
+    """Words of the text (lower case, start, end) and the places where sentences and phrases begin, word by word."""
+    words = [(low(m[0]), m.start(), m.end()) for m in WORD.finditer(text)]
+    sentence, number = [], 0
+    for i, (_, a, _) in enumerate(words):
+        if i and (text[words[i - 1][2] - 1] in ".!?" or "\n" in text[words[i - 1][2] : a]):
+            number += 1
+        sentence.append(number)
+    value = [int(texthash.words_at(w.encode())[2][0]) for w, _, _ in words]
+    begins = {i for i in range(len(words)) if not i or sentence[i] != sentence[i - 1]}
+    for i in range(len(words) - phrase + 1):
+        if sentence[i] == sentence[i + phrase - 1]:
+            begins.add(min(range(i, i + phrase), key=lambda j: (value[j], -j)))
+    return words, sentence, sorted(begins)
+
+
+def brute_dedup(rows, least, phrase):
+    """(doc_id, text, removed) of distinct rows, runs compared by their words."""
+    found = {}
+    for d, t in sorted(set(rows), key=lambda r: (r[0] is not None, r)):
+        words, _, begins = brute_units(t, phrase)
+        bounds, runs = [*begins, len(words)], set()
+        for b in begins:
+            if ends := [e for e in bounds if e >= b + least]:
+                runs.add((b, ends[0]))
+        if full := [b for b in begins if len(words) - b >= least]:
+            runs.add((full[-1], len(words)))
+        for a, b in sorted(runs):
+            found.setdefault(tuple(w for w, _, _ in words[a:b]), []).append(((d, t), a, b))
+    lost = defaultdict(set)
+    for places in found.values():
+        (doc, a0, b0), *others = places
+        for other, a, b in others:
+            if other != doc or a >= b0:
+                lost[other] |= set(range(a, b))
+    out = set()
+    for d, t in set(rows):
+        words, sentence, _ = brute_units(t, phrase)
+        gone = lost[d, t]
+        edges = [a for _, a, _ in words] + [len(t)]
+        text = t[: edges[0]] + "".join(t[edges[i] : edges[i + 1]] for i in range(len(words)) if i not in gone)
+        out.add((d, text, len({sentence[i] for i in gone})))
     return out
 
 
-def test_op7_passages_across_sentence_edges_and_of_short_lines(spark):
+def test_op7(spark):
     pdf = rows_of(spark)
     rows = [(int(d), t or "") for d, t in zip(pdf["doc_id"], pdf["text"])]
+    got = {(r["doc_id"], r["text"], r["removed_sentences"]) for r in QUERIES["op7_substring_dedup"](spark, SF).collect()}
+    assert got == brute_dedup(rows, spans.LEAST, spans.PHRASE)
     long = " ".join(f"Word{i}" for i in range(60))
     lines = "\n".join(f"line{i}" for i in range(20))
     rows += [
         (9001, f"Alone. {long} ends here. More."), (9002, f"Other text before {long} and behind. More again."), (9003, f"{long}."),
-        (9004, f"Menu.\n{lines}\nEnd."), (9005, f"List.\n{lines}\nFinis."), (9006, "again " * 130), (9007, "tail of seven words stands right here.\na.\nb.\nc.\nd.\ne.\nOne"),
-        (9008, "tail of seven words stands right here.\na.\nb.\nc.\nd.\ne.\nTwo"),
+        (9004, f"Menu.\n{lines}\nEnd."), (9005, f"List.\n{lines}\nFinis."), (9006, "again " * 130), (9007, "once " * 15 + "Two! " * 9), (None, f"{long}."),
     ]
-    out = spans.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = brute_passages(rows)
-    assert sorted((r["doc_id"], r["text"], r["removed"]) for r in out) == sorted((d, *v) for (d, _), v in want.items())
-    text = {r["doc_id"]: r["text"] for r in out}
-    assert text[9002] == "Other text before and behind. More again." and text[9005] == "List.\nFinis." and text[9008] == "Two"
-    assert text[9006].split() == ["again"] * 51 and text[9001].startswith("Alone. Word0")
+    df = spark.createDataFrame(rows + rows[-3:], "doc_id long, text string")
+    for least, phrase in ((spans.LEAST, spans.PHRASE), (8, 3), (1, 1)):
+        out = spans.deduplicated(df, least, phrase).collect()
+        assert len(out) == len(rows) + 3
+        assert {(r["doc_id"], r["text"], r["removed"]) for r in out} == brute_dedup(rows, least, phrase)
+
+
+def test_op7_tiles_and_blocks_do_not_matter(spark, monkeypatch):
+    """One tile a few texts, so that heads and overlaps meet across tiles."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(8000 + i, "again " * (30 + 9 * i)) for i in range(8)], "doc_id long, text string"))
+    whole = spans.deduplicated(docs.coalesce(1), 20, 4).collect()
+    split = spans.deduplicated(docs.repartition(7, "doc_id"), 20, 4).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, split))
+
+
+@settings(max_examples=150, deadline=None)
+@given(seed=st.integers(0, 10**6), stops=st.sampled_from([0.0, 0.05, 0.3]), vocabulary=st.sampled_from([3, 40, 100000]))
+def test_op7_any_passage_of_51_words_shares_a_run(seed, stops, vocabulary):
+    rng = np.random.default_rng(seed)
+
+    def some(n):
+        return [f"w{rng.integers(vocabulary)}" + ("." if rng.random() < stops else "") + ("\n" if rng.random() < stops / 3 else "") for _ in range(n)]
+
+    passage = some(spans.LEAST + 4 * spans.PHRASE - 3)
+    keys = []
+    for _ in range(2):
+        before = some(int(rng.integers(0, 30)))
+        raw = " ".join(before + passage + some(int(rng.integers(0, 30))))
+        t, at, many, key = spans.text_runs([raw.encode()])
+        inside = (at >= len(before)) & (at + many <= len(before) + len(passage))
+        keys.append(set(key[inside].tolist()))
+    assert len(passage) == 51 and keys[0] & keys[1]
+
+
+def test_op7_long_text_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = "".join(f"w{rng.integers(500)}" + rng.choice([" ", ". ", "\n ", " \n", "  "]) for _ in range(4000)).encode()
+    whole = [a.tolist() for a in spans.text_runs([text])]
+    monkeypatch.setattr(texthash, "PIECE", 700)
+    monkeypatch.setattr(spans, "PIECE", 700)
+    assert [a.tolist() for a in spans.text_runs([text])] == whole
 
 
 def test_op7_odd_rows(spark, odd, empty):
-    out = spans.deduplicated(odd)
+    out = spans.deduplicated(odd, 8, 4)
     assert out.columns == odd.columns and out.count() == odd.count()
     text = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert text[14] == "Lead. End of it." and text[13].startswith("First") and text[4] is None and text[1] == ""
+    assert text[14] == "Lead. End of it." and text[13].startswith("First") and text[4] is None and text[1] == "" and text[5] == ""
     assert spans.deduplicated(empty).count() == 0
 
 
@@ -433,12 +454,51 @@ def test_op10(spark):
     assert sorted(map(tuple, QUERIES["op10_exact_topk"](spark, SF).collect())) == sorted(con.execute(ORACLE_SQL["op10_exact_topk"]).fetchall())
 
 
-def test_op10_odd_vectors(spark):
-    v = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (7, [3.0]), (8, []), (100, [-1.0, 0.0]), (None, [1.0, 1.0])]
+def brute_top_k(vectors, queries, k):
+    """In Python's own integers: (query_id, rank, vec_id, score)."""
+    out, asked = [], {}
+    for i, v in sorted(queries, key=lambda r: (r[0], r[1])):
+        asked.setdefault(i, v)
+    for q, b in asked.items():
+        scores = [(-sum(int(x) * int(y) for x, y in zip(a, b)), i) for i, a in vectors if i != q and len(a) == len(b)]
+        out += [(q, n + 1, i, max(-(2**63), min(2**63 - 1, -s))) for n, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(out)
+
+
+def test_op10_odd_vectors(spark, empty):
+    big = 3.0e38
+    v = [
+        (0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 0.0]), (7, [3.0]), (8, []),
+        (100, [-1.0, 0.0]), (None, [1.0, 1.0]), (10, [40000.0, 0.0]), (11, [40000.0, 0.5]), (12, [-70000.25, 1.0]), (13, [big, 1.0]), (14, [big, 2.0]), (200, [big, -big]), (300, [3.0e9, 5.0]), (300, [1.0, 5.0]),
+    ]
     df = topk.whole_vectors(spark.createDataFrame(v, "vec_id long, embedding array<float>"))
-    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 2).collect()))
-    k = 1024 * 1024
-    assert got == [(0, 1, 1, 5 * k), (0, 2, 2, 5 * k), (100, 1, 0, -k), (100, 2, 1, -k)]
+    rows = [(r["vec_id"], r["v"]) for r in df.collect()]
+    assert {i for i, _ in rows} == {0, 1, 2, 7, 10, 11, 12, 13, 14, 100, 200, 300}
+    queries = [r for r in rows if r[0] % 100 == 0]
+    for k in (2, 50):
+        got = topk.top_k(df, df.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), k)
+        assert sorted(map(tuple, got.collect())) == brute_top_k(rows, queries, k)
+    none = df.limit(0)
+    assert topk.top_k(none, none.withColumnRenamed("vec_id", "query_id")).count() == 0
+    assert topk.top_k(df, none.withColumnRenamed("vec_id", "query_id")).count() == 0
+
+
+def test_op10_blocks_and_ties(spark, monkeypatch):
+    """Small blocks of vectors and queries, copies, and scores on either side of what doubles hold exactly."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-3, 4, 4) * rng.choice([1, 1, 1 << 20, 1 << 30])).astype(float).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    asks = df.where("vec_id % 9 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(topk, "QUERIES", 20)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    want = brute_top_k(rows, [r for r in rows if r[0] % 9 == 0], 7)
+    assert sorted(map(tuple, topk.top_k(df, asks, 7, pivots=3).collect())) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(-(10**90), 10**90), st.integers(-(10**90), 10**90))
+def test_op10_keys_sort_as_numbers(a, b):
+    assert (topk.order_key(a) < topk.order_key(b)) == (a < b)
 
 
 def test_op1_held_out_accuracy(spark, odd, empty):
