@@ -295,7 +295,8 @@ def deduplicated(docs: DataFrame, least: int = LEAST, phrase: int = PHRASE) -> D
     the same words. All other columns stay, but one named removed is replaced.
     """
     prepare(docs.sparkSession)
-    found = written(repeated(docs, least, phrase), "spans")
+    # The spans grow with the corpus, so both sides are shuffled, whatever their size here.
+    found = written(repeated(docs, least, phrase), "spans").hint("merge")
     found = found.select(F.col("doc_id").alias("__wl_d"), F.col("tie").alias("__wl_t"), F.col("spans").alias("__wl_at"))
     base = docs.withColumn("__wl_tie", F.xxhash64("text"))
     joined = base.join(found, base["doc_id"].eqNullSafe(found["__wl_d"]) & (base["__wl_tie"] == found["__wl_t"]), "left")
