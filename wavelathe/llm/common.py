@@ -171,6 +171,18 @@ def even_labels(spark: SparkSession, n: int) -> list[int]:
     return [found[p] if p in found else next(spare) for p in range(n)]
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, on: str, by: str, parts: int = 32, *also: str) -> DataFrame:
+    """rows with the facts (one row a key) of their key `on`, inner, where a key may be that of very many rows.
+
+    A key's rows are dealt into parts by their columns `by` and `also`, and the
+    key's facts go to each part that there is: as many copies as parts at most.
+    """
+    part = F.pmod(F.xxhash64(by, *also), F.lit(parts)).alias("__wl_part")
+    dealt = rows.select("*", part)
+    there = dealt.select(on, "__wl_part").distinct().join(facts, on)
+    return dealt.join(there, [on, "__wl_part"]).drop("__wl_part")
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node.
 
@@ -192,11 +204,11 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     while seen[0]:
         two = both(now)
         least = two.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = two.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = spread_join(two.where("b > a"), least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = spread_join(down, least, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
         new = written(small, label)
         drop(now)

@@ -2,34 +2,46 @@
 
 1. Every text becomes the set of its word shingles (64-bit hashes). Equal sets
    are one row of the matrix, known by the hash of the set.
-2. Columns are dealt into blocks. A block's task sees all entries of its
-   columns, drops columns held by one row alone (they overlap with nothing) and
-   sends the rest back to row blocks, with each column's document count.
+2. Columns are dealt into blocks, as many as the entries need. A block's task
+   sees all entries of its columns, drops columns held by one row alone (they
+   overlap with nothing) and sends the rest back to row blocks, with each
+   column's document count.
 3. A row block orders each row's columns by count, rare first. Two sets of
    similarity t share one of the first n - ceil(t n) + 1 columns of either, so
-   rows whose rare columns are all their own are finished here; the others keep
-   that prefix, and their shared columns for exact overlap counts.
-4. Rows that share a prefix column are candidates. First every row is verified
-   against its columns' pivots (two rows of each), which is linear in the
-   prefix entries and connects groups of copies without forming their pairs.
-   A column all of whose other rows are then in one component is finished. In
-   what remains, rows of different components that pass the size and position
-   bounds are verified as pairs, so no link between components is lost.
+   the product of these prefixes has all places where the whole product can
+   reach t. They are its mask; rows whose rare columns are all their own are
+   finished here.
+4. The product is formed under the mask: a task multiplies a batch of row pairs
+   column block by column block, adds up their overlap counts, and after each
+   block drops the pairs that the columns to come can't lift to the bound that
+   their sizes set.
+5. The mask comes in two parts. First every row against its columns' pivots
+   (two rows of each), which is linear in the prefix entries and connects
+   groups of copies without forming their pairs. A column all of whose other
+   rows are then in one component is finished. In what remains, rows of
+   different components that pass the size and position bounds are multiplied
+   too, so no link between components is lost.
+
+A column that very many rows hold is dealt over tasks by its rows: facts about
+it go along with every part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, drop, even_labels, frugal, groups_of_bytes, let_go, mix64, prepare, shuffle_partitions, text_of, written
+from .common import columns_of, components, documents, drop, even_labels, frugal, groups_of_bytes, let_go, mix64, prepare, shuffle_partitions, spread_join, text_of, written
 from .texthash import shingle_sets
 
 _TILE_BYTES = 12 << 20
 PIVOTS = 2  # of a column
-_ENTRY = np.dtype([("hash", "<u4"), ("more", "<u2")])
+PARTS = 32  # that a column's rows are dealt into at most
+BLOCK_ENTRIES = 1 << 22
+PAIR_ROWS = 1024  # of a column that one task pairs with the others
+ROUNDS = 4  # column blocks of a product
 
 
 def set_key(s: np.ndarray) -> int:
@@ -40,7 +52,7 @@ def set_key(s: np.ndarray) -> int:
 
 
 def members(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, key) of every row; key null for an empty set."""
+    """(doc_id, tie, n_shingles, key) of every row; tie is the text's hash, key null for an empty set."""
 
     @frugal
     def find(batches):
@@ -50,16 +62,17 @@ def members(docs: DataFrame, words: int) -> DataFrame:
                 for s in shingle_sets(raws, words):
                     n.append(len(s))
                     key.append(set_key(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "key": pd.array(key, "Int64")})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "tie": pdf["tie"], "n_shingles": n, "key": pd.array(key, "Int64")})
 
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInPandas(find, "doc_id long, n_shingles long, key long")
+    rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("tie"), text_of(docs).alias("text"))
+    return rows.mapInPandas(find, "doc_id long, tie long, n_shingles long, key long")
 
 
 def _column_tiles(docs: DataFrame, words: int, labels: list[int]) -> DataFrame:
     """Tiles (block, rows, entries): of a few megabytes of texts, the entries in one block of columns.
 
-    rows holds (key, set size, entries here) of the distinct sets, entries the
-    upper 48 bits of their hashes; the block is the hash modulo the blocks.
+    rows holds (key, set size, entries here) of the distinct sets, entries their
+    hashes; the block is the hash modulo the blocks.
     """
     blocks = len(labels)
 
@@ -70,14 +83,10 @@ def _column_tiles(docs: DataFrame, words: int, labels: list[int]) -> DataFrame:
         order = np.argsort(block, kind="stable")
         cuts = np.searchsorted(block[order], np.arange(blocks + 1))
         key = np.array(keys, "<i8")
-        for b in range(blocks):
+        for b in np.flatnonzero(np.diff(cuts)):
             part = order[cuts[b] : cuts[b + 1]]
-            if len(part):
-                own, n = np.unique(row[part], return_counts=True)
-                top = h[part] >> np.uint64(16)
-                entry = np.empty(len(part), _ENTRY)
-                entry["hash"], entry["more"] = top & np.uint64(0xFFFFFFFF), top >> np.uint64(32)
-                yield labels[b], key[own].tobytes(), sizes[own].astype("<u4").tobytes(), n.astype("<u4").tobytes(), entry.tobytes()
+            own, n = np.unique(row[part], return_counts=True)
+            yield labels[b], key[own].tobytes(), sizes[own].astype("<u4").tobytes(), n.astype("<u4").tobytes(), h[part].tobytes()
 
     @frugal
     def tiles(batches):
@@ -110,8 +119,7 @@ def _shared_tiles(tiles: DataFrame, labels: list[int]) -> DataFrame:
         counts = [np.frombuffer(c, "<u4") for c in pdf["counts"]]
         key = np.concatenate([np.repeat(np.frombuffer(k, "<i8"), c) for k, c in zip(pdf["keys"], counts)])
         size = np.concatenate([np.repeat(np.frombuffer(k, "<u4"), c) for k, c in zip(pdf["sizes"], counts)])
-        raw = np.concatenate([np.frombuffer(e, _ENTRY) for e in pdf["entries"]])
-        h = raw["hash"].astype(np.uint64) | (raw["more"].astype(np.uint64) << np.uint64(32))
+        h = np.concatenate([np.frombuffer(e, "<u8") for e in pdf["entries"]])
         order = np.argsort(h)
         h = h[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -137,12 +145,12 @@ def _shared_tiles(tiles: DataFrame, labels: list[int]) -> DataFrame:
         cuts = np.searchsorted(target[order], np.arange(blocks + 1))
         out = []
         me = place[int(pdf["block"].iloc[0])]
-        for b in range(blocks):
+        for b in np.flatnonzero(np.diff(cuts)):
             part = order[cuts[b] : cuts[b + 1]]
-            if len(part):
-                own, at, n = np.unique(key[part], return_index=True, return_counts=True)
-                tokens = (np.uint64(me) << np.uint64(32)) | token[part].astype(np.uint64)
-                out.append((labels[b], own.tobytes(), size[part][at].astype("<u4").tobytes(), n.astype("<u4").tobytes(), np.concatenate([[np.uint64(me)], tokens & np.uint64(0xFFFFFFFF)]).astype("<u4").tobytes(), np.minimum(freq[part], 65535).astype("<u2").tobytes()))
+            own, at, n = np.unique(key[part], return_index=True, return_counts=True)
+            # The column block's number, then the columns' numbers in it.
+            numbers = np.append(me, token[part]).astype("<u4").tobytes()
+            out.append((labels[b], own.tobytes(), size[part][at].astype("<u4").tobytes(), n.astype("<u4").tobytes(), numbers, np.minimum(freq[part], 65535).astype("<u2").tobytes()))
         return pd.DataFrame(out, columns=names)
 
     return tiles.groupBy("block").applyInPandas(shared, "block long, keys binary, sizes binary, counts binary, tokens binary, freqs binary")
@@ -174,60 +182,107 @@ def _prefixes(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("block").applyInPandas(rows, "key long, n long, first long, prefix array<long>, tokens binary")
 
 
+def _flat(rows, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of the rows (sorted, as bytes) end to end, and the number of the row of each."""
+    parts = [np.frombuffer(r, "<i8") if good else np.empty(0, np.int64) for r, good in zip(rows, alive)]
+    return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def overlaps(left, right, n: np.ndarray, m: np.ndarray, percent: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Which pairs of rows (their shared columns, sorted, as bytes; set sizes n and m) reach the threshold.
+
+    Columns are taken in `rounds` blocks. Counts add up from block to block, and
+    a pair whose count, with all columns that are left to the shorter row, falls
+    short of its bound is dropped.
+    """
+    need = percent * (n + m)
+    alive = np.ones(len(n), bool)
+    a, row_a = _flat(left, alive)
+    b, row_b = _flat(right, alive)
+    count = np.zeros(len(n), np.int64)
+    left_a, left_b = np.bincount(row_a, minlength=len(n)), np.bincount(row_b, minlength=len(n))
+    edges = np.unique((np.arange(1, rounds) * (int(a.max(initial=0) >> 32) + 1)) // rounds) << 32
+    block_a, block_b = np.searchsorted(edges, a, "right"), np.searchsorted(edges, b, "right")
+    for k in range(len(edges) + 1):
+        alive &= (100 + percent) * (count + np.minimum(left_a, left_b)) >= need
+        if not alive.any():
+            break
+        at_a, at_b = np.flatnonzero((block_a == k) & alive[row_a]), np.flatnonzero((block_b == k) & alive[row_b])
+        # One key for (pair, column): columns are below 2**54, pairs of a batch below 2**9.
+        x, y = (row_a[at_a] << 54) | a[at_a], (row_b[at_b] << 54) | b[at_b]
+        if len(y):
+            spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            count += np.bincount(row_a[at_a[y[spot] == x]], minlength=len(n))
+        left_a -= np.bincount(row_a[at_a], minlength=len(n))
+        left_b -= np.bincount(row_b[at_b], minlength=len(n))
+    return alive & ((100 + percent) * count >= need)
+
+
 def _linked(pairs: DataFrame, live: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose overlap reaches the threshold, counted over all shared columns."""
+    """Of the pairs (a, b), those whose overlap reaches the threshold: the product under the mask. Many pairs may have the same b."""
 
     @F.pandas_udf("boolean")
     def enough(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         let_go()
-        out = []
-        for a, b, i, j in zip(x, y, n, m):
-            both = len(np.intersect1d(np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8"), assume_unique=True))
-            out.append(100 * both >= percent * (i + j - both))
-        return pd.Series(out)
+        out = [overlaps(x[i : i + 256], y[i : i + 256], n[i : i + 256].to_numpy(), m[i : i + 256].to_numpy(), percent) for i in range(0, len(x), 256)]
+        return pd.Series(np.concatenate(out) if out else [])
 
     left = live.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = live.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     fit = (100 * F.least("na", "nb")) >= (percent * F.greatest("na", "nb"))
-    return pairs.join(left, "a").join(right, "b").where(fit).where(enough("ta", "tb", "na", "nb")).select("a", "b")
+    pairs = written(pairs, "jaccard-mask")
+    both = spread_join(pairs, right, "b", "a", PARTS).join(left, "a")
+    return both.where(fit).where(enough("ta", "tb", "na", "nb")).select("a", "b")
 
 
-def links(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """Components of the rows' sets: (node, root) keys of sets that have a partner."""
+def links(docs: DataFrame, percent: int = 75, words: int = 5, entries: int = 0) -> DataFrame:
+    """Components of the rows' sets: (node, root) keys of sets that have a partner. entries: about how many the matrix has."""
     spark = prepare(docs.sparkSession)
-    labels = even_labels(spark, shuffle_partitions(spark))
+    labels = even_labels(spark, max(shuffle_partitions(spark), min(entries // BLOCK_ENTRIES, 1 << 17)))
     live = written(_prefixes(_shared_tiles(_column_tiles(docs, words, labels), labels), percent), "jaccard-rows")
-    entries = live.select("key", "n", "first", F.posexplode("prefix").alias("i", "token"))
-    entries = entries.select("token", "key", "n", "first", (F.col("first") + F.col("i")).alias("at"))
-    # Of each column's rows, the two with the fewest columns of their own: an original stands among its copies so.
-    rank = F.row_number().over(Window.partitionBy("token").orderBy("first", "key"))
-    heads = entries.select("token", "key", "first", "n").withColumn("rank", rank).where(F.col("rank") <= PIVOTS)
-    pivots = heads.select("token", F.col("key").alias("pivot"), F.col("n").alias("np"))
-    posting = entries.join(pivots.groupBy("token").agg(F.collect_list(F.struct("pivot", "np")).alias("pivots")).where(F.size("pivots") > 1), "token")
-    stars = posting.select("key", "n", F.explode("pivots").alias("p")).where("key <> p.pivot")
-    stars = stars.where((100 * F.least("n", "p.np")) >= (percent * F.greatest("n", "p.np")))
-    stars = stars.select(F.greatest("key", "p.pivot").alias("a"), F.least("key", "p.pivot").alias("b")).distinct()
-    edges = written(_linked(stars, live, percent), "jaccard-stars")
+    rows = live.select("key", "n", "first", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.select("token", F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part"), "key", "n", "first", (F.col("first") + F.col("i")).alias("at"))
+    # Of each column's rows, two with the fewest columns of their own: an original stands among its copies so.
+    row = F.struct("first", "key", "n")
+    ends = rows.groupBy("token", "part").agg(F.min(row).alias("lo"), F.max(row).alias("hi"))
+    heads = ends.groupBy("token").agg(F.collect_list("part").alias("parts"), F.array_sort(F.array_distinct(F.concat(F.collect_list("lo"), F.collect_list("hi")))).alias("heads"))
+    heads = heads.where(F.size("heads") > 1).select("token", F.explode("parts").alias("part"), F.slice("heads", 1, PIVOTS).alias("pivots"))
+    posting = rows.join(heads, ["token", "part"])
+    stars = posting.select("key", "n", F.explode("pivots").alias("p")).where("key <> p.key")
+    stars = stars.where((100 * F.least("n", "p.n")) >= (percent * F.greatest("n", "p.n")))
+    edges = written(_linked(stars.select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct(), live, percent), "jaccard-stars")
     roots = components(edges, "jaccard-cc")
     # What is left: columns whose rows, the pivots aside (they met them all), lie in several components.
-    rest = posting.where(~F.exists("pivots", lambda p: p["pivot"] == F.col("key"))).join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rest = written(rest.select("token", "key", "n", "at", F.coalesce("root", "key").alias("root")), "jaccard-rest")
-    mixed = rest.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    rest = posting.where(~F.exists("pivots", lambda p: p["key"] == F.col("key"))).join(roots.withColumnRenamed("node", "key"), "key", "left")
+    rest = written(rest.select("token", "part", "key", "n", "at", F.coalesce("root", "key").alias("root")), "jaccard-rest")
+    mixed = rest.groupBy("token", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("held"))
+    mixed = mixed.groupBy("token").agg(F.collect_list("part").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("held").alias("held")).where("lo < hi")
+    mixed = mixed.select("token", F.explode("parts").alias("part"), F.ceil(F.col("held") / PAIR_ROWS).alias("deals"))
     # With the columns that stand before this one in the row's order.
     before = F.slice("prefix", 1, (F.col("at") - F.col("first")).cast("int")).alias("before")
-    open_ = rest.join(mixed, "token").join(live.select("key", "first", "prefix"), "key").select("token", "key", "n", "at", "root", before)
-    x = open_.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), F.col("before").alias("ba"))
-    y = open_.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), F.col("before").alias("bb"))
+    open_ = rest.join(mixed, ["token", "part"]).join(live.select("key", "first", "prefix"), "key").select("token", "deals", "key", "n", "at", "root", before)
+    # The rows of a much-held column are dealt out, and each deal meets all the others.
+    x = open_.select("token", F.pmod(F.xxhash64("key"), "deals").alias("deal"), F.col("key").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("root").alias("ra"), F.col("before").alias("ba"))
+    y = open_.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("root").alias("rb"), F.col("before").alias("bb"))
     # A true pair passes these bounds at the first column that it shares, and is formed there alone.
     can = 1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
     need = percent * (F.col("na") + F.col("nb"))
-    pairs = x.join(y, "token").where("ra < rb").where(~F.arrays_overlap("ba", "bb")).where((100 + percent) * can >= need).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = x.join(y, ["token", "deal"]).where("ra < rb").where(~F.arrays_overlap("ba", "bb")).where((100 + percent) * can >= need).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     more = written(_linked(pairs.select("a", "b").distinct(), live, percent), "jaccard-pairs")
     out = components(edges.union(more), "jaccard-cc")
     drop(live, rest)
     return out
 
 
+def _joined(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """members of docs, and (key, root) of every non-empty set."""
+    own = written(members(docs, words), "jaccard-members")
+    entries = own.agg(F.sum("n_shingles")).first()[0] or 0
+    roots = links(docs, percent, words, entries)
+    sets = own.where("key is not null").select("key").distinct()
+    return own, sets.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+
+
 def component_ids(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -236,26 +291,32 @@ def component_ids(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFra
     with a null doc_id takes its component's least id, null if there is none.
     """
     prepare(docs.sparkSession)
-    own = written(members(docs, words), "jaccard-members")
-    roots = links(docs, percent, words)
-    sets = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    sets = sets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own, roots = _joined(docs, percent, words)
+    sets = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")).join(roots, "key")
     least = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = sets.join(least, "root").select("key", "component_id")
-    joined = own.join(named, "key", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = spread_join(sets.select("key", "root"), least, "root", "key", PARTS).select("key", "component_id")
+    joined = spread_join(own.where("key is not null"), named, "key", "tie", PARTS, "doc_id")
+    alone = own.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).union(alone)
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, words: int = 5) -> DataFrame:
-    """The documents without near duplicates: of each component, the rows with the least doc_id.
+    """The documents without near duplicates: of each component one row.
 
-    Rows with an empty set all stay. Repeated rows of the kept doc_id are cut
-    to one only where they are equal in all columns.
+    That is the row of the least doc_id (null ids last), of several rows with
+    that id the one whose text has the least hash, and of rows alike in id and
+    text any one. Rows with an empty set all stay.
     """
-    found = component_ids(docs, percent, words)
-    keep = found.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    same = docs["doc_id"].eqNullSafe(keep["doc_id"])
-    return docs.join(keep, same, "left_semi")
+    prepare(docs.sparkSession)
+    own, roots = _joined(docs, percent, words)
+    d, null = F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull()
+    first = own.where("key is not null").groupBy("key").agg(F.min(F.struct(null.alias("__wl_n"), d.alias("__wl_d"), F.col("tie").alias("__wl_t"))).alias("r"))
+    keep = first.join(roots, "key").groupBy("root").agg(F.min("r").alias("r")).select("r.*")
+    some = text_of(docs).rlike("[^\\x20\\x09-\\x0D]")
+    marks = ["__wl_n", "__wl_d", "__wl_t"]
+    rows = docs.where(some).withColumns({"__wl_n": null, "__wl_d": d, "__wl_t": F.xxhash64(text_of(docs))})
+    rows = rows.join(keep, marks, "left_semi").dropDuplicates(marks).drop(*marks)
+    return rows.select(*columns_of(docs)).union(docs.where(~some))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
