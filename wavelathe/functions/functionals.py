@@ -79,20 +79,31 @@ def means() -> dict[str, Column]:
     }
 
 
-def moments() -> dict[str, Column]:
-    d = _c("x") - _c("mu")
-    m2, m3, m4 = F.avg(d * d), F.avg(d * d * d), F.avg(d * d * d * d)
-    safe = F.when(m2 > 1e-12, m2)
+def moments(ratio_limited: bool = False) -> dict[str, Column]:
+    """Population moments, in built-in aggregates that combine before the exchange; kurtosis is not in excess of 3."""
+    m2 = F.var_pop("x")
+    wide = m2 > 1e-12
+    norm = _div(F.sqrt(m2), F.avg("x"))
     return {
-        "variance": m2, "stddev": F.sqrt(m2), "skewness": F.coalesce(m3 / (safe * F.sqrt(safe)), F.lit(0.0)),
-        "kurtosis": F.coalesce(m4 / (safe * safe), F.lit(0.0)), "stddevnorm": _div(F.sqrt(m2), F.avg("x")),
+        "variance": m2, "stddev": F.sqrt(m2), "skewness": F.when(wide, F.skewness("x")).otherwise(0.0),
+        "kurtosis": F.when(wide, F.kurtosis("x") + 3).otherwise(0.0), "stddevnorm": ratio_limit(norm) if ratio_limited else norm,
     }
 
 
-def percentiles(at: tuple = (0.05, 0.95), ranges: tuple = ((0, 1),)) -> dict[str, Column]:
-    p = lambda q: F.percentile("x", F.lit(q))
+def _nearest(q: float) -> Column:
+    """The value at the nearest rank."""
+    return F.get(F.sort_array(F.collect_list("x")), F.round(F.lit(q) * (F.count("x") - 1)).cast("int"))
+
+
+def percentiles(at: tuple = (0.05, 0.95), ranges: tuple = ((0, 1),), interpolated: bool = True) -> dict[str, Column]:
+    """Quartiles, their ranges and quotients, percentiles and theirs; between two ranks interpolated, or the nearer."""
+    all_ = sorted({0.25, 0.5, 0.75, *at})
+    together = F.percentile("x", F.array(*map(F.lit, all_)))  # one sorted buffer for all
+    p = (lambda q: F.element_at(together, all_.index(q) + 1)) if interpolated else _nearest
     out = {"quartile1": p(0.25), "quartile2": p(0.5), "quartile3": p(0.75)}
-    out |= {"iqr12": F.abs(p(0.5) - p(0.25)), "iqr23": F.abs(p(0.75) - p(0.5)), "iqr13": F.abs(p(0.75) - p(0.25))}
+    pairs = {"12": (0.25, 0.5), "23": (0.5, 0.75), "13": (0.25, 0.75)}
+    out |= {f"iqr{k}": F.abs(p(b) - p(a)) for k, (a, b) in pairs.items()}
+    out |= {f"iqq{k}": _div(p(a), p(b)) for k, (a, b) in pairs.items()}
     out |= {f"percentile{q * 100:g}".replace(".", "_"): p(q) for q in at}
     for a, b in ranges:
         out[f"pctlrange{a}_{b}"] = F.abs(p(at[b]) - p(at[a]))
@@ -187,11 +198,39 @@ def register(name: str, make: Callable[..., dict[str, Column]]) -> None:
     REGISTRY[name] = make
 
 
-def functionals(df: DataFrame, keys: list[str], order: list[str], x: str, which: dict[str, dict] | list[str], nonzero: int = 0, field: str | None = None) -> DataFrame:
-    """keys and `<field>_<functional>` of every named set, in one groupBy."""
+#: Outputs that are places or lengths (shares of the segment's rows as computed), and numbers a row.
+_PLACES = {"maxpos", "minpos", "centroid", "onsetpos", "offsetpos", "meanseglen", "maxseglen", "minseglen", "seglenstddev"}
+_RATES = {"zcr", "mcr", "onsetrate"}
+
+
+def _normed(name: str, c: Column, norm: str, period: float) -> Column:
+    n = F.count("x")
+    if name in _PLACES and norm != "segment":
+        return c * n * (period if norm == "second" else 1.0)
+    if norm == "second":
+        return c / period if name in _RATES else c * period if name in ("nnz", "duration") else c
+    return c
+
+
+def functionals(df: DataFrame, keys: list[str], order: list[str], x: str, which: dict[str, dict] | list[str], nonzero: int = 0, field: str | None = None, norm: str = "segment", period: float = 1.0) -> DataFrame:
+    """keys and `<field>_<functional>` of every named set, in one groupBy.
+
+    norm gives places and lengths as shares of the segment, in rows (frame), or
+    in seconds of `period` a row; with it rates are a second too.
+    """
     which = which if isinstance(which, dict) else {w: {} for w in which}
     field = field or x
     cols: dict[str, Column] = {}
     for name, args in which.items():
         cols |= REGISTRY[name](**args)
-    return prepared(df, keys, order, x, nonzero).groupBy(*keys).agg(*[c.cast("double").alias(f"{field}_{k}") for k, c in cols.items()])
+    rows = prepared(df, keys, order, x, nonzero)
+    return rows.groupBy(*keys).agg(*[_normed(k, c, norm, period).cast("double").alias(f"{field}_{k}") for k, c in cols.items()])
+
+
+def functionals_of(df: DataFrame, keys: list[str], order: list[str], fields: list[str], which, nonzero: int = 0, norm: str = "segment", period: float = 1.0) -> DataFrame:
+    """Every functional of every field: fields become rows, so that all share one exchange of the values, and the few results are turned back."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).cast("double").alias("x")) for f in fields])
+    long = df.select(*keys, *[c for c in order if c not in keys], F.explode(pairs).alias("_p")).select("*", F.col("_p.f").alias("_f"), F.col("_p.x").alias("_x")).drop("_p")
+    out = functionals(long, [*keys, "_f"], order, "_x", which, nonzero, "_", norm, period)
+    names = [c for c in out.columns if c not in (*keys, "_f")]
+    return out.groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == f, F.col(c))).alias(f"{f}{c[1:]}") for f in fields for c in names])

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vectors import dot, squares, total
+from .vectors import dot, let, squares, total
 
 
 _ARRAY = T.ArrayType(T.DoubleType())
@@ -135,11 +135,12 @@ def plp(bands: Column, centres: list[float], order: int = 5, compression: float
     return run(bands)
 
 
-def tonespec(bins: int, rate: float, octaves: int = 6, first: float = 55.0) -> np.ndarray:
-    """Bins to semitones with Gaussian filters."""
+def tonespec(bins: int, rate: float, octaves: int = 6, first: float = 55.0, form: str = "gauss") -> np.ndarray:
+    """Bins to semitones with filters a semitone wide on either side: gauss, triangular or tripower (its square)."""
     f = np.maximum(np.arange(bins) * rate / (2 * (bins - 1)), 1e-9)
-    z = 12 * np.log2(f / first)
-    m = np.exp(-0.5 * ((z - np.arange(12 * octaves)[:, None]) / 0.5) ** 2)
+    z = 12 * np.log2(f / first) - np.arange(12 * octaves)[:, None]
+    tri = np.maximum(1 - np.abs(z), 0)
+    m = {"gauss": lambda: np.exp(-0.5 * (z / 0.5) ** 2), "triangular": lambda: tri, "tripower": lambda: tri * tri}[form]()
     m[m < 1e-6] = 0
     return m / np.maximum(m.sum(1, keepdims=True), 1e-12)
 
@@ -147,58 +148,120 @@ def tonespec(bins: int, rate: float, octaves: int = 6, first: float = 55.0) -> n
 def chroma(notes: Column, octaves: int, size: int = 12, silence: float = 0.001) -> Column:
     """Octaves folded and divided by the sum; zeros where a folded bin is under the silence threshold."""
     fold = F.array(*[sum((F.element_at(notes, o * size + k + 1) for o in range(octaves)), F.lit(0.0)) for k in range(size)])
-    s = total(fold)
-    return F.transform(fold, lambda x: F.when((F.array_min(fold) < silence) | (s <= 0), 0.0).otherwise(x / F.when(s > 0, s)))
-
-
-def descriptors(mag: Column, freqs: list[float], bands: tuple = ((0, 650), (1000, 4000)), roll: tuple = (0.25, 0.5, 0.75, 0.9), square: bool = True) -> dict[str, Column]:
-    """Of a magnitude spectrum: band energies, roll-off, centroid, entropy, moments, slope, flatness, sharpness, harmonicity, alpha ratio, Hammarberg index."""
-    f = F.array(*map(F.lit, map(float, freqs)))
-    p = F.transform(mag, lambda x: x * x) if square else mag
-    s = total(p)
-    safe = F.when(s > 0, s)
-    cut = lambda a, b: [i for i, x in enumerate(freqs) if a <= x < b]
-
-    def band(v, a, b, how=total):
-        hit = cut(a, b)
-        return how(F.slice(v, hit[0] + 1, len(hit))) if hit else F.lit(0.0)
-
-    out = {f"band_{int(a)}_{int(b)}": band(p, a, b) for a, b in bands}
-    runs = F.aggregate(p, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(x + F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise(0.0))))
-    for r in roll:
-        at = F.size(F.filter(runs, lambda c: c < r * s))
-        out[f"rolloff{round(100 * r)}"] = F.element_at(f, F.least(at + 1, F.size(f)))
-    centroid = F.coalesce(dot(p, f) / safe, F.lit(0.0))
-    dev = lambda k: F.coalesce(total(F.zip_with(p, f, lambda x, y: x * F.pow(y - centroid, F.lit(float(k))))) / safe, F.lit(0.0))
-    var = dev(2)
-    sd = F.when(var > 0, var)
-    out |= {"centroid": centroid, "maxpos": F.element_at(f, F.array_position(mag, F.array_max(mag)).cast("int")), "minpos": F.element_at(f, F.array_position(mag, F.array_min(mag)).cast("int"))}
-    q = F.transform(p, lambda x: F.greatest(x / safe, F.lit(1e-12)))
-    out |= {"entropy": -F.aggregate(q, F.lit(0.0), lambda a, x: a + x * F.log2(x)), "variance": var, "stddev": F.sqrt(var)}
-    out |= {"skewness": F.coalesce(dev(3) / (sd * F.sqrt(sd)), F.lit(0.0)), "kurtosis": F.coalesce(dev(4) / (sd * sd), F.lit(0.0))}
-    n, sf, sff = len(freqs), float(sum(freqs)), float(sum(x * x for x in freqs))
-    out["slope"] = (n * dot(p, f) - sf * s) / (n * sff - sf * sf)
-    logs = F.transform(p, lambda x: F.ln(F.greatest(x, F.lit(1e-12))))
-    out["flatness"] = F.coalesce(F.exp(total(logs) / n) / (safe / n), F.lit(0.0))
-    barks = [26.81 / (1 + 1960 / x) - 0.53 if x > 0 else 0.0 for x in freqs]
-    sharp = F.array(*[F.lit(0.11 * max(z, 0.0) * (1.0 if z <= 16 else 0.066 * math.exp(0.171 * z))) for z in barks])
-    out["sharpness"] = F.coalesce(dot(p, sharp) / safe, F.lit(0.0))
-    near = F.zip_with(F.slice(mag, 2, n - 1), F.slice(mag, 1, n - 1), lambda a, b: F.abs(a - b))
-    out["harmonicity"] = F.coalesce(total(near) / F.when(total(mag) > 0, total(mag)), F.lit(0.0))
-    lo, hi = band(p, 50, 1000), band(p, 1000, 5000)
-    out["alpharatio"] = F.when((lo > 0) & (hi > 0), 10 * F.log10(hi / F.when(lo > 0, lo))).otherwise(0.0)
-    top = lambda a, b: band(p, a, b, F.array_max)
-    out["hammarberg"] = F.when((top(0, 2000) > 0) & (top(2000, 5000) > 0), 10 * F.log10(top(0, 2000) / F.when(top(2000, 5000) > 0, top(2000, 5000)))).otherwise(0.0)
-    return out
+    by = lambda b: F.when((F.array_min(b) < silence) | (total(b) <= 0), F.lit(None)).otherwise(total(b))
+    return let(fold, lambda b: let(by(b), lambda s: F.transform(b, lambda x: F.coalesce(x / s, F.lit(0.0)))))
+
+
+def descriptors(mag: Column, freqs: list[float], bands: tuple = ((0, 650), (1000, 4000)), roll: tuple = (0.25, 0.5, 0.75, 0.9), square: bool = True, slopes: tuple = ((0, 500), (500, 1500))) -> dict[str, Column]:
+    """Of a magnitude spectrum: band energies, roll-off, centroid, entropy, moments, slopes, flatness, sharpness, harmonicity, alpha ratio, Hammarberg index.
+
+    All come from one numpy pass over Arrow batches, linear in the bins. Spectra
+    that are null or not of the frequencies' length have none.
+    """
+    f = np.array(freqs, float)
+    n = len(f)
+    names = [f"band_{int(a)}_{int(b)}" for a, b in bands] + [f"rolloff{round(100 * r)}" for r in roll]
+    names += "centroid maxpos minpos entropy variance stddev skewness kurtosis slope flatness sharpness harmonicity alpharatio hammarberg".split()
+    names += [f"slope_{int(a)}_{int(b)}" for a, b in slopes]
+    barks = np.where(f > 0, 26.81 / (1 + 1960 / np.maximum(f, 1e-9)) - 0.53, 0.0)
+    sharp = 0.11 * np.maximum(barks, 0) * np.where(barks <= 16, 1.0, 0.066 * np.exp(0.171 * barks))
+
+    def line(p, at):
+        """Least squares slope of the columns `at` of p over their frequencies."""
+        x, m = f[at], at.sum()
+        below = m * (x * x).sum() - x.sum() ** 2
+        return (m * (p[:, at] @ x) - x.sum() * p[:, at].sum(1)) / below if below else np.zeros(len(p))
+
+    def made(mag: np.ndarray) -> np.ndarray:
+        p = mag * mag if square else mag
+        s = p.sum(1)
+        by = np.where(s > 0, s, np.inf)
+        inside = lambda a, b: (f >= a) & (f < b)
+        most = lambda at: p[:, at].max(1) if at.any() else np.zeros(len(p))
+
+        def decibels(over, under):
+            good = (over > 0) & (under > 0)
+            return np.where(good, 10 * np.log10(np.where(good, over, 1) / np.where(good, under, 1)), 0.0)
+
+        out = [p[:, inside(a, b)].sum(1) for a, b in bands]
+        below = np.cumsum(p, 1)
+        out += [f[np.minimum((below < (r * s)[:, None]).sum(1), n - 1)] for r in roll]
+        centroid = p @ f / by
+        d = f - centroid[:, None]
+        var, m3, m4 = ((p * d**k).sum(1) / by for k in (2, 3, 4))
+        sd = np.where(var > 0, var, np.inf)
+        q = np.maximum(p / by[:, None], 1e-12)
+        out += [centroid, f[mag.argmax(1)], f[mag.argmin(1)], -(q * np.log2(q)).sum(1), var, np.sqrt(var), m3 / (sd * np.sqrt(sd)), m4 / (sd * sd), line(p, np.ones(n, bool))]
+        flat = np.exp(np.log(np.maximum(p, 1e-12)).sum(1) / n) / (by / n)
+        all_ = mag.sum(1)
+        out += [flat, p @ sharp / by, np.abs(np.diff(mag, axis=1)).sum(1) / np.where(all_ > 0, all_, np.inf)]
+        out += [decibels(p[:, inside(1000, 5000)].sum(1), p[:, inside(50, 1000)].sum(1)), decibels(most(inside(0, 2000)), most(inside(2000, 5000)))]
+        return np.stack(out + [line(p, inside(a, b)) for a, b in slopes], 1)
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in names))
+    def run(mags: pd.Series) -> pd.DataFrame:
+        out = np.full((len(mags), len(names)), np.nan)
+        at = np.flatnonzero([v is not None and len(v) == n for v in mags])
+        if len(at):
+            out[at] = made(np.stack([np.asarray(mags.iloc[i], float) for i in at]))
+        return pd.DataFrame(out, columns=names)
+
+    got = run(mag)
+    return {c: got[c] for c in names}
+
+
+def _unit(v: Column) -> Column:
+    return let(F.sqrt(squares(v)), lambda d: F.transform(v, lambda x: x / F.when(d > 0, d).otherwise(1.0)))
 
 
 def flux(now: Column, before: Column) -> Column:
     """Root mean square difference of the spectra, each divided by its length; 0 without a spectrum before."""
-    unit = lambda v: F.transform(v, lambda x: x / F.when(squares(v) > 0, F.sqrt(squares(v))).otherwise(1.0))
-    d = F.zip_with(unit(now), unit(before), lambda a, b: a - b)
+    d = F.zip_with(_unit(now), _unit(before), lambda a, b: a - b)
     return F.when(before.isNull(), 0.0).otherwise(F.sqrt(squares(d) / F.size(now)))
 
 
+def differences(now: Column, before: Column, freqs: list[float]) -> dict[str, Column]:
+    """Sum of the absolute and of the positive differences to the spectrum before, and the centroid of the absolute ones; 0 without one."""
+    f = F.array(*map(F.lit, map(float, freqs)))
+    d = F.zip_with(now, before, lambda a, b: a - b)
+    size = F.transform(d, F.abs)
+    zero = lambda c: F.when(before.isNull(), 0.0).otherwise(c)
+    centre = let(total(size), lambda s: F.when(s > 0, dot(size, f) / F.when(s > 0, s)).otherwise(0.0))
+    return {"diff": zero(total(size)), "posdiff": zero(total(F.transform(d, lambda x: F.greatest(x, F.lit(0.0))))), "fluxcentroid": zero(centre)}
+
+
+def harmonic_product(mag: Column, harmonics: int = 5) -> Column:
+    """Of each bin, the product of the bins at its multiples; 0 where one lies beyond the spectrum."""
+    return F.transform(F.sequence(F.lit(0), F.size(mag) - 1), lambda k: F.when(k * harmonics < F.size(mag), F.aggregate(F.sequence(F.lit(1), F.lit(harmonics)), F.lit(1.0), lambda a, h: a * F.get(mag, k * h))).otherwise(0.0))
+
+
+def harmonic_sum(mag: Column, harmonics: int = 5) -> Column:
+    """Of each bin, the sum of the bins at its multiples inside the spectrum."""
+    return F.transform(F.sequence(F.lit(0), F.size(mag) - 1), lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(harmonics)), F.lit(0.0), lambda a, h: a + F.coalesce(F.get(mag, k * h), F.lit(0.0))))
+
+
+def inverse_mfcc(coefficients: Column, bands: int, first: int = 1, lifter: int = 22, last: int = 12) -> Column:
+    """Band energies from cepstral coefficients: the cosine transform turned back, and exp."""
+    k = np.arange(first, last + 1)
+    lift = 1 + lifter / 2 * np.sin(np.pi * k / lifter) if lifter else np.ones(len(k))
+    back = dct_matrix(bands, first, last, 0).T / np.maximum(np.abs(lift), 1e-12) * np.sign(lift) * np.where(k == 0, 0.5, 1.0)
+    return F.transform(apply_matrix(coefficients, back), F.exp)
+
+
+def inverse_bands(bands: Column, m: np.ndarray) -> Column:
+    """A spectrum from its filterbank energies: each bin is the mean of its bands, weighted by their filters."""
+    m = np.asarray(m, float)
+    return apply_matrix(bands, (m / np.maximum(m.sum(1, keepdims=True), 1e-12)).T)
+
+
+def a_weighted(mag: Column, freqs: list[float], power: bool = True) -> Column:
+    """A spectrum under the A curve; a power spectrum by the whole decibels, a magnitude by half."""
+    s = np.maximum(np.array(freqs, float), 1e-9) ** 2
+    r = 12194.0**2 * s * s / ((s + 20.6**2) * np.sqrt((s + 107.7**2) * (s + 737.9**2)) * (s + 12194.0**2))
+    gain = 10 ** (((20 * np.log10(r) + 2.0) / 10) if power else ((20 * np.log10(r) + 2.0) / 20))
+    return F.zip_with(mag, F.array(*map(F.lit, gain.tolist())), lambda x, g: x * g)
+
+
 def resampled_axis(mag: Column, rate: float, points: int, scale: str = "log", low: float = 25.0) -> Column:
     """The spectrum on another frequency axis, by natural cubic splines."""
 

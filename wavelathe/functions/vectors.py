@@ -28,20 +28,24 @@ def rms(v: Column) -> Column:
     return F.sqrt(squares(v) / F.size(v))
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value. Inside a lambda an aggregate over an array is evaluated anew for each element; bound, it is once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _by(v: Column, d: Column) -> Column:
-    return F.transform(v, lambda x: x / F.when(d > 0, d).otherwise(1.0))
+    return let(F.when(d > 0, d).otherwise(1.0), lambda k: F.transform(v, lambda x: x / k))
 
 
 def _scale(v: Column, low: float, high: float) -> Column:
-    lo, hi = F.array_min(v), F.array_max(v)
-    return F.transform(v, lambda x: low + (high - low) * (x - lo) / F.when(hi > lo, hi - lo).otherwise(1.0))
+    ends = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    return let(ends, lambda e: F.transform(v, lambda x: low + (high - low) * (x - e["lo"]) / F.when(e["hi"] > e["lo"], e["hi"] - e["lo"]).otherwise(1.0)))
 
 
 def flattened(v: Column, ends: int = 5) -> Column:
     """v less the line through the means of its first and last `ends` values."""
-    n = F.size(v)
-    a, b = mean(F.slice(v, 1, ends)), mean(F.slice(v, -ends, ends))
-    return F.transform(v, lambda x, i: x - (a + (b - a) * i / F.greatest(n - 1, F.lit(1))))
+    line = F.struct(mean(F.slice(v, 1, ends)).alias("a"), mean(F.slice(v, -ends, ends)).alias("b"), F.greatest(F.size(v) - 1, F.lit(1)).alias("n"))
+    return let(line, lambda r: F.transform(v, lambda x, i: x - (r["a"] + (r["b"] - r["a"]) * i / r["n"])))
 
 
 #: op(v, p1, p2): vectors out, except where the name says sum, energy or length.
@@ -105,8 +109,11 @@ def top_indices(v: Column, k: int = 1) -> Column:
     return F.transform(F.slice(spots, 1, k), lambda r: r["i"] + 1)
 
 
-def preemphasised(v: Column, k: float = 0.97) -> Column:
-    return F.transform(v, lambda x, i: F.when(i == 0, (1 - k) * x).otherwise(x - k * F.element_at(v, F.greatest(i, F.lit(1)))))
+def preemphasised(v: Column, k: float = 0.97, de: bool = False) -> Column:
+    """x[n] - k x[n-1] inside a row (+ with de), the first value (1 - k) x[0]."""
+    before = F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0)))
+    rest = F.zip_with(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), before, lambda x, y: x + k * y if de else x - k * y)
+    return F.concat(F.transform(F.slice(v, 1, 1), lambda x: (1 - k) * x), rest)
 
 
 def window_values(name: str, n: int, sigma: float = 0.4, alpha: float = 0.16) -> list[float]:
@@ -126,8 +133,17 @@ def window_values(name: str, n: int, sigma: float = 0.4, alpha: float = 0.16) ->
     }[name]()
 
 
-def windowed(v: Column, name: str, n: int, gain: float = 1.0, offset: float = 0.0) -> Column:
-    return F.zip_with(v, F.array(*[F.lit(gain * w) for w in window_values(name, n)]), lambda x, w: x * w + offset)
+def windowed(v: Column, name: str, n: int, gain: float = 1.0, offset: float = 0.0, square_root: bool = False, fade: int = 0, shift: int = 0) -> Column:
+    """v times the window of n values; its square root; or with fade, ones but for the window's halves over the first and last `fade` values. shift turns the window to the right."""
+    w = window_values(name, n)
+    if fade:
+        edge = window_values(name, 2 * fade)
+        w = edge[:fade] + [1.0] * (n - 2 * fade) + edge[fade:]
+    if shift:
+        w = w[-shift:] + w[:-shift]
+    if square_root:
+        w = [math.sqrt(max(x, 0.0)) for x in w]
+    return F.zip_with(v, F.array(*[F.lit(gain * x) for x in w]), lambda x, y: x * y + offset)
 
 
 def energy(v: Column, floor: float = 8.67e-19) -> dict[str, Column]:
@@ -145,7 +161,7 @@ def crossing_rates(v: Column) -> dict[str, Column]:
     """Zero and mean crossing rates, largest size, extremes and mean of a frame."""
     m = mean(v)
     rate = lambda u: F.size(F.filter(F.zip_with(F.slice(u, 1, F.size(u) - 1), F.slice(u, 2, F.size(u) - 1), lambda a, b: a * b), lambda p: p < 0)) / F.size(u)
-    return {"zcr": rate(v), "mcr": rate(F.transform(v, lambda x: x - m)), "amax": F.array_max(F.transform(v, F.abs)), "max": F.array_max(v), "min": F.array_min(v), "dc": m}
+    return {"zcr": rate(v), "mcr": let(m, lambda c: rate(F.transform(v, lambda x: x - c))), "amax": F.array_max(F.transform(v, F.abs)), "max": F.array_max(v), "min": F.array_min(v), "dc": m}
 
 
 def autocorrelation(v: Column, lags: int) -> Column:
@@ -165,15 +181,57 @@ def amdf(v: Column, lags: int, method: str = "limit", invert: bool = False) -> C
         return total(F.zip_with(v, F.concat(F.slice(v, k + 1, n), tail), lambda a, b: F.abs(a - b))) / n
 
     out = F.transform(F.sequence(F.lit(0), F.lit(lags - 1)), at)
-    return F.transform(out, lambda x: F.array_max(out) - x) if invert else out
+    return let(out, lambda o: let(F.array_max(o), lambda m: F.transform(o, lambda x: m - x))) if invert else out
+
+
+def _shares(v: Column, floor: float) -> Column:
+    """v shifted to be positive, as shares of its sum."""
+    up = let(F.least(F.array_min(v), F.lit(0.0)), lambda low: F.transform(v, lambda x: F.greatest(x - low, F.lit(floor))))
+    return let(up, lambda u: let(total(u), lambda s: F.transform(u, lambda x: x / s)))
 
 
 def entropy(v: Column, floor: float = 1e-7) -> Column:
     """Of the values shifted to be positive and made to sum to 1, in bits."""
-    low = F.least(F.array_min(v), F.lit(0.0))
-    up = F.transform(v, lambda x: F.greatest(x - low, F.lit(floor)))
-    s = total(up)
-    return -F.aggregate(up, F.lit(0.0), lambda a, x: a + x / s * F.log2(x / s))
+    return -F.aggregate(_shares(v, floor), F.lit(0.0), lambda a, x: a + x * F.log2(x))
+
+
+def relative_entropy(a: Column, b: Column, floor: float = 1e-7) -> Column:
+    """Kullback-Leibler divergence of a from b in bits, both shifted and made to sum to 1."""
+    return total(F.zip_with(_shares(a, floor), _shares(b, floor), lambda x, y: x * F.log2(x / y)))
+
+
+def histogram(v: Column, bins: int) -> Column:
+    """Shares of the values in equal bins between the least and the largest; all in the first where they are equal."""
+    ends = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
+    places = let(ends, lambda e: F.transform(v, lambda x: F.when(e["hi"] > e["lo"], F.least(F.floor((x - e["lo"]) / (e["hi"] - e["lo"]) * bins), F.lit(bins - 1))).otherwise(0)))
+    return let(places, lambda p: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(p, lambda x: x == k)) / F.size(p)))
+
+
+def _centred(v: Column) -> Column:
+    return let(mean(v), lambda m: F.transform(v, lambda x: x - m))
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of two rows of equal length; 0 where one does not vary."""
+    return let(F.struct(_centred(a).alias("a"), _centred(b).alias("b")), lambda c: _cosine(c["a"], c["b"]))
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    return let(F.sqrt(squares(a)) * F.sqrt(squares(b)), lambda d: F.when(d > 0, dot(a, b) / F.when(d > 0, d)).otherwise(0.0))
+
+
+def angle(a: Column, b: Column) -> Column:
+    """Between two rows, in radians."""
+    return F.acos(F.greatest(F.least(_cosine(a, b), F.lit(1.0)), F.lit(-1.0)))
+
+
+def second_max(v: Column) -> Column:
+    """The second largest value; null for fewer than two."""
+    return F.get(F.sort_array(v, asc=False), F.lit(1))
+
+
+def running_product(v: Column) -> Column:
+    return F.aggregate(v, F.lit(1.0), lambda a, x: a * x)
 
 
 def durbin(acf: Column, order: int) -> Column:

@@ -205,21 +205,39 @@ def modulation(x, period: float = 0.01, size: float = 4.0, step: float = 2.0, re
 
 
 def pitch_acf(frame, rate: float, high: float = 500.0, cutoff: float = 0.55) -> tuple[float, float, float]:
-    """F0 (0 if unvoiced), voicing, and the harmonics-to-noise ratio in dB."""
+    """F0 (0 if unvoiced), voicing, and the harmonics-to-noise ratio in dB.
+
+    Voicing is the largest peak of the autocorrelation beyond the shortest
+    period, by its value at 0. The period is the first peak of the cepstrum
+    there above 0.6 times its largest peak and its mean together, moved to the
+    highest autocorrelation close to it.
+    """
     x = np.asarray(frame, float)
     nfft = 2 << (max(len(x), 2) - 1).bit_length()
+    mag = np.abs(np.fft.rfft(x * np.hanning(len(x) + 2)[1:-1], nfft))
     a = np.fft.irfft(np.abs(np.fft.rfft(x, nfft)) ** 2)[: len(x)]
     lag = max(1, int(rate / high))
-    if len(x) <= lag + 1 or a[0] <= 0:
+    if len(x) <= lag + 2 or a[0] <= 0:
         return 0.0, 0.0, -100.0
-    part = a[lag:-1]
-    up = np.flatnonzero((part[1:-1] >= part[:-2]) & (part[1:-1] > part[2:])) + 1 if len(part) > 2 else np.empty(0, int)
+    c = np.fft.irfft(np.log(np.maximum(mag, 1e-4 * mag.max())))[: len(x)]
+
+    def tops(v):
+        return np.flatnonzero((v[1:-1] >= v[:-2]) & (v[1:-1] > v[2:])) + 1
+
+    part, cep = a[lag:], c[lag:]
+    up = tops(part)
     if not len(up):
         return 0.0, 0.0, -100.0
-    best = up[np.argmax(part[up])] + lag
-    v = float(a[best] / a[0])
-    hnr = 10 * np.log10(max(v, 1e-10) / max(1 - v, 1e-10))
-    return (rate / best if v > cutoff else 0.0), v, float(np.clip(hnr, -100, 100))
+    best = int(up[np.argmax(part[up])])
+    v = float(part[best] / a[0])
+    first = [i for i in tops(cep) if cep[i] > 0.6 * (cep[tops(cep)].max() + cep.mean())]
+    at = (int(first[0]) if first else best) + lag
+    # The autocorrelation is the finer of the two near that lag.
+    reach = max(1, at // 30)
+    low = max(at - reach, lag)
+    at = low + int(np.argmax(a[low : at + reach + 1]))
+    ratio = a[at] / (a[0] - a[at]) if a[0] > a[at] else 1e10
+    return (rate / at if v > cutoff else 0.0), v, float(np.clip(10 * np.log10(max(ratio, 1e-10)), -100, 100))
 
 
 def pitch_shs(mag, rate: float, harmonics: int = 15, weight: float = 0.85, low: float = 52.0, high: float = 620.0, candidates: int = 3):
@@ -414,6 +432,137 @@ def lstm(x, w) -> np.ndarray:
     return np.array(out)
 
 
+def softmax(x) -> np.ndarray:
+    """Along the last axis."""
+    e = np.exp(x - np.max(x, -1, keepdims=True))
+    return e / e.sum(-1, keepdims=True)
+
+
+def bidirectional(x, forward, backward) -> np.ndarray:
+    """A forward layer's activations beside those of a layer that reads from the end."""
+    x = list(x)
+    return np.concatenate([lstm(x, forward), lstm(x[::-1], backward)[::-1]], 1)
+
+
+def net_vad(voice, energy, threshold: float = 0.5, margin: float = 0.3, hold: int = 10, decay: float = 0.98) -> np.ndarray:
+    """Voice activity 0 or 1 from a net's output and the energy: both the output and the energy (against envelopes that hold, then decay towards it) must be high."""
+    voice, energy = np.asarray(voice, float), np.asarray(energy, float)
+    out = np.zeros(len(voice))
+    if not len(out):
+        return out
+    top = bottom = energy[0]
+    since_top = since_bottom = 0
+    for i, (v, e) in enumerate(zip(voice, energy)):
+        since_top, since_bottom = since_top + 1, since_bottom + 1
+        if e >= top:
+            top, since_top = e, 0
+        elif since_top > hold:
+            top = decay * top + (1 - decay) * e
+        if e <= bottom:
+            bottom, since_bottom = e, 0
+        elif since_bottom > hold:
+            bottom = decay * bottom + (1 - decay) * e
+        out[i] = float(v > threshold and e >= bottom + margin * (top - bottom))
+    return out
+
+
+def lattice(x, reflection) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward prediction errors of the lattice filter with these reflection coefficients."""
+    f = np.asarray(x, float)
+    b = f.copy()
+    for k in reflection:
+        late = np.concatenate([[0.0], b[:-1]])
+        f, b = f + k * late, late + k * f
+    return f, b
+
+
+def residual(x, a) -> np.ndarray:
+    """The prediction error: x through the filter 1, a[0], a[1], ..."""
+    return np.convolve(np.asarray(x, float), np.concatenate([[1.0], a]))[: len(x)]
+
+
+def lp_spectrum(a, gain: float, bins: int) -> np.ndarray:
+    """Magnitudes of the all-pole filter at bins frequencies from 0 to half the rate."""
+    w = np.pi * np.arange(bins) / max(bins - 1, 1)
+    z = np.exp(-1j * np.outer(w, np.arange(1, len(a) + 1)))
+    return np.sqrt(max(gain, 0.0)) / np.maximum(np.abs(1 + z @ np.asarray(a, float)), 1e-12)
+
+
+def spectrum_formants(a, rate: float, bins: int = 256, low: float = 50.0, high: float = 5500.0) -> np.ndarray:
+    """Frequencies of the prediction spectrum's peaks, refined by the parabola through three bins."""
+    s = np.log(lp_spectrum(a, 1.0, bins))
+    top = np.flatnonzero((s[1:-1] > s[:-2]) & (s[1:-1] >= s[2:])) + 1
+    d = s[top - 1] - 2 * s[top] + s[top + 1]
+    f = (top + np.where(d != 0, 0.5 * (s[top - 1] - s[top + 1]) / np.where(d != 0, d, 1), 0)) * rate / (2 * (bins - 1))
+    return f[(f >= low) & (f <= high)]
+
+
+def harmonic_differences(mag, rate: float, f0: float, formant_hz=(), pairs=((1, 2),), count: int = 10) -> dict[str, float]:
+    """H<i>-H<j> in dB for the pairs, and H1-A<k> with the strongest bin near each formant; 0 where a part is missing."""
+    h = harmonics(mag, rate, f0, count)
+    mag = np.asarray(mag, float)
+    level = lambda i: h[i - 1] if 0 < i <= count and h[i - 1] > -201 else None
+    out = {}
+    for i, j in pairs:
+        out[f"h{i}_h{j}"] = level(i) - level(j) if level(i) is not None and level(j) is not None else 0.0
+    hz = rate / (2 * (len(mag) - 1))
+    first = int(round(f0 / hz)) if f0 > 0 else 0
+    for k, f in enumerate(formant_hz, 1):
+        a, b = int(max(f - f0 / 2, 0) / hz), int(min((f + f0 / 2) / hz + 1, len(mag)))
+        near = mag[a:b].max() if f0 > 0 and a < b else 0.0
+        base = mag[max(first - 1, 0) : first + 2].max() if first else 0.0
+        out[f"h1_a{k}"] = float(20 * np.log10(base / near)) if near > 0 and base > 0 else 0.0
+    return out
+
+
+def acf_hnr(frame, period: float, floor: float = -100.0) -> tuple[float, float]:
+    """Harmonics-to-noise from the autocorrelation at a period in rows: in dB, inside +-100, and linear, inside 0.01 to 10000."""
+    x = np.asarray(frame, float)
+    lag = int(round(period))
+    if not 0 < lag < len(x):
+        return floor, 0.01
+    a, b = float(x @ x), float(x[:-lag] @ x[lag:])
+    ratio = b / (a - b) if a > b else (1e10 if a > 0 else 0.0)
+    return float(np.clip(10 * np.log10(max(ratio, 1e-10)), floor, -floor)), float(np.clip(ratio, 0.01, 1e4))
+
+
+def jitter_of(signal: DataFrame, pitch: DataFrame, keys: list[str], x: str, rate: float, f0: str = "f0", step: float = 0.01, size: float = 0.06) -> DataFrame:
+    """keys, vidx and the jitter set of each row of a pitch level (keys, vidx, f0): its samples are the signal's in a window about the row's time.
+
+    The two levels meet by time: a sample goes to each pitch row whose window it
+    lies in, so series split over tasks by (keys, row). Rows of no voice, and
+    those without samples, hold the last values before; 0 at first.
+    """
+    from pyspark.sql import Window
+
+    at = F.col("vidx") / rate
+    rows = signal.select(*keys, "vidx", x).withColumn("_r", F.explode(F.sequence(F.greatest(F.ceil((at - size / 2) / step), F.lit(0)), F.greatest(F.floor((at + size / 2) / step), F.lit(0)))))
+    f = pitch.select(*keys, F.col("vidx").alias("_r"), F.col(f0).alias("_f0"))
+    voiced = rows.join(f.where("_f0 > 0"), [*keys, "_r"])
+    names = ["jitterlocal", "jitterddp", "shimmerlocal", "shimmerdb", "loghnr"]
+    kind = signal.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", _r long, " + ", ".join(f"{n} double" for n in names)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("vidx", kind="stable")
+        got = jitter(pdf[x].to_numpy(float), rate / float(pdf["_f0"].iloc[0]))
+        return pd.DataFrame([[*pdf[keys].iloc[0], int(pdf["_r"].iloc[0]), *(got[n] for n in names)]], columns=[*keys, "_r", *names])
+
+    made = voiced.groupBy(*keys, "_r").applyInPandas(run, kind)
+    w = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    held = f.join(made, [*keys, "_r"], "left")
+    return held.select(*keys, F.col("_r").alias("vidx"), *[F.coalesce(F.last(n, ignorenulls=True).over(w), F.lit(0.0)).alias(n) for n in names])
+
+
+def window_udf(fn, kind: str = "double"):
+    """A function over the values of a row frame as an aggregate: use it with .over(window)."""
+
+    @F.pandas_udf(kind)
+    def run(v: pd.Series) -> float:
+        return float(fn(v.to_numpy(float)))
+
+    return run
+
+
 def per_series(df: DataFrame, keys: list[str], order: list[str], x: str, fn, names: list[str]) -> DataFrame:
     """keys and fn's named numbers of each series; its rows come to one task in order."""
     kind = df.select(*keys).schema.simpleString()[7:-1] + "".join(f",{x}_{n}:double" for n in names)

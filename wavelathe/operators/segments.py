@@ -11,18 +11,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..series import Series
+from ..series import Series, join_periodic
 
 
-def fixed(df: DataFrame, s: Series, size: int, step: int | None = None, incomplete: bool = False) -> DataFrame:
-    """Windows of `size` rows, one each `step`; a short last one is dropped unless incomplete."""
+def fixed(df: DataFrame, s: Series, size: int, step: int | None = None, incomplete: bool = False, centre: int = 0) -> DataFrame:
+    """Windows of `size` rows, one each `step`, window k from k * step - centre on; a short last one is dropped unless incomplete."""
     step = step or size
-    first = F.greatest(F.lit(0), F.ceil((F.col("vidx") - size + 1) / step))
-    last = F.floor(F.col("vidx") / step)
+    first = F.greatest(F.lit(0), F.ceil((F.col("vidx") + centre - size + 1) / step))
+    last = F.floor((F.col("vidx") + centre) / step)
     out = df
     if not incomplete:
         out = out.withColumn("_n", F.count(F.lit(1)).over(s.whole()))
-        last = F.least(last, F.floor((F.col("_n") - size) / step))
+        last = F.least(last, F.floor((F.col("_n") + centre - size) / step))
     out = out.withColumn("_first", first.cast("long")).withColumn("_last", last.cast("long")).where("_first <= _last")
     return out.withColumn("segment", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last", "_n")
 
@@ -31,6 +31,15 @@ def full(df: DataFrame) -> DataFrame:
     return df.withColumn("segment", F.lit(0).cast("long"))
 
 
+def zero_padded(df: DataFrame, s: Series, fields: list[str], size: int, step: int | None = None) -> DataFrame:
+    """df with rows of zeros behind each series' end, so that a last window of `size` begun in it is full."""
+    step = step or size
+    ends = df.groupBy(*s.keys).agg(F.count(F.lit(1)).alias("n"))
+    starts = F.floor((F.col("n") - 1) / step) * step
+    more = ends.where(starts + size > F.col("n")).select(*s.keys, F.explode(F.sequence(F.col("n"), starts + size - 1)).alias("vidx"))
+    return df.select(*s.keys, "vidx", *fields).unionByName(more.select(*s.keys, F.col("vidx").cast("long").alias("vidx"), *[F.lit(0.0).alias(f) for f in fields]))
+
+
 def parse_list(text: str, period: float) -> list[tuple[int, int]]:
     """Inclusive row intervals of a list such as `0-9,1.5s-2s,25`; a bare number is a length behind the last end.
 
@@ -51,6 +60,13 @@ def parse_list(text: str, period: float) -> list[tuple[int, int]]:
     return out
 
 
+def listed_in(df: DataFrame, intervals: DataFrame, least: int = 1, bucket: int = 64) -> DataFrame:
+    """Rows of each inclusive interval of vidx of a table (segment, start, stop), the same for all series; shorter ones are left out."""
+    own = intervals.where(F.col("stop") - F.col("start") + 1 >= least)
+    t = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))))
+    return df.withColumn("_b", F.floor(F.col("vidx") / bucket)).join(t, "_b").where("vidx between start and stop").drop("_b", "start", "stop")
+
+
 def listed(df: DataFrame, intervals: list[tuple[int, int]]) -> DataFrame:
     """Rows of each inclusive interval of vidx; the list is given by hand, so it is small."""
     spots = F.array(*[F.struct(F.lit(i).cast("long").alias("segment"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(intervals)])
@@ -84,12 +100,9 @@ def sessions(df: DataFrame, s: Series, time: str, gap: float) -> DataFrame:
     return df.withColumn("_new", far).withColumn("segment", (F.sum("_new").over(s.upto()) - 1).cast("long")).drop("_new")
 
 
-def join_levels(keys: tuple[str, ...], *levels: DataFrame) -> DataFrame:
-    """Rows that all levels have, by keys and vidx; time comes from the first."""
-    out = levels[0]
-    for other in levels[1:]:
-        out = out.join(other.drop("time", "length_sec"), [*keys, "vidx"])
-    return out
+def join_levels(keys: tuple[str, ...], *levels: DataFrame, force: bool = False) -> DataFrame:
+    """Rows that all levels have, by keys and vidx; time comes from the first, and known periods must agree unless forced."""
+    return join_periodic(keys, *levels, force=force)
 
 
 def frames(df: DataFrame, s: Series, x: str, size: int, step: int | None = None) -> DataFrame:

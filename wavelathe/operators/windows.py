@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.vectors import _by, squares
 from ..series import Series
 
 
@@ -68,24 +69,32 @@ def preemphasis(s: Series, x: str, k: float = 0.97, de: bool = False) -> Column:
     return F.col(x) + (k if de else -k) * shifted(s, x, -1)
 
 
+def _median(values: Column) -> Column:
+    """Of an array; null for none."""
+    a = F.array_sort(values)
+    n = F.size(a)
+    return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
+
+
 def running_median(s: Series, x: str, width: int = 3) -> Column:
     """Median of the centred window, cut at the ends."""
-    w = s.ordered().rowsBetween(-(width // 2), width // 2)
-    a = F.array_sort(F.collect_list(x).over(w))
-    n = F.size(a)
-    mid = lambda i: F.element_at(a, i.cast("int"))
-    return (mid(F.floor((n + 1) / 2)) + mid(F.floor(n / 2) + 1)) / 2
+    return _median(F.collect_list(x).over(s.ordered().rowsBetween(-(width // 2), width // 2)))
 
 
-def mean_norm(s: Series, x: str, kind: str = "amean", exclude_zeros: bool = False, clip: bool = False) -> Column:
-    """x less its series' mean: amean, absmean or rqmean (root of the mean square)."""
+def mean_norm(s: Series, x: str, kind: str = "amean", exclude_zeros: bool = False, clip: bool = False, symmetric: bool = False) -> Column:
+    """x less its series' mean: amean, absmean or rqmean (root of the mean square); symmetric takes it off the size, towards 0."""
     w = s.whole()
     v = F.when(F.col(x) != 0, F.col(x)) if exclude_zeros else F.col(x)
-    m = {"amean": F.avg(v).over(w), "absmean": F.avg(F.abs(v)).over(w), "rqmean": F.sqrt(F.avg(v * v).over(w))}[kind]
-    d = F.col(x) - F.coalesce(m, F.lit(0.0))
+    m = F.coalesce({"amean": F.avg(v).over(w), "absmean": F.avg(F.abs(v)).over(w), "rqmean": F.sqrt(F.avg(v * v).over(w))}[kind], F.lit(0.0))
+    d = F.signum(x) * F.greatest(F.abs(x) - F.abs(m), F.lit(0.0)) if symmetric else F.col(x) - m
     return F.greatest(d, F.lit(0.0)) if clip else d
 
 
+def spectral_floor(s: Series, x: str, share: float = 0.1, floor: float = 1e-10) -> Column:
+    """x less its series' mean, but no less than a share of x, nor than the floor."""
+    return F.greatest(F.col(x) - F.avg(x).over(s.whole()), share * F.col(x), F.lit(floor))
+
+
 def mvn(s: Series, x: str, mode: str = "full", rows: int = 100, floor: float = 1e-7, ddof: int = 0) -> Column:
     """(x - mean) / standard deviation: of the series, of the rows so far (running) or of the last rows (buffer)."""
     w = {"full": s.whole(), "running": s.upto(), "buffer": s.upto(rows)}[mode]
@@ -131,24 +140,105 @@ def above(s: Series, x: str, threshold: float = 1.0, adaptive: int = 0, invert:
 
 
 def cens(s: Series, df: DataFrame, chroma: str, width: int = 41, every: int = 10) -> DataFrame:
-    """Quantised chroma (array), smoothed with a Hann window over rows, each `every`-th row kept, of length 1."""
-    q = F.transform(chroma, lambda c: sum((F.when(c > t, 1.0).otherwise(0.0) for t in (0.05, 0.1, 0.2, 0.4)), F.lit(0.0)))
-    half = width // 2
-    weights = [0.5 - 0.5 * math.cos(2 * math.pi * (k + 1) / (width + 1)) for k in range(width)]
-    df = df.withColumn("_q", q)
-    near = F.collect_list(F.struct("vidx", "_q")).over(s.ordered().rowsBetween(-half, half))
-    df = df.withColumn("_near", near)
-    w = F.array(*map(F.lit, weights))
-    scaled = F.transform("_near", lambda r: F.transform(r["_q"], lambda c: c * F.element_at(w, (r["vidx"] - F.col("vidx") + half + 1).cast("int"))))
-    total = F.aggregate(scaled, F.transform("_q", lambda c: c * 0.0), lambda a, b: F.zip_with(a, b, lambda u, v: u + v))
-    df = df.withColumn("_sum", total).where(F.col("vidx") % every == 0)
-    norm = F.sqrt(F.aggregate("_sum", F.lit(0.0), lambda a, c: a + c * c))
-    out = F.transform("_sum", lambda c: F.when(norm > 0, c / F.when(norm > 0, norm).otherwise(1.0)).otherwise(0.0))
-    return df.withColumn(f"{chroma}_cens", out).drop("_q", "_near", "_sum")
+    """keys, vidx, <chroma>_cens: quantised chroma (array), smoothed with a Hann window over rows, each `every`-th row kept, of length 1.
+
+    Each row sends its bins to the kept rows that it lies near, so nothing is made for the others.
+    """
+    half, out = width // 2, f"{chroma}_cens"
+    quantised = F.transform(chroma, lambda c: sum((F.when(c > t, 1.0).otherwise(0.0) for t in (0.05, 0.1, 0.2, 0.4)), F.lit(0.0)))
+    rows = df.select(*s.keys, "vidx", quantised.alias("q"), F.max("vidx").over(s.whole()).alias("last"))
+    near = F.sequence(F.ceil(F.greatest(F.col("vidx") - half, F.lit(0)) / every), F.floor(F.least(F.col("vidx") + half, F.col("last")) / every))
+    spread = rows.where(F.ceil(F.greatest(F.col("vidx") - half, F.lit(0)) / every) <= F.floor(F.least(F.col("vidx") + half, F.col("last")) / every))
+    spread = spread.select(*s.keys, "vidx", "q", F.explode(near).alias("to")).withColumn("to", F.col("to") * every)
+    weight = 0.5 - 0.5 * F.cos(2 * math.pi * (F.col("vidx") - F.col("to") + half + 1) / (width + 1))
+    bins = spread.select(*s.keys, "to", weight.alias("w"), F.posexplode("q").alias("bin", "q"))
+    sums = bins.groupBy(*s.keys, "to", "bin").agg(F.sum(F.col("w") * F.col("q")).alias("v"))
+    rows = sums.groupBy(*s.keys, "to").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda r: r["v"]).alias("v"))
+    return rows.select(*s.keys, F.col("to").cast("long").alias("vidx"), _by(F.col("v"), F.sqrt(squares(F.col("v")))).alias(out))
+
+
+def held(s: Series, x: str) -> Column:
+    """x where it is above 0, else the last such value before; 0 before the first."""
+    return F.coalesce(F.last(F.when(F.col(x) > 0, F.col(x)), ignorenulls=True).over(s.upto()), F.lit(0.0))
+
+
+def smoothed_formant(s: Series, x: str, f0: str, width: int = 5) -> Column:
+    """Median of the voiced rows of the centred window where f0 is above 0, else 0."""
+    w = s.ordered().rowsBetween(-(width // 2), width // 2)
+    return F.when(F.col(f0) > 0, F.coalesce(_median(F.collect_list(F.when((F.col(f0) > 0) & (F.col(x) > 0), F.col(x))).over(w)), F.lit(0.0))).otherwise(0.0)
+
+
+def without_spikes(s: Series, x: str) -> Column:
+    """Rows that alone are above 0, or alone are 0, between two others: 0, or the others' mean."""
+    was, will, v = F.lag(x).over(s.ordered()), F.lead(x).over(s.ordered()), F.col(x)
+    return F.when((v > 0) & (was == 0) & (will == 0), 0.0).when((v == 0) & (was > 0) & (will > 0), (was + will) / 2).otherwise(v)
+
+
+def octave_corrected(s: Series, f0: str, rows: int = 20, margin: float = 0.2) -> Column:
+    """f0 doubled or halved where that brings it within the margin of the mean of the voiced rows before it."""
+    w = s.ordered().rowsBetween(-rows, -1)
+    v, mean = F.col(f0), F.avg(F.when(F.col(f0) > 0, F.col(f0))).over(w)
+    near = lambda k: F.abs(v * k / mean - 1) < margin
+    return F.when((v <= 0) | mean.isNull() | (mean <= 0) | near(1.0), v).when(near(2.0), v * 2).when(near(0.5), v / 2).otherwise(v)
+
+
+def gated_mvn(keys: tuple[str, ...], x: str, turn: str, reset: bool = True, floor: float = 1e-7) -> Column:
+    """(x - mean) / deviation by the rows inside turns so far: of the same turn with reset, else of all. Null where turn is null."""
+    by = [*keys, turn] if reset else list(keys)
+    w = Window.partitionBy(*by).orderBy("vidx").rowsBetween(Window.unboundedPreceding, 0)
+    v = F.when(F.col(turn).isNotNull(), F.col(x))
+    return (v - F.avg(v).over(w)) / F.greatest(F.stddev_pop(v).over(w), F.lit(floor))
+
+
+def turns_between(df: DataFrame, s: Series, x: str, on: float, off: float | None = None, pre: int = 2, post: int = 2) -> DataFrame:
+    """keys, segment, start, stop (inclusive) of turns: entered after more than pre rows in a row above `on`, left after more than post at or below `off`.
+
+    For off <= on, where no row is both, the state machine is windows over runs
+    of such rows: the pre + 1st row of a run above enters, the post + 1st of a
+    run below leaves, and of equal events in a row the first counts.
+    """
+    off = on if off is None else off
+    if off > on:
+        raise ValueError("off is above on")
+    w = s.ordered()
+    rows = df.select(*s.keys, "vidx", (F.col(x) > on).alias("up"), (F.col(x) <= off).alias("down"), F.max("vidx").over(s.whole()).alias("last"))
+    for c in ("up", "down"):
+        rows = rows.withColumn(f"_{c}", F.sum(F.when(F.col(c), 0).otherwise(1)).over(s.upto()))
+        run = Window.partitionBy(*s.keys, f"_{c}").orderBy("vidx").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn(f"n_{c}", F.sum(F.when(F.col(c), 1).otherwise(0)).over(run))
+    tail = F.last(F.when(F.col("down"), F.col("n_down")).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("tail", tail)
+    events = rows.where((F.col("up") & (F.col("n_up") == pre + 1)) | (F.col("down") & (F.col("n_down") == post + 1)))
+    events = events.withColumn("was", F.lag("up").over(w))
+    events = events.where((F.col("up") & ~F.coalesce("was", F.lit(False))) | (F.col("down") & F.coalesce("was", F.lit(False))))
+    out = events.withColumn("left", F.lead("vidx").over(w)).where("up")
+    return out.select(*s.keys, (F.row_number().over(w) - 1).cast("long").alias("segment"), (F.col("vidx") - pre).alias("start"), F.coalesce(F.col("left") - post - 1, F.col("last") - F.col("tail")).alias("stop"))
+
+
+def syllable_starts(s: Series, f0: str, energy: str, threshold: float, least: int = 4) -> Column:
+    """1 at each row that completes a pseudo-syllable, a run of `least` rows that are voiced and loud; the run's further rows are 0."""
+    good = (F.col(f0) > 0) & (F.col(energy) > threshold)
+    before = [F.coalesce(F.lag(good, k).over(s.ordered()), F.lit(False)) for k in range(1, least + 1)]
+    return F.when(reduce(lambda a, b: a & b, [good, *before[:-1]]) & ~before[-1], 1.0).otherwise(0.0)
+
+
+def speaking_rate(s: Series, syllable: str, rows: int = 100, period: float = 0.01) -> Column:
+    """Syllables a second over the last rows."""
+    return F.sum(syllable).over(s.upto(rows)) / (rows * period)
+
+
+def _voiced_means(s: Series, f0: str, long_rows: int, short_rows: int) -> tuple[Column, Column]:
+    v = F.when(F.col(f0) > 0, F.col(f0))
+    return F.avg(v).over(s.upto(short_rows)), F.avg(v).over(s.upto(long_rows))
 
 
 def pitch_direction(s: Series, f0: str, long_rows: int = 20, short_rows: int = 5, margin: float = 0.02) -> Column:
     """1 rising, -1 falling, 0 flat: the short running mean of voiced f0 against the long one."""
-    v = F.when(F.col(f0) > 0, F.col(f0))
-    near, far = F.avg(v).over(s.upto(short_rows)), F.avg(v).over(s.upto(long_rows))
+    near, far = _voiced_means(s, f0, long_rows, short_rows)
     return F.when(near > far * (1 + margin), 1).when(near < far * (1 - margin), -1).otherwise(0)
+
+
+def direction_score(s: Series, f0: str, long_rows: int = 20, short_rows: int = 5) -> Column:
+    """The short running mean of voiced f0 less the long one; 0 without a voiced row."""
+    near, far = _voiced_means(s, f0, long_rows, short_rows)
+    return F.coalesce(near - far, F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import functionals as fn
@@ -150,7 +150,7 @@ _SQL_SETS = {
     },
     "percentiles": {
         "quartile1": "quantile_cont(x, 0.25)", "quartile2": "quantile_cont(x, 0.5)", "quartile3": "quantile_cont(x, 0.75)", "iqr12": "abs(quantile_cont(x, 0.5) - quantile_cont(x, 0.25))", "iqr23": "abs(quantile_cont(x, 0.75) - quantile_cont(x, 0.5))",
-        "iqr13": "abs(quantile_cont(x, 0.75) - quantile_cont(x, 0.25))", "percentile5": "quantile_cont(x, 0.05)", "percentile95": "quantile_cont(x, 0.95)", "pctlrange0_1": "abs(quantile_cont(x, 0.95) - quantile_cont(x, 0.05))",
+        "iqr13": "abs(quantile_cont(x, 0.75) - quantile_cont(x, 0.25))", **{f"iqq{k}": f"CASE WHEN quantile_cont(x, {b}) <> 0 THEN quantile_cont(x, {a}) / quantile_cont(x, {b}) ELSE 0 END" for k, a, b in (("12", 0.25, 0.5), ("23", 0.5, 0.75), ("13", 0.25, 0.75))}, "percentile5": "quantile_cont(x, 0.05)", "percentile95": "quantile_cont(x, 0.95)", "pctlrange0_1": "abs(quantile_cont(x, 0.95) - quantile_cont(x, 0.05))",
         "pctlquotient0_1": "CASE WHEN quantile_cont(x, 0.95) <> 0 THEN quantile_cont(x, 0.05) / quantile_cont(x, 0.95) ELSE 0 END",
     },
     "crossings": {
@@ -387,14 +387,6 @@ def _(spark, d):
     return mags(spark, d).select("vec_id", *[got[f"rolloff{p}"].cast("double").alias(f"rolloff{p}") for p in (25, 50, 75, 90)])
 
 
-@query("spectral_flux_embeddings", f"WITH {_V}, {_MAG}, u AS (SELECT vec_id, list_transform(m, lambda x: x / sqrt({_ps})) AS u FROM m), w AS (SELECT vec_id, u, lag(u) OVER (ORDER BY vec_id) AS p FROM u) SELECT vec_id, {s6('CASE WHEN p IS NULL THEN 0 ELSE sqrt(list_sum(list_transform(u, lambda x, i: (x - p[i]) ** 2)) / 33) END')} AS flux FROM w")
-def _(spark, d):
-    # The whole table is one series here; a table of many series partitions by its keys.
-    m = mags(spark, d)
-    was = F.lag("m").over(Window.partitionBy(F.lit(0)).orderBy("vec_id"))
-    return m.withColumn("p", was).select("vec_id", r6(spectral.flux(F.col("m"), F.col("p"))).alias("flux"))
-
-
 _MEL = spectral.filterbank(33, 16000, 12)
 _mel_sql = "[" + ", ".join("list_sum(list_transform(m, lambda x, i: x * [" + ", ".join(repr(float(v)) for v in row) + "][i]))" for row in _MEL) + "]"
 
@@ -491,22 +483,14 @@ _kernel("func_peaks_events", kernels.peaks, ["numpeaks", "meanpeakdist", "peakme
 _kernel("func_peaks2_events", kernels.peaks2, list(kernels.peaks2([0, 1, 0, 2, 0])))
 _kernel("func_threshold_segments_events", kernels.threshold_segments, ["numsegments", "meanseglen", "maxseglen", "minseglen", "seglenstddev"])
 _kernel("func_onset_two_thresholds_events", partial(kernels.onsets, on=60.0, off=40.0), ["onsetpos", "offsetpos", "numonsets", "numoffsets", "onsetrate"])
-_kernel("func_lpc_events", lambda x: dict(zip(["lpgain", *(f"lpc{i}" for i in range(5))], [kernels.lpc(x, 5)[1] / max(len(x), 1), *kernels.lpc(x, 5)[0]])), ["lpgain", *(f"lpc{i}" for i in range(5))])
-_kernel("func_modulation_events", lambda x: dict(zip((f"mod{i}" for i in range(8)), kernels.modulation(x, 0.1, 2.0, 1.0, 0.5, 0.5, 4.0))), [f"mod{i}" for i in range(8)])
-_kernel("jitter_events", lambda x: kernels.jitter(x, 7), ["jitterlocal", "jitterddp", "shimmerlocal", "shimmerdb", "loghnr"])
-
-
-@query("turns_events")
-def _(spark, d):
-    return kernels.turns_of(events(spark, d), ["user_id"], ["vidx"], "x", on=50.0, off=45.0, pre=1, post=2)
+def _lpc_set(x):
+    a, gain, _ = kernels.lpc(x, 5)
+    return {"lpgain": gain / max(len(x), 1)} | {f"lpc{i}": v for i, v in enumerate(a)}
 
 
-@query("turn_functionals_events")
-def _(spark, d):
-    e = events(spark, d)
-    t = kernels.turns_of(e, ["user_id"], ["vidx"], "x", on=50.0, off=45.0, pre=1, post=2)
-    cut = segments.interval_join(e, t, USER)
-    return _rounded(fn.functionals(cut, ["user_id", "segment"], ["vidx"], "x", ["extremes", "moments"]), ["user_id", "segment"])
+_kernel("func_lpc_events", _lpc_set, ["lpgain", *(f"lpc{i}" for i in range(5))])
+_kernel("func_modulation_events", lambda x: dict(zip((f"mod{i}" for i in range(8)), kernels.modulation(x, 0.1, 2.0, 1.0, 0.5, 0.5, 4.0))), [f"mod{i}" for i in range(8)])
+_kernel("jitter_events", lambda x: kernels.jitter(x, 7), ["jitterlocal", "jitterddp", "shimmerlocal", "shimmerdb", "loghnr"])
 
 
 @query("exponential_mvn_events")
@@ -534,8 +518,11 @@ query("tonespec_embeddings")(lambda spark, d: mags(spark, d).select("vec_id", F.
 
 
 def _voicing(spark, d):
+    """Three candidates a row: a value, its double and its half, of which the value is not always the likeliest."""
+
     def track(x):
-        path = kernels.smooth_pitch(kernels.viterbi_pitch([[(100 + abs(v), 0.9 if v > 30 else 0.3)] for v in x]))
+        rows = [[(100 + abs(v), 0.9 if v > 30 else 0.3), (2 * (100 + abs(v)), 0.8 if v > 30 else 0.2), (50 + abs(v) / 2, 0.95 if v > 70 else 0.1)] for v in x]
+        path = kernels.smooth_pitch(kernels.viterbi_pitch(rows))
         return {"meanf0": path[path > 0].mean() if (path > 0).any() else 0.0, "voiced": float((path > 0).mean())}
 
     return _rounded(kernels.per_series(events(spark, d), ["user_id"], ["vidx"], "x", track, ["meanf0", "voiced"]), ["user_id"])
@@ -573,6 +560,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("user_id", *[f"x_sma_{k}" for k in _SUMMARY], "x_sma_linregc1"), ["user_id"])
 
 
+from . import more  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

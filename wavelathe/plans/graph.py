@@ -19,8 +19,13 @@ def operator(name: str):
     return add
 
 
-def build(spec: list[dict], levels: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Run the spec's nodes {type, reads, writes, options} in the order that their levels allow; one writer a level."""
+def build(spec: list[dict], levels: dict[str, DataFrame], **shared) -> dict[str, DataFrame]:
+    """Run the spec's nodes {type, reads, writes, options} in the order that their levels allow; one writer a level.
+
+    Options given here too, such as keys, hold for all nodes that don't set them.
+    """
+    from . import nodes  # noqa: F401  registers the library's own
+
     levels, left = dict(levels), list(spec)
     while left:
         ready = [n for n in left if all(r in levels for r in n.get("reads", []))]
@@ -29,6 +34,9 @@ def build(spec: list[dict], levels: dict[str, DataFrame]) -> dict[str, DataFrame
         for n in ready:
             if n["writes"] in levels:
                 raise ValueError(f"level {n['writes']} has two writers")
-            levels[n["writes"]] = OPERATORS[n["type"]](*[levels[r] for r in n.get("reads", [])], **n.get("options", {}))
+            if n["type"] not in OPERATORS:
+                raise ValueError(f"no operator {n['type']}")
+            levels[n["writes"]] = OPERATORS[n["type"]](*[levels[r] for r in n.get("reads", [])], **{**shared, **n.get("options", {})})
             left.remove(n)
     return levels
+

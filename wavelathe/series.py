@@ -46,3 +46,24 @@ def seconds(column: str) -> Column:
 
 def of_level(*keys: str) -> Series:
     return Series(keys, ("vidx",))
+
+
+def with_period(df: DataFrame, period: float) -> DataFrame:
+    """df as a level of one row each `period` seconds; 0 marks an aperiodic one. The period is kept with vidx."""
+    return df.withColumn("vidx", F.col("vidx").alias("vidx", metadata={"period": float(period)}))
+
+
+def period_of(df: DataFrame) -> float | None:
+    """The level's period, if it was given one."""
+    return df.schema["vidx"].metadata.get("period")
+
+
+def join_periodic(keys: tuple[str, ...], *levels: DataFrame, force: bool = False) -> DataFrame:
+    """Rows that all levels have, by keys and vidx, time from the first. Levels of differing known periods are refused unless forced."""
+    known = [p for p in map(period_of, levels) if p is not None]
+    if not force and known and max(known) - min(known) > 1e-9:
+        raise ValueError(f"levels of differing periods: {sorted(set(known))}")
+    out = levels[0]
+    for other in levels[1:]:
+        out = out.join(other.drop("time", "length_sec"), [*keys, "vidx"])
+    return with_period(out, known[0]) if known else out

@@ -7,13 +7,17 @@ foreach of the caller's, can hold them wherever Spark writes.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.segments import interval_join
+from ..series import of_level
+
 
 def decode_wave(raw: bytes, mono: bool = True) -> tuple[int, np.ndarray]:
     """(sample rate, samples in [-1, 1]; rows are channels unless mono) of RIFF PCM (8, 16, 24, 32 bits) or 32-bit float."""
@@ -47,26 +51,87 @@ def decode_wave(raw: bytes, mono: bool = True) -> tuple[int, np.ndarray]:
     return rate, x.mean(0) if mono else x
 
 
-def encode_wave(x: np.ndarray, rate: int) -> bytes:
-    """Mono 16-bit PCM."""
-    pcm = np.clip(np.rint(np.asarray(x, float) * 32767), -32768, 32767).astype("<i2").tobytes()
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", len(pcm)) + pcm
+def decode_raw(data: bytes, channels: int = 1, size: int = 2, mono: bool = True) -> np.ndarray:
+    """Samples in [-1, 1] of little-endian integers without a header; rows are channels unless mono."""
+    wide = size * channels
+    x = np.frombuffer(data, f"<i{size}" if size > 1 else np.uint8, len(data) // wide * channels).astype(float)
+    x = (x - 128) / 127 if size == 1 else x / (2.0 ** (8 * size - 1) - 1)
+    x = x.reshape(-1, channels).T
+    return x.mean(0) if mono else x
+
+
+def encode_wave(x: np.ndarray, rate: int, bits: int = 16) -> bytes:
+    """PCM of 8, 16, 24 or 32 bits, or float of 32 (bits -32); rows of a matrix are channels."""
+    x = np.ascontiguousarray(np.atleast_2d(np.asarray(x, float)).T)
+    channels, wide = x.shape[1], abs(bits) // 8
+    top = 127.0 if bits == 8 else 2.0 ** (abs(bits) - 1) - 1
+    if bits < 0:
+        pcm = x.astype("<f4").tobytes()
+    else:
+        v = np.clip(np.rint(x * top), -top - 1, top).astype(np.int64)
+        pcm = (v + 128).astype(np.uint8).tobytes() if bits == 8 else v.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :wide].tobytes()
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 3 if bits < 0 else 1, channels, rate, rate * wide * channels, wide * channels, abs(bits), b"data", len(pcm))
+    return head + pcm
+
+
+def _slice(n: int, start: int, stop: int | None, end_relative: bool) -> tuple[int, int]:
+    return start, n - (stop or 0) if end_relative else n if stop is None else stop
 
 
-def read_waves(spark: SparkSession, path: str, mono: bool = True, start: float = 0.0, stop: float = -1.0) -> DataFrame:
-    """file, rate, period, pcm (array): the seconds start..stop of each file; a negative start pads zeros on the left."""
+def read_waves(
+    spark: SparkSession, path: str, mono: bool = True, start: float = 0.0, stop: float = -1.0, end_relative: bool = False, start_samples: int | None = None,
+    stop_samples: int | None = None, raw: dict | None = None,
+) -> DataFrame:
+    """file, rate, period, pcm (an array, or unless mono an array of one array a channel): the seconds, or samples, start..stop of each file.
+
+    A negative start pads zeros on the left; a negative stop is the end; with
+    end_relative stop counts back from the end. raw (rate, channels, size in
+    bytes) reads files without a header.
+    """
 
     def parse(batches):
         for pdf in batches:
             out = []
-            for name, raw in zip(pdf["path"], pdf["content"]):
-                rate, x = decode_wave(bytes(raw), True)
-                a, b = round(start * rate), len(x) if stop < 0 else round(stop * rate)
-                x = np.concatenate([np.zeros(max(0, -a)), x[max(a, 0) : b]])
-                out.append((name, rate, 1 / rate, x.tolist()))
+            for name, data in zip(pdf["path"], pdf["content"]):
+                if raw:
+                    rate, x = raw.get("rate", 16000), decode_raw(bytes(data), raw.get("channels", 1), raw.get("size", 2), mono)
+                else:
+                    rate, x = decode_wave(bytes(data), mono)
+                x = np.atleast_2d(x)
+                begin = round(start * rate) if start_samples is None else start_samples
+                end = stop_samples if stop_samples is not None else None if stop < 0 else round(stop * rate)
+                a, b = _slice(x.shape[1], begin, end, end_relative)
+                x = np.concatenate([np.zeros((len(x), max(0, -a))), x[:, max(a, 0) : max(b, 0)]], 1)
+                out.append((name, rate, 1 / rate, x[0].tolist() if mono else x.tolist()))
             yield pd.DataFrame(out, columns=["file", "rate", "period", "pcm"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, rate int, period double, pcm array<double>")
+    kind = "array<double>" if mono else "array<array<double>>"
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"file string, rate int, period double, pcm {kind}")
+
+
+def decoded_audio(df: DataFrame, data: str, channels: int = 1, size: int = 2) -> DataFrame:
+    """df with the bytes column as pcm, an array of mixed-down samples; streams too, so pushed audio is decoded as it comes."""
+
+    @F.pandas_udf("array<double>")
+    def run(raws: pd.Series) -> pd.Series:
+        return raws.map(lambda r: None if r is None else decode_raw(bytes(r), channels, size).tolist())
+
+    return df.withColumn("pcm", run(data))
+
+
+def cut_waves(df: DataFrame, turns: DataFrame, keys: list[str], x: str, rate: int, pre: float = 0.0, post: float = 0.3, first: int = 1) -> DataFrame:
+    """keys, segment, start_sec, stop_sec, data: a wave of each turn (segment, start, stop in rows) with what stands before and behind it."""
+    n = [round(pre * rate), round(post * rate)]
+    wide = turns.select(*keys, (F.col("segment") + first).alias("segment"), F.greatest(F.col("start") - n[0], F.lit(0)).alias("start"), (F.col("stop") + n[1]).alias("stop"))
+    rows = interval_join(df.select(*keys, "vidx", x), wide, of_level(*keys), 1024)
+    # A turn is one file, so its samples come together.
+    cut = rows.groupBy(*keys, "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("vidx", x))), lambda r: r[x]).alias("v"), F.min("vidx").alias("a"), F.max("vidx").alias("b"))
+
+    @F.pandas_udf("binary")
+    def coded(v: pd.Series) -> pd.Series:
+        return v.map(lambda a: encode_wave(np.asarray(a, float), rate))
+
+    return cut.select(*keys, "segment", (F.col("a") / rate).alias("start_sec"), ((F.col("b") + 1) / rate).alias("stop_sec"), coded("v").alias("data"))
 
 
 def decode_htk(raw: bytes) -> tuple[float, int, np.ndarray]:
@@ -103,9 +168,10 @@ def decode_dump(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<f4", size * n, 8).reshape(n, size)
 
 
-def packed_files(df: DataFrame, name: str, order: str, frame: str, how: str = "htk") -> DataFrame:
-    """(name, data): each series' frames as one HTK, dump or wave (frames joined, 16 kHz) file."""
-    make = {"htk": encode_htk, "dump": encode_dump, "wave": lambda a: encode_wave(np.concatenate(a), 16000)}[how]
+def packed_files(df: DataFrame, name: str, order: str, frame: str, how: str = "htk", **options) -> DataFrame:
+    """(name, data): each series' frames as one HTK, dump or wave (frames joined; rate, bits) file."""
+    rate, bits = options.get("rate", 16000), options.get("bits", 16)
+    make = {"htk": lambda a: encode_htk(a, options.get("period", 0.01)), "dump": encode_dump, "wave": lambda a: encode_wave(np.concatenate(a), rate, bits)}[how]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
@@ -114,61 +180,123 @@ def packed_files(df: DataFrame, name: str, order: str, frame: str, how: str = "h
     return df.select(name, order, frame).groupBy(name).applyInPandas(run, "name string, data binary")
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool = True) -> DataFrame:
-    """Numeric columns of a CSV file."""
+def read_csv(spark: SparkSession, path: str, sep: str = ";", header: bool | str = True, start: int = 0, stop: int = -1, frame_time: bool = False) -> DataFrame:
+    """Numeric columns of one CSV file; header `auto` takes a first cell that is no whole number as one. Rows start..stop (inclusive, from 0; -1 the end).
+
+    Row numbers are kept as vidx where a range or frame_time is asked for; a
+    frameTime column then becomes time.
+    """
+    if header == "auto":
+        line = spark.read.text(path).limit(1).collect()
+        first = line[0]["value"].split(sep)[0].strip() if line else ""
+        header = not re.fullmatch(r"[+-]?\d+", first)
     df = spark.read.csv(path, sep=sep, header=header, inferSchema=True)
-    return df.select(*[c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")])
+    numeric = [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")]
+    df = df.select(*[F.col(f"`{c}`") for c in numeric])
+    if frame_time or start or stop >= 0:
+        # A file's rows keep their order in ids that ascend by partition; parts before a row are counted.
+        rows = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33))
+        sizes = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        base = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(sizes), F.lit(0)).alias("_base"))
+        rows = rows.join(base, "_part").withColumn("vidx", F.col("_base") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_id", "_base")
+        rows = rows.where((F.col("vidx") >= start) & (F.lit(True) if stop < 0 else F.col("vidx") <= stop))
+        df = rows.withColumnRenamed("frameTime", "time") if frame_time else rows
+    return df
+
+
+def csv_ready(df: DataFrame, instance: str | None = None, number: bool = True, timestamp: bool = True, frame_length: float | None = None, exact: bool = False) -> DataFrame:
+    """Columns in the sink's order: name, frameIndex, frameTime, frameLength, then the values; exact prints whole values without decimals and others with %e."""
+    lead = [F.col(instance).alias("name")] if instance else []
+    lead += [F.col("vidx").alias("frameIndex")] if number else []
+    lead += [F.col("time").alias("frameTime")] if timestamp and "time" in df.columns else []
+    lead += [F.lit(frame_length).alias("frameLength")] if frame_length is not None else []
+    kinds = dict(df.dtypes)
+    spelt = lambda c: F.when(F.col(c) == F.floor(c), F.col(c).cast("decimal(38,0)").cast("string")).otherwise(F.format_string("%e", c))
+    return df.select(*lead, *[(spelt(c).alias(c) if exact and kinds[c] in ("double", "float") else F.col(c)) for c in df.columns if c not in {instance, "vidx", "time"}])
 
 
-def csv_ready(df: DataFrame, instance: str | None = None) -> DataFrame:
-    """Columns in the sink's order: name, frameIndex, frameTime, then the values."""
-    lead = ([F.col(instance).alias("name")] if instance else []) + [F.col("vidx").alias("frameIndex")] + ([F.col("time").alias("frameTime")] if "time" in df.columns else [])
-    return df.select(*lead, *[c for c in df.columns if c not in {instance, "vidx", "time"}])
+def write_csv(df: DataFrame, path: str, instance: str | None = None, sep: str = ";", append: bool = False, header: bool = True, **how) -> None:
+    csv_ready(df, instance, **how).write.mode("append" if append else "errorifexists").csv(path, sep=sep, header=header)
 
 
-def write_csv(df: DataFrame, path: str, instance: str | None = None, sep: str = ";") -> None:
-    csv_ready(df, instance).write.csv(path, sep=sep, header=True)
+def write_nonempty(df: DataFrame, write) -> None:
+    """write(df), but an error where df has no rows."""
+    if df.isEmpty():
+        raise ValueError("nothing to write")
+    write(df)
 
 
-def arff_lines(df: DataFrame, relation: str = "features") -> tuple[list[str], DataFrame]:
-    """The header's lines, and the rows as text; strings are quoted, quotes escaped, nulls are question marks."""
+def _quoted(c: Column) -> Column:
+    return F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+
+
+def arff_lines(df: DataFrame, relation: str = "features", classes: dict[str, list[str] | str] | None = None) -> tuple[list[str], DataFrame]:
+    """The header's lines, and the rows as text; strings are quoted, quotes escaped, nulls are question marks.
+
+    classes: attributes to come last, a list of nominal values or `numeric`; columns of these names hold them, and what has none is a question mark.
+    """
+    classes = classes or {}
     head = [f"@relation {relation}", ""]
     cols = []
     for c, t in df.dtypes:
+        if c in classes:
+            continue
         head.append(f"@attribute {c.replace('[', '_').replace(']', '_')} {'string' if t == 'string' else 'numeric'}")
-        v = F.concat(F.lit("'"), F.replace(F.col(c), F.lit("'"), F.lit("\\'")), F.lit("'")) if t == "string" else F.col(c).cast("string")
-        cols.append(F.coalesce(v, F.lit("?")))
+        cols.append(F.coalesce(_quoted(F.col(f"`{c}`")) if t == "string" else F.col(f"`{c}`").cast("string"), F.lit("?")))
+    for c, values in classes.items():
+        head.append(f"@attribute {c} {values if isinstance(values, str) else '{' + ','.join(values) + '}'}")
+        cols.append(F.coalesce(F.col(c).cast("string"), F.lit("?")) if c in df.columns else F.lit("?"))
     return [*head, "", "@data", ""], df.select(F.concat_ws(",", *cols).alias("value"))
 
 
-def write_arff(df: DataFrame, path: str, relation: str = "features") -> None:
-    """A folder of text: header/ and data/."""
-    head, rows = arff_lines(df, relation)
-    df.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/header")
-    rows.write.text(f"{path}/data")
+def write_arff(df: DataFrame, path: str, relation: str = "features", classes: dict | None = None, append: bool = False) -> None:
+    """A folder of text: header/ and data/; append adds to data/ alone."""
+    head, rows = arff_lines(df, relation, classes)
+    if not append:
+        df.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.text(f"{path}/header")
+    rows.write.mode("append" if append else "errorifexists").text(f"{path}/data")
 
 
-def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """Numeric attributes of an ARFF file or of a written folder."""
+def read_arff(spark: SparkSession, path: str, instance: str | None = None, targets: tuple[str, ...] = (), skip_first: int = 0) -> DataFrame:
+    """Numeric attributes of an ARFF file or of a written folder, after the first skip_first; instance and targets are kept as text in front.
+
+    The header, and so the number of attributes, is taken to fit the driver. Brackets in names become underscores.
+    """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    attrs = [r["value"] for r in lines.where("lower(value) like '@attribute%'").limit(100_000).collect()]
-    names = [a.split()[1] for a in attrs]
-    kinds = ["double" if a.split()[2].lower() in ("numeric", "real") else "string" for a in attrs]
-    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    found = lines.where("lower(ltrim(value)) like '@attribute%'").select(F.monotonically_increasing_id().alias("i"), "value").orderBy("i")
+    attrs = [re.match(r"\s*@attribute\s+('(?:[^'\\]|\\.)*'|\S+)\s+(.*)", r["value"], re.IGNORECASE).groups() for r in found.collect()]
+    names = [n.strip("'").replace("[", "_").replace("]", "_") for n, _ in attrs]
+    kept_as_text = {*targets, *([instance] if instance else [])}
+    numeric = [n for n, (_, k) in list(zip(names, attrs))[skip_first:] if k.split()[0].lower() in ("numeric", "real", "integer") and n not in kept_as_text]
+    schema = ", ".join(f"`{n}` {'double' if n in numeric else 'string'}" for n in names)
     body = lines.where("value <> '' and not startswith(ltrim(value), '@') and not startswith(value, '%')")
     parsed = body.select(F.from_csv("value", schema, {"nullValue": "?", "quote": "'"}).alias("r")).select("r.*")
-    return parsed.select(*[n for n, k in zip(names, kinds) if k == "double"])
+    return parsed.select(*[F.col(f"`{n}`") for n in [*([instance] if instance else []), *targets, *numeric]])
+
+
+def libsvm_lines(df: DataFrame, label: str, features: str, time: str | None = None, targets: dict[str, int] | None = None) -> DataFrame:
+    """`label 1:v 2:v ...` rows; with time, it is feature 1; targets gives class names their numbers."""
+    v = F.concat(F.array(F.col(time).cast("double")), features) if time else F.col(features)
+    spots = F.transform(v, lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), x.cast("string")))
+    name = F.col(label)
+    if targets:
+        name = F.element_at(F.create_map(*[F.lit(c) for pair in targets.items() for c in pair]), name)
+    return df.select(F.concat_ws(" ", name.cast("string"), F.array_join(spots, " ")).alias("value"))
 
 
-def libsvm_lines(df: DataFrame, label: str, features: str) -> DataFrame:
-    """`label 1:v 2:v ...` rows."""
-    spots = F.transform(features, lambda v, i: F.concat((i + 1).cast("string"), F.lit(":"), v.cast("string")))
-    return df.select(F.concat_ws(" ", F.col(label).cast("string"), F.array_join(spots, " ")).alias("value"))
+def text_dump(df: DataFrame, keys: list[str]) -> DataFrame:
+    """A line for each row: keys, vidx and the values, by name."""
+    own = [c for c in df.columns if c not in (*keys, "vidx")]
+    parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("?"))) for c in [*keys, "vidx", *own] if c in df.columns]
+    return df.select(F.concat_ws(" ", *parts).alias("value"))
 
 
-def printed(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Long rows: keys, field, value."""
-    return df.unpivot(keys, [c for c in df.columns if c not in keys], "field", "value")
+def printed(df: DataFrame, keys: list[str], lines: str | None = None) -> DataFrame:
+    """Long rows: keys, field, value; or, with a program's name, lines `name::field::VALUE=value`."""
+    long = df.unpivot(keys, [c for c in df.columns if c not in keys], "field", "value")
+    if lines is None:
+        return long
+    return long.select(F.concat(F.lit(f"{lines}::"), F.concat_ws("::", *[F.col(k).cast("string") for k in keys], F.col("field")), F.lit("::VALUE="), F.col("value").cast("string")).alias("value"))
 
 
 def signal(spark: SparkSession, rows: int, kind: str = "sine", period: float = 0.01, frequency: float = 1.0, scale: float = 1.0, phase: float = 0.0, const: float = 0.0, seed: int = 1) -> DataFrame:

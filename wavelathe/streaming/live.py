@@ -20,14 +20,31 @@ def live_sessions(stream: DataFrame, time: str, key: str, x: str, gap: str = "1
     return s.groupBy(key, F.session_window("_t", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("amean")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "n", "amean")
 
 
-def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off: float | None = None, pre: int = 2, post: int = 2) -> DataFrame:
-    """Turns as they end; the state of a key is its row number and four counters."""
+def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off: float | None = None, pre: int = 2, post: int = 2, longest: int = 0, timeout: str | None = None, end: str | None = None) -> DataFrame:
+    """Turns as they end; the state of a key is its row number and four counters.
+
+    longest ends a turn after so many rows. A key without rows for `timeout`
+    (processing time, such as `10 minutes`) has its open turn ended and its
+    state dropped, so that state doesn't grow with all keys ever seen. A true
+    `end` column marks a key's last row, which ends its open turn too.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
     low = on if off is None else off
+    milliseconds = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         i, start, above, below, done = state.get if state.exists else (0, -1, 0, 0, 0)
         out = []
-        for v in pd.concat(list(batches)).sort_values(order, kind="stable")[x]:
+        if state.hasTimedOut:
+            if start >= 0:
+                out.append((k[0], done, start, i - 1 - below))
+            state.remove()
+            yield pd.DataFrame(out, columns=[key, "segment", "start", "stop"])
+            return
+        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
+        over = False
+        for v, last in zip(pdf[x], pdf[end] if end else [False] * len(pdf)):
             if start < 0:
                 above = above + 1 if v > on else 0
                 if above > pre:
@@ -37,12 +54,24 @@ def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off:
                 if below > post:
                     out.append((k[0], done, start, i - below))
                     start, above, done = -1, 0, done + 1
+                elif longest and i - start + 1 >= longest:
+                    out.append((k[0], done, start, i))
+                    start, above, done = -1, 0, done + 1
             i += 1
-        state.update((i, start, above, below, done))
+            over = over or bool(last)
+        if over:
+            if start >= 0:
+                out.append((k[0], done, start, i - 1 - below))
+            state.remove()
+        else:
+            state.update((i, start, above, below, done))
+            if milliseconds is not None:
+                state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame(out, columns=[key, "segment", "start", "stop"])
 
     kind = stream.select(key).schema.simpleString()[7:-1].replace(":", " ")
-    return stream.groupBy(key).applyInPandasWithState(run, f"{kind}, segment long, start long, stop long", "i long, start long, above long, below long, done long", "append", "NoTimeout")
+    how = GroupStateTimeout.NoTimeout if timeout is None else GroupStateTimeout.ProcessingTimeTimeout
+    return stream.groupBy(key).applyInPandasWithState(run, f"{kind}, segment long, start long, stop long", "i long, start long, above long, below long, done long", "append", how)
 
 
 def live_mvn(stream: DataFrame, key: str, order: str, x: str, floor: float = 1e-7) -> DataFrame:
@@ -64,6 +93,45 @@ def live_mvn(stream: DataFrame, key: str, order: str, x: str, floor: float = 1e-
     return stream.groupBy(key).applyInPandasWithState(run, f"{kind}, {x}_mvn double", "n long, mean double, m2 double", "append", "NoTimeout")
 
 
+def to_sink(stream: DataFrame, write, name: str, checkpoint: str, mode: str = "append", once: bool = True):
+    """A query that hands each micro-batch to write(df, batch number): the caller's callback, or another system's writer."""
+    w = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def forwarded(stream: DataFrame, send, name: str, checkpoint: str, once: bool = True):
+    """A query that sends each event row as one JSON text: send(list of texts) is called for each partition on its executor."""
+
+    def write(df: DataFrame, number: int) -> None:
+        texts = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+        texts.foreachPartition(lambda rows: send([r["value"] for r in rows]))
+
+    return to_sink(stream, write, name, checkpoint, once=once)
+
+
+def run_until(query, seconds: float = 60.0, rows: int | None = None) -> int:
+    """Let a streaming query run until it ends, the time is over, or its sources have given so many rows; then stop it. The number of rows seen."""
+    import time
+
+    until, seen, last = time.monotonic() + seconds, 0, -1
+    while query.isActive and time.monotonic() < until and (rows is None or seen < rows):
+        query.awaitTermination(0.2)
+        for p in query.recentProgress:
+            if p["batchId"] > last:
+                last, seen = p["batchId"], seen + p["numInputRows"]
+    for p in query.recentProgress:
+        if p["batchId"] > last:
+            last, seen = p["batchId"], seen + p["numInputRows"]
+    if query.isActive:
+        query.stop()
+    return seen
+
+
+def bounded(stream: DataFrame, time: str, late: str = "1 hour") -> DataFrame:
+    """The stream with a watermark: state behind it is dropped, and so are rows later than that; how much is then lost is in the query's progress."""
+    return stream.withWatermark(time, late)
+
+
 def messages(df: DataFrame, x: str, test: str, value: float, name: str) -> DataFrame:
     """An event row in JSON for each row that passes the test (eq, gteq, gt, leeq, le)."""
     c = F.col(x)
