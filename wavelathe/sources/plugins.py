@@ -76,17 +76,17 @@ def picture_histograms(pixels: Column, hue_bins: int = 8, saturation_bins: int =
     """
 
     @F.pandas_udf("hue array<double>, saturation array<double>, value array<double>, lbp array<double>")
-    def run(pictures: pd.Series) -> pd.DataFrame:
-        out = [_histograms(p, hue_bins, saturation_bins, value_bins) for p in pictures]
+    def run(flat: pd.Series, height: pd.Series) -> pd.DataFrame:
+        out = [_histograms(p, h, hue_bins, saturation_bins, value_bins) for p, h in zip(flat, height)]
         return pd.DataFrame(out, columns=["hue", "saturation", "value", "lbp"])
 
-    return run(pixels)
+    return run(F.flatten(F.flatten(pixels)), F.size(pixels))
 
 
-def _histograms(picture, hue_bins: int, saturation_bins: int, value_bins: int):
-    if picture is None or not len(picture) or not len(picture[0]):
+def _histograms(flat, height, hue_bins: int, saturation_bins: int, value_bins: int):
+    if flat is None or not len(flat):
         return None, None, None, None
-    a = np.array([[list(px) for px in row] for row in picture], float) / 255
+    a = np.asarray(flat, float).reshape(int(height), -1, 3) / 255
     hi, lo = a.max(2), a.min(2)
     span = np.where(hi > lo, hi - lo, 1.0)
     r, g, b = a[..., 0], a[..., 1], a[..., 2]
