@@ -1,31 +1,47 @@
 """Media columns: copies of images, cropped or edited, by local descriptors.
 
-Corners are found at several scales; the direction of the grey levels around a
-corner turns a set of point-pair tests, whose bits describe it. A code is split into
-parts, and a Hamming table holds all parts but one, so codes whose differing
-bits lie in one part meet in it. One code says little in a smooth image, so
-the key of a table joins a corner's parts with those of a near corner. A pair
-of images whose matched corners agree on one similarity transform (scale, turn,
-shift) is a copy: each match proposes a transform, and the most supported one
-counts.
+Corners are found at several scales, the strongest of every small cell, so a
+larger image has more of them. The direction of the grey levels around a corner
+turns a set of point-pair tests, whose bits describe it. A code is split into
+parts; a Hamming table holds some of the parts, so codes whose differing bits
+lie in the others meet in it. One code says little in a smooth image, so the
+key of a table joins a corner's parts with those of a near corner and with how
+the two lie to each other. A pair of images whose matched corners agree on one
+similarity transform (scale, turn, shift) is a copy: each match proposes a
+transform, and the most supported one counts.
+
+Very many keys belong to one image alone. A first pass over the corners finds
+those that several images have, as bits of a map of fixed size, and only these
+become rows; a bit set by chance costs a row and changes nothing.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, mix64, prepare, written
+from .common import components, drop, even_labels, frugal, let_go, mix64, prepare, shuffle_partitions, spread_join, written
 
-CORNERS = 24  # strongest corners of an image over its scales
+CELL = 8  # pixels of a cell, of which the strongest corner is kept
 BITS = 64
-PARTS = 4  # of 16 bits, as many tables: each leaves one part out
+PARTS = 4  # of 16 bits
+KEPT_PARTS = 2  # that a table holds
 NEAREST = 3  # corners that a corner's keys join it with
+SECTORS = 8  # of a turn, in which how two corners lie to each other is told
+MAP_BITS = 1 << 27
+PAIR_ROWS = 1024  # of a table's entry that one task pairs with the others
+_STEPS = 5  # scales of an octave
+_SCALES = tuple(2.0 ** (-k / _STEPS) for k in range(8))
+_EDGE, _SMALLEST = 8, 24
 _RNG = np.random.default_rng(20)
 _TESTS = np.clip(_RNG.normal(0, 3.2, (BITS, 4)), -7, 7)
-_SCALES = (1.0, 0.75, 0.5)
+_DY, _DX = (g[np.hypot(*np.mgrid[-7:8, -7:8]) <= 7] for g in np.mgrid[-7:8, -7:8])
+_CORNER = np.dtype([("code", "<u8"), ("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("t", "<f4")])
+_TILE_KEYS = 1 << 21
 
 
 def decode_grey(raw: bytes) -> np.ndarray | None:
@@ -62,205 +78,333 @@ def encode_pgm(px: np.ndarray) -> bytes:
 
 
 def resized(px: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Bilinear, pixel centres aligned."""
-    y = np.clip((np.arange(h) + 0.5) * px.shape[0] / h - 0.5, 0, px.shape[0] - 1)
-    x = np.clip((np.arange(w) + 0.5) * px.shape[1] / w - 0.5, 0, px.shape[1] - 1)
+    """Bilinear, pixel centres aligned, over the last two axes."""
+    y = np.clip((np.arange(h) + 0.5) * px.shape[-2] / h - 0.5, 0, px.shape[-2] - 1)
+    x = np.clip((np.arange(w) + 0.5) * px.shape[-1] / w - 0.5, 0, px.shape[-1] - 1)
     y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    y1, x1 = np.minimum(y0 + 1, px.shape[0] - 1), np.minimum(x0 + 1, px.shape[1] - 1)
+    y1, x1 = np.minimum(y0 + 1, px.shape[-2] - 1), np.minimum(x0 + 1, px.shape[-1] - 1)
     fy, fx = (y - y0)[:, None], x - x0
-    rows = px[y0] * (1 - fy) + px[y1] * fy
-    return rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+    rows = px[..., y0, :] * (1 - fy) + px[..., y1, :] * fy
+    return rows[..., x0] * (1 - fx) + rows[..., x1] * fx
 
 
 def _blur(px: np.ndarray) -> np.ndarray:
-    p = np.pad(px, 2, mode="edge")
+    h, w = px.shape[-2:]
+    p = np.pad(px, [(0, 0)] * (px.ndim - 2) + [(2, 2), (2, 2)], mode="edge")
     k = np.array([1, 4, 6, 4, 1]) / 16
-    p = sum(k[i] * p[i : i + px.shape[0]] for i in range(5))
-    return sum(k[i] * p[:, i : i + px.shape[1]] for i in range(5))
+    p = sum(k[i] * p[..., i : i + h, :] for i in range(5))
+    return sum(k[i] * p[..., i : i + w] for i in range(5))
 
 
-def describe(px: np.ndarray, most: int = CORNERS) -> tuple[np.ndarray, np.ndarray]:
-    """Corners (x, y in the image, scale, turn) and their 64-bit descriptors."""
-    spots, codes, strength = [], [], []
+def described(stack: np.ndarray) -> list[np.ndarray]:
+    """The corners of each image of a stack: code, place in the image, scale and turn."""
+    n, found, owner = len(stack), [], []
     for s in _SCALES:
-        h, w = int(px.shape[0] * s), int(px.shape[1] * s)
-        if min(h, w) < 24:
+        h, w = round(stack.shape[1] * s), round(stack.shape[2] * s)
+        if min(h, w) < _SMALLEST:
             continue
-        g = _blur(px if s == 1 else resized(px, h, w))
-        gy, gx = np.gradient(g)
+        g = _blur(stack if s == 1 else resized(_blur(stack) if s < 0.6 else stack, h, w))
+        gy, gx = np.gradient(g, axis=(1, 2))
         a, b, c = _blur(gx * gx), _blur(gy * gy), _blur(gx * gy)
         r = a * b - c * c - 0.05 * (a + b) ** 2
-        pad = np.pad(r, 1, constant_values=-np.inf)
-        peak = np.ones_like(r, bool)
-        for dy in range(3):
-            for dx in range(3):
-                if (dy, dx) != (1, 1):
-                    peak &= r >= pad[dy : dy + h, dx : dx + w]
-        peak[:8] = peak[-8:] = False
-        peak[:, :8] = peak[:, -8:] = False
-        peak &= r > max(1e-6, r.max() * 0.01)
-        y, x = np.nonzero(peak)
-        if not len(y):
+        pad = np.pad(r, [(0, 0), (1, 1), (1, 1)], constant_values=-np.inf)
+        peak = r > np.maximum(1e-6, r.reshape(n, -1).max(1) * 0.005)[:, None, None]
+        for dy, dx in itertools.product(range(3), range(3)):
+            if (dy, dx) != (1, 1):
+                peak &= r >= pad[:, dy : dy + h, dx : dx + w]
+        peak[:, :_EDGE] = peak[:, -_EDGE:] = False
+        peak[:, :, :_EDGE] = peak[:, :, -_EDGE:] = False
+        i, y, x = np.nonzero(peak)
+        if not len(i):
             continue
-        top = np.argsort(-r[y, x], kind="stable")[:most]
-        y, x = y[top], x[top]
-        k = np.arange(-7, 8)
-        dy, dx = np.meshgrid(k, k, indexing="ij")
-        round_ = (dy * dy + dx * dx) <= 49
-        patch = g[y[:, None] + dy[round_], x[:, None] + dx[round_]]
-        turn = np.arctan2((patch * dy[round_]).sum(1), (patch * dx[round_]).sum(1))
+        cell = (i * (h // CELL + 1) + y // CELL) * (w // CELL + 1) + x // CELL
+        order = np.lexsort((-r[i, y, x], cell))
+        top = order[np.append(True, np.diff(cell[order]) != 0)]
+        i, y, x = i[top], y[top], x[top]
+        g = _blur(g)
+        patch = g[i[:, None], y[:, None] + _DY, x[:, None] + _DX]
+        turn = np.arctan2((patch * _DY).sum(1), (patch * _DX).sum(1))
         co, si = np.cos(turn)[:, None], np.sin(turn)[:, None]
 
         def at(tx, ty):
             ux, uy = np.rint(tx * co - ty * si).astype(int), np.rint(tx * si + ty * co).astype(int)
-            return g[np.clip(y[:, None] + uy, 0, h - 1), np.clip(x[:, None] + ux, 0, w - 1)]
+            return g[i[:, None], np.clip(y[:, None] + uy, 0, h - 1), np.clip(x[:, None] + ux, 0, w - 1)]
 
         bits = at(_TESTS[:, 0], _TESTS[:, 1]) < at(_TESTS[:, 2], _TESTS[:, 3])
-        codes.append(np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0])
-        spots.append(np.stack([(x + 0.5) / s, (y + 0.5) / s, np.full(len(x), s), turn], 1))
-        strength.append(r[y, x])
-    if not codes:
-        return np.empty((0, 4)), np.empty(0, np.uint64)
-    order = np.argsort(-np.concatenate(strength), kind="stable")[:most]
-    return np.concatenate(spots)[order], np.concatenate(codes)[order]
-
-
-def table_keys(spots: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Keys of an image's Hamming tables: the kept parts of a corner and of one of its NEAREST at the same scale, hashed."""
-    if len(codes) < 2:
-        return np.empty(0, np.int64)
-    apart = np.hypot(spots[:, None, 0] - spots[None, :, 0], spots[:, None, 1] - spots[None, :, 1])
-    apart[(spots[:, None, 2] != spots[None, :, 2]) | np.eye(len(codes), dtype=bool)] = np.inf
+        made = np.empty(len(x), _CORNER)
+        made["code"] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        made["x"], made["y"], made["s"], made["t"] = (x + 0.5) * stack.shape[2] / w, (y + 0.5) * stack.shape[1] / h, s, turn
+        found.append(made)
+        owner.append(i)
+    if not found:
+        return [np.empty(0, _CORNER)] * n
+    found, owner = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    return np.split(found[order], np.searchsorted(owner[order], np.arange(1, n)))
+
+
+def described_all(images: list, most_pixels: int = 1 << 18) -> list[np.ndarray]:
+    """The corners of each image (None: none), those of one size in stacks of about most_pixels."""
+    out: list = [np.empty(0, _CORNER)] * len(images)
+    by_size: dict = {}
+    for i, px in enumerate(images):
+        if px is not None:
+            by_size.setdefault(px.shape, []).append(i)
+    for (h, w), at in by_size.items():
+        many = max(1, most_pixels // (h * w))
+        for k in range(0, len(at), many):
+            part = at[k : k + many]
+            for i, corners in zip(part, described(np.stack([images[j] for j in part]))):
+                out[i] = corners
+    return out
+
+
+def table_keys(corners: np.ndarray) -> np.ndarray:
+    """Keys of an image's Hamming tables: the kept parts of a corner and of one of its NEAREST at the same scale, and how they lie, hashed."""
+    if len(corners) < 2:
+        return np.empty(0, np.uint64)
+    x, y, code = corners["x"].astype(float), corners["y"].astype(float), corners["code"]
+    apart = np.hypot(x[:, None] - x, y[:, None] - y)
+    apart[(corners["s"][:, None] != corners["s"]) | np.eye(len(code), dtype=bool)] = np.inf
     near = np.argsort(apart, axis=1, kind="stable")[:, :NEAREST]
     i, k = np.nonzero(np.isfinite(np.take_along_axis(apart, near, 1)))
     j, width, found = near[i, k], BITS // PARTS, []
+    sector = lambda a: np.floor(a % (2 * np.pi) / (2 * np.pi) * SECTORS).astype(np.uint64)
+    way = np.arctan2(y[j] - y[i], x[j] - x[i]) - corners["t"][i]
+    lie = sector(way) * np.uint64(SECTORS) + sector(corners["t"][j].astype(float) - corners["t"][i])
     with np.errstate(over="ignore"):
-        for t in range(PARTS):
-            kept = codes & ~np.uint64(((1 << width) - 1) << (t * width))
-            found.append(mix64(mix64(kept[i] + np.uint64(t + 1)) + kept[j]))
-    return np.unique(np.concatenate(found)).view(np.int64)
+        for t, parts in enumerate(itertools.combinations(range(PARTS), KEPT_PARTS)):
+            mask = np.uint64(sum(((1 << width) - 1) << (p * width) for p in parts))
+            found.append(mix64(mix64(mix64((code[i] & mask) + np.uint64(t + 1)) + (code[j] & mask)) + lie))
+    return np.unique(np.concatenate(found))
 
 
 def agreement(a: np.ndarray, b: np.ndarray, tolerance: float = 3.0) -> int:
-    """The most matched corners (rows of a and b) under one similarity transform that a match proposes."""
+    """The most matched corners (rows of a and b) at different places under one similarity transform that a match proposes, whose own scale and turn fit it too."""
+    size = np.log(a["s"].astype(float) / b["s"])
+    turn = b["t"].astype(float) - a["t"]
+    (px, py), (qx, qy) = ((c["x"].astype(float), c["y"].astype(float)) for c in (a, b))
     best = 0
-    for i in range(len(a)):
-        scale = a[i, 2] / b[i, 2]
-        turn = b[i, 3] - a[i, 3]
-        co, si = np.cos(turn) * scale, np.sin(turn) * scale
-        d = a[:, :2] - a[i, :2]
-        to = np.stack([d[:, 0] * co - d[:, 1] * si, d[:, 0] * si + d[:, 1] * co], 1) + b[i, :2]
-        good = np.hypot(*(to - b[:, :2]).T) <= tolerance
-        best = max(best, len({(round(x), round(y)) for x, y in a[good, :2]}))
+    for first in range(0, len(a), 256):  # proposals at a time
+        i = np.arange(first, min(first + 256, len(a)))[:, None]
+        scale = np.exp(size[i])
+        co, si = np.cos(turn[i]) * scale, np.sin(turn[i]) * scale
+        dx, dy = px - px[i], py - py[i]
+        good = np.hypot(dx * co - dy * si + qx[i] - qx, dx * si + dy * co + qy[i] - qy) <= tolerance * np.maximum(1.0, scale)
+        good &= (np.abs(size - size[i]) < 0.3) & (np.abs((turn - turn[i] + np.pi) % (2 * np.pi) - np.pi) < 0.4)
+        count = good.sum(1)
+        for k in np.argsort(-count, kind="stable"):
+            if count[k] <= best:
+                break
+            best = max(best, len(set(zip(np.rint(px[good[k]] / 2), np.rint(py[good[k]] / 2)))))
     return best
 
 
+def are_copies(a: np.ndarray, b: np.ndarray, near: int = 6, votes: int = 6, share: float = 0.15) -> bool:
+    """Whether `votes` corners, and a share of the fewer corners of the two, agree. A corner matches the one of the nearest code in the other image, up to `near` bits away."""
+    need = max(votes, share * min(len(a), len(b)))
+    if min(len(a), len(b)) < need:
+        return False
+    apart = np.bitwise_count(a["code"][:, None] ^ b["code"][None, :])
+    j = apart.argmin(1)
+    i = np.flatnonzero(apart[np.arange(len(a)), j] <= near)
+    return len(i) >= need and agreement(a[i], b[j[i]]) >= need
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, near: int, votes: int) -> DataFrame:
-    """Of the pairs (a, b) of images, those with `votes` corners or more under one transform."""
+    """Of the pairs (a, b) of images, the copies. Very many pairs may have the same a."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("boolean")
     def agree(ka: pd.Series, kb: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(ka, kb):
-            cp, cq = np.array([c["code"] for c in p], np.int64).view(np.uint64), np.array([c["code"] for c in q], np.int64).view(np.uint64)
-            i, j = np.nonzero(np.bitwise_count(cp[:, None] ^ cq[None, :]) <= near)
-            spots = lambda k: np.array([[c["x"], c["y"], c["s"], c["t"]] for c in k])
-            out.append(agreement(spots(p)[i], spots(q)[j]) if len(i) >= votes else 0)
-        return pd.Series(out, dtype="int32")
+        return pd.Series([are_copies(np.frombuffer(p, _CORNER), np.frombuffer(q, _CORNER), near, votes) for p, q in zip(ka, kb)], dtype=bool)
 
+    pairs = written(pairs, "media-pairs")
     x = classes.select(F.col("rep").alias("a"), F.col("corners").alias("ka"))
     y = classes.select(F.col("rep").alias("b"), F.col("corners").alias("kb"))
-    return pairs.join(x, "a").join(y, "b").where(agree("ka", "kb") >= votes).select("a", "b")
+    # Few bytes, but much work: dealt over all tasks, whatever their size.
+    both = spread_join(pairs, x, "a", "b").join(y, "b").repartition(shuffle_partitions(classes.sparkSession))
+    return both.where(agree("ka", "kb")).select("a", "b")
 
 
 def met_across(rest: DataFrame, shared: int) -> DataFrame:
-    """Pairs (a, b) that meet in rest (key, root, rep: a component's least class in an entry), if their components share `shared` entries.
+    """Pairs (a, b) that meet in rest (key, root, rep: the images in an entry and their components), of components that share `shared` entries.
 
-    The least class differs between entries, so the entries of a pair alone do not count.
+    Entries are counted by component, as links inside it hold for all of them.
+    An entry's many images are dealt out, and each deal meets all the others.
     """
-    a = rest.select("key", F.col("root").alias("ra"), F.col("rep").alias("a"))
-    b = rest.select("key", F.col("root").alias("rb"), F.col("rep").alias("b"))
-    pairs = a.join(b, "key").where("ra < rb").groupBy("ra", "rb", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    enough = pairs.groupBy("ra", "rb").agg(F.sum("n").alias("n")).where(F.col("n") >= shared).select("ra", "rb")
-    return pairs.join(enough, ["ra", "rb"]).select("a", "b")
+    apart = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
+    rows = spread_join(rest, apart.select("key", F.ceil(F.col("held") / PAIR_ROWS).alias("deals")), "key", "rep")
+    a = rows.select("key", F.pmod(F.xxhash64("rep"), "deals").alias("deal"), F.col("root").alias("ra"), F.col("rep").alias("a"))
+    b = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("root").alias("rb"), F.col("rep").alias("b"))
+    pairs = a.join(b, ["key", "deal"]).where("ra < rb").select("key", "ra", "rb", "a", "b")
+    enough = pairs.select("key", "ra", "rb").distinct().groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("ra", "rb")
+    return pairs.select("ra", "rb", "a", "b").distinct().join(enough, ["ra", "rb"]).select("a", "b")
+
+
+def shared_entries(classes: DataFrame) -> DataFrame:
+    """(key, rep) of the images' table keys, less nearly all keys that one image alone has."""
+    spark = classes.sparkSession
+    blocks = 1 << max(shuffle_partitions(spark) - 1, 1).bit_length()
+    blocks = min(max(blocks, 16), 1 << 15)
+    labels, slice_ = even_labels(spark, blocks), MAP_BITS // blocks
+
+    def spots(keys):
+        """A key's bit and five more of its bits, as one number."""
+        return ((keys & np.uint64(MAP_BITS - 1)) << np.uint64(5) | (keys >> np.uint64(59))).astype("<u4")
+
+    def flush(held):
+        found, n = np.unique(spots(np.concatenate(held)), return_counts=True)
+        cut = np.searchsorted(found >> np.uint32(5), np.arange(blocks + 1, dtype=np.int64) * slice_)
+        for b in np.flatnonzero(np.diff(cut)):
+            at = slice(cut[b], cut[b + 1])
+            yield labels[b], int(b), found[at].tobytes(), found[at][n[at] > 1].tobytes()
+
+    @frugal
+    def tiles(batches):
+        held, size = [], 0
+        for pdf in batches:
+            for raw in pdf["corners"]:
+                held.append(table_keys(np.frombuffer(raw, _CORNER)))
+                size += len(held[-1])
+                if size >= _TILE_KEYS:
+                    yield pd.DataFrame(flush(held), columns=["block", "number", "found", "several"])
+                    held, size = [], 0
+        if size:
+            yield pd.DataFrame(flush(held), columns=["block", "number", "found", "several"])
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A tile names each of its keys once, so one that two tiles name belongs to two images."""
+        let_go()
+        every = np.sort(np.frombuffer(b"".join(pdf["found"]), "<u4"))
+        both = np.concatenate([every[1:][every[1:] == every[:-1]], np.frombuffer(b"".join(pdf["several"]), "<u4")])
+        number = int(pdf["number"].iloc[0])
+        bits = np.zeros(slice_, np.uint8)
+        bits[(both >> np.uint32(5)).astype(np.int64) - number * slice_] = 1
+        return pd.DataFrame([(number, np.packbits(bits, bitorder="little").tobytes())], columns=["number", "bits"])
+
+    made = classes.select("corners").mapInPandas(tiles, "block long, number int, found binary, several binary")
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for r in made.groupBy("block").applyInPandas(meet, "number int, bits binary").toLocalIterator():
+        at = r["number"] * (slice_ // 8)
+        bits[at : at + slice_ // 8] = np.frombuffer(r["bits"], np.uint8)
+    known = spark.sparkContext.broadcast(bits.tobytes())
+
+    @frugal
+    def entries(batches):
+        bits = np.frombuffer(known.value, np.uint8)
+        for pdf in batches:
+            keys, reps = [], []
+            for rep, raw in zip(pdf["rep"], pdf["corners"]):
+                own = table_keys(np.frombuffer(raw, _CORNER))
+                bit = own & np.uint64(MAP_BITS - 1)
+                own = own[(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                keys.append(own.view(np.int64))
+                reps.append(np.full(len(own), rep))
+            yield pd.DataFrame({"key": np.concatenate(keys) if keys else np.empty(0, np.int64), "rep": np.concatenate(reps) if reps else np.empty(0, np.int64)})
+
+    out = written(classes.select("rep", "corners").mapInPandas(entries, "key long, rep long"), "media-entries")
+    known.unpersist()
+    return out
 
 
-def media_copies(media: DataFrame, near: int = 3, votes: int = 6, shared: int = 2) -> DataFrame:
+def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int = 2) -> DataFrame:
     """media (media_id, image binary): media_id, n_corners, component_id, n_links.
 
     An image that cannot be read, a null one and one without corners has no
-    corners and stands alone. Images with equal bytes are one class. Classes
-    that meet in `shared` table entries or more are candidates, and a candidate
-    pair with `votes` corners or more in agreement is a link; n_links counts a
-    class's links found. An entry's classes meet its least one first, which is
-    linear and connects groups of copies. Then, of each component in an entry,
-    the least class meets those of the other components, where the two components
-    share as many entries.
+    corners and stands alone. Images with equal bytes are one class, and so are
+    repeated rows; a row with a null media_id is left out. Other columns are
+    ignored. Classes that meet in `shared` table entries or more are
+    candidates, and a candidate pair whose corners agree (are_copies) is a
+    link; n_links counts a class's links found. An entry's classes meet its
+    least one first, which is linear and connects groups of copies. Then all
+    classes of an entry that lie in different components meet, where the two
+    components share as many entries.
     """
     spark = prepare(media.sparkSession)
-    own = media.select("media_id", F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("cls"), "image")
+    own = media.where("media_id is not null").select(F.col("media_id").cast("long").alias("media_id"), F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("cls"), "image")
     names = written(own.select("media_id", "cls"), "media-names")
 
-    @F.pandas_udf("struct<corners:array<struct<code:long,x:double,y:double,s:double,t:double>>,keys:array<long>>")
-    def look(images: pd.Series) -> pd.DataFrame:
-        corners, keys = [], []
-        for raw in images:
-            px = decode_grey(bytes(raw)) if raw is not None else None
-            spots, codes = describe(px) if px is not None else (np.empty((0, 4)), np.empty(0, np.uint64))
-            corners.append([dict(code=int(c), x=float(p[0]), y=float(p[1]), s=float(p[2]), t=float(p[3])) for p, c in zip(spots, codes.astype(np.int64))])
-            keys.append(table_keys(spots, codes))
-        return pd.DataFrame({"corners": corners, "keys": keys})
-
-    first = own.groupBy("cls").agg(F.min(F.struct("media_id", "image")).alias("r"))
-    classes = first.select("cls", F.col("r.media_id").alias("rep"), look("r.image").alias("l"))
-    classes = written(classes.select("cls", "rep", "l.corners", "l.keys"), "media-corners")
-    table = classes.select("rep", F.explode("keys").alias("key"))
+    @F.pandas_udf("binary")
+    def look(images: pd.Series) -> pd.Series:
+        found = described_all([decode_grey(bytes(raw)) if raw is not None else None for raw in images])
+        return pd.Series([c.tobytes() for c in found], dtype=object)
+
+    # A class is known by a hash of its bytes' hash: rows of different bytes may have one id.
+    first = own.groupBy("cls").agg(F.any_value("image").alias("image"))
+    classes = written(first.select("cls", F.xxhash64("cls").alias("rep"), look("image").alias("corners")), "media-corners")
+    table = shared_entries(classes)
     full = table.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
-    table = written(table.join(full, "key"), "media-table")
+    table = written(spread_join(table, full, "key", "rep").select("key", "rep", "head"), "media-table")
     stars = table.where("rep <> head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    links = written(_verified(stars.where(F.col("n") >= shared), classes, near, votes), "media-stars")
+    links = written(_verified(stars.where(F.col("n") >= shared).select("a", "b"), classes, near, votes), "media-stars")
     roots = components(links, "media-cc").withColumnRenamed("node", "rep")
-    rest = table.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rest = written(rest.groupBy("key", "root").agg(F.min("rep").alias("rep")), "media-rest")
+    rest = table.join(roots, "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), "rep").distinct()
+    rest = written(rest, "media-rest")
     more = written(_verified(met_across(rest, shared), classes, near, votes), "media-across")
     edges = links.union(more)
-    roots = components(edges, "media-cc").withColumnRenamed("node", "rep")
+    if not more.isEmpty():
+        roots = components(roots.toDF("a", "b").union(more), "media-cc").withColumnRenamed("node", "rep")
     degree = edges.select(F.col("a").alias("rep")).union(edges.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    about = classes.join(roots, "rep", "left").join(degree, "rep", "left")
-    about = about.select("cls", F.coalesce("root", "rep").alias("root"), F.size("corners").cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = names.join(about, "cls").select("media_id", "n_corners", F.when(F.col("n_corners") > 0, F.col("root")).otherwise(F.col("media_id")).alias("component_id"), "n_links")
+    size = (F.octet_length("corners") / _CORNER.itemsize).cast("long")
+    about = classes.select("cls", "rep", size.alias("n_corners")).join(roots, "rep", "left").join(degree, "rep", "left")
+    about = about.select("cls", F.coalesce("root", "rep").alias("root"), "n_corners", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    found = written(spread_join(names, about, "cls", "media_id"), "media-found")
+    least = found.groupBy("root").agg(F.min("media_id").alias("least"))
+    out = spread_join(found, least, "root", "media_id")
     drop(table, rest)
-    return out
+    return out.select("media_id", "n_corners", F.when(F.col("n_corners") > 0, F.col("least")).otherwise(F.col("media_id")).alias("component_id"), "n_links")
+
+
+_GRID, _SIDE = 14, 64
+_MIX = np.random.default_rng(11).normal(size=(4096, _GRID * _GRID))
+
+
+def drawn(vector: np.ndarray, side: int = _SIDE) -> np.ndarray:
+    """A vector as grey levels: fixed random mixtures of its components (up to 4096) on a grid, enlarged."""
+    grid = sum(vector[k : k + 4096] @ _MIX[: len(vector[k : k + 4096])] for k in range(0, len(vector), 4096))
+    span = np.ptp(grid)
+    return np.rint(resized(((grid - grid.min()) / (span or 1) * 255).reshape(_GRID, _GRID), side, side))
+
+
+#: Edits by number: a crop to five sixths, levels, noise, a quarter turn, enlarged, reduced, a crop to two thirds.
+EDITS = (
+    lambda a, rng: a[len(a) // 12 :, len(a) // 12 :][: 5 * len(a) // 6, : 5 * len(a) // 6], lambda a, rng: np.clip(a * 0.8 + 20, 0, 255), lambda a, rng: np.clip(a + rng.normal(0, 3, a.shape), 0, 255),
+    lambda a, rng: np.rot90(a), lambda a, rng: resized(a, 4 * len(a) // 3, 4 * len(a) // 3), lambda a, rng: resized(a, 3 * len(a) // 4, 3 * len(a) // 4),
+    lambda a, rng: a[len(a) // 6 :, len(a) // 8 :][: 2 * len(a) // 3, : 2 * len(a) // 3],
+)
 
 
-def rendered(vectors: DataFrame, side: int = 48) -> DataFrame:
-    """(media_id, image): vectors (vec_id, embedding) drawn as grey images, for tables without media.
+def rendered(vectors: DataFrame, every: int = 10) -> DataFrame:
+    """(media_id, vec_id, edit, image): vectors (vec_id, embedding) drawn as grey images, for tables without media.
 
-    The components, from least to largest, are grey levels on a square grid,
-    enlarged to side by side pixels. Null vectors, and those with a null or
-    non-finite component, have no image.
+    Each vector is drawn (edit 0, media_id 8 * vec_id), and for one id in
+    `every` an edited copy stands beside it (edit 1 to 7, media_id 8 * vec_id +
+    edit), so that there is something to find. Null vectors, empty ones, and
+    those with a null or non-finite component, have no image.
     """
 
     @F.pandas_udf("binary")
-    def draw(v: pd.Series) -> pd.Series:
+    def draw(v: pd.Series, ids: pd.Series, edit: pd.Series) -> pd.Series:
         out = []
-        for e in v:
+        for e, i, k in zip(v, ids, edit):
             e = None if e is None else np.array(e, np.float64)
             if e is None or not len(e) or not np.isfinite(e).all():
                 out.append(None)
                 continue
-            n = int(np.ceil(len(e) ** 0.5))
-            grid = np.zeros(n * n)
-            span = e.max() - e.min()
-            grid[: len(e)] = (e - e.min()) / (span or 1) * 255
-            out.append(encode_pgm(resized(grid.reshape(n, n), side, side)))
+            px = drawn(e)
+            out.append(encode_pgm(EDITS[k - 1](px, np.random.default_rng(int(i) % (1 << 32))) if k else px))
         return pd.Series(out, dtype=object)
 
-    return vectors.select(F.col("vec_id").alias("media_id"), draw("embedding").alias("image"))
+    own = vectors.where("vec_id is not null").select("vec_id", "embedding")
+    edit = (F.pmod(F.floor(F.col("vec_id") / every), F.lit(len(EDITS))) + 1).cast("int")
+    edits = F.when(F.pmod("vec_id", F.lit(every)) == 0, F.array(F.lit(0), edit)).otherwise(F.array(F.lit(0)))
+    rows = own.select("*", F.explode(edits).alias("edit"))
+    return rows.select((F.col("vec_id") * 8 + F.col("edit")).alias("media_id"), "vec_id", "edit", draw("embedding", "vec_id", "edit").alias("image"))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per image drawn: vec_id, edit, n_corners, component_id (the least media_id, 8 * vec_id + edit) and n_links."""
     prepare(spark)
-    images = rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    out = media_copies(written(images, "media-images"))
-    return out.withColumnRenamed("media_id", "vec_id")
+    images = written(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "media-images")
+    found = media_copies(images)
+    return found.select(F.floor(F.col("media_id") / 8).alias("vec_id"), F.pmod("media_id", F.lit(8)).cast("int").alias("edit"), "n_corners", "component_id", "n_links")
