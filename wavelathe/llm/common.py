@@ -60,9 +60,11 @@ def frugal(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own only where unset, on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="wavelathe-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -269,9 +269,11 @@ def links(docs: DataFrame, percent: int = 75, words: int = 5, entries: int = 0)
     need = percent * (F.col("na") + F.col("nb"))
     pairs = x.join(y, ["token", "deal"]).where("ra < rb").where(~F.arrays_overlap("ba", "bb")).where((100 + percent) * can >= need).where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     more = written(_linked(pairs.select("a", "b").distinct(), live, percent), "jaccard-pairs")
-    out = components(edges.union(more), "jaccard-cc")
     drop(live, rest)
-    return out
+    if more.isEmpty():
+        return roots
+    # What is connected already is a star now.
+    return components(roots.toDF("a", "b").union(more), "jaccard-cc")
 
 
 def _joined(docs: DataFrame, percent: int, words: int) -> tuple[DataFrame, DataFrame]:

@@ -114,6 +114,8 @@ def labelled(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
     """Fit on at most s.sample labelled documents: (weights of buckets, bias).
 
+    The sample's features, bounded by the setting, meet in one task, which
+    trains; the driver gets the weights alone.
     Without usable labels, or with one class only, weights are 0 and the bias
     gives the (smoothed) share of class 1.
     """
@@ -133,14 +135,25 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
             bags = _bags(pdf["text"].tolist(), bits)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "idx": [a.tobytes() for a, _ in bags], "share": [b.tobytes() for _, b in bags]})
 
-    rows = both.mapInPandas(features, "doc_id long, y int, idx binary, share binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["idx"])))
-    y = np.array([r["y"] for r in rows], np.int64)
-    if not len(y) or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return np.zeros(1 << bits), float(np.log(p / (1 - p)))
-    bags = [(np.frombuffer(r["idx"], "<u4"), np.frombuffer(r["share"], "<f4")) for r in rows]
-    return train(bags, y, s)
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(pdf["doc_id"], pdf["y"], pdf["idx"], pdf["share"]), key=lambda r: (r[0], r[2]))
+        y = np.array([r[1] for r in rows], np.int64)
+        if y.min() == y.max():
+            weights, bias = _prior(y, bits)
+        else:
+            weights, bias = train([(np.frombuffer(i, "<u4"), np.frombuffer(v, "<f4")) for _, _, i, v in rows], y, s)
+        return pd.DataFrame([(weights.tobytes(), bias)], columns=["weights", "bias"])
+
+    rows = both.mapInPandas(features, "doc_id long, y int, idx binary, share binary")
+    made = rows.withColumn("__wl_all", F.lit(0)).groupBy("__wl_all").applyInPandas(learn, "weights binary, bias double").collect()
+    if not made:
+        return _prior(np.empty(0, np.int64), bits)
+    return np.frombuffer(bytes(made[0]["weights"])), made[0]["bias"]
+
+
+def _prior(y: np.ndarray, bits: int) -> tuple[np.ndarray, float]:
+    p = (y.sum() + 1) / (len(y) + 2)
+    return np.zeros(1 << bits), float(np.log(p / (1 - p)))
 
 
 def log_odds(texts, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -154,7 +167,7 @@ def log_odds(texts, weights: np.ndarray, bias: float) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score") -> DataFrame:
-    """docs with a double column: the chance of class 1. Null texts count as empty; those get the bias's score."""
+    """docs with a double column: the chance of class 1. Null texts count as empty; those get the bias's score. A column of that name is replaced."""
     spark = prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)  # 2**bits numbers, whatever the input
 
