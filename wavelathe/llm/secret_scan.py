@@ -42,8 +42,8 @@ def versions(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("path"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
 
 
-def scan(blobs: DataFrame, rules: str = RULES) -> DataFrame:
-    """Scan (blob, text): a row (blob, rules, spans) for every blob that has a finding, spans in text form."""
+def scan(blobs: DataFrame, rules: str = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """Scan (blob, text): a row (blob, rules, spans, clean) for every blob that has a finding: spans in text form, and the text with mark in their place."""
 
     @frugal
     def run(batches):
@@ -52,14 +52,15 @@ def scan(blobs: DataFrame, rules: str = RULES) -> DataFrame:
             for blob, text in zip(pdf["blob"], pdf["text"]):
                 spans = find_spans(text)
                 if spans:
-                    out.append((blob, rules, spell(spans)))
-            yield pd.DataFrame(out, columns=["blob", "rules", "spans"])
+                    spelt = spell(spans)
+                    out.append((blob, rules, spelt, _replaced(text, spelt, mark)))
+            yield pd.DataFrame(out, columns=["blob", "rules", "spans", "clean"])
 
-    return blobs.mapInPandas(run, "blob binary, rules string, spans string")
+    return blobs.mapInPandas(run, "blob binary, rules string, spans string, clean string")
 
 
 def update(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules: str = RULES) -> tuple[DataFrame, DataFrame]:
-    """Scan what the ledger (blob, rules) lacks: the new ledger rows and all findings of these rules.
+    """Scan what the ledger (blob, rules) lacks: the new ledger rows and all findings (blob, rules, spans, clean) of these rules.
 
     The unseen blobs are found by key before any text moves: a blob's first
     text is taken where it stands, so copies are dropped before the shuffle.
@@ -73,7 +74,7 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame
     if ledger is not None:
         rows = rows.join(ledger, ["blob", "rules"], "left_anti")
     if findings is not None:
-        new = new.union(findings.where(F.col("rules") == rules).select("blob", "rules", "spans"))
+        new = new.union(findings.where(F.col("rules") == rules).select("blob", "rules", "spans", "clean"))
     return rows, new
 
 
@@ -83,6 +84,12 @@ def by_path(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return own.join(findings.select("blob", "spans"), "blob", "left").select("path", F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def cleaned(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, text): the next version of every row whose blob has a finding, its secrets replaced."""
+    own = versions(docs).select("path", "blob")
+    return own.join(findings.select("blob", "clean"), "blob").select(F.col("path").alias("doc_id"), F.col("clean").alias("text"))
+
+
 def without_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of a finding replaced by mark; rows and columns stay, n_chars follows the text."""
     _, found = update(docs)
@@ -112,9 +119,19 @@ def _replaced(text: str, spans: str, mark: str) -> str:
 
 
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions in the ledger: all documents, then those with findings again, cleaned; the second run scans unseen blobs alone.
+
+    Beside the contract's columns: n_after, the spans of a row's last version.
+    """
     docs = documents(spark, sf_dir)
-    _, found = update(docs)
-    out = by_path(docs, found).withColumnRenamed("path", "doc_id")
+    ledger, found = update(docs)
+    ledger, found = written(ledger, "secret-ledger"), written(found, "secret-found")
+    _, every = update(cleaned(docs, found), ledger, found)
+    every = every.select("blob", "spans")
+    last = F.sha2(F.coalesce("clean", F.lit("")), 256)
+    after = found.select("blob", "spans", F.unhex(last).alias("next")).join(every.select(F.col("blob").alias("next"), F.col("spans").alias("after")), "next", "left")
+    own = versions(docs).select("path", "blob").join(after.select("blob", "spans", "after"), "blob", "left")
+    out = own.select(F.col("path").alias("doc_id"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("after", F.lit("")).alias("after"))
     kind = lambda k: F.size(F.regexp_extract_all("spans", F.lit(f"({k}):"), F.lit(1))).cast("long").alias(f"n_{k}")
-    return out.select("doc_id", *map(kind, KINDS), F.sha2("spans", 256).alias("base_sha256"), "spans")
-
+    left = F.when(F.col("after") == "", 0).otherwise(F.size(F.split("after", ","))).cast("long")
+    return out.select("doc_id", *map(kind, KINDS), F.sha2("spans", 256).alias("base_sha256"), "spans", left.alias("n_after"))
