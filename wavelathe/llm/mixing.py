@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import columns_of, documents, prepare, written
 
 CHUNK = 2000  # documents that fly together
-LANDING = 8  # undecided documents of a source that land at once
 _EPS = 1e-9
 
 

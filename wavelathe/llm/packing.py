@@ -136,7 +136,9 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int =
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ids=True the ids.
 
     Sequences hold `length` tokens; the last may hold fewer and is padded. The
-    number of sources is taken to be small enough for the driver.
+    number of sources is taken to be small enough for the driver. Repeated rows
+    and null ids are documents each; columns other than doc_id, source and text
+    are ignored; no documents give no pieces.
     """
     rows = tokenized(docs, vocabulary, end_id, vocabulary_path)
     per_part = rows.groupBy("queue", "part").agg(F.sum("n").alias("n"))

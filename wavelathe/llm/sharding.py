@@ -76,8 +76,30 @@ def shards(nodes: DataFrame, count: int = 8, rounds: int = 4) -> DataFrame:
 
     Nodes of one hub are linked. node may repeat; a null hub links with
     nothing. Shards hold floor or ceiling of rows / count, the larger ones
-    first; slot numbers a shard's rows from 0 without gaps.
+    first; slot numbers a shard's rows from 0 without gaps. All other columns
+    stay, whatever their names, but ones named shard or slot are replaced. Rows
+    alike in node and hub are ordered by the hash of their other columns.
     """
+    others = [c for c in nodes.columns if c not in ("node", "hub", "shard", "slot")]
+    kept = [F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(others)]
+    inside = F.struct(*kept, F.lit(0).alias("none"))
+    rows = nodes.select("node", "hub", F.xxhash64(F.lit(0), *kept).alias("tie"), inside.alias("__wl_rest"))
+    out = _placed(rows, count, rounds)
+    return out.select("node", "hub", *[F.col(f"__wl_rest.c{i}").alias(c) for i, c in enumerate(others)], "shard", "slot")
+
+
+def cut_links(placed: DataFrame, shard: str = "shard") -> tuple[int, int]:
+    """Of rows (hub, shard): the links between neighbours in a hub that lie in two shards, at the least, and all links.
+
+    A hub of n rows has n - 1 links, and one that lies in k shards has k - 1 of them cut.
+    """
+    hubs = placed.where("hub is not null").groupBy("hub", shard).agg(F.count(F.lit(1)).alias("n")).groupBy("hub").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    r = hubs.agg(F.sum(F.col("k") - 1).alias("cut"), F.sum(F.col("n") - 1).alias("all")).first()
+    return r["cut"] or 0, r["all"] or 0
+
+
+def _placed(nodes: DataFrame, count: int, rounds: int) -> DataFrame:
+    """nodes (node, hub, tie, __wl_rest) with shard and slot."""
     spark = nodes.sparkSession
     salts = even_labels(spark, shuffle_partitions(spark))
     salt = _pick(F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(len(salts))).cast("int"), salts)
@@ -96,7 +118,7 @@ def shards(nodes: DataFrame, count: int = 8, rounds: int = 4) -> DataFrame:
     per_salt = _before(per_salt, ["hub"], ["salt"], "_n", "_start").drop("_n")
     ends = _before(cells, ["hub"], ["shard"], "n", "low").groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("low", "shard"))).alias("cells"))
     per_salt = per_salt.join(ends, "hub", "left").drop("hub_")
-    inner = F.row_number().over(Window.partitionBy("hub", "salt").orderBy("node", *[c for c in ("size",) if c in nodes.columns])) - 1
+    inner = F.row_number().over(Window.partitionBy("hub", "salt").orderBy("node", "tie")) - 1
     placed = rows.withColumn("_inner", inner).join(per_salt, ["hub", "salt"])
     rank = F.col("_start") + F.col("_inner")
     own = F.filter("cells", lambda c: c["low"] <= rank)
