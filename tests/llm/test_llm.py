@@ -126,7 +126,37 @@ def test_op3(spark, odd, empty):
     assert {0, 4, 5, 6, None} <= set(ids) and 1 not in ids
 
 
-def test_op3_chains_and_common_words(spark):
+def test_op3_one_row_of_each_component(spark):
+    """Repeated rows, rows alike in id alone, and null ids leave one row of each component; rows without words all stay."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, base), (3, base), (3, "other words " * 9), (5, base + " more"), (None, base), (None, "nobody owns this text at all"), (None, "nobody owns this text at all"), (7, ""), (7, ""), (None, None), (8, " \n")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __n int")
+    kept = Counter((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df).collect())
+    assert kept == Counter({(3, base): 1, (3, "other words " * 9): 1, (None, "nobody owns this text at all"): 1, (7, ""): 2, (None, None): 1, (8, " \n"): 1})
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(0, 30)), min_size=1, max_size=20), st.integers(0, 9999))
+def test_op3_product_counts_overlaps(sizes, seed):
+    """Overlap counts added up over column blocks, against sets; bounds drop no pair that reaches the threshold."""
+    rng = np.random.default_rng(seed)
+    left, right, n, m = [], [], [], []
+    for a, b, both in sizes:
+        pool = np.unique((rng.integers(0, 50, 300) << 32) | rng.integers(0, 5, 300))
+        rng.shuffle(pool)
+        common, own, other = pool[: min(both, 30)], pool[30 : 30 + a], pool[70 : 70 + b]
+        x, y = np.sort(np.concatenate([common, own])), np.sort(np.concatenate([common, other]))
+        left.append(x.astype("<i8").tobytes())
+        right.append(y.astype("<i8").tobytes())
+        n.append(len(x))
+        m.append(len(y))
+    got = jaccard.overlaps(left, right, np.array(n), np.array(m), 75)
+    for x, y, g in zip(left, right, got):
+        s, t = set(np.frombuffer(x, "<i8").tolist()), set(np.frombuffer(y, "<i8").tolist())
+        assert g == (100 * len(s & t) >= 75 * len(s | t))
+
+
+def test_op3_chains_and_common_words(spark, monkeypatch):
     """Near copies of near copies, and short texts that share their words with hundreds."""
     rng = np.random.default_rng(3)
     texts, base = [], [f"b{i}" for i in range(120)]
@@ -139,6 +169,7 @@ def test_op3_chains_and_common_words(spark):
     for i in range(120):
         texts.append(" ".join(common[: 6 + i % 7] + [f"u{rng.integers(0, 30)}" for _ in range(rng.integers(0, 4))]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 7)  # so that columns are dealt out
     assert Counter(map(tuple, jaccard.component_ids(df).collect())) == brute_components(range(len(texts)), texts)
 
 
@@ -167,7 +198,8 @@ def test_op4(spark, odd, empty):
         return out
 
     pdf = rows_of(spark)
-    assert Counter(map(tuple, QUERIES["op4_secret_scans"](spark, SF).collect())) == brute(zip(pdf["doc_id"].tolist(), pdf["text"]))
+    rows = QUERIES["op4_secret_scans"](spark, SF).collect()
+    assert Counter(tuple(r)[:-1] for r in rows) == brute(zip(pdf["doc_id"].tolist(), pdf["text"])) and {r["n_after"] for r in rows} == {0}
     _, found = secret_scan.update(odd)
     got = Counter((r["path"], r["spans"]) for r in secret_scan.by_path(odd, found).collect())
     assert got == Counter({(k[0], k[-1]): n for k, n in brute((r["doc_id"], r["text"]) for r in odd.collect()).items()})
@@ -412,6 +444,23 @@ def test_op8(spark, odd, empty):
     assert sharding.shards(empty.selectExpr("doc_id as node", "xxhash64(text) as hub")).count() == 0
 
 
+def test_op8_cuts_far_fewer_links_than_a_random_start(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    nodes = docs.selectExpr("doc_id as node", "xxhash64(text) as hub")
+    start = nodes.selectExpr("hub", "cast(pmod(xxhash64(node), 8) as int) as shard")
+    (cut, all_), (before, _) = sharding.cut_links(sharding.shards(nodes)), sharding.cut_links(start)
+    assert all_ > 20 and cut <= 0.15 * before
+
+
+def test_op8_clashing_columns(spark):
+    df = spark.createDataFrame([(i, i % 3, i, "s", 5, "r", [1], 2.0) for i in range(40)], "node long, hub long, salt int, shard string, slot int, rank string, cells array<int>, `a.b` double")
+    out = sharding.shards(df, 4)
+    assert out.columns == ["node", "hub", "salt", "rank", "cells", "a.b", "shard", "slot"]
+    rows = out.collect()
+    assert len(rows) == 40 and all(r["salt"] == r["node"] and r["rank"] == "r" and r["cells"] == [1] for r in rows)
+    assert Counter(r["shard"] for r in rows) == {0: 10, 1: 10, 2: 10, 3: 10}
+
+
 def test_op8_hub_above_the_quota(spark):
     nodes = spark.range(4000).selectExpr("id as node", "case when id % 3 = 0 then 1L when id % 5 = 0 then id div 50 + 10 end as hub", "1 as size")
     out = sharding.shards(nodes, 8).toPandas()
@@ -437,7 +486,52 @@ def test_op9_finds_crops_and_edits(spark):
     assert got[5]["component_id"] == got[7]["component_id"] == 5 and got[6]["component_id"] == 6
     assert all(got[k]["component_id"] == k and got[k]["n_corners"] == 0 for k in (9, 10, 11))
     assert media.media_copies(df.limit(0)).count() == 0
-    assert QUERIES["op9_media_columns"](spark, SF).count() == spark.read.parquet(f"{SF}/embeddings.parquet").count()
+
+
+def test_op9_clashing_columns_and_repeated_ids(spark):
+    a, b = picture(4), picture(5)
+    rows = [(1, media.encode_pgm(a), "x", 7), (1, media.encode_pgm(b), "x", 7), (1, media.encode_pgm(a), "x", 7), (2, media.encode_pgm(a * 0.9), "y", 8), (None, media.encode_pgm(a), "z", 9)]
+    df = spark.createDataFrame(rows, "media_id long, image binary, cls string, rep int")
+    got = sorted((r["media_id"], r["component_id"]) for r in media.media_copies(df).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1)]
+
+
+def test_op9_recall_by_kind_of_edit(spark):
+    """The whole operator on 24 pictures and an edited copy of each, by kind; no two pictures are joined."""
+    sources = [picture(100 + i) for i in range(24)]
+    rng = np.random.default_rng(3)
+    more = {"enlarged 1.46": lambda a: media.resized(a, 140, 140), "reduced 0.6": lambda a: media.resized(a, 58, 58), "crop 64 of 96": lambda a: a[20:84, 9:73]}
+    kinds = {f"edit {k + 1}": (lambda a, f=f: f(a, rng)) for k, f in enumerate(media.EDITS)} | more
+    rows = [(i * 100, media.encode_pgm(a)) for i, a in enumerate(sources)]
+    rows += [(i * 100 + k + 1, media.encode_pgm(f(a))) for i, a in enumerate(sources) for k, f in enumerate(kinds.values())]
+    got = {r["media_id"]: r["component_id"] for r in media.media_copies(spark.createDataFrame(rows, "media_id long, image binary")).collect()}
+    assert all(c // 100 == m // 100 for m, c in got.items())
+    for k, name in enumerate(kinds):
+        assert sum(got[i * 100 + k + 1] == i * 100 for i in range(24)) >= 0.9 * 24, name
+
+
+def test_op9_candidates_against_all_pairs():
+    """Table keys against verification of every pair, edited copies apart from each other too."""
+    rng = np.random.default_rng(6)
+    images = [media.drawn(rng.normal(size=64)) for _ in range(8)]
+    images += [f(a, rng) for a in images for f in media.EDITS[:5]]
+    found = media.described_all([np.clip(np.rint(a), 0, 255) for a in images])
+    keys = [set(media.table_keys(c).tolist()) for c in found]
+    links = [(i, j) for i in range(len(found)) for j in range(i) if media.are_copies(found[i], found[j])]
+    met = sum(len(keys[i] & keys[j]) >= 2 for i, j in links)
+    assert len(links) >= 40 and met >= 0.9 * len(links)
+    own = lambda i: i if i < 8 else (i - 8) // 5
+    assert all(own(i) == own(j) for i, j in links)
+
+
+def test_op9_query_finds_the_planted_edits(spark):
+    got = QUERIES["op9_media_columns"](spark, SF).toPandas()
+    ids = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").toPandas()["vec_id"]
+    assert sorted(got[got["edit"] == 0]["vec_id"]) == sorted(ids)
+    edits = got[got["edit"] > 0]
+    assert sorted(edits["vec_id"]) == sorted(i for i in ids if i % 10 == 0)
+    assert (edits["component_id"] == 8 * edits["vec_id"]).mean() >= 0.9
+    assert (got[got["edit"] == 0]["component_id"] == 8 * got[got["edit"] == 0]["vec_id"]).mean() > 0.99
 
 
 def test_op9_counts_entries_by_component(spark):
