@@ -14,7 +14,7 @@ from ..series import of_level
 from ..sources import plugins
 from . import graph
 from .catalog import (
-    USER, _E, _FREQ, _L, _MAG, _O, _RUN, _SQL, _SQL_SETS, _V, _col_digest, _digest, _pad, _ps, _rounded, _vector_query, _windowed,
+    USER, _E, _FREQ, _L, _MAG, _MEL, _O, _RUN, _SQL, _SQL_SETS, _V, _col_digest, _digest, _pad, _ps, _rounded, _vector_query, _windowed,
     events, frames, items, mags, orders, query, r6, s6, table,
 )
 
@@ -347,6 +347,77 @@ def _(spark, d):
     cols = {"mel": scales.SCALES["mel"][1](z * 112.7), "schroed": scales.SCALES["bark_schroed"][1](z), "semitone": scales.SCALES["semitone"][1](z), "speex": scales.SCALES["bark_speex"][0](F.col("p_retailprice"))}
     return table(spark, d, "part").select("p_partkey", *[r6(c).alias(k) for k, c in cols.items()])
 
+# Linear prediction in SQL: the recursion's steps as one table after another.
+def _levinson(source: str, keys: str, order: int) -> str:
+    """p<order>(keys, a1.., e) from source (keys, r0..): prediction coefficients and residual energy."""
+    out, was = [], source
+    for m in range(1, order + 1):
+        r = ", ".join(f"r{k}" for k in range(order + 1))
+        own = "".join(f", a{j}" for j in range(1, m))
+        e = "e" if m > 1 else "r0"
+        k = f"-(r{m}" + "".join(f" + a{j} * r{m - j}" for j in range(1, m)) + f") / {e}"
+        out.append(f"q{m} AS (SELECT {keys}, {r}{own}, {e} AS e0, {k} AS k FROM {was})")
+        new = "".join(f", a{j} + k * a{m - j} AS a{j}" for j in range(1, m))
+        out.append(f"p{m} AS (SELECT {keys}, {r}{new}, k AS a{m}, e0 * (1 - k * k) AS e FROM q{m})")
+        was = f"p{m}"
+    return ", ".join(out)
+
+
+def _cepstrum(source: str, keys: str, order: int) -> str:
+    """c<order>(keys, c0..) from source (keys, a1.., e)."""
+    out, was = [f"c0 AS (SELECT *, ln(greatest(e, 1e-12)) AS c0 FROM {source})"], "c0"
+    for n in range(1, order + 1):
+        terms = "".join(f" - {k} / {n}.0 * c{k} * a{n - k}" for k in range(1, n))
+        out.append(f"c{n} AS (SELECT *, -a{n}{terms} AS c{n} FROM {was})")
+        was = f"c{n}"
+    return ", ".join(out)
+
+
+def _rows(source: str, keys: str, cols: list[str]) -> str:
+    return f"SELECT {keys}, CAST(unnest(range(0, {len(cols)})) AS INTEGER) AS i, {s6('unnest([' + ', '.join(cols) + '])')} AS y FROM {source}"
+
+
+_acf_of = lambda k: f"coalesce(list_sum(list_transform(range(1, CAST(len(v) - {k} + 1 AS BIGINT)), lambda i: v[i] * v[i + {k}])), 0)"
+_SQL["func_lpc_events"] = f"""WITH {_E}, w AS (SELECT user_id, list(x ORDER BY vidx) AS v FROM e GROUP BY 1), r AS (SELECT user_id, len(v) AS n, {', '.join(f'{_acf_of(k)} AS r{k}' for k in range(6))} FROM w),
+    {_levinson('r', 'user_id, n', 5)} SELECT user_id, CASE WHEN p5.e / n >= 0 THEN {s6('greatest(p5.e, 0) / n')} END AS x_lpgain, {', '.join(f"{s6(f'a{k + 1}')} AS x_lpc{k}" for k in range(5))} FROM p5"""
+_LPC8 = f"r AS (SELECT vec_id, {', '.join(f'{_acf_of(k)} AS r{k}' for k in range(9))} FROM e), {_levinson('r', 'vec_id', 8)}"
+_SQL["lpc_cepstrum_embeddings"] = f"WITH {_V}, {_LPC8}, {_cepstrum('p8', 'vec_id', 8)} {_rows('c8', 'vec_id', [f'c{k}' for k in range(9)])}"
+
+
+def _burg(order: int) -> str:
+    """b<order>(vec_id, a1..) by forward and backward errors f and b."""
+    out, was = ["b0 AS (SELECT vec_id, v AS f, v AS b FROM e)"], "b0"
+    for m in range(1, order + 1):
+        own = "".join(f", a{j}" for j in range(1, m))
+        out.append(f"s{m} AS (SELECT vec_id, f[2:] AS f, b[1:len(b) - 1] AS b{own} FROM {was})")
+        out.append(f"k{m} AS (SELECT *, -2 * list_sum(list_transform(f, lambda x, i: x * b[i])) / (list_sum(list_transform(f, lambda x: x * x)) + list_sum(list_transform(b, lambda x: x * x))) AS k FROM s{m})")
+        new = "".join(f", a{j} + k * a{m - j} AS a{j}" for j in range(1, m))
+        out.append(f"b{m} AS (SELECT vec_id, list_transform(f, lambda x, i: x + k * b[i]) AS f, list_transform(b, lambda x, i: x + k * f[i]) AS b{new}, k AS a{m} FROM k{m})")
+        was = f"b{m}"
+    return ", ".join(out)
+
+
+_SQL["burg_embeddings"] = f"WITH {_V}, {_burg(8)} {_rows('b8', 'vec_id', [f'a{k}' for k in range(1, 9)])}"
+_mel_bands = "[" + ", ".join("list_sum(list_transform(m, lambda x, i: x * [" + ", ".join(repr(float(v)) for v in row) + "][i]))" for row in _MEL) + "]"
+_f2 = [(200.0 * (k + 1)) ** 2 for k in range(12)]
+_loud = [(f + 56.8e6) * f * f / ((f + 6.3e6) ** 2 * (f + 0.38e9)) for f in _f2]
+_plp_acf = lambda k: f"(s[1] + s[12] * cos(pi() * {k}) + 2 * list_sum(list_transform(s, lambda x, i: x * cos(2 * pi() * i * {k} / 26)))) / 26"
+_SQL["plp_embeddings"] = f"""WITH {_V}, {_MAG}, s AS (SELECT vec_id, list_transform({_mel_bands}, lambda x, i: (greatest(x, 1e-9) * {[x / max(_loud) for x in _loud]}[i]) ** 0.33) AS s FROM m),
+    r AS (SELECT vec_id, {', '.join(f'{_plp_acf(k)} AS r{k}' for k in range(6))} FROM s), {_levinson('r', 'vec_id', 5)}, {_cepstrum('p5', 'vec_id', 5)} {_rows('c5', 'vec_id', [f'c{k}' for k in range(6)])}"""
+# Harmonics of 500 Hz lie at every second bin; a harmonic is the nearer local maximum of two bins.
+_peak_at = lambda k: f"(m[{k + 1}] >= m[{k}] AND m[{k + 1}] >= m[{k + 2}])"
+_level = [f"CASE WHEN {_peak_at(2 * h)} THEN m[{2 * h + 1}]" + (f" WHEN {_peak_at(2 * h + 1)} THEN m[{2 * h + 2}]" if 2 * h + 1 < 32 else "") + " END" for h in range(1, 11)]
+_db = [f"CASE WHEN l[1] IS NULL OR l[1] = 0 OR l[{h}] IS NULL THEN -201 ELSE greatest(20 * log10(greatest(l[{h}], 1e-12) / l[1]), -200) END" for h in range(1, 11)]
+_SQL["harmonics_embeddings"] = f"WITH {_V}, {_MAG}, l AS (SELECT vec_id, [{', '.join(_level)}] AS l FROM m) {_rows('l', 'vec_id', _db)}"
+_note = lambda k: f"10 * sqrt(list_sum(list_transform(v, lambda x, i: 0.002 * 0.998 ** (64 - i) * x * cos(2 * pi() * {_tone(k)} * (i - 1)))) ** 2 + list_sum(list_transform(v, lambda x, i: 0.002 * 0.998 ** (64 - i) * x * sin(2 * pi() * {_tone(k)} * (i - 1)))) ** 2)"
+_SQL["tone_filter_embeddings"] = f"WITH {_V} {_rows('e', 'vec_id', [_note(k) for k in range(12)])}"
+_SQL["tonespec_embeddings"] = f"WITH {_V}, {_MAG} " + _rows("m", "vec_id", ["list_sum(list_transform(m, lambda x, i: x * [" + ", ".join(repr(float(v)) for v in row) + "][i]))" for row in spectral.tonespec(33, 16000)])
+# Half the rate: the first 17 of 33 bins, turned back to 32 values.
+_re = "list_sum(list_transform(v, lambda x, i: x * cos(2 * pi() * k * (i - 1) / 64)))"
+_im = "-list_sum(list_transform(v, lambda x, i: x * sin(2 * pi() * k * (i - 1) / 64)))"
+_SQL["resample_embeddings"] = f"""WITH {_V}, z AS (SELECT vec_id, list_transform(range(0, 17), lambda k: {_re}) AS re, list_transform(range(0, 17), lambda k: {_im}) AS im FROM e), u AS (SELECT vec_id, re, im, unnest(range(0, 32)) AS t FROM z)
+    SELECT vec_id, CAST(t AS INTEGER) AS i, {s6('(re[1] + re[17] * cos(pi() * t) + 2 * list_sum(list_transform(range(1, 16), lambda k: re[k + 1] * cos(2 * pi() * k * t / 32) - im[k + 1] * sin(2 * pi() * k * t / 32)))) / 64')} AS y FROM u"""
+
 
 # Models.
 _W = [((k * 37) % 11 - 5) / 10 for k in range(64)]
