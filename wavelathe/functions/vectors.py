@@ -146,9 +146,12 @@ def windowed(v: Column, name: str, n: int, gain: float = 1.0, offset: float = 0.
     return F.zip_with(v, F.array(*[F.lit(gain * x) for x in w]), lambda x, y: x * y + offset)
 
 
-def energy(v: Column, floor: float = 8.67e-19) -> dict[str, Column]:
+def energy(v: Column, floor: float = 8.67e-19, scale: float = 1.0, bias: float = 0.0, sums: bool = False) -> dict[str, Column]:
+    """Root mean square, mean square and log energy, each scaled and shifted; with sums, of the sum of samples as 16-bit numbers (the scale of HTK's log energy)."""
     power = squares(v) / F.size(v)
-    return {"rms": F.sqrt(power), "energy2": power, "log": F.ln(F.greatest(power, F.lit(floor)))}
+    whole = squares(v) * 32767.0**2 if sums else power
+    out = {"rms": F.sqrt(power), "energy2": power, "log": F.ln(F.greatest(whole, F.lit(1.0 if sums else floor)))}
+    return {k: c * scale + bias for k, c in out.items()}
 
 
 def intensity(v: Column, n: int) -> dict[str, Column]:

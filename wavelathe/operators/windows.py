@@ -102,6 +102,19 @@ def mvn(s: Series, x: str, mode: str = "full", rows: int = 100, floor: float = 1
     return (F.col(x) - F.avg(x).over(w)) / sd
 
 
+def learned(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """by, mean, deviation, least and largest of x: a transform to write, read again and apply to other rows."""
+    return df.groupBy(*by).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("deviation"), F.min(x).alias("least"), F.max(x).alias("largest"))
+
+
+def applied(df: DataFrame, transform: DataFrame, by: list[str], x: str, mode: str = "mvn", floor: float = 1e-7) -> DataFrame:
+    """df with x transformed by a learned table: mvn, mean or range; rows whose `by` it lacks stay as they are."""
+    v = F.col(x)
+    span = F.col("largest") - F.col("least")
+    new = {"mvn": (v - F.col("mean")) / F.greatest("deviation", F.lit(floor)), "mean": v - F.col("mean"), "range": F.when(span > 0, (v - F.col("least")) / F.when(span > 0, span)).otherwise(0.0)}[mode]
+    return df.join(transform, by, "left").withColumn(x, F.coalesce(new, v)).select(*df.columns)
+
+
 def range_norm(s: Series, x: str, low: float = 0.0, high: float = 1.0) -> Column:
     """x scaled from its series' range to low..high; a range of 0 gives low."""
     lo, hi = F.min(x).over(s.whole()), F.max(x).over(s.whole())

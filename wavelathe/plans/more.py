@@ -174,6 +174,14 @@ _windowed("spectral_floor_orders", orders, _O, "o_custkey", lambda s: windows.sp
 _windowed("window_udf_events", events, _E, "user_id", lambda s: kernels.window_udf(lambda v: v.max() - v.min())("x").over(s.upto(6)), "max(x) OVER (PARTITION BY user_id ORDER BY vidx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) - min(x) OVER (PARTITION BY user_id ORDER BY vidx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)")
 
 
+@query("mvn_saved_orders", "WITH o AS (SELECT o_orderkey, o_orderpriority, o_totalprice AS x, o_orderkey % 2 = 0 AS past FROM orders), t AS (SELECT o_orderpriority, avg(x) AS m, stddev_pop(x) AS s FROM o WHERE past AND o_orderpriority <> '1-URGENT' GROUP BY 1) " + f"SELECT o_orderkey, {s6('CASE WHEN m IS NULL THEN x ELSE (x - m) / greatest(s, 1e-7) END')} AS y FROM o LEFT JOIN t USING (o_orderpriority) WHERE NOT past")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("x"))
+    saved = windows.learned(o.where("o_orderkey % 2 = 0 and o_orderpriority <> '1-URGENT'"), ["o_orderpriority"], "x")
+    new = windows.applied(o.where("o_orderkey % 2 <> 0"), saved, ["o_orderpriority"], "x")
+    return new.select("o_orderkey", r6(F.col("x")).alias("y"))
+
+
 @query("gated_mvn_events", f"WITH {_RUN.format(h=_E, c='kind', k='user_id')}, t AS (SELECT * FROM g WHERE kind = 'view') SELECT user_id, vidx, {s6('(x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-7)')} AS y FROM t WINDOW w AS (PARTITION BY user_id, segment ORDER BY vidx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def _(spark, d):
     cut = segments.runs(events(spark, d), USER, "kind").withColumn("turn", F.when(F.col("kind") == "view", F.col("segment")))
@@ -259,6 +267,7 @@ _vector_query(
     },
 )
 _place = "least(floor((x - list_min(v)) / (list_max(v) - list_min(v)) * 4), 3)"
+_vector_query("vec_energy_htk", lambda v: vectors.energy(v, sums=True, scale=0.5, bias=1.0), {"rms": "0.5 * sqrt(list_sum(list_transform(v, lambda x: x * x)) / n) + 1", "energy2": "0.5 * list_sum(list_transform(v, lambda x: x * x)) / n + 1", "log": "0.5 * ln(greatest(32767.0 * 32767.0 * list_sum(list_transform(v, lambda x: x * x)), 1)) + 1"})
 _vector_query("vec_histogram", lambda v: {f"bin{k}": vectors.histogram(v, 4)[k] for k in range(4)}, {f"bin{k}": f"len(list_filter(v, lambda x: {_place} = {k})) / n" for k in range(4)})
 _vector_query("vec_preemphasis_de", lambda v: {"y": _col_digest(vectors.preemphasised(v, de=True))}, {"y": _digest("list_transform(v, lambda x, i: CASE WHEN i = 1 THEN 0.03 * x ELSE x + 0.97 * v[i - 1] END)")})
 _vector_query("vec_amdf_inverted", lambda v: {f"y{k}": F.element_at(vectors.amdf(v, 6, "limit", True), k + 1) for k in range(3)}, {f"y{k}": f"list_max(list_transform(range(0, 6), lambda k: list_sum(list_transform(range(1, n - k + 1), lambda i: abs(v[i] - v[i + k]))) / (n - k))) - list_sum(list_transform(range(1, n - {k} + 1), lambda i: abs(v[i] - v[i + {k}]))) / (n - {k})" for k in range(3)})
