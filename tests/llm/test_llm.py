@@ -626,6 +626,64 @@ def test_pipeline(spark):
     assert len(pieces) and all(seqs[i] == 4096 for i in range(len(seqs) - 1))
 
 
+def brute_chances(texts, model):
+    """Scores by adding up each text's shares of features one by one."""
+    weights, bias = model
+    bits = int(np.log2(len(weights)))
+    return [1 / (1 + np.exp(-(sum(float(v) * weights[i] for i, v in zip(*bag)) + bias))) for bag in quality._bags(texts, bits)]
+
+
+def test_op1_scores_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality.fit(docs, quality.training_rows(spark.read.parquet(f"{SF}/labels.parquet")))
+    pdf = docs.toPandas()
+    want = dict(zip(pdf["doc_id"], brute_chances(pdf["text"].tolist(), model)))
+    got = QUERIES["op1_quality_classifier"](spark, SF).collect()
+    assert len(got) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-5 for r in got)
+
+
+def test_pipeline_each_stage_by_brute_force(spark):
+    import corpus_pipeline
+
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        seen.append(docs.toPandas())
+        docs = written(stage(spark, docs, SF), f"test-{name}")
+    first, good, single, clean, mixed = seen
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), quality.training_rows(spark.read.parquet(f"{SF}/labels.parquet")))
+    chance = brute_chances(first["text"].tolist(), model)
+    assert set(good["doc_id"]) == {d for d, c in zip(first["doc_id"], chance) if c >= 0.5}
+    near = brute_components(good["doc_id"].tolist(), good["text"].tolist())
+    assert sorted(single["doc_id"]) == sorted(d for d, _, least in near if d == least)
+    text = dict(zip(single["doc_id"], single["text"]))
+    assert sorted(clean["doc_id"]) == sorted(single["doc_id"])
+    for d, t in zip(clean["doc_id"], clean["text"]):
+        out, at = "", 0
+        for begin, _, end in brute_spans(text[d] or ""):
+            if begin >= at:
+                out += text[d][at:begin] + "[SECRET]"
+            at = max(at, end)
+        assert t == out + text[d][at:] if text[d] is not None else t is None
+    size = {d: len(WORD.findall(t or "")) for d, t in zip(clean["doc_id"], clean["text"])}
+    source = dict(zip(clean["doc_id"], clean["source"]))
+    copies = Counter(mixed["doc_id"])
+    assert set(copies) <= set(size) and max(copies.values()) <= 2
+    assert dict(zip(mixed["doc_id"], mixed["text"])).items() <= dict(zip(clean["doc_id"], clean["text"])).items()
+    targets = {r["source"]: r["target"] for r in mixing.mixed(spark.createDataFrame(clean)).select("source", "target").distinct().collect()}
+    for s, want in targets.items():
+        taken = sum(n * size[d] for d, n in copies.items() if source[d] == s)
+        assert abs(taken - want) <= max(size[d] for d in size if source[d] == s)
+    t = tokenizer("word_bpe_49k.json")
+    ids = {d: np.array(t.encode(x or "", add_special_tokens=False).ids + [2], "<u4") for d, x in zip(mixed["doc_id"], mixed["text"])}
+    pieces, told = docs.collect(), Counter()
+    for r in pieces:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+        for k in range(r["start"], r["start"] + r["length"]):
+            told[r["doc_id"], k] += 1
+    assert told == Counter({(d, k): n for d, n in copies.items() for k in range(len(ids[d]))})
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, empty):
     import corpus_pipeline
 
