@@ -241,6 +241,20 @@ def met_across(rest: DataFrame, shared: int) -> DataFrame:
     return pairs.select("ra", "rb", "a", "b").distinct().join(enough, ["ra", "rb"]).select("a", "b")
 
 
+def packed_gaps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers from 0 as 16-bit gaps; 65535 is a step of as many without a number."""
+    gap = np.diff(numbers.astype(np.int64), prepend=0)
+    steps, rest = np.divmod(gap, 65535)
+    out = np.full(len(gap) + int(steps.sum()), 65535, "<u2")
+    out[np.cumsum(steps + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpacked_gaps(raw: bytes) -> np.ndarray:
+    gaps = np.frombuffer(raw, "<u2")
+    return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
+
+
 def shared_entries(classes: DataFrame) -> DataFrame:
     """(key, rep) of the images' table keys, less nearly all keys that one image alone has."""
     spark = classes.sparkSession
@@ -257,7 +271,8 @@ def shared_entries(classes: DataFrame) -> DataFrame:
         cut = np.searchsorted(found >> np.uint32(5), np.arange(blocks + 1, dtype=np.int64) * slice_)
         for b in np.flatnonzero(np.diff(cut)):
             at = slice(cut[b], cut[b + 1])
-            yield labels[b], int(b), found[at].tobytes(), found[at][n[at] > 1].tobytes()
+            own = found[at].astype(np.int64) - (int(b) * slice_ << 5)
+            yield labels[b], int(b), packed_gaps(own), packed_gaps(own[n[at] > 1])
 
     @frugal
     def tiles(batches):
@@ -275,11 +290,11 @@ def shared_entries(classes: DataFrame) -> DataFrame:
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         """A tile names each of its keys once, so one that two tiles name belongs to two images."""
         let_go()
-        every = np.sort(np.frombuffer(b"".join(pdf["found"]), "<u4"))
-        both = np.concatenate([every[1:][every[1:] == every[:-1]], np.frombuffer(b"".join(pdf["several"]), "<u4")])
+        every = np.sort(np.concatenate([unpacked_gaps(r) for r in pdf["found"]]))
+        both = np.concatenate([every[1:][every[1:] == every[:-1]], *map(unpacked_gaps, pdf["several"])])
         number = int(pdf["number"].iloc[0])
         bits = np.zeros(slice_, np.uint8)
-        bits[(both >> np.uint32(5)).astype(np.int64) - number * slice_] = 1
+        bits[both >> 5] = 1
         return pd.DataFrame([(number, np.packbits(bits, bitorder="little").tobytes())], columns=["number", "bits"])
 
     made = classes.select("corners").mapInPandas(tiles, "block long, number int, found binary, several binary")
@@ -322,16 +337,18 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     """
     spark = prepare(media.sparkSession)
     own = media.where("media_id is not null").select(F.col("media_id").cast("long").alias("media_id"), F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("cls"), "image")
-    names = written(own.select("media_id", "cls"), "media-names")
 
     @F.pandas_udf("binary")
     def look(images: pd.Series) -> pd.Series:
         found = described_all([decode_grey(bytes(raw)) if raw is not None else None for raw in images])
         return pd.Series([c.tobytes() for c in found], dtype=object)
 
+    # Images are read once, where they stand, and only their corners move.
+    rows = written(own.select("media_id", "cls", look("image").alias("corners")), "media-rows")
+    names = rows.select("media_id", "cls")
     # A class is known by a hash of its bytes' hash: rows of different bytes may have one id.
-    first = own.groupBy("cls").agg(F.any_value("image").alias("image"))
-    classes = written(first.select("cls", F.xxhash64("cls").alias("rep"), look("image").alias("corners")), "media-corners")
+    first = rows.groupBy("cls").agg(F.any_value("corners").alias("corners"))
+    classes = written(first.select("cls", F.xxhash64("cls").alias("rep"), "corners"), "media-corners")
     table = shared_entries(classes)
     full = table.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
     table = written(spread_join(table, full, "key", "rep").select("key", "rep", "head"), "media-table")
@@ -374,7 +391,7 @@ EDITS = (
 )
 
 
-def rendered(vectors: DataFrame, every: int = 10) -> DataFrame:
+def rendered(vectors: DataFrame, every: int = 50) -> DataFrame:
     """(media_id, vec_id, edit, image): vectors (vec_id, embedding) drawn as grey images, for tables without media.
 
     Each vector is drawn (edit 0, media_id 8 * vec_id), and for one id in
@@ -405,6 +422,5 @@ def rendered(vectors: DataFrame, every: int = 10) -> DataFrame:
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per image drawn: vec_id, edit, n_corners, component_id (the least media_id, 8 * vec_id + edit) and n_links."""
     prepare(spark)
-    images = written(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "media-images")
-    found = media_copies(images)
+    found = media_copies(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
     return found.select(F.floor(F.col("media_id") / 8).alias("vec_id"), F.pmod("media_id", F.lit(8)).cast("int").alias("edit"), "n_corners", "component_id", "n_links")
