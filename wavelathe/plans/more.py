@@ -254,6 +254,35 @@ _SQL["func_peaks_events"] = f"""{_PEAKS} SELECT user_id, CAST(len(p) AS DOUBLE)
     {s6('CASE WHEN len(p) > 0 THEN list_avg(h) - mu ELSE 0 END')} AS x_peakmeanmeandist, {s6('CASE WHEN len(d) > 0 THEN sqrt(list_avg(list_transform(d, lambda v: (v - list_avg(d)) ** 2))) ELSE 0 END')} AS x_peakdiststddev FROM z"""
 
 
+def _peaks2_sql() -> str:
+    """The same state with the bottoms too, then statistics of lists."""
+    both = _PEAKS[: _PEAKS.index("f AS (SELECT user_id, arg_max")]
+    both = both.replace("tops, heights)", "tops, heights, bots, lows)").replace("CAST([] AS BIGINT[]), CAST([] AS DOUBLE[])", "CAST([] AS BIGINT[]), CAST([] AS DOUBLE[]), CAST([] AS BIGINT[]), CAST([] AS DOUBLE[])")
+    both = both.replace("ELSE r.heights END", f"ELSE r.heights END, CASE WHEN {_bot} AND {_lo} > 0 THEN list_append(r.bots, {_lo}) ELSE r.bots END, CASE WHEN {_bot} AND {_lo} > 0 THEN list_append(r.lows, {_xlo}) ELSE r.lows END")
+    none = lambda c: f"CASE WHEN n >= 3 THEN {c} ELSE [] END"
+    steps = lambda v: f"list_transform(range(1, len({v})), lambda i: CAST({v}[i + 1] - {v}[i] AS DOUBLE))"
+    spot = lambda t, h, k: f"list_transform({t}, lambda v, i: struct_pack(i := v, k := {k}, x := {h}[i]))"
+    tables = f"""f AS (SELECT user_id, arg_max(tops, vidx) AS t0, arg_max(heights, vidx) AS h0, arg_max(bots, vidx) AS b0, arg_max(lows, vidx) AS l0, count(*) AS n, avg(x) AS mu, max(x) - min(x) AS span FROM r GROUP BY user_id),
+    k AS (SELECT user_id, n, mu, span, {none('t0')} AS t, {none('h0')} AS h, {none('b0')} AS b, {none('l0')} AS l FROM f),
+    w AS (SELECT *, {steps('t')} AS dist, list_transform({steps('h')}, lambda v: abs(v)) AS up, list_transform({steps('l')}, lambda v: abs(v)) AS down, list_sort(list_concat({spot('t', 'h', 1)}, {spot('b', 'l', -1)})) AS m FROM k),
+    y AS (SELECT *, list_transform({steps('dist')}, lambda v: abs(v)) AS dd, list_transform(list_filter(range(1, len(m)), lambda i: m[i + 1].i > m[i].i), lambda i: struct_pack(s := (m[i + 1].x - m[i].x) / (m[i + 1].i - m[i].i), k := m[i + 1].k)) AS sl FROM w),
+    z AS (SELECT *, list_transform(list_filter(sl, lambda v: v.k > 0), lambda v: v.s) AS rise, list_transform(list_filter(sl, lambda v: v.k < 0), lambda v: v.s) AS fall FROM y)"""
+    mean = lambda v: f"coalesce(list_avg({v}), 0)"
+    std = lambda v: f"coalesce(sqrt(list_avg(list_transform({v}, lambda q: (q - list_avg({v})) ** 2))), 0)"
+    ptp = lambda v: f"coalesce(list_max({v}) - list_min({v}), 0)"
+    by = lambda v, d: f"coalesce({v} / nullif({d}, 0), 0)"
+    cols = {"numpeaks": "len(t)", "meanpeakdist": mean("dist"), "meanpeakdistdelta": mean("dd"), "peakdiststddev": std("dist")}
+    for name, v, amp, word, sign in (("peak", "h", "up", "ptp", "{m} - mu"), ("min", "l", "down", "mtm", "mu - {m}")):
+        cols |= {f"{name}rangeabs": ptp(v), f"{name}rangerel": by(ptp(v), "span"), f"{name}meanabs": mean(v), f"{name}meanmeandist": f"CASE WHEN len({v}) > 0 THEN {sign.format(m=mean(v))} ELSE 0 END", f"{name}meanrel": by(mean(v), "mu")}
+        cols |= {f"{word}ampmeanabs": mean(amp), f"{word}ampmeanrel": by(mean(amp), "span"), f"{word}ampstddevabs": std(amp), f"{word}ampstddevrel": by(std(amp), "span")}
+    for name, v in (("rising", "rise"), ("falling", "fall")):
+        cols |= {f"mean{name}slope": mean(v), f"max{name}slope": f"coalesce(list_max({v}), 0)", f"min{name}slope": f"coalesce(list_min({v}), 0)", f"stddev{name}slope": std(v), f"cov{name}slope": by(std(v), mean(v))}
+    return f"{both} {tables} SELECT user_id, " + ", ".join(f"{s6(f'CAST({e} AS DOUBLE)')} AS x_{c}" for c, e in cols.items()) + " FROM z"
+
+
+_SQL["func_peaks2_events"] = _peaks2_sql()
+
+
 # Vectors and spectra.
 _cov = "list_sum(list_transform(v, lambda x, i: (x - list_avg(v)) * (v[n - i + 1] - list_avg(v))))"
 _sh = "list_transform(v, lambda x: greatest(x - least(list_min(v), 0), 1e-7))"
