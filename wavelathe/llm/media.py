@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, even_labels, frugal, let_go, mix64, prepare, shuffle_partitions, spread_join, written
+from .common import components, even_labels, frugal, give_back, let_go, mix64, prepare, shuffle_partitions, spread_join, written
 
 CELL = 8  # pixels of a cell, of which the strongest corner is kept
 BITS = 64
@@ -33,6 +33,7 @@ KEPT_PARTS = 2  # that a table holds
 NEAREST = 3  # corners that a corner's keys join it with
 SECTORS = 8  # of a turn, in which how two corners lie to each other is told
 MAP_BITS = 1 << 27
+ROUNDS = 3  # in which an image meets one other, before all that share an entry do
 PAIR_ROWS = 1024  # of a table's entry that one task pairs with the others
 _STEPS = 5  # scales of an octave
 _SCALES = tuple(2.0 ** (-k / _STEPS) for k in range(8))
@@ -41,7 +42,7 @@ _RNG = np.random.default_rng(20)
 _TESTS = np.clip(_RNG.normal(0, 3.2, (BITS, 4)), -7, 7)
 _DY, _DX = (g[np.hypot(*np.mgrid[-7:8, -7:8]) <= 7] for g in np.mgrid[-7:8, -7:8])
 _CORNER = np.dtype([("code", "<u8"), ("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("t", "<f4")])
-_TILE_KEYS = 1 << 21
+_TILE_KEYS = 1 << 20
 
 
 def decode_grey(raw: bytes) -> np.ndarray | None:
@@ -143,7 +144,7 @@ def described(stack: np.ndarray) -> list[np.ndarray]:
     return np.split(found[order], np.searchsorted(owner[order], np.arange(1, n)))
 
 
-def described_all(images: list, most_pixels: int = 1 << 18) -> list[np.ndarray]:
+def described_all(images: list, most_pixels: int = 1 << 16) -> list[np.ndarray]:
     """The corners of each image (None: none), those of one size in stacks of about most_pixels."""
     out: list = [np.empty(0, _CORNER)] * len(images)
     by_size: dict = {}
@@ -255,6 +256,19 @@ def unpacked_gaps(raw: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != 65535]
 
 
+def nearest_heads(rest: DataFrame, shared: int) -> DataFrame:
+    """Pairs (a, b) of rest (key, root, rep): each image b with the head of another component that it shares most entries with, `shared` at least.
+
+    An entry's heads are the least image of its least component and the largest of its largest.
+    """
+    place = F.struct("root", "rep")
+    heads = rest.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.root < hi.root")
+    rows = spread_join(rest, heads, "key", "rep")
+    head = F.when(F.col("lo.root") != F.col("root"), F.col("lo.rep")).otherwise(F.col("hi.rep"))
+    counts = rows.groupBy(head.alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared)
+    return counts.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
+
+
 def shared_entries(classes: DataFrame) -> DataFrame:
     """(key, rep) of the images' table keys, less nearly all keys that one image alone has."""
     spark = classes.sparkSession
@@ -330,33 +344,43 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     repeated rows; a row with a null media_id is left out. Other columns are
     ignored. Classes that meet in `shared` table entries or more are
     candidates, and a candidate pair whose corners agree (are_copies) is a
-    link; n_links counts a class's links found. An entry's classes meet its
-    least one first, which is linear and connects groups of copies. Then all
-    classes of an entry that lie in different components meet, where the two
-    components share as many entries.
+    link; n_links counts a class's links found. First, for ROUNDS rounds, each
+    class meets one head of another component, which is linear and connects
+    groups of copies. Then all classes of an entry that lie in different
+    components meet, where the two components share as many entries.
     """
     spark = prepare(media.sparkSession)
     own = media.where("media_id is not null").select(F.col("media_id").cast("long").alias("media_id"), F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("cls"), "image")
 
-    @F.pandas_udf("binary")
-    def look(images: pd.Series) -> pd.Series:
-        found = described_all([decode_grey(bytes(raw)) if raw is not None else None for raw in images])
-        return pd.Series([c.tobytes() for c in found], dtype=object)
+    @frugal
+    def look(batches):
+        for pdf in batches:
+            found = described_all([decode_grey(bytes(raw)) if raw is not None else None for raw in pdf["image"]])
+            yield pd.DataFrame({"media_id": pdf["media_id"], "cls": pdf["cls"], "corners": [c.tobytes() for c in found]})
+            give_back()
 
     # Images are read once, where they stand, and only their corners move.
-    rows = written(own.select("media_id", "cls", look("image").alias("corners")), "media-rows")
+    rows = written(own.mapInPandas(look, "media_id long, cls string, corners binary"), "media-rows")
     names = rows.select("media_id", "cls")
     # A class is known by a hash of its bytes' hash: rows of different bytes may have one id.
     first = rows.groupBy("cls").agg(F.any_value("corners").alias("corners"))
     classes = written(first.select("cls", F.xxhash64("cls").alias("rep"), "corners"), "media-corners")
     table = shared_entries(classes)
-    full = table.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("key", "head")
-    table = written(spread_join(table, full, "key", "rep").select("key", "rep", "head"), "media-table")
-    stars = table.where("rep <> head").groupBy(F.col("head").alias("a"), F.col("rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    links = written(_verified(stars.where(F.col("n") >= shared).select("a", "b"), classes, near, votes), "media-stars")
-    roots = components(links, "media-cc").withColumnRenamed("node", "rep")
-    rest = table.join(roots, "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), "rep").distinct()
-    rest = written(rest, "media-rest")
+    full = table.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    table = written(spread_join(table, full, "key", "rep").select("key", "rep"), "media-table")
+    rest, links = table.withColumn("root", F.col("rep")), None
+    for _ in range(ROUNDS):
+        found = written(_verified(nearest_heads(rest, shared), classes, near, votes), "media-stars")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        roots = components(links if _ == 0 else roots.toDF("a", "b").union(found), "media-cc")
+        rest = written(table.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), "rep"), "media-rest")
+    if links is None:
+        links = classes.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        roots = links.toDF("node", "root")
+    rest = rest.select("key", "root", "rep")
+    roots = roots.withColumnRenamed("node", "rep")
     more = written(_verified(met_across(rest, shared), classes, near, votes), "media-across")
     edges = links.union(more)
     if not more.isEmpty():
@@ -368,7 +392,6 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     found = written(spread_join(names, about, "cls", "media_id"), "media-found")
     least = found.groupBy("root").agg(F.min("media_id").alias("least"))
     out = spread_join(found, least, "root", "media_id")
-    drop(table, rest)
     return out.select("media_id", "n_corners", F.when(F.col("n_corners") > 0, F.col("least")).otherwise(F.col("media_id")).alias("component_id"), "n_links")
 
 
