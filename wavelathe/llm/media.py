@@ -17,6 +17,7 @@ become rows; a bit set by chance costs a row and changes nothing.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -396,14 +397,12 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
 
 
 _GRID, _SIDE = 14, 64
-_MIX = np.random.default_rng(11).normal(size=(4096, _GRID * _GRID))
 
 
 def drawn(vector: np.ndarray, side: int = _SIDE) -> np.ndarray:
-    """A vector as grey levels: fixed random mixtures of its components (up to 4096) on a grid, enlarged."""
-    grid = sum(vector[k : k + 4096] @ _MIX[: len(vector[k : k + 4096])] for k in range(0, len(vector), 4096))
-    span = np.ptp(grid)
-    return np.rint(resized(((grid - grid.min()) / (span or 1) * 255).reshape(_GRID, _GRID), side, side))
+    """A vector as a picture: grey levels on a grid, told by the hash of its numbers, enlarged. Equal vectors are one picture, any others unlike."""
+    seed = int.from_bytes(hashlib.sha256(np.asarray(vector, "<f8").tobytes()).digest()[:8], "little")
+    return np.rint(resized(np.random.default_rng(seed).uniform(0, 255, (_GRID, _GRID)), side, side))
 
 
 #: Edits by number: a crop to five sixths, levels, noise, a quarter turn, enlarged, reduced, a crop to two thirds.
