@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, even_labels, frugal, give_back, let_go, mix64, prepare, shuffle_partitions, spread_join, written
+from .common import components, drop, even_labels, free_shuffles, frugal, give_back, let_go, mix64, prepare, shuffle_partitions, spread_join, written
 
 CELL = 8  # pixels of a cell, of which the strongest corner is kept
 BITS = 64
@@ -34,7 +34,7 @@ KEPT_PARTS = 2  # that a table holds
 NEAREST = 3  # corners that a corner's keys join it with
 SECTORS = 8  # of a turn, in which how two corners lie to each other is told
 MAP_BITS = 1 << 27
-ROUNDS = 3  # in which an image meets one other, before all that share an entry do
+ROUNDS = 1  # in which an image meets one other, before all that share an entry do
 PAIR_ROWS = 1024  # of a table's entry that one task pairs with the others
 _STEPS = 5  # scales of an octave
 _SCALES = tuple(2.0 ** (-k / _STEPS) for k in range(8))
@@ -366,9 +366,11 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     # A class is known by a hash of its bytes' hash: rows of different bytes may have one id.
     first = rows.groupBy("cls").agg(F.any_value("corners").alias("corners"))
     classes = written(first.select("cls", F.xxhash64("cls").alias("rep"), "corners"), "media-corners")
-    table = shared_entries(classes)
-    full = table.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
-    table = written(spread_join(table, full, "key", "rep").select("key", "rep"), "media-table")
+    entries = shared_entries(classes)
+    full = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
+    table = written(spread_join(entries, full, "key", "rep").select("key", "rep"), "media-table")
+    drop(entries)
+    free_shuffles(spark)
     rest, links = table.withColumn("root", F.col("rep")), None
     for _ in range(ROUNDS):
         found = written(_verified(nearest_heads(rest, shared), classes, near, votes), "media-stars")
@@ -376,6 +378,7 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
             break
         links = found if links is None else links.union(found)
         roots = components(links if _ == 0 else roots.toDF("a", "b").union(found), "media-cc")
+        free_shuffles(spark)
         rest = written(table.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), "rep"), "media-rest")
     if links is None:
         links = classes.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
@@ -383,6 +386,7 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     rest = rest.select("key", "root", "rep")
     roots = roots.withColumnRenamed("node", "rep")
     more = written(_verified(met_across(rest, shared), classes, near, votes), "media-across")
+    free_shuffles(spark)
     edges = links.union(more)
     if not more.isEmpty():
         roots = components(roots.toDF("a", "b").union(more), "media-cc").withColumnRenamed("node", "rep")
