@@ -362,10 +362,12 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
 
     # Images are read once, where they stand, and only their corners move.
     rows = written(own.mapInPandas(look, "media_id long, cls string, corners binary"), "media-rows")
-    names = rows.select("media_id", "cls")
+    names = written(rows.select("media_id", "cls"), "media-names")
     # A class is known by a hash of its bytes' hash: rows of different bytes may have one id.
     first = rows.groupBy("cls").agg(F.any_value("corners").alias("corners"))
     classes = written(first.select("cls", F.xxhash64("cls").alias("rep"), "corners"), "media-corners")
+    drop(rows)
+    free_shuffles(spark)
     entries = shared_entries(classes)
     full = entries.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key")
     table = written(spread_join(entries, full, "key", "rep").select("key", "rep"), "media-table")
