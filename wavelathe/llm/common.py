@@ -13,7 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts average kilobytes, so the engine's 10,000 rows
@@ -190,6 +190,27 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: str, by: str, parts: int
     return dealt.join(there, [on, "__wl_part"]).drop("__wl_part")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, label: str = "order") -> DataFrame:
+    """df (a written table, as it is read twice) with each row's place, from 1, in the order.
+
+    Rows are sorted in ranges, and the counts of the ranges before a row's own
+    are added to its place there: no task sorts more than a range. Rows that the
+    order leaves equal stand as they are stored, so they too part into ranges.
+    """
+    spark = df.sparkSession
+    keys = [*order, F.asc("__wl_at")]
+    ranges = df.withColumn("__wl_at", F.monotonically_increasing_id()).repartitionByRange(shuffle_partitions(spark), *keys).sortWithinPartitions(*keys)
+    # Its upper 31 bits are the range's number, its lower 33 the place in it.
+    rows = written(ranges.withColumn("__wl_at", F.monotonically_increasing_id()), label)
+    number = F.shiftright("__wl_at", 33)
+    sizes = rows.groupBy(number.alias("__wl_range")).agg(F.count(F.lit(1)).alias("__wl_n"))
+    before = F.coalesce(F.sum("__wl_n").over(Window.orderBy("__wl_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__wl_range", before.alias("__wl_before")))  # one row a range
+    placed = rows.withColumn("__wl_range", number).join(starts, "__wl_range")
+    place = F.col("__wl_before") + F.col("__wl_at").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn(name, place).drop("__wl_range", "__wl_before", "__wl_at")
+
+
 def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node.
 
