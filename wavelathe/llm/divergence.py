@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, frugal, let_go, prepare, small, text_of, written
 from .texthash import pieces
 
-CELLS = 1 << 20
+CELLS = 1 << 16
 HELD = 250_000  # counts of a task before it sends them on
 ONE = 1_000_000_000
 #: Letters (A-Z become a-z) and all bytes beyond ASCII stay; the others part terms.
