@@ -339,9 +339,6 @@ def test_registry_and_small_helpers(spark):
     assert scales.round_pow2(100) == 128 and scales.round_pow2(100, "down") == 64 and scales.round_pow2(65, "up") == 128
     noisy = spark.createDataFrame([([0.0] * 2000,)], "v array<double>").select(vectors.operation("agn", F.col("v"), 2.0, 0.5).alias("y")).first()["y"]
     assert abs(np.mean(noisy) - 2) < 0.1 and abs(np.std(noisy) - 0.5) < 0.1
-    x = np.array([0, 0, 1, 1, 1, 0, 0, 0, 1, 1, 1, 1], float)
-    got = kernels.threshold_segments(x, "absth", 0.5, 1)
-    assert got["numsegments"] == 4 and got["maxseglen"] == 4
 
 
 def test_live_control_sinks_and_turns(spark, tmp_path):

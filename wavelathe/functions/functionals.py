@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import blocks as blk
 
 
 def ratio_limit(x: Column, limit: float = 10.0, top: float = 20.0) -> Column:
@@ -45,6 +46,17 @@ def prepared(df: DataFrame, keys: list[str], order: list[str], x: str, nonzero:
     return out.select("*", F.avg(F.col("i") * F.col("x")).over(w).alias("mix"), F.avg(F.col("i") * F.col("i") * F.col("x")).over(w).alias("miix"))
 
 
+def prepared_in_blocks(df: DataFrame, b: blk.Blocks, x: str, nonzero: int = 0) -> DataFrame:
+    """`prepared` for long series: rows see their neighbours by block, and aggregates of the whole are merged and joined back."""
+    df = df.select(*b.keys, "vidx", F.col(x).cast("double").alias("x"))
+    if nonzero:
+        df = df.where("x <> 0" if nonzero == 1 else "x > 0")
+    rows = b.windowed(b.renumbered(df), {"was": lambda s: F.lag("x").over(s.ordered()), "will": lambda s: F.lead("x").over(s.ordered())}, 1, 1)
+    rows = rows.withColumn("i", F.col("vidx").cast("double"))
+    i, v = F.col("i"), F.col("x")
+    return b.shared(rows, n=F.count("x").cast("double"), lo=F.min("x"), hi=F.max("x"), mu=F.avg("x"), mix=F.avg(i * v), miix=F.avg(i * i * v))
+
+
 def _c(name: str) -> Column:
     return F.col(name)
 
@@ -95,11 +107,18 @@ def _nearest(q: float) -> Column:
     return F.get(F.sort_array(F.collect_list("x")), F.round(F.lit(q) * (F.count("x") - 1)).cast("int"))
 
 
-def percentiles(at: tuple = (0.05, 0.95), ranges: tuple = ((0, 1),), interpolated: bool = True) -> dict[str, Column]:
-    """Quartiles, their ranges and quotients, percentiles and theirs; between two ranks interpolated, or the nearer."""
-    all_ = sorted({0.25, 0.5, 0.75, *at})
-    together = F.percentile("x", F.array(*map(F.lit, all_)))  # one sorted buffer for all
-    p = (lambda q: F.element_at(together, all_.index(q) + 1)) if interpolated else _nearest
+def _shares(at: tuple) -> list[float]:
+    return sorted({0.25, 0.5, 0.75, *at})
+
+
+def percentiles(at: tuple = (0.05, 0.95), ranges: tuple = ((0, 1),), interpolated: bool = True, values: Column | None = None) -> dict[str, Column]:
+    """Quartiles, their ranges and quotients, percentiles and theirs; between two ranks interpolated, or the nearer.
+
+    A segment's values are sorted in one task, unless `values` has them (of the quartiles and `at`, ascending).
+    """
+    all_ = _shares(at)
+    together = F.percentile("x", F.array(*map(F.lit, all_))) if values is None else values
+    p = (lambda q: F.element_at(together, all_.index(q) + 1)) if interpolated or values is not None else _nearest
     out = {"quartile1": p(0.25), "quartile2": p(0.5), "quartile3": p(0.75)}
     pairs = {"12": (0.25, 0.5), "23": (0.5, 0.75), "13": (0.25, 0.75)}
     out |= {f"iqr{k}": F.abs(p(b) - p(a)) for k, (a, b) in pairs.items()}
@@ -212,19 +231,32 @@ def _normed(name: str, c: Column, norm: str, period: float) -> Column:
     return c
 
 
-def functionals(df: DataFrame, keys: list[str], order: list[str], x: str, which: dict[str, dict] | list[str], nonzero: int = 0, field: str | None = None, norm: str = "segment", period: float = 1.0) -> DataFrame:
+def functionals(df: DataFrame, keys: list[str], order: list[str], x: str, which: dict[str, dict] | list[str], nonzero: int = 0, field: str | None = None, norm: str = "segment", period: float = 1.0, blocks: blk.Blocks | None = None) -> DataFrame:
     """keys and `<field>_<functional>` of every named set, in one groupBy.
 
     norm gives places and lengths as shares of the segment, in rows (frame), or
-    in seconds of `period` a row; with it rates are a second too.
+    in seconds of `period` a row; with it rates are a second too. With blocks
+    (over the same keys, order vidx) each segment may be longer than a task
+    can hold: partial aggregates are merged, and percentiles are ranked by counts.
     """
-    which = which if isinstance(which, dict) else {w: {} for w in which}
+    which = dict(which) if isinstance(which, dict) else {w: {} for w in which}
     field = field or x
-    cols: dict[str, Column] = {}
-    for name, args in which.items():
-        cols |= REGISTRY[name](**args)
-    rows = prepared(df, keys, order, x, nonzero)
-    return rows.groupBy(*keys).agg(*[_normed(k, c, norm, period).cast("double").alias(f"{field}_{k}") for k, c in cols.items()])
+    if blocks is None:
+        cols = {k: c for name, args in which.items() for k, c in REGISTRY[name](**args).items()}
+        rows = prepared(df, keys, order, x, nonzero)
+        return rows.groupBy(*keys).agg(*[_normed(k, c, norm, period).cast("double").alias(f"{field}_{k}") for k, c in cols.items()])
+    if list(blocks.keys) != list(keys) or list(order) != ["vidx"]:
+        raise ValueError("blocks are of a level's series, in the order of vidx")
+    ranks = which.pop("percentiles", None)
+    cols = {k: c for name, args in which.items() for k, c in REGISTRY[name](**args).items()}
+    rows = prepared_in_blocks(df, blocks, x, nonzero)
+    out = rows.groupBy(*keys).agg(*[_normed(k, c, norm, period).cast("double").alias(f"{field}_{k}") for k, c in cols.items()]) if cols else None
+    if ranks is None:
+        return out
+    plain = df.where(F.col(x) != 0 if nonzero == 1 else F.col(x) > 0) if nonzero else df
+    sorted_ = blk.percentiles(plain, keys, x, _shares(ranks.get("at", (0.05, 0.95))), ranks.get("interpolated", True))
+    sorted_ = sorted_.select(*keys, *[c.alias(f"{field}_{k}") for k, c in percentiles(**ranks, values=F.col("values")).items()])
+    return sorted_ if out is None else out.join(sorted_, keys)
 
 
 def functionals_of(df: DataFrame, keys: list[str], order: list[str], fields: list[str], which, nonzero: int = 0, norm: str = "segment", period: float = 1.0) -> DataFrame:

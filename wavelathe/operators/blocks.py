@@ -108,8 +108,7 @@ class Blocks:
     def held(self, df: DataFrame, name: str, value: Column) -> DataFrame:
         """df with the last value that is not null, of the rows up to each one; null before the first."""
         own = self.own(df.withColumn(name, value))
-        last = own.where(F.col(name).isNotNull()).groupBy(*self.by).agg(F.max(F.struct("vidx", name))[name].alias("_last"))
-        blocks = own.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_n")).join(last, self.by, "left")
+        blocks = own.groupBy(*self.by).agg(F.max(F.when(F.col(name).isNotNull(), F.struct("vidx", name)))[name].alias("_last"))
         w = Window.partitionBy(*self.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.select(*self.by, F.last("_last", ignorenulls=True).over(w).alias("_before"))
         so_far = F.last(name, ignorenulls=True).over(Window.partitionBy(*self.by).orderBy("vidx").rowsBetween(Window.unboundedPreceding, 0))
@@ -124,7 +123,7 @@ class Blocks:
         return own.join(blocks, self.by).withColumn(name, so_far + F.col("_before")).drop("_block", "_before")
 
     def running(self, df: DataFrame, x: str) -> DataFrame:
-        """df with _n, _mean, _m2: count, mean and sum of squared deviations of x in the rows up to each one.
+        """df with _n, _mean, _m2 and _dev: count, mean and sum of squared deviations of x in the rows up to each one, and x less that mean.
 
         Moments of a block's rows so far are merged with those of the blocks
         before, which are taken about the series' mean so that little cancels.
@@ -143,13 +142,13 @@ class Blocks:
         bm = F.coalesce(F.col("_bs") / bn, F.lit(0.0))
         apart = F.col("_am") - bm
         m2 = F.col("_aq") + F.greatest(F.col("_bq") - F.coalesce(F.col("_bs") * F.col("_bs") / bn, F.lit(0.0)), F.lit(0.0)) + apart * apart * F.col("_an") * F.col("_bn") / F.when(n > 0, n)
-        mean = F.col("_mu") + (F.col("_am") * F.col("_an") + F.col("_bs")) / F.when(n > 0, n)
-        return out.select(*df.columns, n.alias("_n"), mean.alias("_mean"), m2.alias("_m2"))
+        middle = (F.col("_am") * F.col("_an") + F.col("_bs")) / F.when(n > 0, n)
+        return out.select(*df.columns, n.alias("_n"), (F.col("_mu") + middle).alias("_mean"), m2.alias("_m2"), (d - middle).alias("_dev"))
 
     def running_mvn(self, df: DataFrame, x: str, floor: float = 1e-7) -> DataFrame:
         """df with <x>_mvn: x less the mean, by the deviation, of the rows so far."""
         sd = F.sqrt(F.greatest(F.col("_m2") / F.col("_n"), F.lit(0.0)))
-        return self.running(df, x).withColumn(f"{x}_mvn", (F.col(x) - F.col("_mean")) / F.greatest(sd, F.lit(floor))).drop("_n", "_mean", "_m2")
+        return self.running(df, x).withColumn(f"{x}_mvn", F.col("_dev") / F.greatest(sd, F.lit(floor))).drop("_n", "_mean", "_m2", "_dev")
 
     def frames(self, df: DataFrame, x: str, size: int, step: int | None = None) -> DataFrame:
         """keys, segment, frame: windows of `size` rows, one each `step`, as arrays. A window is made where its first row stands; incomplete ones are left out."""
@@ -175,7 +174,8 @@ def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable, start, rep
     the executors; one task has one map a block of a series.
     """
     keys, by = list(b.keys), b.by
-    own = b.own(df)
+    # A number of its own, as few bytes may be much work: else they would be put into one task.
+    own = b.own(df).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
     head = callable(start)
 
     def maps(rows: pd.DataFrame) -> pd.DataFrame:
@@ -326,13 +326,14 @@ def turns(df: DataFrame, b: Blocks, x: str, on: float, off: float | None = None,
         within = [(inside + n + 1 if n < post else 0) if down else inside for n in range(post + 1)]
         table.append(outside + within)
     symbol = F.when(F.col(x) > on, 1).when(F.col(x) <= off, 2).otherwise(0)
-    rows = machine(df.select(*b.keys, "vidx", x), b, symbol, table)
+    # The machine runs once; what follows reads its rows several times.
+    rows = written(machine(df.select(*b.keys, "vidx", x), b, symbol, table), "turn-states")
     entered, left = (F.col("_was") < inside) & (F.col("_is") >= inside), (F.col("_was") >= inside) & (F.col("_is") < inside)
-    rows = b.shared(b.held(rows, "_start", F.when(entered, F.col("vidx") - pre)), _end=F.max("vidx"))
+    rows = b.held(b.shared(rows, _end=F.max("vidx")), "_start", F.when(entered, F.col("vidx") - pre))
     open_ = (F.col("vidx") == F.col("_end")) & (F.col("_is") >= inside)
     stop = F.when(left, F.col("vidx") - post - 1).when(open_, F.col("vidx") - (F.col("_is") - inside))
     found = rows.where(left | open_).select(*b.keys, "vidx", F.col("_start").alias("start"), stop.alias("stop"))
-    return b.renumbered(found).select(*b.keys, F.col("vidx").alias("segment"), "start", "stop")
+    return b.renumbered(written(found, "turns")).select(*b.keys, F.col("vidx").alias("segment"), "start", "stop")
 
 
 def spaced(candidates: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:

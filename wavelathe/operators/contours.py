@@ -2,7 +2,9 @@
 
 Each is a machine along the series (see `blocks`), so a long series is cut into
 blocks; what the machine marks are rows, and the statistics are aggregates of
-those. Series without a mark get a row too.
+those. Series without a mark get a row too. A level that is read by several
+steps, and what a machine has marked, are written to the shared folder, so that
+neither is made twice.
 """
 
 from __future__ import annotations
@@ -53,7 +55,7 @@ def _borders(df: DataFrame, b: Blocks, x: str, kind: str, share: float, threshol
     rows = b.shared(df.select(*keys, "vidx", F.col(x).cast("double").alias("x")), _n=F.count(F.lit(1)), _lo=F.min("x"), _hi=F.max("x"), _mu=F.avg("x"))
     span = F.col("_hi") - F.col("_lo")
     if kind in ("delta", "delt2"):
-        rows = b.summed(rows, "_sum", F.col("x") - F.col("_mu")).withColumn("_len", F.lit(average).cast("long") if average else F.floor(F.col("_n") / (most // 2)).cast("long"))
+        rows = written(b.summed(rows, "_sum", F.col("x") - F.col("_mu")), "segment-sums").withColumn("_len", F.lit(average).cast("long") if average else F.floor(F.col("_n") / (most // 2)).cast("long"))
         old = rows.select(*keys, (F.col("vidx") + F.col("_len")).alias("vidx"), F.col("_sum").alias("_old"))
         rows = rows.join(old, [*keys, "vidx"], "left")
         mean = (F.col("_sum") - F.coalesce("_old", F.lit(0.0))) / F.least(F.col("vidx") + 1, F.when(F.col("_len") > 0, F.col("_len"))) + F.col("_mu")
@@ -71,13 +73,13 @@ def _borders(df: DataFrame, b: Blocks, x: str, kind: str, share: float, threshol
         crossed = [((now > at(t)) & (was <= at(t))) | ((now < at(t)) & (was >= at(t))) for t in thresholds]
         hit = F.coalesce(reduce(lambda a, c: a | c, crossed), F.lit(False))
     gap = F.lit(least).cast("long") if least is not None else F.greatest(F.floor(F.col("_n") / most) - 1, F.lit(2)).cast("long")
-    rows = rows.withColumns({"_hit": hit, "_least": gap})
+    rows = written(rows.select(*keys, "vidx", F.coalesce(hit, F.lit(False)).alias("_hit"), gap.alias("_least")), "segment-borders")
     widest = least if least is not None else rows.agg(F.max("_least")).first()[0] or 0
     if widest <= min(SPREAD, b.rows - 1):
         marks = spaced_rows(rows.select(*keys, "vidx", "_hit", "_least"), b, F.col("_hit"), F.col("_least"), widest)
     else:
         marks = _next_far(rows.where("_hit").select(*keys, "vidx", "_least"), b, None if grow else most)
-    return _lengths(b, marks.select(*keys, "vidx", "_least"), (-F.floor(F.col("_least") / 2)).cast("long")).select(*keys, "vidx", "length")
+    return _lengths(b, written(marks.select(*keys, "vidx", "_least"), "segment-marks"), (-F.floor(F.col("_least") / 2)).cast("long")).select(*keys, "vidx", "length")
 
 
 def _states(symbols: int, start: tuple, follow) -> tuple[list[list[int]], list[tuple]]:
@@ -138,7 +140,7 @@ def _regions(df: DataFrame, b: Blocks, x: str, kind: str, value: float, relative
     v = F.col("x")
     hit = {"eqx": v == at, "nonx": v != at, "chx": v != at, "ltx": v < at, "gtx": v > at, "leqx": v <= at, "geqx": v >= at}[kind]
     table, states = (_both_regions if kind == "chx" else _region)(least, pause)
-    rows = machine(rows, b, hit.cast("int"), table)
+    rows = written(machine(rows.select(*keys, "vidx", "_end", hit.cast("int").alias("_hit")), b, F.col("_hit"), table), "region-states")
     part = lambda name, k: F.get(F.array(*[F.lit(s[k]) for s in states]), F.col(name).cast("int"))
     rows = rows.withColumns({"_p": part("_was", 0), "_q": part("_is", 0), "_gap": part("_is", 2)})
     turn = lambda p, q: (F.col("_p") == p) & (F.col("_q") == q)
@@ -180,10 +182,11 @@ def segments(df: DataFrame, b: Blocks, x: str, kind: str = "delta", share: float
     as they are; second by seconds of `period` a row. No segments give zeros.
     """
     keys = list(b.keys)
+    df = written(df.select(*keys, "vidx", x), "contour")
     if kind in ("delta", "delt2") or kind.endswith("th"):
         found = _borders(df, b, x, kind, share, thresholds, most, least, average, grow)
     else:
-        found = b.renumbered(_regions(df, b, x, kind, value, relative, 3 if least is None else least, pause))
+        found = b.renumbered(written(_regions(df, b, x, kind, value, relative, 3 if least is None else least, pause), "regions"))
     if not grow:
         found = found.where(F.col("vidx") < most)
     length = F.col("length").cast("double")
@@ -309,7 +312,8 @@ def peaks_marked(df: DataFrame, b: Blocks, x: str, rise: float = 0.11, fall: flo
 def peaks(df: DataFrame, b: Blocks, x: str, rise: float = 0.11, fall: float = 0.09, norm: str = "frame", period: float = 1.0) -> DataFrame:
     """keys and x_numpeaks, x_meanpeakdist (rows + 1 if there is no distance), x_peakmean (0 without a peak), x_peakmeanmeandist (to the contour's mean), x_peakdiststddev."""
     keys = list(b.keys)
-    marks = _lengths(b, peaks_marked(df, b, x, rise, fall), F.lit(None).cast("long"))
+    df = written(df.select(*keys, "vidx", x), "contour")
+    marks = _lengths(b, written(peaks_marked(df, b, x, rise, fall), "peaks"), F.lit(None).cast("long"))
     d = F.col("length").cast("double")
     stats = marks.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(d).alias("dist"), F.avg("height").alias("height"), F.stddev_pop(d).alias("std"))
     all_ = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(x).alias("_mu")).join(stats, keys, "left")

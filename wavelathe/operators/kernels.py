@@ -117,18 +117,6 @@ def extrema(x, relative: float = 0.1, absolute: float | None = None):
     return tops, bottoms
 
 
-def peaks(x) -> dict[str, float]:
-    """Hysteresis peaks: numPeaks, mean distance, mean height, and its distance to the mean."""
-    x = np.asarray(x, float)
-    tops, _ = extrema(x, 0.1)
-    d = np.diff(tops)
-    m = float(x[tops].mean()) if tops else 0.0
-    return {
-        "numpeaks": float(len(tops)), "meanpeakdist": float(d.mean()) if len(d) else float(len(x) + 1), "peakmean": m,
-        "peakmeanmeandist": m - float(x.mean()) if tops else 0.0, "peakdiststddev": float(d.std()) if len(d) else 0.0,
-    }
-
-
 def peaks2(x, relative: float = 0.1) -> dict[str, float]:
     """Statistics of pruned, alternating maxima and minima: distances, heights, slopes."""
     x = np.asarray(x, float)
@@ -154,26 +142,6 @@ def peaks2(x, relative: float = 0.1) -> dict[str, float]:
     return out
 
 
-def threshold_segments(x, kind: str = "delta", level: float = 0.25, least: int = 2) -> dict[str, float]:
-    """Segment borders where the signal leaves or enters a level: delta (of the range, between rows), relth (min + share of range), mrelth (share of mean), absth."""
-    x = np.asarray(x, float)
-    n = len(x)
-    if not n:
-        return dict.fromkeys(("numsegments", "meanseglen", "maxseglen", "minseglen", "seglenstddev"), 0.0)
-    if kind == "delta":
-        border = np.abs(np.diff(x)) > level * (np.ptp(x) or 1.0)
-    else:
-        at = {"relth": x.min() + level * np.ptp(x), "mrelth": level * x.mean(), "absth": level}[kind]
-        border = (x[1:] > at) != (x[:-1] > at)
-    ends, last = [], 0
-    for i in np.flatnonzero(border) + 1:
-        if i - last > least:
-            ends.append(i)
-            last = i
-    length = np.diff([0, *ends, n]).astype(float)
-    return {"numsegments": float(len(length)), "meanseglen": length.mean(), "maxseglen": length.max(), "minseglen": length.min(), "seglenstddev": length.std()}
-
-
 def onsets(x, on: float = 0.0, off: float = 0.0) -> dict[str, float]:
     """Two-threshold onsets and offsets."""
     x = np.abs(np.asarray(x, float))

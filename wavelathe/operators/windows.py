@@ -126,22 +126,11 @@ def log_energy_norm(s: Series, x: str) -> Column:
     return F.col(x) - F.max(x).over(s.whole()) + 1.0
 
 
-def exponential_mvn(df: DataFrame, s: Series, x: str, alpha: float = 0.995, floor: float = 1e-7) -> DataFrame:
-    """Adaptive normalisation with exponential weights: a recurrence, so one task for each series."""
-    import numpy as np
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    def run(pdf):
-        pdf = pdf.sort_values(list(s.order), kind="stable")
-        v, out = pdf[x].to_numpy(float), np.empty(len(pdf))
-        mean, square = (v[0], v[0] ** 2) if len(v) else (0.0, 0.0)
-        for i, a in enumerate(v):
-            mean, square = alpha * mean + (1 - alpha) * a, alpha * square + (1 - alpha) * a * a
-            out[i] = (a - mean) / max(math.sqrt(max(square - mean * mean, 0.0)), floor)
-        return pdf.assign(**{f"{x}_mvn": out})
-
-    kind = StructType([*df.schema.fields, StructField(f"{x}_mvn", DoubleType())])
-    return df.groupBy(*s.keys).applyInPandas(run, kind)
+def exponential_mvn(df: DataFrame, s: Series, x: str, alpha: float = 0.995, floor: float = 1e-7, rows: int = 1 << 16) -> DataFrame:
+    """A level with <x>_mvn, adaptive normalisation with exponential weights: a recurrence, in blocks of so many rows."""
+    from . import blocks
+
+    return blocks.exponential_mvn(df, blocks.Blocks(tuple(s.keys), rows), x, alpha, floor)
 
 
 def above(s: Series, x: str, threshold: float = 1.0, adaptive: int = 0, invert: bool = False, allow_equal: bool = False) -> Column:

@@ -479,10 +479,9 @@ def _kernel(name, fun, names):
     query(name)(lambda spark, d: _rounded(kernels.per_series(events(spark, d), ["user_id"], ["vidx"], "x", fun, names), ["user_id"]))
 
 
-_kernel("func_peaks_events", kernels.peaks, ["numpeaks", "meanpeakdist", "peakmean", "peakmeanmeandist", "peakdiststddev"])
 _kernel("func_peaks2_events", kernels.peaks2, list(kernels.peaks2([0, 1, 0, 2, 0])))
-_kernel("func_threshold_segments_events", kernels.threshold_segments, ["numsegments", "meanseglen", "maxseglen", "minseglen", "seglenstddev"])
-_kernel("func_onset_two_thresholds_events", partial(kernels.onsets, on=60.0, off=40.0), ["onsetpos", "offsetpos", "numonsets", "numoffsets", "onsetrate"])
+
+
 def _lpc_set(x):
     a, gain, _ = kernels.lpc(x, 5)
     return {"lpgain": gain / max(len(x), 1)} | {f"lpc{i}": v for i, v in enumerate(a)}
@@ -495,7 +494,7 @@ _kernel("jitter_events", lambda x: kernels.jitter(x, 7), ["jitterlocal", "jitter
 
 @query("exponential_mvn_events")
 def _(spark, d):
-    out = windows.exponential_mvn(events(spark, d).select("user_id", "vidx", "x"), USER, "x")
+    out = windows.exponential_mvn(events(spark, d).select("user_id", "vidx", "x"), USER, "x", rows=32)
     return out.select("user_id", "vidx", r6(F.col("x_mvn")).alias("x_mvn"))
 
 
@@ -560,7 +559,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("user_id", *[f"x_sma_{k}" for k in _SUMMARY], "x_sma_linregc1"), ["user_id"])
 
 
-from . import more  # noqa: E402, F401  registers its queries
+from . import long, more  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict:

@@ -226,14 +226,6 @@ def _(spark, d):
 
 _SQL["exponential_mvn_events"] = f"""WITH RECURSIVE {_E}, {_stepped("0.995 * x + 0.005 * x, 0.995 * x * x + 0.005 * x * x", "0.995 * r.m + 0.005 * n.x, 0.995 * r.q + 0.005 * n.x * n.x", "m, q")}
     SELECT user_id, vidx, {s6('(x - m) / greatest(sqrt(greatest(q - m * m, 0)), 1e-7)')} AS x_mvn FROM r"""
-_SQL["func_onset_two_thresholds_events"] = f"""WITH RECURSIVE {_E}, {_stepped("abs(x) > 60, abs(x) > 60, false", "CASE WHEN r.s THEN abs(n.x) > 40 ELSE abs(n.x) > 60 END, NOT r.s AND abs(n.x) > 60, r.s AND abs(n.x) <= 40", "s, up, down")}
-    SELECT user_id, CAST(coalesce(min(vidx) FILTER (up), 0) AS DOUBLE) + 0 AS x_onsetpos, CAST(coalesce(max(vidx) FILTER (down), 0) AS DOUBLE) + 0 AS x_offsetpos, CAST(count(*) FILTER (up) AS DOUBLE) AS x_numonsets,
-    CAST(count(*) FILTER (down) AS DOUBLE) AS x_numoffsets, {s6('CAST(count(*) FILTER (up) AS DOUBLE) / count(*)')} AS x_onsetrate FROM r GROUP BY user_id"""
-_cutsql = "abs(n.x - r.x) > 0.25 * n.span AND n.vidx - r.last > 2"
-_SQL["func_threshold_segments_events"] = f"""WITH RECURSIVE {_E.replace('e AS', 'e0 AS', 1)}, e AS (SELECT user_id, vidx, x, CASE WHEN max(x) OVER w > min(x) OVER w THEN max(x) OVER w - min(x) OVER w ELSE 1 END AS span, count(*) OVER w AS n FROM e0 WINDOW w AS (PARTITION BY user_id)),
-    {_stepped("CAST(0 AS BIGINT), CAST(NULL AS BIGINT)", f"CASE WHEN {_cutsql} THEN n.vidx ELSE r.last END, CASE WHEN {_cutsql} THEN n.vidx - r.last END", "last, len")},
-    ends AS (SELECT user_id, len FROM r WHERE len IS NOT NULL UNION ALL SELECT user_id, max(vidx) + 1 - max(last) FROM r GROUP BY 1)
-    SELECT user_id, CAST(count(*) AS DOUBLE) AS x_numsegments, {s6('avg(len)')} AS x_meanseglen, CAST(max(len) AS DOUBLE) AS x_maxseglen, CAST(min(len) AS DOUBLE) AS x_minseglen, {s6('stddev_pop(len)')} AS x_seglenstddev FROM ends GROUP BY user_id"""
 _SQL["vad_events"] = f"""WITH RECURSIVE {_E}, {_stepped("x, CAST(1e-6 + 1e-9 AS DOUBLE) * 1.0, CAST(0 AS DOUBLE)", "CASE WHEN (n.x - r.m) / sqrt(r.v) < 1 THEN 0.98 * r.m + 0.02 * n.x ELSE r.m END, CASE WHEN (n.x - r.m) / sqrt(r.v) < 1 THEN 0.98 * r.v + 0.02 * (n.x - r.m) ** 2 + 1e-9 ELSE r.v END, greatest(0, least(1, ceil((n.x - r.m) / sqrt(r.v)) * 0.2))", "m, v, voice")}
     SELECT user_id, {s6('avg(voice)')} AS x_voice FROM r GROUP BY user_id""".replace("CAST(1e-6 + 1e-9 AS DOUBLE) * 1.0", "CAST(0.98 * 1e-6 + 1e-9 AS DOUBLE)")
 
@@ -250,8 +242,6 @@ _PEAKS = f"""WITH RECURSIVE {_E.replace('e AS', 'e0 AS', 1)}, e AS (SELECT user_
         FROM r JOIN e n ON n.user_id = r.user_id AND n.vidx = r.vidx + 1),
     f AS (SELECT user_id, arg_max(tops, vidx) AS t, arg_max(heights, vidx) AS h, count(*) AS n, avg(x) AS mu FROM r GROUP BY user_id),
     k AS (SELECT *, CASE WHEN n >= 3 THEN t ELSE [] END AS p FROM f), z AS (SELECT *, list_transform(range(1, len(p)), lambda i: CAST(p[i + 1] - p[i] AS DOUBLE)) AS d FROM k)"""
-_SQL["func_peaks_events"] = f"""{_PEAKS} SELECT user_id, CAST(len(p) AS DOUBLE) AS x_numpeaks, {s6('CASE WHEN len(d) > 0 THEN list_avg(d) ELSE n + 1 END')} AS x_meanpeakdist, {s6('CASE WHEN len(p) > 0 THEN list_avg(h) ELSE 0 END')} AS x_peakmean,
-    {s6('CASE WHEN len(p) > 0 THEN list_avg(h) - mu ELSE 0 END')} AS x_peakmeanmeandist, {s6('CASE WHEN len(d) > 0 THEN sqrt(list_avg(list_transform(d, lambda v: (v - list_avg(d)) ** 2))) ELSE 0 END')} AS x_peakdiststddev FROM z"""
 
 
 def _peaks2_sql() -> str:
