@@ -24,9 +24,10 @@ def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off:
     """Turns as they end; the state of a key is its row number and four counters.
 
     longest ends a turn after so many rows. A key without rows for `timeout`
-    (processing time, such as `10 minutes`) has its open turn ended and its
-    state dropped, so that state doesn't grow with all keys ever seen. A true
-    `end` column marks a key's last row, which ends its open turn too.
+    (processing time, such as `10 minutes`) has its open turn ended. A true
+    `end` column marks a key's last row, which ends its open turn too. A key that
+    comes back goes on with its numbers of rows and turns, which stay in the
+    state; `turns.live_turn_events` can forget them after a time.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -39,7 +40,8 @@ def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off:
         if state.hasTimedOut:
             if start >= 0:
                 out.append((k[0], done, start, i - 1 - below))
-            state.remove()
+                done += 1
+            state.update((i, -1, 0, 0, done))
             yield pd.DataFrame(out, columns=[key, "segment", "start", "stop"])
             return
         pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
@@ -62,7 +64,8 @@ def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off:
         if over:
             if start >= 0:
                 out.append((k[0], done, start, i - 1 - below))
-            state.remove()
+                done += 1
+            state.update((i, -1, 0, 0, done))
         else:
             state.update((i, start, above, below, done))
             if milliseconds is not None:
@@ -74,10 +77,15 @@ def live_turns(stream: DataFrame, key: str, order: str, x: str, on: float, off:
     return stream.groupBy(key).applyInPandasWithState(run, f"{kind}, segment long, start long, stop long", "i long, start long, above long, below long, done long", "append", how)
 
 
-def live_mvn(stream: DataFrame, key: str, order: str, x: str, floor: float = 1e-7) -> DataFrame:
-    """Each row less the mean, by the deviation, of its key's rows so far."""
+def live_mvn(stream: DataFrame, key: str, order: str, x: str, floor: float = 1e-7, timeout: str | None = None) -> DataFrame:
+    """Each row less the mean, by the deviation, of its key's rows so far. A key without rows for `timeout` loses its state, and begins anew."""
+    milliseconds = None if timeout is None else int(pd.Timedelta(timeout).total_seconds() * 1000)
 
     def run(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({key: [], order: [], f"{x}_mvn": []})
+            return
         n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         pdf, out = pd.concat(list(batches)).sort_values(order, kind="stable"), []
         for v in pdf[x]:
@@ -87,10 +95,12 @@ def live_mvn(stream: DataFrame, key: str, order: str, x: str, floor: float = 1e-
             m2 += d * (v - mean)
             out.append((v - mean) / max((m2 / n) ** 0.5, floor))
         state.update((n, mean, m2))
+        if milliseconds is not None:
+            state.setTimeoutDuration(milliseconds)
         yield pd.DataFrame({key: k[0], order: pdf[order], f"{x}_mvn": out})
 
     kind = stream.select(key, order).schema.simpleString()[7:-1].replace(":", " ")
-    return stream.groupBy(key).applyInPandasWithState(run, f"{kind}, {x}_mvn double", "n long, mean double, m2 double", "append", "NoTimeout")
+    return stream.groupBy(key).applyInPandasWithState(run, f"{kind}, {x}_mvn double", "n long, mean double, m2 double", "append", "NoTimeout" if timeout is None else "ProcessingTimeTimeout")
 
 
 def to_sink(stream: DataFrame, write, name: str, checkpoint: str, mode: str = "append", once: bool = True):
@@ -128,7 +138,7 @@ def run_until(query, seconds: float = 60.0, rows: int | None = None) -> int:
 
 
 def bounded(stream: DataFrame, time: str, late: str = "1 hour") -> DataFrame:
-    """The stream with a watermark: state behind it is dropped, and so are rows later than that; how much is then lost is in the query's progress."""
+    """The stream with a watermark: aggregates and joins over it drop rows later than that, and say how many in the query's progress. `gated.live_gated_mvn` bounds what waits by its number, and gives the losses out."""
     return stream.withWatermark(time, late)
 
 
