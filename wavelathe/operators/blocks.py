@@ -162,16 +162,17 @@ def _kind(df: DataFrame, names, **more) -> StructType:
     return StructType([*[df.schema[n] for n in names], *[StructField(n, t) for n, t in more.items()]])
 
 
-def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable, start, replay: Callable, names: list[str], backward: bool = False, **made) -> DataFrame:
+def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable | None, start, replay: Callable, names: list[str], along: Callable | None = None, **made) -> DataFrame:
     """A recurrence along each series, block by block; see the module.
 
     fold(rows) is a block's map as a flat array, step(state, map) the state
     behind the block from the one ahead of it, replay(rows, state) the block's
     output, in columns `names` of df and `made` (name=type). start is the state
     ahead of the first block, or start(rows of the first block). Rows are a
-    pandas frame of the block in vidx order. backward runs from the end to the
-    front: a block's state is then the one behind it. Blocks and outputs stay on
-    the executors; one task has one map a block of a series.
+    pandas frame of the block in vidx order. In place of step, along(maps, start)
+    may give the states of all blocks at once, such as ones that depend on what
+    follows. Blocks and outputs stay on the executors; one task has one map a
+    block of a series.
     """
     keys, by = list(b.keys), b.by
     # A number of its own, as few bytes may be much work: else they would be put into one task.
@@ -186,13 +187,17 @@ def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable, start, rep
     array = ArrayType(DoubleType())
     folded = own.groupBy(*by).applyInPandas(maps, _kind(own, by, _map=array, _start=array))
 
+    def forward(maps, state):
+        out = []
+        for m in maps:
+            out.append(state)
+            state = np.asarray(step(state, m), float)
+        return out
+
     def states(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_block", ascending=not backward, kind="stable")
-        state, out = np.asarray(rows["_start"].iloc[0], float), []
-        for m in rows["_map"]:
-            out.append(state.tolist())
-            state = np.asarray(step(state, np.asarray(m, float)), float)
-        return rows[by].assign(_state=out)
+        rows = rows.sort_values("_block", kind="stable")
+        got = (along or forward)([np.asarray(m, float) for m in rows["_map"]], np.asarray(rows["_start"].iloc[0], float))
+        return rows[by].assign(_state=[np.asarray(v, float).tolist() for v in got])
 
     starts = folded.groupBy(*keys).applyInPandas(states, _kind(own, by, _state=array))
 

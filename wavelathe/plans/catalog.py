@@ -516,18 +516,6 @@ query("resample_embeddings")(lambda spark, d: frames(spark, d).select("vec_id",
 query("tonespec_embeddings")(lambda spark, d: mags(spark, d).select("vec_id", F.posexplode(spectral.apply_matrix(F.col("m"), spectral.tonespec(33, 16000))).alias("i", "y")).select("vec_id", "i", r6(F.col("y")).alias("y")))
 
 
-def _voicing(spark, d):
-    """Three candidates a row: a value, its double and its half, of which the value is not always the likeliest."""
-
-    def track(x):
-        rows = [[(100 + abs(v), 0.9 if v > 30 else 0.3), (2 * (100 + abs(v)), 0.8 if v > 30 else 0.2), (50 + abs(v) / 2, 0.95 if v > 70 else 0.1)] for v in x]
-        path = kernels.smooth_pitch(kernels.viterbi_pitch(rows))
-        return {"meanf0": path[path > 0].mean() if (path > 0).any() else 0.0, "voiced": float((path > 0).mean())}
-
-    return _rounded(kernels.per_series(events(spark, d), ["user_id"], ["vidx"], "x", track, ["meanf0", "voiced"]), ["user_id"])
-
-
-query("viterbi_pitch_events")(_voicing)
 query("vad_events")(lambda spark, d: _rounded(kernels.per_series(events(spark, d), ["user_id"], ["vidx"], "x", lambda x: {"voice": kernels.vad(x).mean()}, ["voice"]), ["user_id"]))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import functionals as fn
 from ..functions import spectral
-from ..operators import blocks, contours, windows
+from ..operators import blocks, contours, paths, windows
 from ..operators.blocks import Blocks
 from ..series import Series, of_level
 from .catalog import _E, _MAG, _MEL, _SQL_SETS, _V, _mel_sql, _rounded, events, mags, query, r6, s6, table
@@ -202,3 +202,47 @@ def _(spark, d):
     bands = F.transform("rasta", lambda v: F.exp(v))
     out = rasta_bands(spark, d).select("vec_id", F.posexplode(spectral.plp(bands, _CENTRES)).alias("i", "y"))
     return out.select("vec_id", "i", r6(F.col("y")).alias("y"))
+
+
+# -- Pitch paths -----------------------------------------------------------
+
+
+def pitch_paths(spark, d) -> DataFrame:
+    """Three candidates a row, a value, its double and its half, of which the value is not always the likeliest; and the cheapest path."""
+    x, f = F.col("x"), 100 + F.abs(F.col("x"))
+    over = lambda t, a, b: F.when(x > t, a).otherwise(b)
+    rows = events(spark, d).select("user_id", "vidx", F.array(f, 2 * f, 50 + F.abs(x) / 2).alias("f"), F.array(over(30, 0.9, 0.3), over(30, 0.8, 0.2), over(70, 0.95, 0.1)).alias("v"))
+    return paths.cheapest_path(rows, USERS, "f", "v")
+
+
+@query("viterbi_pitch_events")
+def _(spark, d):
+    s = of_level("user_id")
+    path = pitch_paths(spark, d).withColumn("f1", windows.without_spikes(s, "f0final"))
+    path = path.withColumn("f2", windows.smoothed_formant(s, "f1", "f1", 3))
+    out = path.groupBy("user_id").agg(F.coalesce(F.avg(F.when(F.col("f2") > 0, F.col("f2"))), F.lit(0.0)).alias("x_meanf0"), F.avg(F.when(F.col("f2") > 0, 1.0).otherwise(0.0)).alias("x_voiced"))
+    return _rounded(out, ["user_id"])
+
+
+_pair = "(z // 4 + 1)", "(z % 4 + 1)"  # of z, a pair (before, now) of candidates
+_both = f"r.f[{_pair[0]}] > 0 AND n.f[{_pair[1]}] > 0"
+_ratio = f"ln(n.f[{_pair[1]}] / nullif(r.f[{_pair[0]}], 0))"
+_bend = f"CASE WHEN {_both} THEN 10 * abs({_ratio}) + 5 * abs({_ratio} - r.ch[i * 4 + z // 4 + 1]) WHEN r.f[{_pair[0]}] = 0 AND n.f[{_pair[1]}] = 0 THEN 0 ELSE 10 END"
+
+
+@query("viterbi_price_events", f"""WITH RECURSIVE {_E.replace('e AS', 'e0 AS', 1)},
+    c AS (SELECT user_id, vidx, x, [100 + abs(x), 200 + 2 * abs(x), 50 + abs(x) / 2] AS g, [CASE WHEN x > 30 THEN 0.9 ELSE 0.3 END::DOUBLE, CASE WHEN x > 30 THEN 0.8 ELSE 0.2 END::DOUBLE, CASE WHEN x > 70 THEN 0.95 ELSE 0.1 END::DOUBLE] AS v FROM e0),
+    e AS (SELECT user_id, vidx, x, list_append(g, 0.0::DOUBLE) AS f, list_append(list_transform(v, lambda q, i: -2 * ln(q) + CASE WHEN q < 0.7 THEN 1 ELSE 0 END + CASE WHEN g[i] < 100 OR g[i] > 350 THEN 1 ELSE 0 END), -2 * ln(greatest(1 - list_max(v), 1e-6))) AS loc FROM c),
+    {_stepped("f, list_transform(range(16), lambda z: CASE WHEN z >= 12 THEN loc[z - 11] ELSE 1e300 END), list_transform(range(16), lambda z: 0.0::DOUBLE)", f"n.f, list_transform(range(16), lambda z: list_min(list_transform(range(4), lambda i: r.cost[i * 4 + z // 4 + 1] + {_bend})) + n.loc[{_pair[1]}]), list_transform(range(16), lambda z: CASE WHEN {_both} THEN {_ratio} ELSE 0 END)", "f, cost, ch")}
+    SELECT user_id, {s6('list_min(arg_max(cost, vidx))')} AS price FROM r GROUP BY user_id""")
+def _(spark, d):
+    """What the chosen path costs; the SQL has the least that any path costs."""
+    w = of_level("user_id").ordered()
+    f, at = F.col("f0final"), F.array_position("f", F.col("f0final")).cast("int")
+    q = F.when(f > 0, F.get("v", at - 1)).otherwise(F.greatest(1 - F.array_max("v"), F.lit(1e-6)))
+    own = -2 * F.ln(q) + F.when((f > 0) & (q < 0.7), 1).otherwise(0) + F.when((f > 0) & ((f < 100) | (f > 350)), 1).otherwise(0)
+    was = F.lag("f0final").over(w)
+    rows = pitch_paths(spark, d).select("user_id", "vidx", "f0final", own.alias("own"), was.alias("was"), F.when((f > 0) & (was > 0), F.ln(f / F.when(was > 0, was))).alias("change"))
+    last = F.coalesce(F.lag("change").over(w), F.lit(0.0))
+    step = F.when(F.col("was").isNull(), 0.0).when(F.col("change").isNotNull(), 10 * F.abs("change") + 5 * F.abs(F.col("change") - last)).when((f == 0) & (F.col("was") == 0), 0.0).otherwise(10.0)
+    return rows.select("user_id", (F.col("own") + step).alias("p")).groupBy("user_id").agg(r6(F.sum("p")).alias("price"))
