@@ -37,26 +37,26 @@ def decode_wave(raw: bytes, mono: bool = True) -> tuple[int, np.ndarray]:
     code, channels, rate, _, _, bits = fmt
     wide = bits // 8
     data = data[: len(data) // (wide * channels) * wide * channels]
-    if code == 3:
-        x = np.frombuffer(data, "<f4").astype(float)
-    elif bits == 8:
-        x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 127
-    elif bits == 24:
-        b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        v = b[:, 0] | (b[:, 1] << 8) | (b[:, 2] << 16)
-        x = np.where(v >= 1 << 23, v - (1 << 24), v) / (2.0**23 - 1)
-    else:
-        x = np.frombuffer(data, f"<i{wide}").astype(float) / (2.0 ** (bits - 1) - 1)
-    x = x.reshape(-1, channels).T
+    x = _samples(data, bits, code == 3).reshape(-1, channels).T
     return rate, x.mean(0) if mono else x
 
 
-def decode_raw(data: bytes, channels: int = 1, size: int = 2, mono: bool = True) -> np.ndarray:
-    """Samples in [-1, 1] of little-endian integers without a header; rows are channels unless mono."""
-    wide = size * channels
-    x = np.frombuffer(data, f"<i{size}" if size > 1 else np.uint8, len(data) // wide * channels).astype(float)
-    x = (x - 128) / 127 if size == 1 else x / (2.0 ** (8 * size - 1) - 1)
-    x = x.reshape(-1, channels).T
+def _samples(data: bytes, bits: int, real: bool = False, wide: int | None = None) -> np.ndarray:
+    """Little-endian samples in [-1, 1]: unsigned of 8 bits, signed of more, in `wide` bytes each (the upper ones unused), or floats of 32 or 64 bits."""
+    wide = wide or bits // 8
+    if real:
+        return np.frombuffer(data, f"<f{wide}").astype(float)
+    if bits == 8:
+        return (np.frombuffer(data, np.uint8).astype(float) - 128) / 127
+    b = np.frombuffer(data, np.uint8).reshape(-1, wide)[:, : bits // 8].astype(np.int64)
+    v = (b << (8 * np.arange(bits // 8))).sum(1)
+    return np.where(v >= 1 << (bits - 1), v - (1 << bits), v) / (2.0 ** (bits - 1) - 1)
+
+
+def decode_raw(data: bytes, channels: int = 1, size: int = 2, mono: bool = True, real: bool = False, bits: int | None = None) -> np.ndarray:
+    """Samples in [-1, 1] without a header, of `size` bytes each: little-endian integers (of `bits` bits, if fewer), or floats if real; rows are channels unless mono. What is left of a row at the end is dropped."""
+    data = data[: len(data) // (size * channels) * size * channels]
+    x = _samples(data, bits or 8 * size, real, size).reshape(-1, channels).T
     return x.mean(0) if mono else x
 
 
