@@ -262,6 +262,78 @@ def a_weighted(mag: Column, freqs: list[float], power: bool = True) -> Column:
     return F.zip_with(mag, F.array(*map(F.lit, gain.tolist())), lambda x, g: x * g)
 
 
+def spline_matrix(x, at) -> np.ndarray:
+    """The matrix that takes values at the knots x (ascending) to those of their natural cubic spline at `at`; beyond the ends the last pieces go on.
+
+    A spline is linear in its values, so one tridiagonal solve for all unit
+    vectors serves every row of a table.
+    """
+    x, at = np.asarray(x, float), np.asarray(at, float)
+    n = len(x)
+    h = np.diff(x)
+    rhs = np.zeros((n, n))  # of the second derivatives' equations, for each unit vector
+    i = np.arange(1, n - 1)
+    rhs[i, i - 1], rhs[i, i + 1] = 6 / h[:-1], 6 / h[1:]
+    rhs[i, i] = -6 / h[:-1] - 6 / h[1:]
+    upper, bend = np.zeros(n), np.zeros((n, n))
+    for k in range(1, n - 1):
+        pivot = 2 * (h[k - 1] + h[k]) - h[k - 1] * upper[k - 1]
+        upper[k] = h[k] / pivot
+        bend[k] = (rhs[k] - h[k - 1] * bend[k - 1]) / pivot
+    for k in range(n - 2, 0, -1):
+        bend[k] -= upper[k] * bend[k + 1]
+    k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
+    a, w = (x[k + 1] - at) / h[k], h[k]
+    b, unit = 1 - a, np.eye(n)
+    return a[:, None] * unit[k] + b[:, None] * unit[k + 1] + ((a**3 - a) * w * w / 6)[:, None] * bend[k] + ((b**3 - b) * w * w / 6)[:, None] * bend[k + 1]
+
+
+def peaks_kept(mag: Column) -> Column:
+    """A spectrum whose bins more than two away from every local maximum are 0: between two maxima, and around a single one."""
+
+    def keep(m: Column) -> Column:
+        last = F.size(m) - 1
+        top = lambda i: ((i == 0) | (F.get(m, i) > F.get(m, i - 1))) & ((i == last) | F.when(i == 0, F.get(m, i) > F.get(m, i + 1)).otherwise(F.get(m, i) >= F.get(m, i + 1)))
+
+        def cleared(tops: Column) -> Column:
+            return F.transform(m, lambda v, i: F.when(F.exists(tops, lambda t: F.abs(t - i) <= 2), v).when((F.size(tops) == 1) | ((i > F.array_min(tops)) & (i < F.array_max(tops))), 0.0).otherwise(v))
+
+        return let(F.filter(F.sequence(F.lit(0), last), top), cleared)
+
+    return F.when(F.size(mag) > 1, let(mag, keep)).otherwise(mag)
+
+
+def scaled_matrix(bins: int, rate: float, points: int = 0, scale: str = "log", low: float = 25.0, high: float | None = None, smooth: bool = False) -> np.ndarray:
+    """The matrix of a spectrum's values at points evenly spaced on a scale, by a natural spline; smooth first averages three bins (1, 2, 1)."""
+    f = np.arange(bins) * rate / (2 * (bins - 1))
+    z = _hz_to(scale, f)
+    if scale in ("log", "semitone"):
+        z[0] = 2 * z[1] - z[2]  # 0 Hz has no place there
+    high = f[-1] if high is None or high <= low or high > f[-1] else high
+    out = spline_matrix(z, np.linspace(float(_hz_to(scale, low)), float(_hz_to(scale, high)), points or bins))
+    if not smooth:
+        return out
+    three = np.eye(bins) / 2 + (np.eye(bins, k=1) + np.eye(bins, k=-1)) / 4
+    three[-1] = np.eye(bins)[-1]
+    return out @ three
+
+
+def hearing_weights(points: int, low: float, high: float) -> np.ndarray:
+    """Weights of points on an octave axis that rise from a half at about 65 Hz (of an axis from 50) on."""
+    octave = points / np.log2(high / low)
+    return 0.5 + np.arctan(3 * (np.arange(1, points + 1) - (octave * np.log2(65 / 50) - 1)) / octave) / np.pi
+
+
+def scaled_axis(mag: Column, bins: int, rate: float, points: int = 0, scale: str = "log", low: float = 25.0, high: float | None = None, smooth: bool = False, enhance: bool = False, weighting: bool = False) -> Column:
+    """A spectrum of so many bins on another frequency axis. enhance clears what lies between its peaks, smooth averages, weighting (octave axes) follows the ear and gives 0 for values below 0."""
+    out = apply_matrix(peaks_kept(mag) if enhance else mag, scaled_matrix(bins, rate, points, scale, low, high, smooth))
+    if not weighting:
+        return out
+    top = rate / 2
+    w = hearing_weights(points or bins, low, top if high is None or high <= low or high > top else high)
+    return F.zip_with(out, F.array(*map(F.lit, w.tolist())), lambda x, g: F.when(x > 0, x * g).otherwise(0.0))
+
+
 def resampled_axis(mag: Column, rate: float, points: int, scale: str = "log", low: float = 25.0) -> Column:
     """The spectrum on another frequency axis, by natural cubic splines."""
 

@@ -511,7 +511,6 @@ _frame_kernel("pitch_shs_embeddings", lambda m: [x for c in kernels.pitch_shs(m,
 _frame_kernel("harmonics_embeddings", lambda m: kernels.harmonics(m, 16000, 500.0).tolist(), mags, "m")
 _frame_kernel("tone_filter_embeddings", lambda v: kernels.tone_filter(v, 16000, 12, every=64)[0].tolist())
 query("plp_embeddings")(lambda spark, d: mags(spark, d).select("vec_id", F.posexplode(spectral.plp(spectral.apply_matrix(F.col("m"), _MEL), [200.0 * (k + 1) for k in range(12)])).alias("i", "y")).select("vec_id", "i", r6(F.col("y")).alias("y")))
-query("specscale_embeddings")(lambda spark, d: mags(spark, d).select("vec_id", F.posexplode(spectral.resampled_axis(F.col("m"), 16000, 24)).alias("i", "y")).select("vec_id", "i", r6(F.col("y")).alias("y")))
 query("resample_embeddings")(lambda spark, d: frames(spark, d).select("vec_id", F.posexplode(spectral.resampled(F.col("v"), 0.5)).alias("i", "y")).select("vec_id", "i", r6(F.col("y")).alias("y")))
 query("tonespec_embeddings")(lambda spark, d: mags(spark, d).select("vec_id", F.posexplode(spectral.apply_matrix(F.col("m"), spectral.tonespec(33, 16000))).alias("i", "y")).select("vec_id", "i", r6(F.col("y")).alias("y")))
 

@@ -246,3 +246,33 @@ def _(spark, d):
     last = F.coalesce(F.lag("change").over(w), F.lit(0.0))
     step = F.when(F.col("was").isNull(), 0.0).when(F.col("change").isNotNull(), 10 * F.abs("change") + 5 * F.abs(F.col("change") - last)).when((f == 0) & (F.col("was") == 0), 0.0).otherwise(10.0)
     return rows.select("user_id", (F.col("own") + step).alias("p")).groupBy("user_id").agg(r6(F.sum("p")).alias("price"))
+
+
+# -- Spectra on other axes ---------------------------------------------------
+
+
+def _matrix_sql(m, v: str) -> str:
+    return "[" + ", ".join(f"list_sum(list_transform({v}, lambda x, i: x * {row}[i]))" for row in m.tolist()) + "]"
+
+
+_KEPT = """list_filter(range(1, 34), lambda i: (i = 1 OR m[i] > m[i - 1]) AND (i = 33 OR CASE WHEN i = 1 THEN m[i] > m[i + 1] ELSE m[i] >= m[i + 1] END))"""
+_clear = "list_transform(m, lambda x, i: CASE WHEN len(list_filter(t, lambda k: abs(k - i) <= 2)) > 0 THEN x WHEN len(t) = 1 OR (i > list_min(t) AND i < list_max(t)) THEN 0 ELSE x END)"
+
+
+def _axis(name: str, sql: str, **how) -> None:
+    @query(name, sql)
+    def run(spark, d):
+        y = spectral.scaled_axis(F.col("m"), 33, 16000, **how)
+        return mags(spark, d).select("vec_id", F.posexplode(y).alias("i", "y")).select("vec_id", "i", r6(F.col("y")).alias("y"))
+
+
+for _scale in ("log", "bark", "mel"):
+    _m = spectral.scaled_matrix(33, 16000, 24, _scale, 200.0)
+    _axis("specscale_embeddings" if _scale == "log" else f"specscale_{_scale}_embeddings", f"WITH {_V}, {_MAG} SELECT vec_id, CAST(unnest(range(0, 24)) AS INTEGER) AS i, {s6(f'unnest({_matrix_sql(_m, chr(109))})')} AS y FROM m", points=24, scale=_scale, low=200.0)
+_w = spectral.hearing_weights(30, 250.0, 8000.0).tolist()
+_axis(
+    "specscale_heard_embeddings",
+    f"""WITH {_V}, {_MAG}, t AS (SELECT vec_id, m, {_KEPT} AS t FROM m), c AS (SELECT vec_id, {_clear} AS c FROM t), y AS (SELECT vec_id, {_matrix_sql(spectral.scaled_matrix(33, 16000, 30, "log", 250.0, smooth=True), "c")} AS y FROM c)
+    SELECT vec_id, CAST(unnest(range(0, 30)) AS INTEGER) AS i, {s6(f'unnest(list_transform(y, lambda x, i: CASE WHEN x > 0 THEN x * {_w}[i] ELSE 0 END))')} AS y FROM y""",
+    points=30, low=250.0, smooth=True, enhance=True, weighting=True,
+)
