@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavelathe.functions import spectral
 from wavelathe.operators import blocks, contours, kernels, segments, windows
 from wavelathe.operators.blocks import Blocks
 from wavelathe.series import Series, of_level
@@ -271,6 +272,25 @@ def test_onsets(level, data, off):
         assert {n: got[k][f"x_{n}"] for n in want} == pytest.approx(want)
 
 
+def test_linear_prediction_and_modulation(level, data):
+    lp = {r["k"]: r for r in contours.linear_prediction(level, B, "x", 4).collect()}
+    how = {"period": 0.1, "size": 2.0, "step": 0.7, "resolution": 0.4, "low": 0.3, "high": 4.0}
+    mod = {r["k"]: r for r in contours.modulation(level, B, "x", **how).collect()}
+    for k, x in data.items():
+        a, gain, _ = kernels.lpc(x, 4)
+        assert [lp[k]["x_lpgain"], *(lp[k][f"x_lpc{i}"] for i in range(4))] == pytest.approx([gain / len(x), *a], abs=1e-6)
+        want = kernels.modulation(x, **how)
+        assert [mod[k][f"x_mod{i}"] for i in range(len(want))] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_spline_matrix():
+    rng = np.random.default_rng(2)
+    for n in (3, 5, 40):
+        x, y = np.sort(rng.uniform(0, 9, n)), rng.normal(size=n)
+        at = np.concatenate([rng.uniform(x[0] - 1, x[-1] + 1, 50), x])
+        assert np.allclose(spectral.spline_matrix(x, at) @ y, kernels.spline(x, y, at))
+
+
 def test_empty_levels(level):
     none = level.limit(0)
     for df in (B.renumbered(none), B.running_mvn(none, "x"), blocks.turns(none, B, "x", 1.0), contours.peaks(none, B, "x"), contours.segments(none, B, "x"), contours.onsets(none, B, "x"), blocks.exponential_mvn(none, B, "x")):

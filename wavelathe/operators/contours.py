@@ -1,4 +1,4 @@
-"""Functionals that follow a contour from row to row: segments, peaks and onsets.
+"""Functionals that follow a contour from row to row: segments, peaks, onsets, linear prediction, modulation.
 
 Each is a machine along the series (see `blocks`), so a long series is cut into
 blocks; what the machine marks are rows, and the statistics are aggregates of
@@ -9,6 +9,7 @@ neither is made twice.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+from ..functions.vectors import durbin, let
 from ..storage import written
 from .blocks import Blocks, machine, scanned, spaced_rows
 
@@ -339,3 +341,54 @@ def onsets(df: DataFrame, b: Blocks, x: str, on: float = 0.0, off: float = 0.0)
         place(F.min, up).alias(f"{x}_onsetpos"), place(F.max, down).alias(f"{x}_offsetpos"), number(up).alias(f"{x}_numonsets"), number(down).alias(f"{x}_numoffsets"),
         (number(up) / F.count(F.lit(1))).alias(f"{x}_onsetrate"),
     )
+
+
+# -- Linear prediction and modulation ---------------------------------------
+
+
+def linear_prediction(df: DataFrame, b: Blocks, x: str, order: int = 5) -> DataFrame:
+    """keys and x_lpgain, x_lpc0, ...: of the contour's autocorrelation, by Levinson-Durbin; the gain is by the number of rows. Silence gives zeros."""
+    keys = list(b.keys)
+    lead = lambda k: lambda s: F.lead("x", k).over(s.ordered())
+    rows = b.windowed(df.select(*keys, "vidx", F.col(x).cast("double").alias("x")), {f"_l{k}": lead(k) for k in range(1, order + 1)}, 0, order)
+    lags = [F.sum(F.col("x") * F.col("x"))] + [F.coalesce(F.sum(F.col("x") * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, order + 1)]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array(*lags).alias("_r"))
+    got = sums.select(*keys, "_n", let(F.col("_r"), lambda r: durbin(r, order)).alias("_p"))
+    return got.select(*keys, (F.greatest(F.col("_p.e"), F.lit(0.0)) / F.col("_n")).alias(f"{x}_lpgain"), *[F.col("_p.a")[k].alias(f"{x}_lpc{k}") for k in range(order)])
+
+
+def modulation_bins(period: float, size: float, resolution: float, low: float, high: float) -> tuple[int, int, list[tuple[int, int, float]]]:
+    """Rows of a window, points of its transform, and for each wanted frequency the two bins it lies between with the upper one's weight."""
+    rows = max(2, round(size / period))
+    points = max(1 << (rows - 1).bit_length(), round(1 / (period * resolution)))
+    at = np.minimum(np.arange(low, high + resolution / 2, resolution) * points * period, points // 2)
+    lower = np.minimum(np.floor(at), points // 2 - 1).astype(int)
+    return rows, points, [(int(k), int(k) + 1, float(a - k)) for k, a in zip(lower, at)]
+
+
+def modulation(df: DataFrame, b: Blocks, x: str, period: float = 0.01, size: float = 4.0, step: float = 2.0, resolution: float = 0.5, low: float = 0.5, high: float = 20.0) -> DataFrame:
+    """keys and x_mod0, ...: the mean magnitude, at frequencies from low to high, of windows of the contour less their mean under a Hamming window.
+
+    A window that the series' end leaves with two thirds of its rows or fewer
+    counts only if it is the first. Each row adds its terms to the windows it
+    lies in, so windows and series split over tasks, and nothing is put together
+    as an array.
+    """
+    keys, hop = list(b.keys), max(1, round(step / period))
+    rows, points, spots = modulation_bins(period, size, resolution, low, high)
+    v = b.shared(df.select(*keys, "vidx", F.col(x).cast("double").alias("x")), _n=F.count(F.lit(1)))
+    first, last = F.greatest(F.ceil((F.col("vidx") - rows + 1) / hop), F.lit(0)), F.floor(F.col("vidx") / hop)
+    v = v.where(first <= last).select("*", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("_k"))
+    v = v.withColumns({"_m": F.least(F.lit(rows), F.col("_n") - F.col("_k") * hop), "_j": F.col("vidx") - F.col("_k") * hop})
+    v = v.where((F.col("_k") == 0) | (F.col("_m") > 2 * rows / 3))
+    h = F.when(F.col("_m") > 1, 0.54 - 0.46 * F.cos(2 * math.pi * F.col("_j") / (F.col("_m") - 1))).otherwise(1.0)
+    bins = sorted({k for a, c, _ in spots for k in (a, c)})
+    terms = {}
+    for k in bins:
+        turn = F.col("_j") * (2 * math.pi * k / points)
+        for name, wave in (("c", F.cos(turn)), ("s", F.sin(turn))):
+            terms[f"_{name}{k}"], terms[f"_{name}{k}_x"] = F.sum(F.col("_h") * wave), F.sum(F.col("_h") * F.col("x") * wave)
+    sums = v.withColumn("_h", h).groupBy(*keys, "_k").agg(F.avg("x").alias("_mu"), *[c.alias(n) for n, c in terms.items()])
+    part = lambda n: F.col(f"{n}_x") - F.col("_mu") * F.col(n)
+    sums = sums.select(*keys, *[F.sqrt(part(f"_c{k}") * part(f"_c{k}") + part(f"_s{k}") * part(f"_s{k}")).alias(f"_b{k}") for k in bins])
+    return sums.groupBy(*keys).agg(*[F.avg(F.col(f"_b{a}") * (1 - w) + F.col(f"_b{c}") * w).alias(f"{x}_mod{i}") for i, (a, c, w) in enumerate(spots)])

@@ -482,13 +482,6 @@ def _kernel(name, fun, names):
 _kernel("func_peaks2_events", kernels.peaks2, list(kernels.peaks2([0, 1, 0, 2, 0])))
 
 
-def _lpc_set(x):
-    a, gain, _ = kernels.lpc(x, 5)
-    return {"lpgain": gain / max(len(x), 1)} | {f"lpc{i}": v for i, v in enumerate(a)}
-
-
-_kernel("func_lpc_events", _lpc_set, ["lpgain", *(f"lpc{i}" for i in range(5))])
-_kernel("func_modulation_events", lambda x: dict(zip((f"mod{i}" for i in range(8)), kernels.modulation(x, 0.1, 2.0, 1.0, 0.5, 0.5, 4.0))), [f"mod{i}" for i in range(8)])
 _kernel("jitter_events", lambda x: kernels.jitter(x, 7), ["jitterlocal", "jitterddp", "shimmerlocal", "shimmerdb", "loghnr"])
 
 

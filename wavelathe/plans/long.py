@@ -169,6 +169,25 @@ for _name, _sql in (("nonx", _region.format(hit="x > 50")), ("eqx", _region.form
     query(f"func_segments_{_name}_events", _sql)(_run)
 
 
+@query("func_lpc_events")
+def _(spark, d):
+    return _rounded(contours.linear_prediction(events(spark, d), USERS, "x"), ["user_id"])
+
+
+_MOD = {"period": 0.1, "size": 2.0, "resolution": 0.5, "low": 0.5, "high": 4.0}
+_rows_, _points, _spots = contours.modulation_bins(**_MOD)
+_bins = sorted({k for a, c, _ in _spots for k in (a, c)})
+_wave = lambda f, k: f"sum(h * (x - mu) * {f}(2 * pi() * {k} * j / {_points}))"
+
+
+@query("func_modulation_events", f"""WITH {_E}, m AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM e), g AS (SELECT user_id, x, vidx, n, unnest(range(CAST(greatest(0, ceil((vidx - {_rows_} + 1) / 10.0)) AS BIGINT), CAST(floor(vidx / 10.0) AS BIGINT) + 1)) AS k FROM m),
+    w AS (SELECT user_id, k, x, vidx - k * 10 AS j, least({_rows_}, n - k * 10) AS len FROM g), f AS (SELECT user_id, k, j, x, 0.54 - 0.46 * cos(2 * pi() * j / nullif(len - 1, 0)) AS h0, avg(x) OVER (PARTITION BY user_id, k) AS mu FROM w WHERE k = 0 OR len > {2 * _rows_ / 3}),
+    b AS (SELECT user_id, k, {', '.join(f'sqrt({_wave("cos", k)} ** 2 + {_wave("sin", k)} ** 2) AS b{k}' for k in _bins)} FROM (SELECT *, coalesce(h0, 1) AS h FROM f) GROUP BY user_id, k)
+    SELECT user_id, {', '.join(f'{s6(f"avg(b{a} * {1 - w!r} + b{c} * {w!r})")} AS x_mod{i}' for i, (a, c, w) in enumerate(_spots))} FROM b GROUP BY user_id""")
+def _(spark, d):
+    return _rounded(contours.modulation(events(spark, d), USERS, "x", step=1.0, **_MOD), ["user_id"])
+
+
 # -- RASTA -----------------------------------------------------------------
 
 _RASTA_TAPS, _RASTA_POLE = blocks.rasta_filter(0.01)
