@@ -88,6 +88,17 @@ def filterbank(bins: int, rate: float, bands: int = 26, low: float = 20.0, high:
     return np.maximum(np.minimum(up, down), 0)
 
 
+def centres(bands: int, low: float, high: float, scale: str = "mel") -> list[float]:
+    """The frequencies of the filters' tops, found on the scale by bisection."""
+    edges = np.linspace(float(_hz_to(scale, low)), float(_hz_to(scale, high)), bands + 2)[1:-1]
+    a, b = np.full(bands, low), np.full(bands, high)
+    for _ in range(60):
+        mid = (a + b) / 2
+        up = _hz_to(scale, mid) < edges
+        a, b = np.where(up, mid, a), np.where(up, b, mid)
+    return ((a + b) / 2).tolist()
+
+
 def apply_matrix(v: Column, m: np.ndarray) -> Column:
     """m times v; a row's zeros outside its support are never multiplied."""
     rows = []

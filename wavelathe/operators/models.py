@@ -64,6 +64,61 @@ def coupled(features: Column, pairs: list[tuple[str, str, list[float], float, fl
     return {c: F.get(end, F.lit(i)) for c, i in at.items()}
 
 
+def parse_pairs(text: str) -> dict:
+    """A text model of linear machines, one against one: classes, names (of the features) and pairs (class a, class b, weights, bias, calibration or None).
+
+    Lines that are not empty: a title that ends in SVM MODEL, the kernel, the
+    classes (their number, then the names, by commas), the number of pairs, that
+    of features, the features' names; for each pair `++BINARYSVM++: a,b`, the
+    number of support vectors (1), a weight a feature and `BIAS: b`, behind which
+    `##++LOGISTIC;a;b` may give a calibration (other lines with ## are notes);
+    then `++END++`.
+    """
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    if not lines or not lines[0].endswith("SVM MODEL") or "++END++" not in lines:
+        raise ValueError("not a whole model of pairs")
+    number, *classes = [c.strip() for c in lines[2].split(",")]
+    pairs, features = int(lines[3]), int(lines[4])
+    if int(number) != len(classes):
+        raise ValueError(f"{len(classes)} classes in place of {number}")
+    names, at, out = lines[5 : 5 + features], 5 + features, []
+    while lines[at] != "++END++":
+        if not lines[at].startswith("++BINARYSVM++:"):
+            if lines[at].startswith("##++LOGISTIC;") and out:
+                out[-1] = (*out[-1][:4], tuple(float(v) for v in lines[at][13:].split(";")[:2]))
+            elif not lines[at].startswith("##"):
+                raise ValueError(f"not expected: {lines[at]}")
+            at += 1
+            continue
+        a, b = (c.strip() for c in lines[at].split(":", 1)[1].split(","))
+        if int(lines[at + 1]) != 1:
+            raise ValueError("only linear machines, of one weight a feature")
+        weights = [float(v) for v in lines[at + 2 : at + 2 + features]]
+        bias = lines[at + 2 + features]
+        if not bias.startswith("BIAS:"):
+            raise ValueError(f"not a bias: {bias}")
+        out.append((a, b, weights, float(bias[5:]), None))
+        at += 3 + features
+    if len(out) != pairs:
+        raise ValueError(f"{len(out)} pairs in place of {pairs}")
+    return {"classes": classes, "names": names, "pairs": out}
+
+
+def pairs_class(df: DataFrame, model: dict, probabilities: bool = False) -> DataFrame:
+    """df with the class that a model of pairs gives the features of its names, and p_<class> by its calibrations."""
+    from ..metadata import vector_of
+
+    v = vector_of(df, model["names"])
+    out = df.select("*", svm_vote(v, [p[:4] for p in model["pairs"]]).alias("class"))
+    if probabilities:
+        if any(p[4] is None for p in model["pairs"]):
+            raise ValueError("the model has no calibrations")
+        # A calibration gives the first class's probability.
+        got = coupled(v, [(*p[:4], -p[4][0], -p[4][1]) for p in model["pairs"]])
+        out = out.select("*", *[c.alias(f"p_{k}") for k, c in got.items()])
+    return out
+
+
 def scaled(features: Column, ranges: list[tuple[float, float]], low: float = -1.0, high: float = 1.0, chosen: list[int] | None = None) -> Column:
     """Each feature from its range (of a scale file) to low..high, a range of 0 giving 0; chosen picks places (from 0) first."""
     v = F.array(*[F.get(features, F.lit(i)) for i in chosen]) if chosen else features

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import functionals as fn
 from ..functions import spectral
-from ..operators import blocks, contours, paths, windows
+from ..operators import blocks, contours, models, paths, windows
 from ..operators.blocks import Blocks
 from ..series import Series, of_level
 from .catalog import _E, _MAG, _MEL, _SQL_SETS, _V, _mel_sql, _rounded, events, mags, query, r6, s6, table
@@ -295,3 +295,48 @@ _axis(
     SELECT vec_id, CAST(unnest(range(0, 30)) AS INTEGER) AS i, {s6(f'unnest(list_transform(y, lambda x, i: CASE WHEN x > 0 THEN x * {_w}[i] ELSE 0 END))')} AS y FROM y""",
     points=30, low=250.0, smooth=True, enhance=True, weighting=True,
 )
+
+
+# -- Models by the names of features -----------------------------------------
+
+_PAIRS = """A LINEAR SVM MODEL
+linear
+3,low,middle,high
+3
+3
+x_amean
+x_max
+x_range
+++BINARYSVM++: low,middle
+1
+0.5
+-0.25
+0.125
+BIAS: -10.5
+##++LOGISTIC;0.25;-0.5
+++BINARYSVM++: low,high
+1
+0.25
+0.5
+-0.5
+BIAS: -12
+##++LOGISTIC;0.5;-0.25
+++BINARYSVM++: middle,high
+1
+-1
+0.75
+0.25
+BIAS: -30
+##++LOGISTIC;-0.125;-0.125
+++END++
+"""
+_dists = ["0.5 * a - 0.25 * b + 0.125 * c - 10.5", "0.25 * a + 0.5 * b - 0.5 * c - 12", "-1 * a + 0.75 * b + 0.25 * c - 30"]
+_won = [f"CASE WHEN {d} < 0 THEN '{p}' ELSE '{q}' END" for d, (p, q) in zip(_dists, (("low", "middle"), ("low", "high"), ("middle", "high")))]
+
+
+@query("svm_by_names_events", f"""WITH {_E}, f AS (SELECT user_id, avg(x) AS a, max(x) AS b, max(x) - min(x) AS c FROM e GROUP BY user_id), w AS (SELECT user_id, unnest([{', '.join(_won)}]) AS k FROM f),
+    v AS (SELECT user_id, k, count(*) AS n FROM w GROUP BY 1, 2)
+    SELECT user_id, first(k ORDER BY n DESC, list_position(['low', 'middle', 'high'], k)) AS class FROM v GROUP BY user_id""")
+def _(spark, d):
+    f = fn.functionals(events(spark, d), ["user_id"], ["vidx"], "x", ["extremes"])
+    return models.pairs_class(f, models.parse_pairs(_PAIRS)).select("user_id", "class")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import functionals as fn
 from ..functions import spectral, vectors
 from ..operators import kernels, models, segments, windows
+from ..metadata import axis_of, described
 from ..series import join_periodic, of_level
 from ..sources import files
 from .graph import operator
@@ -207,12 +208,10 @@ _set_node("energy", vectors.energy)
 _set_node("intensity", lambda v, size: vectors.intensity(v, size))
 _set_node("crossings", vectors.crossing_rates)
 _value_node("fft", "fft", spectral.fft)
-_value_node("magnitude", "mag", spectral.magnitude)
 _value_node("phase", "phase", spectral.phase)
 _value_node("power_db", "db", spectral.power_db)
 _value_node("spectrum_acf", "acf", spectral.spectrum_acf)
 _value_node("cepstrum", "cep", spectral.cepstrum)
-_value_node("bands", "bands", lambda v, bins, rate, count=26, low=20.0, high=8000.0, scale="mel": spectral.apply_matrix(v, spectral.filterbank(bins, rate, count, low, high, scale)))
 _value_node("mfcc", "mfcc", spectral.mfcc)
 _value_node("plp", "plp", spectral.plp)
 _value_node("notes", "notes", lambda v, bins, rate, octaves=6, first=55.0, form="gauss": spectral.apply_matrix(v, spectral.tonespec(bins, rate, octaves, first, form)))
@@ -221,7 +220,62 @@ _value_node("a_weight", "dba", spectral.a_weighted)
 _value_node("harmonic_product", "hps", spectral.harmonic_product)
 _value_node("axis", "axis", spectral.resampled_axis)
 _value_node("resample", "rs", spectral.resampled)
-_set_node("spectral", spectral.descriptors)
+
+
+@operator("magnitude")
+def magnitude(df: DataFrame, keys, fields=None, rate: float | None = None, size: int | None = None) -> DataFrame:
+    """Magnitudes of the fields; with the frames' rate and size, on an axis of frequencies."""
+    out = _mapped(df, keys, fields, lambda f: spectral.magnitude(f), "mag")
+    if rate and size:
+        points = 1 << (size - 1).bit_length()
+        for f in _fields(df, keys, fields):
+            out = described(out, f"{f}_mag", axis=[rate * k / points for k in range(points // 2 + 1)])
+    return out
+
+
+@operator("bands")
+def bands(df: DataFrame, keys, fields=None, bins: int | None = None, rate: float | None = None, count: int = 26, low: float = 20.0, high: float = 8000.0, scale: str = "mel") -> DataFrame:
+    """Triangular bands of spectra; bins and rate are taken from the field's axis where they are not given. The bands' axis is their centres."""
+    out = df.select(*_lead(df, keys))
+    cols = []
+    for f in _fields(df, keys, fields):
+        axis = axis_of(df, f)
+        if (bins is None or rate is None) and not axis:
+            raise ValueError(f"{f} has no axis, so bins and rate are needed")
+        n, r = bins or len(axis), rate or 2 * axis[-1]
+        cols.append(spectral.apply_matrix(F.col(f), spectral.filterbank(n, r, count, low, high, scale)).alias(f"{f}_bands", metadata={"axis": spectral.centres(count, low, high, scale)}))
+    return df.select(*out.columns, *cols)
+
+
+@operator("scaled_axis")
+def scaled_axis(df: DataFrame, keys, fields=None, **how) -> DataFrame:
+    """Spectra on another axis; bins and rate are those of the field's axis."""
+    cols = []
+    for f in _fields(df, keys, fields):
+        axis = axis_of(df, f)
+        if not axis:
+            raise ValueError(f"{f} has no axis")
+        cols.append(spectral.scaled_axis(F.col(f), len(axis), 2 * axis[-1], **how).alias(f"{f}_axis"))
+    return df.select(*_lead(df, keys), *cols)
+
+
+@operator("spectral")
+def spectral_node(df: DataFrame, keys, fields=None, only=None, freqs=None, **how) -> DataFrame:
+    """Descriptors of spectra; freqs is the field's axis where it is not given."""
+    out = []
+    for f in _fields(df, keys, fields):
+        at = freqs or axis_of(df, f)
+        if not at:
+            raise ValueError(f"{f} has no axis, so freqs are needed")
+        out += [c.alias(f"{f}_{k}") for k, c in spectral.descriptors(F.col(f), list(at), **how).items() if not only or k in only]
+    return df.select(*_lead(df, keys), *out)
+
+
+@operator("svm_file")
+def svm_file(df: DataFrame, keys, text: str, probabilities: bool = False) -> DataFrame:
+    """The class of a text model of pairs, whose features are found by name among fields and elements."""
+    out = models.pairs_class(df, models.parse_pairs(text), probabilities)
+    return out.select(*_lead(df, keys), *[c for c in out.columns if c not in df.columns])
 
 
 @operator("binary")
