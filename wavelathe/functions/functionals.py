@@ -130,8 +130,16 @@ def percentiles(at: tuple = (0.05, 0.95), ranges: tuple = ((0, 1),), interpolate
     return out
 
 
-def regression() -> dict[str, Column]:
-    """Least squares of x on its place: a line (c1 slope, c2 offset) and a parabola (c1 square, c2 slope, c3 offset)."""
+def regression(coefficients: str | None = None, period: float = 1.0, inputs: bool = False) -> dict[str, Column]:
+    """Least squares of x on its place: a line (c1 slope, c2 offset) and a parabola (c1 square, c2 slope, c3 offset).
+
+    x0, y0: the parabola's vertex, x0 within the segment's length on either side;
+    without a bend x0 is that length and y0 is 0. yr: the parabola at the last
+    row; ls, rs: its slopes from the first row to the vertex and from there to
+    the last row, 0 where the vertex lies outside. coefficients: places are
+    shares of the segment, or seconds of `period` a row (second). inputs: values
+    are from 0 to 1 of the range; y0nn, c3nn and yrnn are as they are.
+    """
     n, i, x = _c("n"), _c("i"), _c("x")
     si, sii = (n - 1) / 2, (n - 1) * (2 * n - 1) / 6  # means of i and i**2
     var = sii - si * si
@@ -146,13 +154,22 @@ def regression() -> dict[str, Column]:
     a = F.when(n > 2, (ettx - ett * _c("mu")) / F.when(n > 2, et4 - ett * ett)).otherwise(0.0)
     curve = a * (t * t - ett) + slope * t + _c("mu")
     b, c = slope - 2 * a * si, _c("mu") - a * ett - slope * si + a * si * si
-    bend = F.max(F.when(F.abs(a) > 1e-12, -b / (2 * F.when(F.abs(a) > 1e-12, a))).otherwise(0.0))
-    ex, low = F.max(a), F.max(c)
+    bent = F.abs(a) > 1e-12
+    x0 = F.when(bent, F.greatest(F.least(-b / (2 * F.when(bent, a)), n), -n)).otherwise(n)
+    y0 = F.when(bent, c - b * b / (4 * F.when(bent, a))).otherwise(0.0)
+    yr = a * (n - 1) * (n - 1) + b * (n - 1) + c
+    by = {None: F.lit(1.0), "segment": n - 1, "second": F.lit(1.0 / period)}[coefficients]
+    place, end = F.when(by != 0, x0 / F.when(by != 0, by)).otherwise(0.0), F.lit(1.0) if coefficients == "segment" else (n - 1) / by
+    unit = _div(F.lit(1.0), _c("hi") - _c("lo")) if inputs else F.lit(1.0)
+    value = lambda v: (v - _c("lo")) * unit if inputs else v
+    left = F.when(place > 0, (value(y0) - value(c)) / F.when(place > 0, place)).otherwise(0.0)
+    right = F.when(place < end, (value(yr) - value(y0)) / F.when(place < end, end - place)).otherwise(0.0)
+    error = lambda fit: (F.avg(F.abs(x - fit) * unit), F.avg((x - fit) * (x - fit) * unit * unit))
     return {
-        "linregc1": F.max(slope), "linregc2": F.max(off), "linregerra": F.avg(F.abs(x - line)), "linregerrq": F.avg((x - line) * (x - line)),
-        "qregc1": F.max(a), "qregc2": F.max(b), "qregc3": F.max(c), "qregerra": F.avg(F.abs(x - curve)), "qregerrq": F.avg((x - curve) * (x - curve)),
-        "centroid": _div(F.sum(F.abs(x) * i), F.sum(F.abs(x))) / _n(), "qregx0": bend, "qregy0": ex * bend * bend + F.max(b) * bend + low,
-        "qregls": _div(ex * bend * bend + F.max(b) * bend, bend), "qregrs": F.max(a * (n - 1) + b) + ex * bend, "qregyr": F.max(a * (n - 1) * (n - 1) + b * (n - 1) + c),
+        "linregc1": F.max(slope * by * unit), "linregc2": F.max(value(off)), "linregerra": error(line)[0], "linregerrq": error(line)[1],
+        "qregc1": F.max(a * by * by * unit), "qregc2": F.max(b * by * unit), "qregc3": F.max(value(c)), "qregerra": error(curve)[0], "qregerrq": error(curve)[1],
+        "centroid": _div(F.sum(F.abs(x) * i), F.sum(F.abs(x))) / _n(), "qregls": F.max(left), "qregrs": F.max(right), "qregx0": F.max(place), "qregy0": F.max(value(y0)), "qregyr": F.max(value(yr)),
+        "qregy0nn": F.max(y0), "qregc3nn": F.max(c), "qregyrnn": F.max(yr),
     }
 
 

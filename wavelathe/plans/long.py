@@ -169,6 +169,31 @@ for _name, _sql in (("nonx", _region.format(hit="x > 50")), ("eqx", _region.form
     query(f"func_segments_{_name}_events", _sql)(_run)
 
 
+def _shape_sql(by: str, end: str, unit: str, low: str) -> str:
+    """The parabola's vertex, ends and slopes, from sums about the middle."""
+    v = lambda e: f"(({e}) - {low}) * {unit}"
+    return f"""WITH {_E}, m AS (SELECT user_id, vidx, x, vidx - avg(vidx) OVER {_w} AS t, count(*) OVER {_w} AS n, min(x) OVER {_w} AS lo, max(x) OVER {_w} AS hi FROM e),
+    k AS (SELECT user_id, n, lo, hi, sum(t * t) AS s2, sum(t ** 4) AS s4, sum(x) AS y0, sum(t * x) AS y1, sum(t * t * x) AS y2, min(vidx - t) AS mid FROM m GROUP BY ALL),
+    p AS (SELECT *, (n * y2 - s2 * y0) / (n * s4 - s2 * s2) AS a, y1 / s2 AS d, (s4 * y0 - s2 * y2) / (n * s4 - s2 * s2) AS g FROM k),
+    q AS (SELECT *, d - 2 * a * mid AS b, a * mid * mid - d * mid + g AS c FROM p), z AS (SELECT *, greatest(least(-b / (2 * a), n), -n) / {by} AS px, c - b * b / (4 * a) AS py, a * (n - 1) ** 2 + b * (n - 1) + c AS pr FROM q),
+    r AS (SELECT m.user_id, avg(abs(m.x - a * (vidx ** 2) - b * vidx - c)) AS ea FROM m JOIN z USING (user_id) GROUP BY 1)
+    SELECT user_id, {s6(f'd * {by} * {unit}')} AS x_linregc1, {s6(f'a * {by} * {by} * {unit}')} AS x_qregc1, {s6(f'b * {by} * {unit}')} AS x_qregc2, {s6(v('c'))} AS x_qregc3, {s6(f'ea * {unit}')} AS x_qregerra, {s6('px')} AS x_qregx0, {s6(v('py'))} AS x_qregy0, {s6(v('pr'))} AS x_qregyr,
+    {s6(f"CASE WHEN px > 0 THEN ({v('py')} - {v('c')}) / px ELSE 0 END")} AS x_qregls, {s6(f"CASE WHEN px < {end} THEN ({v('pr')} - {v('py')}) / ({end} - px) ELSE 0 END")} AS x_qregrs, {s6('py')} AS x_qregy0nn, {s6('c')} AS x_qregc3nn, {s6('pr')} AS x_qregyrnn FROM z JOIN r USING (user_id)"""
+
+
+_SHAPE = "linregc1 qregc1 qregc2 qregc3 qregerra qregx0 qregy0 qregyr qregls qregrs qregy0nn qregc3nn qregyrnn".split()
+for _name, _args, _sql in (
+    ("shape", {}, _shape_sql("1", "(n - 1)", "1", "0")), ("shape_segment", {"coefficients": "segment", "inputs": True}, _shape_sql("(n - 1)", "1", "(1 / (hi - lo))", "lo")),
+    ("shape_second", {"coefficients": "second", "period": 0.01}, _shape_sql("100.0", "((n - 1) / 100.0)", "1", "0")),
+):
+
+    def _run(spark, d, args=_args):
+        out = fn.functionals(events(spark, d), ["user_id"], ["vidx"], "x", {"regression": args})
+        return _rounded(out.select("user_id", *[f"x_{c}" for c in _SHAPE]), ["user_id"])
+
+    query(f"func_{_name}_events", _sql)(_run)
+
+
 @query("func_lpc_events")
 def _(spark, d):
     return _rounded(contours.linear_prediction(events(spark, d), USERS, "x"), ["user_id"])
