@@ -69,6 +69,23 @@ def cepstrum(mag: pd.Series) -> pd.Series:
     return _stacked(mag, lambda a: np.fft.irfft(np.log(np.maximum(a, 1e-12)))[:, : a.shape[1]])
 
 
+def scaled_spectrum(mag: Column, normalise: bool = False, power: bool = False, decibels: bool = False, norm: float = 90.302, floor: float = -102.0) -> Column:
+    """A magnitude spectrum by the length of its transform (normalise), squared (power), or as norm + 20 log10 of the former, floor at least (decibels)."""
+    def made(m: Column) -> Column:
+        n = 2 * (F.size(m) - 1)
+        by = F.when(n > 0, 1.0 / F.when(n > 0, n)).otherwise(1.0)
+        if decibels:
+            return let(by, lambda k: F.transform(m, lambda x: F.greatest(F.when(x > 0, norm + 20 * F.log10(F.when(x > 0, x * k))).otherwise(floor), F.lit(floor))))
+        return let(by if normalise else F.lit(1.0), lambda k: F.transform(m, lambda x: (x * k) * (x * k) if power else x * k))
+
+    return let(mag, made)
+
+
+def joined(mag: Column, angle: Column) -> Column:
+    """Magnitudes, then phases, as one array."""
+    return F.concat(mag, angle)
+
+
 def power_db(mag: Column, floor: float = -102.0, norm: float = 90.302) -> Column:
     return F.transform(mag, lambda x: F.greatest(10 * F.log10(F.greatest(x * x, F.lit(1e-30))) + norm, F.lit(floor)))
 
@@ -78,25 +95,65 @@ def _hz_to(scale: str, f):
     return {"mel": lambda: 1127 * np.log1p(f / 700), "bark": lambda: 26.81 / (1 + 1960 / np.maximum(f, 1e-9)) - 0.53, "semitone": lambda: 12 * np.log2(np.maximum(f, 1e-9) / 27.5), "log": lambda: np.log2(np.maximum(f, 1e-9)), "linear": lambda: f}[scale]()
 
 
-def filterbank(bins: int, rate: float, bands: int = 26, low: float = 20.0, high: float = 8000.0, scale: str = "mel") -> np.ndarray:
-    """bands x bins triangles, evenly spaced on the scale, each rising from its left neighbour's centre and falling to its right's."""
+def _solve(function, low: float, high: float, target):
+    """Where a rising function has the target values, by bisection."""
+    target = np.asarray(target, float)
+    a, b = np.full(target.shape, float(low)), np.full(target.shape, float(high))
+    for _ in range(80):
+        mid = (a + b) / 2
+        below = function(mid) < target
+        a, b = np.where(below, mid, a), np.where(below, b, mid)
+    return (a + b) / 2
+
+
+def critical_band(f):
+    """The equivalent rectangular bandwidth at f, all in Hz."""
+    return 6.23e-6 * f * f + 0.09339 * f + 28.52
+
+
+def critical_edges(f):
+    """The ends of the triangle about f whose width is twice the critical bandwidth, with f in its middle on the mel scale."""
+    wide = critical_band(f) + 700.0
+    low = np.sqrt(wide * wide + f * (f + 1400.0)) - wide
+    return low, low + 2 * critical_band(f)
+
+
+def filterbank(bins: int, rate: float, bands: int = 26, low: float = 20.0, high: float = 8000.0, scale: str = "mel", width: str | float | None = None) -> np.ndarray:
+    """bands x bins triangles, their tops evenly spaced on the scale.
+
+    Without a width each rises from its left neighbour's top and falls to its
+    right's, on the scale. width "erb": each is as wide as twice the critical
+    bandwidth at its top, the first begins at low and the last ends at high. A
+    number: each reaches so many Hz to either side, and tops run from low to high.
+    """
     f = np.arange(bins) * rate / (2 * (bins - 1))
-    z = _hz_to(scale, f)
-    edges = np.linspace(float(_hz_to(scale, low)), float(_hz_to(scale, high)), bands + 2)
-    up = (z - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
-    down = (edges[2:, None] - z) / (edges[2:] - edges[1:-1])[:, None]
+    if width is None:
+        z = _hz_to(scale, f)
+        edges = np.linspace(float(_hz_to(scale, low)), float(_hz_to(scale, high)), bands + 2)
+        up = (z - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
+        down = (edges[2:, None] - z) / (edges[2:] - edges[1:-1])[:, None]
+        return np.maximum(np.minimum(up, down), 0)
+    tops = np.array(centres(bands, low, high, scale, width))
+    if width == "erb":
+        a, b = critical_edges(tops)
+    else:
+        a, b = np.maximum(tops - float(width), low), np.minimum(tops + float(width), high)
+    up = np.where((tops > a)[:, None], (f - a[:, None]) / np.where(tops > a, tops - a, 1.0)[:, None], (f >= tops[:, None]) * 1.0)
+    down = np.where((b > tops)[:, None], (b[:, None] - f) / np.where(b > tops, b - tops, 1.0)[:, None], (f <= tops[:, None]) * 1.0)
     return np.maximum(np.minimum(up, down), 0)
 
 
-def centres(bands: int, low: float, high: float, scale: str = "mel") -> list[float]:
-    """The frequencies of the filters' tops, found on the scale by bisection."""
-    edges = np.linspace(float(_hz_to(scale, low)), float(_hz_to(scale, high)), bands + 2)[1:-1]
-    a, b = np.full(bands, low), np.full(bands, high)
-    for _ in range(60):
-        mid = (a + b) / 2
-        up = _hz_to(scale, mid) < edges
-        a, b = np.where(up, mid, a), np.where(up, b, mid)
-    return ((a + b) / 2).tolist()
+def centres(bands: int, low: float, high: float, scale: str = "mel", width: str | float | None = None) -> list[float]:
+    """The frequencies of filterbank's tops."""
+    on = lambda f: _hz_to(scale, f)
+    if width is None:
+        marks = np.linspace(float(on(low)), float(on(high)), bands + 2)[1:-1]
+    elif width == "erb":
+        ends = [float(_solve(lambda f, k=k: critical_edges(f)[k], 0.0, 2 * high, v)) for k, v in ((0, low), (1, high))]
+        marks = np.linspace(float(on(ends[0])), float(on(ends[1])), bands)
+    else:
+        marks = np.linspace(float(on(low)), float(on(high)), bands)
+    return _solve(on, 0.0, 2 * high, marks).tolist()
 
 
 def apply_matrix(v: Column, m: np.ndarray) -> Column:
@@ -163,13 +220,20 @@ def chroma(notes: Column, octaves: int, size: int = 12, silence: float = 0.001)
     return let(fold, lambda b: let(by(b), lambda s: F.transform(b, lambda x: F.coalesce(x / s, F.lit(0.0)))))
 
 
-def descriptors(mag: Column, freqs: list[float], bands: tuple = ((0, 650), (1000, 4000)), roll: tuple = (0.25, 0.5, 0.75, 0.9), square: bool = True, slopes: tuple = ((0, 500), (500, 1500))) -> dict[str, Column]:
+def descriptors(mag: Column, freqs: list[float], bands: tuple = ((0, 650), (1000, 4000)), roll: tuple = (0.25, 0.5, 0.75, 0.9), square: bool = True, slopes: tuple = ((0, 500), (500, 1500)), relative: bool = False, span: tuple | None = None, decibels: bool = False, floor: float = 1e-7) -> dict[str, Column]:
     """Of a magnitude spectrum: band energies, roll-off, centroid, entropy, moments, slopes, flatness, sharpness, harmonicity, alpha ratio, Hammarberg index.
 
     All come from one numpy pass over Arrow batches, linear in the bins. Spectra
-    that are null or not of the frequencies' length have none.
+    that are null or not of the frequencies' length have none. relative: band
+    energies and harmonicity are shares of the whole energy. span: only bins from
+    one frequency to another count. decibels: slopes, centroid, extremes,
+    entropy, moments, sharpness, harmonicity and flatness are of the power in
+    decibels over that of the floor, and band energies are in decibels.
     """
     f = np.array(freqs, float)
+    whole = len(f)
+    own = np.ones(whole, bool) if span is None else (f >= span[0]) & (f <= span[1])
+    f = f[own]
     n = len(f)
     names = [f"band_{int(a)}_{int(b)}" for a, b in bands] + [f"rolloff{round(100 * r)}" for r in roll]
     names += "centroid maxpos minpos entropy variance stddev skewness kurtosis slope flatness sharpness harmonicity alpharatio hammarberg".split()
@@ -184,19 +248,26 @@ def descriptors(mag: Column, freqs: list[float], bands: tuple = ((0, 650), (1000
         return (m * (p[:, at] @ x) - x.sum() * p[:, at].sum(1)) / below if below else np.zeros(len(p))
 
     def made(mag: np.ndarray) -> np.ndarray:
+        mag = mag[:, own]
         p = mag * mag if square else mag
         s = p.sum(1)
         by = np.where(s > 0, s, np.inf)
         inside = lambda a, b: (f >= a) & (f < b)
         most = lambda at: p[:, at].max(1) if at.any() else np.zeros(len(p))
 
-        def decibels(over, under):
+        def decibels_of(over, under):
             good = (over > 0) & (under > 0)
             return np.where(good, 10 * np.log10(np.where(good, over, 1) / np.where(good, under, 1)), 0.0)
 
-        out = [p[:, inside(a, b)].sum(1) for a, b in bands]
+        energy = [p[:, inside(a, b)].sum(1) / (np.where(s > 0, s, np.inf) if relative else 1.0) for a, b in bands]
+        out = [10 * np.log10(np.maximum(e, floor * floor)) for e in energy] if decibels else energy
         below = np.cumsum(p, 1)
         out += [f[np.minimum((below < (r * s)[:, None]).sum(1), n - 1)] for r in roll]
+        ratios = [decibels_of(p[:, inside(1000, 5000)].sum(1), p[:, inside(50, 1000)].sum(1)), decibels_of(most(inside(0, 2000)), most(inside(2000, 5000)))]
+        if decibels:
+            p = mag = 10 * np.log10(np.maximum(p, floor * floor)) - 20 * np.log10(floor)
+            s = p.sum(1)
+            by = np.where(s > 0, s, np.inf)
         centroid = p @ f / by
         d = f - centroid[:, None]
         var, m3, m4 = ((p * d**k).sum(1) / by for k in (2, 3, 4))
@@ -205,14 +276,13 @@ def descriptors(mag: Column, freqs: list[float], bands: tuple = ((0, 650), (1000
         out += [centroid, f[mag.argmax(1)], f[mag.argmin(1)], -(q * np.log2(q)).sum(1), var, np.sqrt(var), m3 / (sd * np.sqrt(sd)), m4 / (sd * sd), line(p, np.ones(n, bool))]
         flat = np.exp(np.log(np.maximum(p, 1e-12)).sum(1) / n) / (by / n)
         all_ = mag.sum(1)
-        out += [flat, p @ sharp / by, np.abs(np.diff(mag, axis=1)).sum(1) / np.where(all_ > 0, all_, np.inf)]
-        out += [decibels(p[:, inside(1000, 5000)].sum(1), p[:, inside(50, 1000)].sum(1)), decibels(most(inside(0, 2000)), most(inside(2000, 5000)))]
+        out += [flat, p @ sharp / by, np.abs(np.diff(mag, axis=1)).sum(1) / np.where(all_ > 0, all_, np.inf), *ratios]
         return np.stack(out + [line(p, inside(a, b)) for a, b in slopes], 1)
 
     @F.pandas_udf(", ".join(f"{c} double" for c in names))
     def run(mags: pd.Series) -> pd.DataFrame:
         out = np.full((len(mags), len(names)), np.nan)
-        at = np.flatnonzero([v is not None and len(v) == n for v in mags])
+        at = np.flatnonzero([v is not None and len(v) == whole for v in mags])
         if len(at):
             out[at] = made(np.stack([np.asarray(mags.iloc[i], float) for i in at]))
         return pd.DataFrame(out, columns=names)

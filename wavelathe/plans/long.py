@@ -365,3 +365,40 @@ _won = [f"CASE WHEN {d} < 0 THEN '{p}' ELSE '{q}' END" for d, (p, q) in zip(_dis
 def _(spark, d):
     f = fn.functionals(events(spark, d), ["user_id"], ["vidx"], "x", ["extremes"])
     return models.pairs_class(f, models.parse_pairs(_PAIRS)).select("user_id", "class")
+
+
+# -- Options of spectra -------------------------------------------------------
+
+for _name, _how in (("critical", {"width": "erb"}), ("fixed_width", {"width": 600.0, "scale": "bark"})):
+    _bank = spectral.filterbank(33, 16000, 10, 300.0, 7000.0, **_how)
+
+    def _run(spark, d, bank=_bank):
+        y = spectral.apply_matrix(F.col("m"), bank)
+        return mags(spark, d).select("vec_id", F.posexplode(y).alias("band", "y")).select("vec_id", "band", r6(F.col("y")).alias("energy"))
+
+    query(f"{_name}_bands_embeddings", f"WITH {_V}, {_MAG} SELECT vec_id, CAST(unnest(range(0, 10)) AS INTEGER) AS band, {s6(f'unnest({_matrix_sql(_bank, chr(109))})')} AS energy FROM m")(_run)
+
+
+@query("spectrum_scales_embeddings", f"""WITH {_V}, {_MAG} SELECT vec_id, CAST(unnest(range(0, 33)) AS INTEGER) AS bin, {s6('unnest(list_transform(m, lambda x: x / 64))')} AS share, {s6('unnest(list_transform(m, lambda x: (x / 64) ** 2))')} AS power,
+    {s6('unnest(list_transform(m, lambda x: greatest(CASE WHEN x > 0 THEN 90.302 + 20 * log10(x / 64) ELSE -102 END, -102)))')} AS db FROM m""")
+def _(spark, d):
+    m = F.col("m")
+    z = F.arrays_zip(spectral.scaled_spectrum(m, True).alias("a"), spectral.scaled_spectrum(m, True, True).alias("b"), spectral.scaled_spectrum(m, decibels=True).alias("c"))
+    out = mags(spark, d).select("vec_id", F.posexplode(z).alias("bin", "z"))
+    return out.select("vec_id", "bin", r6(F.col("z.a")).alias("share"), r6(F.col("z.b")).alias("power"), r6(F.col("z.c")).alias("db"))
+
+
+_floor_db = "(10 * log10(greatest(x * x, 1e-14)) + 140)"
+_part = "m[5:17]"  # 1000 to 4000 Hz
+_dbs = f"list_transform(m, lambda x: {_floor_db})"
+
+
+@query("spectral_options_embeddings", f"""WITH {_V}, {_MAG}, s AS (SELECT vec_id, m, {_dbs} AS db, list_transform({_part}, lambda x: x * x) AS p, list_sum(list_transform(m, lambda x: x * x)) AS all_ FROM m)
+    SELECT vec_id, {s6('list_sum(list_transform(m[1:3], lambda x: x * x)) / all_')} AS band, {s6('list_sum(list_transform(p, lambda x, i: x * (750 + 250 * i))) / list_sum(p)')} AS span_centroid, {s6('list_sum(list_transform(db, lambda x, i: x * 250 * (i - 1))) / list_sum(db)')} AS log_centroid,
+    {s6('(33 * list_sum(list_transform(db, lambda x, i: x * 250 * (i - 1))) - list_sum(range(0, 33)) * 250 * list_sum(db)) / (33 * list_sum(list_transform(range(0, 33), lambda i: (250.0 * i) ** 2)) - (250.0 * list_sum(range(0, 33))) ** 2) * 1000')} AS log_slope, {s6('10 * log10(greatest(list_sum(list_transform(m[1:3], lambda x: x * x)), 1e-14))')} AS log_band FROM s""")
+def _(spark, d):
+    at = [250.0 * k for k in range(33)]
+    m = F.col("m")
+    relative, span, log = spectral.descriptors(m, at, relative=True), spectral.descriptors(m, at, span=(1000, 4000)), spectral.descriptors(m, at, decibels=True)
+    cols = {"band": relative["band_0_650"], "span_centroid": span["centroid"], "log_centroid": log["centroid"], "log_slope": log["slope"] * 1000, "log_band": log["band_0_650"]}
+    return mags(spark, d).select("vec_id", *[r6(c.cast("double")).alias(n) for n, c in cols.items()])

@@ -210,6 +210,7 @@ _set_node("crossings", vectors.crossing_rates)
 _value_node("fft", "fft", spectral.fft)
 _value_node("phase", "phase", spectral.phase)
 _value_node("power_db", "db", spectral.power_db)
+_value_node("scaled_spectrum", "scaled", spectral.scaled_spectrum)
 _value_node("spectrum_acf", "acf", spectral.spectrum_acf)
 _value_node("cepstrum", "cep", spectral.cepstrum)
 _value_node("mfcc", "mfcc", spectral.mfcc)
@@ -234,7 +235,7 @@ def magnitude(df: DataFrame, keys, fields=None, rate: float | None = None, size:
 
 
 @operator("bands")
-def bands(df: DataFrame, keys, fields=None, bins: int | None = None, rate: float | None = None, count: int = 26, low: float = 20.0, high: float = 8000.0, scale: str = "mel") -> DataFrame:
+def bands(df: DataFrame, keys, fields=None, bins: int | None = None, rate: float | None = None, count: int = 26, low: float = 20.0, high: float = 8000.0, scale: str = "mel", width: str | float | None = None) -> DataFrame:
     """Triangular bands of spectra; bins and rate are taken from the field's axis where they are not given. The bands' axis is their centres."""
     out = df.select(*_lead(df, keys))
     cols = []
@@ -243,7 +244,7 @@ def bands(df: DataFrame, keys, fields=None, bins: int | None = None, rate: float
         if (bins is None or rate is None) and not axis:
             raise ValueError(f"{f} has no axis, so bins and rate are needed")
         n, r = bins or len(axis), rate or 2 * axis[-1]
-        cols.append(spectral.apply_matrix(F.col(f), spectral.filterbank(n, r, count, low, high, scale)).alias(f"{f}_bands", metadata={"axis": spectral.centres(count, low, high, scale)}))
+        cols.append(spectral.apply_matrix(F.col(f), spectral.filterbank(n, r, count, low, high, scale, width)).alias(f"{f}_bands", metadata={"axis": spectral.centres(count, low, high, scale, width)}))
     return df.select(*out.columns, *cols)
 
 
