@@ -125,12 +125,12 @@ def _placed(nodes: DataFrame, count: int, rounds: int) -> DataFrame:
     placed = placed.withColumn("shard", F.when(F.col("cells").isNotNull(), F.element_at(own, -1)["shard"]))
     placed = written(placed.drop("_inner", "_start", "cells"), "shard-placed")
     # Rows above a quota join those without links; together they fill the shards.
-    fixed = _ranked(placed.where("shard is not null"), ["shard"], ["hub", "node"], "slot")
+    fixed = _ranked(placed.where("shard is not null"), ["shard"], ["hub", "node", "tie"], "slot")
     fixed = written(fixed, "shard-fixed")
     over = F.col("slot") >= _pick(F.col("shard"), room)
     held = {r["shard"]: r["n"] for r in fixed.where(~over).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
     free = placed.where("shard is null").drop("shard").unionByName(fixed.where(over).drop("shard", "slot"))
-    free = _ranked(free.withColumn("_all", F.lit(0)), ["_all"], ["node", "hub"], "rank")
+    free = _ranked(free.withColumn("_all", F.lit(0)), ["_all"], ["node", "hub", "tie"], "rank")
     lows, low = [], 0
     for s in range(count):
         lows.append(low)
