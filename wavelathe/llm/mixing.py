@@ -166,8 +166,9 @@ def mixed_documents(docs: DataFrame, share: float = 1.5, most: float = 2.0, weig
     on = base["doc_id"].eqNullSafe(m["__wl_d"]) & base["__wl_tie"].eqNullSafe(m["__wl_t"]) & base["source"].eqNullSafe(m["__wl_s"])
     out = base.join(m, on).withColumn("__wl_k", F.col("__wl_c"))
     if not m.where("__wl_n > 1").isEmpty():
-        # Of rows alike in id, text and source, each gets an equal part of the copies, the rest going to the first of them.
-        nth = F.row_number().over(Window.partitionBy("__wl_d", "__wl_t", "__wl_s").orderBy("__wl_tie")) - 1
+        # Of rows alike in id, text and source, each gets an equal part of the copies, the rest going to the first of them by all columns.
+        out = out.withColumn("__wl_order", F.xxhash64(*columns_of(docs)))
+        nth = F.row_number().over(Window.partitionBy("__wl_d", "__wl_t", "__wl_s").orderBy("__wl_order")) - 1
         out = out.withColumn("__wl_k", F.floor(F.col("__wl_c") / F.col("__wl_n")) + F.when(nth < F.col("__wl_c") % F.col("__wl_n"), 1).otherwise(0))
     out = out.where("__wl_k > 0")
     return out.withColumn("__wl_i", F.explode(F.sequence(F.lit(1), F.col("__wl_k").cast("int")))).select(*columns_of(docs))
