@@ -112,7 +112,7 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, float]:
-    """Fit on at most s.sample labelled documents: (weights of buckets, bias).
+    """Fit on at most s.sample labelled documents, one row an id: (weights of buckets, bias).
 
     The sample's features, bounded by the setting, meet in one task, which
     trains; the driver gets the weights alone.
@@ -127,6 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[n
     )
     # At most s.sample narrow rows: their size is bounded by the setting.
     both = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Of an id that several rows have, the text with the least hash is the sample's.
+    both = both.groupBy("doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("r")).select("doc_id", "r.text", "r.y")
     bits = s.bits
 
     @frugal
