@@ -178,8 +178,8 @@ def even_labels(spark: SparkSession, n: int) -> list[int]:
     return [found[p] if p in found else next(spare) for p in range(n)]
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, on: str, by: str, parts: int = 32, *also: str) -> DataFrame:
-    """rows with the facts (one row a key) of their key `on`, inner, where a key may be that of very many rows.
+def spread_join(rows: DataFrame, facts: DataFrame, on: str, by: str, parts: int = 32, *also: str, how: str = "inner") -> DataFrame:
+    """rows with the facts (one row a key) of their key `on`, inner or left, where a key may be that of very many rows.
 
     A key's rows are dealt into parts by their columns `by` and `also`, and the
     key's facts go to each part that there is: as many copies as parts at most.
@@ -187,7 +187,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, on: str, by: str, parts: int
     part = F.pmod(F.xxhash64(by, *also), F.lit(parts)).alias("__wl_part")
     dealt = rows.select("*", part)
     there = dealt.select(on, "__wl_part").distinct().join(facts, on)
-    return dealt.join(there, [on, "__wl_part"]).drop("__wl_part")
+    return dealt.join(there, [on, "__wl_part"], how).drop("__wl_part")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, label: str = "order") -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_of, documents, frugal, prepare, text_of, written
+from .common import columns_of, documents, frugal, prepare, spread_join, text_of, written
 
 RULES = "1"
 #: The kinds in their order, and their patterns.
@@ -81,13 +81,13 @@ def update(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame
 def by_path(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """(path, spans) of every row; spans empty where its blob has no finding."""
     own = versions(docs).select("path", "blob")
-    return own.join(findings.select("blob", "spans"), "blob", "left").select("path", F.coalesce("spans", F.lit("")).alias("spans"))
+    return spread_join(own, findings.select("blob", "spans"), "blob", "path", how="left").select("path", F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def cleaned(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """(doc_id, text): the next version of every row whose blob has a finding, its secrets replaced."""
     own = versions(docs).select("path", "blob")
-    return own.join(findings.select("blob", "clean"), "blob").select(F.col("path").alias("doc_id"), F.col("clean").alias("text"))
+    return spread_join(own, findings.select("blob", "clean"), "blob", "path").select(F.col("path").alias("doc_id"), F.col("clean").alias("text"))
 
 
 def without_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -95,7 +95,7 @@ def without_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     _, found = update(docs)
     text = text_of(docs)
     named = docs.withColumn("__wl_blob", F.unhex(F.sha2(text, 256)))
-    joined = named.join(found.select(F.col("blob").alias("__wl_blob"), F.col("spans").alias("__wl_spans")), "__wl_blob", "left")
+    joined = spread_join(named, found.select(F.col("blob").alias("__wl_blob"), F.col("spans").alias("__wl_spans")), "__wl_blob", "doc_id", how="left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -130,7 +130,7 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = every.select("blob", "spans")
     last = F.sha2(F.coalesce("clean", F.lit("")), 256)
     after = found.select("blob", "spans", F.unhex(last).alias("next")).join(every.select(F.col("blob").alias("next"), F.col("spans").alias("after")), "next", "left")
-    own = versions(docs).select("path", "blob").join(after.select("blob", "spans", "after"), "blob", "left")
+    own = spread_join(versions(docs).select("path", "blob"), after.select("blob", "spans", "after"), "blob", "path", how="left")
     out = own.select(F.col("path").alias("doc_id"), F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("after", F.lit("")).alias("after"))
     kind = lambda k: F.size(F.regexp_extract_all("spans", F.lit(f"({k}):"), F.lit(1))).cast("long").alias(f"n_{k}")
     left = F.when(F.col("after") == "", 0).otherwise(F.size(F.split("after", ","))).cast("long")
