@@ -22,9 +22,15 @@ def r6(c):
     return F.round(c + F.lit(1e-10), 6) + F.lit(0.0)
 
 
+def nine(c):
+    """r6, but numbers from a million on, of whose decimals a double's sum holds too few, by their first nine digits."""
+    big = F.abs(c) >= 1e6
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.when(big, F.abs(c)))))
+    return F.when(big, F.round(c / power, 8) * power).otherwise(r6(c))
+
+
 def r_of(name: str, c):
-    """r6, but large variances, of whose decimals a double holds too few, as whole numbers."""
-    return F.when(c >= 1e6, F.round(c, 0)).otherwise(r6(c)) if name.endswith("variance") else r6(c)
+    return nine(c) if name.endswith("variance") else r6(c)
 
 
 def table(spark, d, name):
@@ -59,8 +65,13 @@ def s6(e: str) -> str:
     return f"round({e} + CAST(1e-10 AS DOUBLE), 6) + {_R}"
 
 
+def s9(e: str) -> str:
+    power = f"pow(CAST(10 AS DOUBLE), floor(log10(abs({e}))))"
+    return f"CASE WHEN abs({e}) >= 1e6 THEN round(({e}) / {power}, 8) * {power} ELSE {s6(e)} END"
+
+
 def s_of(name: str, e: str) -> str:
-    return f"CASE WHEN {e} >= 1e6 THEN round({e}, 0) ELSE {s6(e)} END" if name.endswith("variance") else s6(e)
+    return s9(e) if name.endswith("variance") else s6(e)
 
 
 def query(name: str, sql: str | None = None):

@@ -10,7 +10,7 @@ from ..functions import spectral
 from ..operators import blocks, contours, models, paths, windows
 from ..operators.blocks import Blocks
 from ..series import Series, of_level
-from .catalog import _E, _MAG, _MEL, _SQL_SETS, _V, _mel_sql, _rounded, events, mags, query, r6, s6, table
+from .catalog import _E, _MAG, _MEL, _SQL_SETS, _V, _mel_sql, _rounded, events, mags, nine, query, r6, s6, s9, table
 from .more import _TURNS, _cepstrum, _levinson, _loud, _plp_acf, _rows, _stepped
 
 LINE = Blocks(("line",), 4096)
@@ -52,21 +52,15 @@ def _(spark, d):
 
 _SETS = ["extremes", "means", "moments", "percentiles", "crossings", "samples", "times", "dct"]
 _columns = {c: e for s in _SETS for c, e in _SQL_SETS[s].items()}
-#: Sums over a whole table differ in the last digits: values from a million on are compared by their first nine digits.
-_nine = lambda e: f"CASE WHEN abs({e}) >= 1e6 THEN round(({e}) / pow(10, floor(log10(abs({e})))), 8) ELSE {s6(e)} END"
-
-
-def _nine_of(c):
-    big = F.abs(c) >= 1e6
-    return F.when(big, F.round(c / F.pow(F.lit(10.0), F.floor(F.log10(F.when(big, F.abs(c))))), 8)).otherwise(r6(c))
+_large = {c for c in _columns if c.endswith(("variance", "qmean")) or c.startswith("dct")}
 
 
 @query("long_functionals_lineitem", f"""WITH {_LINE}, b AS (SELECT x, CAST(vidx AS DOUBLE) AS i, CAST(count(*) OVER () AS DOUBLE) AS n, min(x) OVER () AS lo, max(x) OVER () AS hi, avg(x) OVER () AS mu, lag(x) OVER (ORDER BY vidx) AS was, lead(x) OVER (ORDER BY vidx) AS will FROM e),
     f AS (SELECT {', '.join(f'CAST({e} AS DOUBLE) AS x_{c}' for c, e in _columns.items())} FROM b)
-    SELECT {', '.join(f'{_nine(f"x_{c}")} AS x_{c}' for c in _columns)} FROM f""")
+    SELECT {', '.join(f'{s9(f"x_{c}") if c in _large else s6(f"x_{c}")} AS x_{c}' for c in _columns)} FROM f""")
 def _(spark, d):
     out = fn.functionals(line(spark, d), ["line"], ["vidx"], "x", _SETS, blocks=LINE)
-    return out.select(*[_nine_of(F.col(f"x_{c}")).alias(f"x_{c}") for c in _columns])
+    return out.select(*[(nine if c in _large else r6)(F.col(f"x_{c}")).alias(f"x_{c}") for c in _columns])
 
 
 @query("long_running_mvn_lineitem", f"""WITH {_LINE} SELECT vidx, {s6("(x - avg(x) OVER w) / greatest(stddev_pop(x) OVER w, 1e-7)")} AS x_mvn FROM e WINDOW w AS (ORDER BY vidx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
