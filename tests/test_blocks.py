@@ -264,6 +264,20 @@ def test_peaks(level, data, rows_, rise, fall):
         assert got[k]["x_peakmeanmeandist"] == pytest.approx((np.mean([h for _, h in p]) if p else 0) - x.mean())
 
 
+@pytest.mark.parametrize(("rows_", "need"), [(3, 0.1), (8, 0.02), (8, 0.4), (500, 0.1)])
+def test_alternating_extrema(level, data, rows_, need):
+    got = rows(contours.extrema_marked(level, Blocks(KEYS, rows_), "x", need), "k", "vidx", "kind", "height")
+    want = []
+    for k, x in data.items():
+        tops, bottoms = kernels.extrema(x, need)
+        want += [(k, i, 1, round(float(x[i]), 8)) for i in tops] + [(k, i, -1, round(float(x[i]), 8)) for i in bottoms]
+    assert got == sorted(want)
+    names = list(kernels.peaks2(data[0]))
+    stats = {r["k"]: [r[f"x_{n}"] for n in names] for r in contours.peaks2(level, Blocks(KEYS, rows_), "x", need).collect()}
+    for k, x in data.items():
+        assert stats[k] == pytest.approx([kernels.peaks2(x, need)[n] for n in names], abs=1e-9), k
+
+
 @pytest.mark.parametrize("off", [0.2, 1.0])
 def test_onsets(level, data, off):
     got = {r["k"]: r for r in contours.onsets(level, B, "x", 1.0, off).collect()}

@@ -392,3 +392,170 @@ def modulation(df: DataFrame, b: Blocks, x: str, period: float = 0.01, size: flo
     part = lambda n: F.col(f"{n}_x") - F.col("_mu") * F.col(n)
     sums = sums.select(*keys, *[F.sqrt(part(f"_c{k}") * part(f"_c{k}") + part(f"_s{k}") * part(f"_s{k}")).alias(f"_b{k}") for k in bins])
     return sums.groupBy(*keys).agg(*[F.avg(F.col(f"_b{a}") * (1 - w) + F.col(f"_b{c}") * w).alias(f"{x}_mod{i}") for i, (a, c, w) in enumerate(spots)])
+
+
+# -- Alternating extrema ------------------------------------------------------
+
+
+class _Swing:
+    """A block's rows as the machine of alternating extrema sees them.
+
+    Upwards (sign 1) it looks for a top: the highest row so far, once a row is
+    below it by more than `need`; downwards (sign -1) for a bottom. A state is
+    (sign, height, place), the height times the sign; from there all follows.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        self.at, self.x = rows["vidx"].to_numpy(np.int64), rows["x"].to_numpy(float)
+        self.need = float(rows["_need"].iloc[0])
+        self.known: dict = {}
+
+    def until(self, sign: int, i: int, height: float, place: float):
+        """From row i on in a direction: (row of the turn or None, height, place)."""
+        y = sign * self.x
+        for k in range(i, len(y)):
+            if y[k] > height:
+                height, place = y[k], float(self.at[k])
+            if height - y[k] > self.need:
+                return k, height, place
+        return None, height, place
+
+    def leave(self, sign: int, k: int) -> tuple:
+        """The state behind the block after a turn into the direction at row k."""
+        chain = []
+        while True:
+            if (sign, k) in self.known:
+                got = self.known[sign, k]
+                break
+            chain.append((sign, k))
+            turn, height, place = self.until(sign, k + 1, sign * self.x[k], float(self.at[k]))
+            if turn is None:
+                got = (float(sign), height, place)
+                break
+            sign, k = -sign, turn
+        for c in chain:
+            self.known[c] = got
+        return got
+
+    def map(self, sign: int) -> list[float]:
+        """For a state ahead of the block in this direction: the turn by the block's own heights (its row, or none), the highest row,
+        and for each record low the row and the state behind: a height over it by more than need turns there."""
+        y = sign * self.x
+        turn, height, place = self.until(sign, 0, -np.inf, -1.0)
+        end = len(y) if turn is None else turn
+        out = [-1.0 if turn is None else float(turn), *((0.0, height, place) if turn is None else self.leave(-sign, turn))]
+        least, lows = np.inf, []
+        for k in range(end):
+            if y[k] < least:
+                least = y[k]
+                lows += [least, float(k), *self.leave(-sign, k)]
+        return [float(len(lows) // 5), *out, *lows]
+
+
+def _swung(m: np.ndarray, at: int, need: float, height: float):
+    """Read a direction's map from place `at`: (row of the turn or None, state behind it), (highest row, place), and where the map ends."""
+    n = int(m[at])
+    own, behind, lows = m[at + 1], m[at + 2 : at + 5], m[at + 5 : at + 5 + 5 * n].reshape(n, 5)
+    hit = np.flatnonzero(height - lows[:, 0] > need)
+    if len(hit):
+        got = int(lows[hit[0], 1]), lows[hit[0], 2:5]
+    elif own >= 0:
+        got = int(own), behind
+    else:
+        got = None, None
+    return got, (behind[1], behind[2]), at + 5 + 5 * n
+
+
+def extrema_marked(df: DataFrame, b: Blocks, x: str, relative: float = 0.1, absolute: float | None = None) -> DataFrame:
+    """keys, vidx, kind (1 a top, -1 a bottom), height: alternating extrema that differ by more than a share of the range, or by a number.
+
+    The first row is neither, and series of fewer than three rows, or of one
+    value, have none. The state ahead of a block is the direction, and the
+    highest (lowest) row since the last turn; until the first turn both.
+    """
+    keys = list(b.keys)
+    rows = b.shared(df.select(*keys, "vidx", F.col(x).cast("double").alias("x")), _lo=F.min("x"), _hi=F.max("x"), _n=F.count(F.lit(1)))
+    need = F.lit(float(absolute)) if absolute is not None else relative * (F.col("_hi") - F.col("_lo"))
+    rows = rows.where((F.col("_n") > 2) & (F.col("_hi") > F.col("_lo"))).select(*keys, "vidx", "x", need.alias("_need"))
+
+    def fold(part):
+        s = _Swing(part)
+        return [s.need, *s.map(1), *s.map(-1)]
+
+    def step(state, m):
+        """state: sign, height, place, and while the sign is 0 the lowest row's height (times -1) and place."""
+        sign = int(state[0])
+        up, high, end = _swung(m, 1, m[0], state[1] if sign >= 0 else -np.inf)
+        down, low, _ = _swung(m, end, m[0], state[3] if sign == 0 else state[1] if sign < 0 else -np.inf)
+        pick = lambda h, p, new: [h, p] if h >= new[0] else list(new)
+        if sign == 0:
+            if up[0] is None and down[0] is None:
+                return [0.0, *pick(state[1], state[2], high), *pick(state[3], state[4], low)]
+            first = up if down[0] is None or (up[0] is not None and up[0] <= down[0]) else down
+            return [*first[1], 0.0, 0.0]
+        turn, best = (up, high) if sign > 0 else (down, low)
+        return [*turn[1], 0.0, 0.0] if turn[0] is not None else [float(sign), *pick(state[1], state[2], best), 0.0, 0.0]
+
+    def replay(part, state):
+        s, out, i = _Swing(part), [], 0
+        sign, height, place = int(state[0]), state[1], state[2]
+        if sign == 0:
+            up, down = s.until(1, 0, state[1], state[2]), s.until(-1, 0, state[3], state[4])
+            if up[0] is None and down[0] is None:
+                return _marks(part, keys, out)
+            sign, (i, height, place) = (1, up) if down[0] is None or (up[0] is not None and up[0] <= down[0]) else (-1, down)
+            out.append((place, sign, sign * height))
+            sign, height, place, i = -sign, -sign * s.x[i], float(s.at[i]), i + 1
+        while True:
+            i, height, place = s.until(sign, i, height, place)
+            if i is None:
+                return _marks(part, keys, out)
+            out.append((place, sign, sign * height))
+            sign, height, place, i = -sign, -sign * s.x[i], float(s.at[i]), i + 1
+
+    start = lambda part: [0.0, part["x"].iloc[0], 0.0, -part["x"].iloc[0], 0.0]
+    found = scanned(rows, b, fold, step, start, replay, keys, _spot=LongType(), kind=LongType(), height=DoubleType())
+    return found.where("_spot > 0").withColumnRenamed("_spot", "vidx")
+
+
+def _marks(part: pd.DataFrame, keys: list[str], out: list[tuple]) -> pd.DataFrame:
+    first = part[keys].iloc[[0] * len(out)].reset_index(drop=True)
+    return first.assign(_spot=np.array([o[0] for o in out], np.int64), kind=np.array([o[1] for o in out], np.int64), height=np.array([o[2] for o in out], float))
+
+
+def peaks2(df: DataFrame, b: Blocks, x: str, relative: float = 0.1, absolute: float | None = None) -> DataFrame:
+    """keys and statistics of alternating extrema: distances, heights and steps of the tops and of the bottoms, rising and falling slopes between neighbours."""
+    keys = list(b.keys)
+    df = written(df.select(*keys, "vidx", x), "contour")
+    marks = written(extrema_marked(df, b, x, relative, absolute), "extrema")
+
+    def neighbours(rows: DataFrame) -> DataFrame:
+        rows = b.renumbered(rows.withColumn("_spot", F.col("vidx")))
+        return b.windowed(rows, {"_s1": _lag("_spot"), "_s2": _lag("_spot", 2), "_h1": _lag("height")}, 2, 0)
+
+    def stats(kind: int, names: dict) -> DataFrame:
+        return neighbours(marks.where(F.col("kind") == kind)).groupBy(*keys).agg(*[c.alias(n) for n, c in names.items()])
+
+    d, h, up = F.col("_spot") - F.col("_s1"), F.col("height"), F.abs(F.col("height") - F.col("_h1"))
+    of = lambda p: {f"{p}range": F.max(h) - F.min(h), f"{p}mean": F.avg(h), f"{p}amp": F.avg(up), f"{p}ampstd": F.stddev_pop(up)}
+    tops = stats(1, {"n": F.count(F.lit(1)), "dist": F.avg(d), "dd": F.avg(F.abs(d - (F.col("_s1") - F.col("_s2")))), "diststd": F.stddev_pop(d), **of("t")})
+    bottoms = stats(-1, of("b"))
+    slope = (h - F.col("_h1")) / F.when(d > 0, d)
+    both = neighbours(marks)
+    by = {}
+    for name, kind in (("rising", 1), ("falling", -1)):
+        v = F.when(F.col("kind") == kind, slope)
+        by |= {f"mean{name}": F.avg(v), f"max{name}": F.max(v), f"min{name}": F.min(v), f"std{name}": F.stddev_pop(v)}
+    slopes = both.groupBy(*keys).agg(*[c.alias(n) for n, c in by.items()])
+    all_ = df.groupBy(*keys).agg(F.avg(x).alias("mu"), (F.max(x) - F.min(x)).alias("span"))
+    for t in (tops, bottoms, slopes):
+        all_ = all_.join(t, keys, "left")
+    z = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0.0)).cast("double")
+    over = lambda a, c: z(F.col(a) / F.when(F.col(c) != 0, F.col(c)))
+    out = {"numpeaks": z("n"), "meanpeakdist": z("dist"), "meanpeakdistdelta": z("dd"), "peakdiststddev": z("diststd")}
+    for name, p, word, apart in (("peak", "t", "ptp", F.col("tmean") - F.col("mu")), ("min", "b", "mtm", F.col("mu") - F.col("bmean"))):
+        out |= {f"{name}rangeabs": z(f"{p}range"), f"{name}rangerel": over(f"{p}range", "span"), f"{name}meanabs": z(f"{p}mean"), f"{name}meanmeandist": z(apart), f"{name}meanrel": over(f"{p}mean", "mu")}
+        out |= {f"{word}ampmeanabs": z(f"{p}amp"), f"{word}ampmeanrel": over(f"{p}amp", "span"), f"{word}ampstddevabs": z(f"{p}ampstd"), f"{word}ampstddevrel": over(f"{p}ampstd", "span")}
+    for name in ("rising", "falling"):
+        out |= {f"mean{name}slope": z(f"mean{name}"), f"max{name}slope": z(f"max{name}"), f"min{name}slope": z(f"min{name}"), f"stddev{name}slope": z(f"std{name}"), f"cov{name}slope": over(f"std{name}", f"mean{name}")}
+    return all_.select(*keys, *[c.alias(f"{x}_{n}") for n, c in out.items()])

@@ -490,7 +490,6 @@ def _kernel(name, fun, names):
     query(name)(lambda spark, d: _rounded(kernels.per_series(events(spark, d), ["user_id"], ["vidx"], "x", fun, names), ["user_id"]))
 
 
-_kernel("func_peaks2_events", kernels.peaks2, list(kernels.peaks2([0, 1, 0, 2, 0])))
 
 
 _kernel("jitter_events", lambda x: kernels.jitter(x, 7), ["jitterlocal", "jitterddp", "shimmerlocal", "shimmerdb", "loghnr"])

@@ -99,6 +99,11 @@ def _(spark, d):
     return _rounded(contours.peaks(events(spark, d), USERS, "x"), ["user_id"])
 
 
+@query("func_peaks2_events")
+def _(spark, d):
+    return _rounded(contours.peaks2(events(spark, d), USERS, "x"), ["user_id"])
+
+
 # Segments: statistics of the first 20 lengths, lengths as shares of the series.
 _STATS = f"""c AS (SELECT user_id, len, row_number() OVER (PARTITION BY user_id ORDER BY vidx) AS k FROM r WHERE len IS NOT NULL),
     s AS (SELECT user_id, count(*) AS c, avg(len) AS a, max(len) AS hi, min(len) AS lo, stddev_pop(len) AS sd FROM c WHERE k <= 20 GROUP BY user_id), z AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id)
