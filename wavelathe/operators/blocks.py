@@ -61,7 +61,7 @@ def numbered(df: DataFrame, s: Series, values: dict[str, str | Column], time: st
 
 @dataclass(frozen=True)
 class Blocks:
-    """keys: the columns that name a series of a level; rows: how many of its rows are a block."""
+    """keys: the columns that name a series of a level; rows: how many of its rows are a block. Rows with a null key are of no series, and left out."""
 
     keys: tuple[str, ...]
     rows: int = ROWS
@@ -176,16 +176,17 @@ def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable | None, sta
     """
     keys, by = list(b.keys), b.by
     # A number of its own, as few bytes may be much work: else they would be put into one task.
-    own = b.own(df).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = b.own(df).repartition(n, *by)
     head = callable(start)
 
-    def maps(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vidx", kind="stable")
-        first = start(rows) if head else start
-        return pd.DataFrame([[*rows[by].iloc[0], np.asarray(fold(rows), float).tolist(), np.asarray(first, float).tolist()]], columns=[*by, "_map", "_start"])
+    def maps(batches):
+        for parts in _groups(batches, by):
+            out = [[*key, np.asarray(fold(rows), float), np.asarray(start(rows) if head else start, float)] for key, rows in parts]
+            yield pd.DataFrame(out, columns=[*by, "_map", "_start"])
 
     array = ArrayType(DoubleType())
-    folded = own.groupBy(*by).applyInPandas(maps, _kind(own, by, _map=array, _start=array))
+    folded = own.sortWithinPartitions(*by, "vidx").mapInPandas(maps, _kind(own, by, _map=array, _start=array))
 
     def forward(maps, state):
         out = []
@@ -194,18 +195,50 @@ def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable | None, sta
             state = np.asarray(step(state, m), float)
         return out
 
-    def states(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_block", kind="stable")
-        got = (along or forward)([np.asarray(m, float) for m in rows["_map"]], np.asarray(rows["_start"].iloc[0], float))
-        return rows[by].assign(_state=[np.asarray(v, float).tolist() for v in got])
-
-    starts = folded.groupBy(*keys).applyInPandas(states, _kind(own, by, _state=array))
-
-    def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vidx", kind="stable").reset_index(drop=True)
-        return replay(rows, np.asarray(state["_state"].iloc[0], float))[[*names, *made]]
-
-    return own.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(run, _kind(own, names, **made))
+    def states(batches):
+        for parts in _groups(batches, keys):
+            out = []
+            for key, rows in parts:
+                got = (along or forward)([np.asarray(m, float) for m in rows["_map"]], np.asarray(rows["_start"].iloc[0], float))
+                out += [[*key, block, np.asarray(v, float)] for block, v in zip(rows["_block"], got)]
+            yield pd.DataFrame(out, columns=[*by, "_state"])
+
+    starts = folded.repartition(n, *keys).sortWithinPartitions(*keys, "_block").mapInPandas(states, _kind(own, by, _state=array))
+
+    def run(batches):
+        for parts in _groups(batches, by):
+            yield pd.concat([replay(rows, np.asarray(rows["_state"].iloc[0], float))[[*names, *made]] for _, rows in parts])
+
+    return own.join(starts, by).sortWithinPartitions(*by, "vidx").mapInPandas(run, _kind(own, names, **made))
+
+
+def _groups(batches, by: list[str]):
+    """From batches of sorted rows, one after the other, lists of (key, rows) of the groups that end in each."""
+    held, last = [], None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        new = np.zeros(len(pdf), bool)
+        for c in by:
+            v = pdf[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        edges = [0, *np.flatnonzero(new).tolist(), len(pdf)]
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            key = tuple(pdf[c].iat[lo] for c in by)
+            if held and key != last:
+                out.append((last, _whole(held)))
+                held = []
+            held.append(pdf.iloc[lo:hi])
+            last = key
+        if out:
+            yield out
+    if held:
+        yield [(last, _whole(held))]
+
+
+def _whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    return (pd.concat(parts) if len(parts) > 1 else parts[0]).reset_index(drop=True)
 
 
 # -- Affine maps ----------------------------------------------------------
