@@ -248,3 +248,40 @@ def test_exact_shares(count, more):
     total = sum(count) + 2 * more
     got = divergence.shares(np.array(count), total)
     assert got.tolist() == [1 + 10**9 * (c + 2) // total for c in count]
+
+
+# -- Hot keys of earlier operators --------------------------------------------
+
+
+def test_sample_has_one_row_an_id(spark):
+    """An id that very many rows have counts once, by the text of the least hash."""
+    from wavelathe.llm import quality
+
+    prepare(spark)
+    texts = {i: [f"good word{i} fine {j}" if i % 2 else f"bad junk{i} spam {j}" for j in range(20)] for i in range(6)}
+    rows = [(i, t) for i, ts in texts.items() for t in ts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = quality.training_rows(spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int"))
+    one = docs.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    a, b = quality.fit(docs, labels), quality.fit(one, labels)
+    assert (a[0] == b[0]).all() and a[1] == b[1]
+
+
+def test_spread_join_keeps_rows_of_a_hot_key(spark):
+    from wavelathe.llm.common import spread_join
+
+    rows = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)] + [(None, -1)], "k long, i long")
+    facts = spark.createDataFrame([(0, "zero"), (3, "three"), (999, "none")], "k long, f string")
+    inner = spread_join(rows, facts, "k", "i", 8)
+    left = spread_join(rows, facts, "k", "i", 8, how="left")
+    assert sorted(map(tuple, inner.collect())) == sorted(map(tuple, rows.join(facts, "k").collect()))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted(map(tuple, rows.join(facts, "k", "left").collect()), key=repr)
+
+
+def test_secrets_in_a_text_that_most_rows_share(spark):
+    from wavelathe.llm import secret_scan
+
+    rows = [(i, "password = hunter22 here" if i % 3 else f"clean text {i}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.without_secrets(docs).collect()}
+    assert got == {i: t.replace("password = hunter22", "[SECRET]") for i, t in rows}
