@@ -14,7 +14,7 @@ from .catalog import _E, _MAG, _MEL, _SQL_SETS, _V, _mel_sql, _rounded, events,
 from .more import _TURNS, _cepstrum, _levinson, _loud, _plp_acf, _rows, _stepped
 
 LINE = Blocks(("line",), 4096)
-USERS = Blocks(("user_id",), 32)  # a user has 49 to 86 events, so each spans blocks
+USERS = Blocks(("user_id",), 64)  # a user has 49 to 86 events, so many span two blocks
 
 
 def line(spark, d) -> DataFrame:
