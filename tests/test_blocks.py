@@ -1,6 +1,8 @@
 """Long series in blocks: the same rows as one task a series gives."""
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pytest
@@ -309,3 +311,20 @@ def test_empty_levels(level):
     none = level.limit(0)
     for df in (B.renumbered(none), B.running_mvn(none, "x"), blocks.turns(none, B, "x", 1.0), contours.peaks(none, B, "x"), contours.segments(none, B, "x"), contours.onsets(none, B, "x"), blocks.exponential_mvn(none, B, "x")):
         assert df.count() == 0
+
+
+def test_segments_at_ties_of_the_average(spark):
+    """Rows exactly as far over their average as the threshold go by plain sums; a series too short for an average has no segment, and null rows don't count."""
+    x = [3.6, 0.4, 1.1, 1.8, 3.7, 2.2, 2.3, 2.3, 2.6, 0.2, 2.6, 3.1]
+    hits = [i for i in range(12) if x[i] - reduce(add, x[max(0, i - 2) : i + 1]) / min(i + 1, 3) > 0.2 * (max(x) - min(x))]
+    assert 3 in hits
+    spans = np.diff([0, *hits])
+    three = [(0, i, v) for i, v in enumerate(x)]
+    short = [(1, i, float(i == 4)) for i in range(9)]
+    gaps = [(2, i, None if i == 2 else float(10 * (i == 3))) for i in range(12)]  # 10 over 5, the mean of the two rows that hold a number
+    df = spark.createDataFrame([*three, *short, *gaps], "k int, vidx long, x double")
+    got = {r["k"]: r for r in contours.segments(df, B, "x", "delta", average=3, least=0, norm="frame").collect()}
+    assert got[0]["x_numsegments"] == len(hits) and got[0]["x_meanseglen"] == pytest.approx(spans[spans > 0].sum() / len(hits))
+    assert got[2]["x_numsegments"] == 1
+    own = contours.segments(df.where("k = 1"), B, "x", "delta", least=0, norm="frame").first()
+    assert own["x_numsegments"] == 0

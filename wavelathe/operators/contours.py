@@ -51,16 +51,42 @@ def _next_far(hits: DataFrame, b: Blocks, most: int | None) -> DataFrame:
     return reduce(DataFrame.unionByName, out) if out else hits.limit(0)
 
 
+def _trailing_mean(rows: DataFrame, b: Blocks) -> tuple[DataFrame, Column]:
+    """rows (with x, its series' mean _mu and _len), and x's mean over the last _len rows; null where that is none.
+
+    Up to a block's rows, SPREAD at most, are added up in their order, so that a
+    row as far from its mean as the threshold compares as plain sums do. Longer
+    means come from running sums about the series' mean.
+    """
+    keys = list(b.keys)
+    # _len is a table's fact: the frame reaches as far as its widest mean needs.
+    rows = written(rows, "segment-rows")
+    widest = rows.agg(F.max("_len")).first()[0] or 0
+    reach = max(min(widest, SPREAD, b.rows) - 1, 0)
+    rows = b.windowed(rows, {"_near": lambda s: F.collect_list(F.struct("x")).over(s.ordered().rowsBetween(-reach, 0))}, reach, 0)
+    own = F.least(F.col("_len"), F.size("_near")).cast("int")
+    own = F.filter(F.transform(F.slice("_near", F.size("_near") - own + 1, own), lambda r: r["x"]), lambda v: v.isNotNull())
+    total = F.aggregate("_own", F.lit(0.0), lambda a, v: a + v)
+    rows = rows.withColumn("_own", own).withColumn("_mean", F.when(F.size("_own") > 0, total / F.when(F.size("_own") > 0, F.size("_own")))).drop("_near", "_own")
+    if widest <= reach + 1:
+        return rows, F.col("_mean")
+    far = F.col("_len") > reach + 1
+    held = F.col("x").isNotNull().cast("long")
+    rows = written(b.summed(b.summed(rows, "_sum", F.coalesce(F.col("x") - F.col("_mu"), F.lit(0.0))), "_held", held), "segment-sums")
+    old = rows.where(far).select(*keys, (F.col("vidx") + F.col("_len")).alias("vidx"), F.col("_sum").alias("_old"), F.col("_held").alias("_gone"))
+    count = F.col("_held") - F.coalesce("_gone", F.lit(0))
+    long_mean = (F.col("_sum") - F.coalesce("_old", F.lit(0.0))) / F.when(count > 0, count) + F.col("_mu")
+    return rows.join(old, [*keys, "vidx"], "left"), F.when(far, long_mean).otherwise(F.col("_mean"))
+
+
 def _borders(df: DataFrame, b: Blocks, x: str, kind: str, share: float, thresholds: tuple, most: int, least: int | None, average: int | None, grow: bool) -> DataFrame:
     """keys, length of the segments between rows where the contour goes over its running average, or through a threshold."""
     keys = list(b.keys)
     rows = b.shared(df.select(*keys, "vidx", F.col(x).cast("double").alias("x")), _n=F.count(F.lit(1)), _lo=F.min("x"), _hi=F.max("x"), _mu=F.avg("x"))
     span = F.col("_hi") - F.col("_lo")
     if kind in ("delta", "delt2"):
-        rows = written(b.summed(rows, "_sum", F.col("x") - F.col("_mu")), "segment-sums").withColumn("_len", F.lit(average).cast("long") if average else F.floor(F.col("_n") / (most // 2)).cast("long"))
-        old = rows.select(*keys, (F.col("vidx") + F.col("_len")).alias("vidx"), F.col("_sum").alias("_old"))
-        rows = rows.join(old, [*keys, "vidx"], "left")
-        mean = (F.col("_sum") - F.coalesce("_old", F.lit(0.0))) / F.least(F.col("vidx") + 1, F.when(F.col("_len") > 0, F.col("_len"))) + F.col("_mu")
+        rows = rows.withColumn("_len", F.lit(average).cast("long") if average else F.floor(F.col("_n") / (most // 2)).cast("long"))
+        rows, mean = _trailing_mean(rows, b)
         rows = rows.withColumn("_over", F.col("x") - mean)
         hit = F.col("_over") > share * span
         if kind == "delt2":
