@@ -328,3 +328,21 @@ def test_segments_at_ties_of_the_average(spark):
     assert got[2]["x_numsegments"] == 1
     own = contours.segments(df.where("k = 1"), B, "x", "delta", least=0, norm="frame").first()
     assert own["x_numsegments"] == 0
+
+
+def _dealt_to(df):
+    """Tasks that have rows, where no join is a broadcast that the small size alone brings about."""
+    spark, name = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        return df.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set(name, was)
+
+
+def test_aggregates_beside_rows_are_dealt_by_block(spark):
+    one = spark.range(800).select(F.floor(F.col("id") / 1000).alias("k"), F.col("id").alias("vidx"), F.col("id").cast("double").alias("x"))
+    got = B.shared(one, n=F.count("x"), top=F.max("x"))
+    assert got.columns == ["k", "vidx", "x", "n", "top"] and got.where("n = 800 and top = 799").count() == 800
+    assert _dealt_to(got) > 4

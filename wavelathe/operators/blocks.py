@@ -77,6 +77,10 @@ class Blocks:
     def own(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_block", F.floor(F.col("vidx") / self.rows).cast("long"))
 
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """own(df), dealt by block into a number of tasks of its own: rows of small numbers are few bytes, and else all would be put into one task."""
+        return self.own(df).repartition(_tasks(df), *self.by)
+
     def windowed(self, df: DataFrame, columns: dict[str, Callable[[Series], Column]], before: int, after: int) -> DataFrame:
         """df with columns of row frames that reach at most so many rows before and after.
 
@@ -92,9 +96,13 @@ class Blocks:
         return out.where(F.col("_block") == F.floor(F.col("vidx") / self.rows)).drop("_block")
 
     def shared(self, df: DataFrame, **aggregates: Column) -> DataFrame:
-        """df with aggregates of its whole series beside each row. Null and missing keys are alike."""
-        facts = df.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-        return df.join(facts, list(self.keys))
+        """df with aggregates of its whole series beside each row. Null and missing keys are alike.
+
+        Each block gets the aggregates for itself, so that no task has a series.
+        """
+        facts = df.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggregates.items()], F.max("vidx").alias("_final"))
+        facts = facts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_final") / self.rows).cast("long")))).drop("_final")
+        return self.dealt(df).join(facts, self.by).drop("_block")
 
     def renumbered(self, df: DataFrame) -> DataFrame:
         """df with vidx counted anew, without gaps, in the order of the old one."""
@@ -158,6 +166,10 @@ class Blocks:
         return out.where((F.col("vidx") % step == 0) & (F.size("frame") == size)).select(*self.keys, (F.col("vidx") / step).cast("long").alias("segment"), "frame")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _kind(df: DataFrame, names, **more) -> StructType:
     return StructType([*[df.schema[n] for n in names], *[StructField(n, t) for n, t in more.items()]])
 
@@ -175,9 +187,8 @@ def scanned(df: DataFrame, b: Blocks, fold: Callable, step: Callable | None, sta
     block of a series.
     """
     keys, by = list(b.keys), b.by
-    # A number of its own, as few bytes may be much work: else they would be put into one task.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = b.own(df).repartition(n, *by)
+    n = _tasks(df)
+    own = b.dealt(df)
     head = callable(start)
 
     def maps(batches):
