@@ -346,3 +346,11 @@ def test_aggregates_beside_rows_are_dealt_by_block(spark):
     got = B.shared(one, n=F.count("x"), top=F.max("x"))
     assert got.columns == ["k", "vidx", "x", "n", "top"] and got.where("n = 800 and top = 799").count() == 800
     assert _dealt_to(got) > 4
+
+
+def test_few_bytes_are_dealt_to_all_tasks(spark):
+    """Rows of which little is left behind compression are no one task's."""
+    df = spark.range(8000).select((F.col("id") % 50).alias("k"), F.floor(F.col("id") / 50).alias("vidx"), F.lit(1.0).alias("x"))
+    for got in (B.held(df, "last", F.col("x")), B.summed(df, "sum", F.col("x")), B.renumbered(df), B.windowed(df, {"was": lambda s: F.lag("x").over(s.ordered())}, 1, 0)):
+        assert _dealt_to(got) > 4
+        assert got.count() == 8000

@@ -90,7 +90,7 @@ class Blocks:
         """
         first = F.greatest(F.floor((F.col("vidx") - after) / self.rows), F.lit(0)).cast("long")
         last = F.floor((F.col("vidx") + before) / self.rows).cast("long")
-        near = df.withColumn("_block", F.explode(F.sequence(first, last)))
+        near = df.withColumn("_block", F.explode(F.sequence(first, last))).repartition(_tasks(df), *self.by)
         s = self.series()
         out = near.select("*", *[make(s).alias(n) for n, make in columns.items()])
         return out.where(F.col("_block") == F.floor(F.col("vidx") / self.rows)).drop("_block")
@@ -106,7 +106,7 @@ class Blocks:
 
     def renumbered(self, df: DataFrame) -> DataFrame:
         """df with vidx counted anew, without gaps, in the order of the old one."""
-        own = self.own(df)
+        own = self.dealt(df)
         counts = own.groupBy(*self.by).agg(F.count(F.lit(1)).alias("_n"))
         before = F.sum("_n").over(Window.partitionBy(*self.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
         counts = counts.select(*self.by, F.coalesce(before, F.lit(0)).alias("_before"))
@@ -115,7 +115,7 @@ class Blocks:
 
     def held(self, df: DataFrame, name: str, value: Column) -> DataFrame:
         """df with the last value that is not null, of the rows up to each one; null before the first."""
-        own = self.own(df.withColumn(name, value))
+        own = self.dealt(df.withColumn(name, value))
         blocks = own.groupBy(*self.by).agg(F.max(F.when(F.col(name).isNotNull(), F.struct("vidx", name)))[name].alias("_last"))
         w = Window.partitionBy(*self.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = blocks.select(*self.by, F.last("_last", ignorenulls=True).over(w).alias("_before"))
@@ -124,7 +124,7 @@ class Blocks:
 
     def summed(self, df: DataFrame, name: str, value: Column) -> DataFrame:
         """df with the sum of the value over the rows up to each one."""
-        own = self.own(df.withColumn(name, value))
+        own = self.dealt(df.withColumn(name, value))
         w = Window.partitionBy(*self.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = own.groupBy(*self.by).agg(F.sum(name).alias("_sum")).select(*self.by, F.coalesce(F.sum("_sum").over(w), F.lit(0)).alias("_before"))
         so_far = F.sum(name).over(Window.partitionBy(*self.by).orderBy("vidx").rowsBetween(Window.unboundedPreceding, 0))
@@ -136,7 +136,7 @@ class Blocks:
         Moments of a block's rows so far are merged with those of the blocks
         before, which are taken about the series' mean so that little cancels.
         """
-        own = self.own(self.shared(df, _mu=F.avg(x)))
+        own = self.dealt(self.shared(df, _mu=F.avg(x)))
         d = F.col(x) - F.col("_mu")
         blocks = own.groupBy(*self.by).agg(F.count(x).alias("_bn"), F.sum(d).alias("_bs"), F.sum(d * d).alias("_bq"))
         w = Window.partitionBy(*self.keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
