@@ -354,3 +354,10 @@ def test_few_bytes_are_dealt_to_all_tasks(spark):
     for got in (B.held(df, "last", F.col("x")), B.summed(df, "sum", F.col("x")), B.renumbered(df), B.windowed(df, {"was": lambda s: F.lag("x").over(s.ordered())}, 1, 0)):
         assert _dealt_to(got) > 4
         assert got.count() == 8000
+
+
+def test_frames_are_cut_from_blocks(level):
+    """A frame is made once, not a list for each row of the series."""
+    plan = B.frames(level, "x", 4, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("collect_list(") == 1
+    assert {len(r["frame"]) for r in B.frames(level, "x", 20, 7).collect()} == {20}

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from ..functions.vectors import let
 from ..series import Series
 from ..storage import written
 
@@ -159,11 +160,22 @@ class Blocks:
         return self.running(df, x).withColumn(f"{x}_mvn", F.col("_dev") / F.greatest(sd, F.lit(floor))).drop("_n", "_mean", "_m2", "_dev")
 
     def frames(self, df: DataFrame, x: str, size: int, step: int | None = None) -> DataFrame:
-        """keys, segment, frame: windows of `size` rows, one each `step`, as arrays. A window is made where its first row stands; incomplete ones are left out."""
+        """keys, segment, frame: windows of `size` rows, one each `step`, as arrays. A window is made in the block where its first row stands, cut from the block's values; incomplete ones are left out. vidx must have no gaps."""
         step = step or size
-        part = lambda s: F.transform(F.array_sort(F.collect_list(F.struct("vidx", x)).over(s.ordered().rowsBetween(0, size - 1))), lambda r: r[x])
-        out = self.windowed(df.select(*self.keys, "vidx", x), {"frame": lambda s: F.when(F.col("vidx") % step == 0, part(s))}, 0, size - 1)
-        return out.where((F.col("vidx") % step == 0) & (F.size("frame") == size)).select(*self.keys, (F.col("vidx") / step).cast("long").alias("segment"), "frame")
+        first = F.greatest(F.floor((F.col("vidx") - size + 1) / self.rows), F.lit(0)).cast("long")
+        last = F.floor(F.col("vidx") / self.rows).cast("long")
+        near = df.select(*self.keys, "vidx", x, F.explode(F.sequence(first, last)).alias("_block"))
+        near = near.repartition(_tasks(df), *self.by)
+        parts = near.groupBy(*self.by).agg(F.array_sort(F.collect_list(F.struct("vidx", x))).alias("_rows"))
+        start = F.col("_block") * self.rows
+
+        def cut(rows: Column) -> Column:
+            least = F.ceil(start / step).cast("long")
+            most = F.floor(F.least(start + self.rows - 1, start + F.size(rows) - size) / step).cast("long")
+            frame = lambda k: F.transform(F.slice(rows, (k * step - start + 1).cast("int"), size), lambda r: r[x])
+            return F.transform(F.when(least <= most, F.sequence(least, most)), lambda k: F.struct(k.alias("segment"), frame(k).alias("frame")))
+
+        return parts.select(*self.keys, F.inline(let(F.col("_rows"), cut)))
 
 
 def _tasks(df: DataFrame) -> int:
