@@ -361,3 +361,12 @@ def test_frames_are_cut_from_blocks(level):
     plan = B.frames(level, "x", 4, 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.count("collect_list(") == 1
     assert {len(r["frame"]) for r in B.frames(level, "x", 20, 7).collect()} == {20}
+
+
+def test_listed_rows_stay_where_they_are(spark):
+    """All series share the few buckets of a short list: rows are not dealt by them."""
+    df = spark.range(0, 4000, 1, 8).select((F.col("id") % 100).alias("k"), F.floor(F.col("id") / 100).alias("vidx"), F.lit(1.0).alias("x"))
+    spans = spark.createDataFrame([(0, 3, 9), (2, 20, 30)], "segment int, start long, stop long")
+    got = segments.listed_in(df, spans)
+    assert got.count() == 100 * 18
+    assert _dealt_to(got) > 4

@@ -61,10 +61,14 @@ def parse_list(text: str, period: float) -> list[tuple[int, int]]:
 
 
 def listed_in(df: DataFrame, intervals: DataFrame, least: int = 1, bucket: int = 64) -> DataFrame:
-    """Rows of each inclusive interval of vidx of a table (segment, start, stop), the same for all series; shorter ones are left out."""
+    """Rows of each inclusive interval of vidx of a table (segment, start, stop), the same for all series; shorter ones are left out.
+
+    The table goes to all tasks: dealt by its buckets alone, which all series
+    share, the rows would come to a few.
+    """
     own = intervals.where(F.col("stop") - F.col("start") + 1 >= least)
     t = own.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))))
-    return df.withColumn("_b", F.floor(F.col("vidx") / bucket)).join(t, "_b").where("vidx between start and stop").drop("_b", "start", "stop")
+    return df.withColumn("_b", F.floor(F.col("vidx") / bucket)).join(F.broadcast(t), "_b").where("vidx between start and stop").drop("_b", "start", "stop")
 
 
 def listed(df: DataFrame, intervals: list[tuple[int, int]]) -> DataFrame:
