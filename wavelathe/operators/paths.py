@@ -22,6 +22,7 @@ from pyspark.sql.types import DoubleType
 from .blocks import Blocks, scanned
 
 _NONE = 1e300  # the price of what cannot be
+_PART = 1024  # rows whose steps are priced at once
 
 
 @dataclass(frozen=True)
@@ -48,47 +49,50 @@ class _Rows:
         self.before = np.concatenate([np.stack(ahead), self.f])  # row t stands at t + 2
 
     def _read(self, fs, vs):
-        n, p = len(fs), self.prices
-        f, local = np.zeros((n, self.states)), np.full((n, self.states), _NONE)
-        for t, (a, v) in enumerate(zip(fs, vs)):
-            a, v = np.asarray(a if a is not None else [], float)[: self.states - 1], np.asarray(v if v is not None else [], float)[: self.states - 1]
-            k = min(len(a), len(v))
-            a, v = a[:k], v[:k]
-            f[t, :k] = a
-            q = np.clip(v, 1e-6, 1.0)
-            voiced = a > 0
-            local[t, :k] = -p.local * np.log(q) + ((q < p.cutoff) & voiced) + p.range_ * (voiced & ((a < 100) | (a > 350)))
-            local[t, -1] = -p.local * np.log(np.clip(1 - v.max(initial=0.0), 1e-6, 1.0))
+        n, most, p = len(fs), self.states - 1, self.prices
+        f, v, has = np.zeros((n, self.states)), np.zeros((n, most)), np.zeros((n, most), bool)
+        for t, (a, b) in enumerate(zip(fs, vs)):
+            k = min(len(a), len(b), most) if a is not None and b is not None else 0
+            if k:
+                f[t, :k], v[t, :k], has[t, :k] = np.asarray(a[:k], float), np.asarray(b[:k], float), True
+        a, q = f[:, :-1], np.clip(v, 1e-6, 1.0)
+        voiced = a > 0
+        local = np.full((n, self.states), _NONE)
+        local[:, :-1] = np.where(has, -p.local * np.log(q) + ((q < p.cutoff) & voiced) + p.range_ * (voiced & ((a < 100) | (a > 350))), _NONE)
+        local[:, -1] = -p.local * np.log(np.clip(1 - v.max(1, initial=0.0), 1e-6, 1.0))
         return f, local
 
-    def change(self, t: int) -> np.ndarray:
-        """Logarithms of the ratios of row t's candidates (columns) to those of the row before; 0 where either is unvoiced."""
-        a, b = self.before[t + 1], self.before[t + 2]
-        both = (a[:, None] > 0) & (b > 0)
-        return np.where(both, np.log(np.where(both, b, 1.0) / np.where(both, a[:, None], 1.0)), 0.0)
-
-    def step(self, t: int) -> np.ndarray:
-        """Prices [i, j, k] of going from the pair (i, j) to (j, k), with k's own."""
-        p, a, b = self.prices, self.before[t + 1], self.before[t + 2]
-        both = (a[:, None] > 0) & (b > 0)
-        now = self.change(t)
-        flat = np.where(both, p.vv * np.abs(now), np.where((a[:, None] <= 0) & (b <= 0), p.uu, p.vuv))
-        bend = np.where(both, p.vvd * np.abs(now - self.change(t - 1)[:, :, None]), 0.0) if t or not self.first[0] else np.zeros((self.states,) * 3)
-        return np.minimum(flat + bend + self.local[t], _NONE)
-
-    def forward(self, d: np.ndarray):
-        """Prices d [.., i, j] of the pairs ahead, and behind each row; with the best i of each (j, k)."""
-        for t in range(len(self.f)):
-            if self.first[t]:
-                new = np.full(d.shape, _NONE)
-                new[..., -1, :] = np.minimum(d[..., -1, -1, None] + self.local[t], _NONE)
-                best = np.full(d.shape, self.states - 1)
-            else:
-                all_ = d[..., :, :, None] + self.step(t)
-                best = all_.argmin(-3)
-                new = np.minimum(all_.min(-3), _NONE)
-            yield new, best
-            d = new
+    def steps(self, lo: int, hi: int) -> np.ndarray:
+        """Prices [row, i, j, k] of going from the pair (i, j) to (j, k), with k's own, at rows lo to hi."""
+        p = self.prices
+        a, b = self.before[lo : hi + 1, :, None], self.before[lo + 1 : hi + 2, None, :]  # each row's step and the one ahead of it
+        both = (a > 0) & (b > 0)
+        change = np.where(both, np.log(np.where(both, b, 1.0) / np.where(both, a, 1.0)), 0.0)  # of logarithms; 0 where either is unvoiced
+        now, was, both, a, b = change[1:], change[:-1], both[1:], a[1:], b[1:]
+        flat = np.where(both, p.vv * np.abs(now), np.where((a <= 0) & (b <= 0), p.uu, p.vuv))
+        bend = np.where(both[:, None], p.vvd * np.abs(now[:, None] - was[:, :, :, None]), 0.0)
+        if lo == 0 and self.first[0]:
+            bend[0] = 0.0
+        return np.minimum(flat[:, None] + bend + self.local[lo:hi, None, None], _NONE)
+
+    def forward(self, d: np.ndarray, chosen: bool = True):
+        """Prices d [.., i, j] of the pairs ahead, and behind each row; if chosen, with the best i of each (j, k)."""
+        for lo in range(0, len(self.f), _PART):
+            hi = min(lo + _PART, len(self.f))
+            for t, step in zip(range(lo, hi), self.steps(lo, hi)):
+                best = None
+                if self.first[t]:
+                    new = np.full(d.shape, _NONE)
+                    new[..., -1, :] = np.minimum(d[..., -1, -1, None] + self.local[t], _NONE)
+                    if chosen:
+                        best = np.full(d.shape, self.states - 1)
+                else:
+                    all_ = d[..., None] + step
+                    if chosen:
+                        best = all_.argmin(-3)
+                    new = np.minimum(all_.min(-3), _NONE)
+                yield new, best
+                d = new
 
 
 def cheapest_path(df: DataFrame, b: Blocks, f0: str, voicing: str, candidates: int = 3, prices: Prices = Prices(), out: str = "f0final") -> DataFrame:
@@ -107,7 +111,7 @@ def cheapest_path(df: DataFrame, b: Blocks, f0: str, voicing: str, candidates: i
         d = np.full((pairs, pairs), _NONE)
         np.fill_diagonal(d, 0.0)
         d = d.reshape(pairs, states, states)
-        for d, _ in _Rows(part, candidates, prices).forward(d):
+        for d, _ in _Rows(part, candidates, prices).forward(d, False):
             pass
         return d.reshape(-1)
 
