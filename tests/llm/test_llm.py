@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -547,6 +548,58 @@ def test_op9_counts_entries_by_component(spark):
     assert {tuple(r) for r in media.met_across(rest, 2).collect()} == {(2, 3), (1, 3)}
 
 
+def shuffle_files(spark):
+    """Spark's shuffle files on this machine, and their bytes."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f: f.stat().st_size for d in dirs for f in Path(d.getPath()).rglob("shuffle_*.data") if f.exists()}
+
+
+def test_op9_verifies_many_candidates_in_little_disk(spark, monkeypatch):
+    """All pairs of 24 classes are candidates: no link is lost, and what one write shuffles is a few times the corners."""
+    rng = np.random.default_rng(12)
+    made = np.zeros((24, 300), media._CORNER)
+    made["code"] = rng.integers(0, 1 << 63, made.shape, np.uint64)
+    made["x"], made["y"], made["s"], made["t"] = (*rng.uniform(0, 300, (2, *made.shape)), 1, rng.uniform(-3, 3, made.shape))
+    made[17], made[23] = made[7], made[0]
+    classes = written(spark.createDataFrame([(i, c.tobytes()) for i, c in enumerate(made)], "rep long, corners binary"), "test-classes")
+    pairs = spark.createDataFrame([(i, j) for i in range(24) for j in range(24) if i != j], "a long, b long")
+    monkeypatch.setattr(media, "PAIR_ROWS", 16)
+    most, seen = 0, set(shuffle_files(spark))
+
+    def note(df, label):
+        nonlocal most, seen
+        out = written(df, label)
+        now = shuffle_files(spark)
+        most, seen = max(most, sum(n for f, n in now.items() if f not in seen)), seen | set(now)
+        return out
+
+    monkeypatch.setattr(media, "written", note)
+    joined_by = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(joined_by)
+    spark.conf.set(joined_by, "-1")  # as where corners are too many to be broadcast
+    try:
+        got = note(media._verified(pairs, classes, 6, 6), "test-links")
+    finally:
+        spark.conf.set(joined_by, before)
+    assert sorted(map(tuple, got.collect())) == [(0, 23), (7, 17), (17, 7), (23, 0)]
+    assert 0 < most <= 8 * made.nbytes
+
+
+def test_op9_components_meet_in_turns(spark, monkeypatch):
+    """Turns part the pairs of components, and are as many as the meetings between components need."""
+    rng = np.random.default_rng(4)
+    rest = spark.createDataFrame([(k, int(r) // 3, int(r)) for k in range(40) for r in rng.choice(30, 6, replace=False)], "key long, root long, rep long")
+    whole = sorted(map(tuple, media.met_across(rest, 2).collect()))
+    parts = [set(map(tuple, media.met_across(rest, 2, 4, k).collect())) for k in range(4)]
+    assert len(whole) > 40 and sorted(p for part in parts for p in part) == whole and all(parts)
+    rows, met = rest.toPandas(), 0
+    for _, g in rows.groupby("key"):
+        met += sum(x < y for x in g["root"] for y in g["root"])
+    monkeypatch.setattr(media, "PAIRS_A_ROW", 1)
+    assert media.turns_across(rest) == -(-met // len(rows)) > 1
+    assert media.turns_across(rest.limit(0)) == 1
+
+
 def test_op10(spark):
     import duckdb
 

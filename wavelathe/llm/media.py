@@ -17,15 +17,17 @@ become rows; a bit set by chance costs a row and changes nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, drop, even_labels, free_shuffles, frugal, give_back, let_go, mix64, prepare, shuffle_partitions, spread_join, written
+from .common import components, drop, even_labels, free_shuffles, frugal, give_back, let_go, mix64, prepare, shuffle_partitions, small, spread_join, written
 
 CELL = 8  # pixels of a cell, of which the strongest corner is kept
 BITS = 64
@@ -36,6 +38,8 @@ SECTORS = 8  # of a turn, in which how two corners lie to each other is told
 MAP_BITS = 1 << 27
 ROUNDS = 1  # in which an image meets one other, before all that share an entry do
 PAIR_ROWS = 1024  # of a table's entry that one task pairs with the others
+PAIRS_A_CLASS = 2  # candidates, for each class, that are verified at a time
+PAIRS_A_ROW = 2  # meetings in entries, for each row of the table, that are counted at a time
 _STEPS = 5  # scales of an octave
 _SCALES = tuple(2.0 ** (-k / _STEPS) for k in range(8))
 _EDGE, _SMALLEST = 8, 24
@@ -213,36 +217,70 @@ def are_copies(a: np.ndarray, b: np.ndarray, near: int = 6, votes: int = 6, shar
     return len(i) >= need and agreement(a[i], b[j[i]]) >= need
 
 
+def _beside(rows: DataFrame, pairs: DataFrame, classes: DataFrame, on: str, by: str) -> DataFrame:
+    """rows (some of pairs) with the corners `k` of their image in column `on`. An image of very many pairs meets them in several tasks, dealt by their column `by`."""
+    spark = classes.sparkSession
+    deals = F.ceil(F.col("held") / PAIR_ROWS).alias("deals")
+    many = small(pairs.groupBy(on).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > PAIR_ROWS).select(on, deals))
+    deals = F.coalesce("deals", F.lit(1).cast("long"))
+    own = classes.select(F.col("rep").alias(on), F.col("corners").alias(f"k{on}")).join(many, on, "left")
+    own = own.select(on, f"k{on}", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"))
+    dealt = rows.join(many, on, "left").withColumn("deal", F.pmod(F.xxhash64(by), deals)).drop("deals")
+    # Few bytes, but much work: by a number of parts, which small parts do not lower.
+    n = shuffle_partitions(spark)
+    return dealt.repartition(n, on, "deal").join(own.repartition(n, on, "deal"), [on, "deal"]).drop("deal")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, near: int, votes: int) -> DataFrame:
-    """Of the pairs (a, b) of images, the copies. Very many pairs may have the same a."""
+    """Of the pairs (a, b) of images, the copies, as written tables. Very many pairs may have the same a, or b.
+
+    Corners are far larger than pairs, so only PAIRS_A_CLASS pairs a class are
+    sent along with them at a time: what lies on disk is a few times the
+    corners of all classes, however many pairs there are.
+    """
+    spark = classes.sparkSession
 
     @F.pandas_udf("boolean")
     def agree(ka: pd.Series, kb: pd.Series) -> pd.Series:
         return pd.Series([are_copies(np.frombuffer(p, _CORNER), np.frombuffer(q, _CORNER), near, votes) for p, q in zip(ka, kb)], dtype=bool)
 
     pairs = written(pairs, "media-pairs")
-    x = classes.select(F.col("rep").alias("a"), F.col("corners").alias("ka"))
-    y = classes.select(F.col("rep").alias("b"), F.col("corners").alias("kb"))
-    # Few bytes, but much work: dealt over all tasks, whatever their size.
-    both = spread_join(pairs, x, "a", "b").join(y, "b").repartition(shuffle_partitions(classes.sparkSession))
-    return both.where(agree("ka", "kb")).select("a", "b")
+    free_shuffles(spark)
+    turns = max(1, math.ceil(pairs.count() / max(1, PAIRS_A_CLASS * classes.count())))
+    found = []
+    for k in range(turns):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == k)
+        both = _beside(_beside(part, pairs, classes, "a", "b"), pairs, classes, "b", "a")
+        found.append(written(both.where(agree("ka", "kb")).select("a", "b"), "media-links"))
+        free_shuffles(spark)
+    drop(pairs)
+    return functools.reduce(DataFrame.union, found)
 
 
-def met_across(rest: DataFrame, shared: int) -> DataFrame:
+def met_across(rest: DataFrame, shared: int, turns: int = 1, turn: int = 0) -> DataFrame:
     """Pairs (a, b) that meet in rest (key, root, rep: the images in an entry and their components), of components that share `shared` entries.
 
     Entries are counted by component, as links inside it hold for all of them.
     An entry's many images are dealt out, and each deal meets all the others.
+    Two components' pairs all come in one of the turns.
     """
     apart = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo < hi")
     rows = spread_join(rest, apart.select("key", F.ceil(F.col("held") / PAIR_ROWS).alias("deals")), "key", "rep")
     a = rows.select("key", F.pmod(F.xxhash64("rep"), "deals").alias("deal"), F.col("root").alias("ra"), F.col("rep").alias("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)).alias("deal"), F.col("root").alias("rb"), F.col("rep").alias("b"))
-    pairs = a.join(b, ["key", "deal"]).where("ra < rb").select("key", "ra", "rb", "a", "b")
+    pairs = a.join(b, ["key", "deal"]).where("ra < rb").where(F.pmod(F.xxhash64("ra", "rb"), F.lit(turns)) == turn).select("key", "ra", "rb", "a", "b")
     enough = pairs.select("key", "ra", "rb").distinct().groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= shared).select("ra", "rb")
     return pairs.select("ra", "rb", "a", "b").distinct().join(enough, ["ra", "rb"]).select("a", "b")
 
 
+def turns_across(rest: DataFrame) -> int:
+    """So many turns of met_across that in each about PAIRS_A_ROW times as many pairs meet in entries as rest has rows."""
+    each = rest.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    r = each.agg(F.sum("n").alias("rows"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("met")).first()
+    free_shuffles(rest.sparkSession)
+    return max(1, math.ceil((r["met"] or 0) / (PAIRS_A_ROW * max(1, r["rows"] or 0))))
+
+
 def packed_gaps(numbers: np.ndarray) -> bytes:
     """Ascending numbers from 0 as 16-bit gaps; 65535 is a step of as many without a number."""
     gap = np.diff(numbers.astype(np.int64), prepend=0)
@@ -348,7 +386,8 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     link; n_links counts a class's links found. First, for ROUNDS rounds, each
     class meets one head of another component, which is linear and connects
     groups of copies. Then all classes of an entry that lie in different
-    components meet, where the two components share as many entries.
+    components meet, where the two components share as many entries. Both
+    the meetings and the verification are done in turns of a bounded size.
     """
     spark = prepare(media.sparkSession)
     own = media.where("media_id is not null").select(F.col("media_id").cast("long").alias("media_id"), F.sha2(F.coalesce("image", F.lit(b"")), 256).alias("cls"), "image")
@@ -373,22 +412,25 @@ def media_copies(media: DataFrame, near: int = 6, votes: int = 6, shared: int =
     table = written(spread_join(entries, full, "key", "rep").select("key", "rep"), "media-table")
     drop(entries)
     free_shuffles(spark)
-    rest, links = table.withColumn("root", F.col("rep")), None
+    rest, links, stored = table.withColumn("root", F.col("rep")), None, table
     for _ in range(ROUNDS):
-        found = written(_verified(nearest_heads(rest, shared), classes, near, votes), "media-stars")
+        found = _verified(nearest_heads(rest, shared), classes, near, votes)
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
         roots = components(links if _ == 0 else roots.toDF("a", "b").union(found), "media-cc")
         free_shuffles(spark)
-        rest = written(table.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), "rep"), "media-rest")
+        stored = rest = written(table.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"), "rep"), "media-rest")
     if links is None:
         links = classes.limit(0).select(F.col("rep").alias("a"), F.col("rep").alias("b"))
         roots = links.toDF("node", "root")
+    else:
+        drop(table)
     rest = rest.select("key", "root", "rep")
     roots = roots.withColumnRenamed("node", "rep")
-    more = written(_verified(met_across(rest, shared), classes, near, votes), "media-across")
-    free_shuffles(spark)
+    turns = turns_across(rest)
+    more = functools.reduce(DataFrame.union, [_verified(met_across(rest, shared, turns, k), classes, near, votes) for k in range(turns)])
+    drop(stored)
     edges = links.union(more)
     if not more.isEmpty():
         roots = components(roots.toDF("a", "b").union(more), "media-cc").withColumnRenamed("node", "rep")
